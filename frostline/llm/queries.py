@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from frostline.llm import token_files
+from frostline.llm import mixing, packing, token_files
 
 
 def queries() -> dict:
     return {
+        "op3_source_mix": mixing.op3_source_mix,
         "op6_token_files": token_files.op6_token_files,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
     }
 
 
