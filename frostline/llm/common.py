@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -12,24 +11,14 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of characters other than space and U+0009..U+000D.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SPACES = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-LOWER_AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text; a null text has none."""
-    if not text:
-        return []
-    return [w for w in text.translate(SPACES).split(" ") if w]
+def lower_words(text: str | None) -> list[bytes]:
+    """UTF-8 words of a text after lower-casing A-Z only; a null text has none.
 
-
-def lower_words(text: str | None) -> list[str]:
-    """Words after lower-casing A-Z only (other letters keep their case)."""
-    if not text:
-        return []
-    low = text.lower() if text.isascii() else text.translate(LOWER_AZ)
-    return [w for w in low.translate(SPACES).split(" ") if w]
+    The methods of bytes know ASCII alone: they lower A-Z and split at space and U+0009..U+000D.
+    """
+    return text.encode().lower().split() if text else []
 
 
 def shared_dir(spark: SparkSession) -> str:

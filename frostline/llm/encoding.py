@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 
-from frostline.llm.common import SPACES, one_thread
+from frostline.llm.common import one_thread
 
 #: Where a space or line break stands beside other white space, the run decides how it is split.
 _RUNS = re.compile(r"\s\s|^\s|\s\Z")
@@ -22,41 +22,70 @@ class PieceEncoder:
 
     ``drops_space``: the vocabulary drops white space (cut at any of it); else a space belongs to the
     word after it, and only texts whose white space is single spaces and line breaks are cut.
-    ``max_pieces`` bounds the pieces held in memory; beyond it the store starts anew.
+    ``max_pieces`` bounds the pieces held in memory: beyond twice as many, those not lately used go.
     Null and empty texts have no ids.
     """
 
-    def __init__(self, path: str, drops_space: bool, max_pieces: int = 800_000):
+    def __init__(self, path: str, drops_space: bool, max_pieces: int = 400_000):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.max_pieces = drops_space, max_pieces
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str | bytes, bytes] = {"": b""}
+        self.older: dict[str | bytes, bytes] = {}
+        self.between = " \x01 " if drops_space else "\n"
+        (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> list:
         if self.drops_space:
-            return text.translate(SPACES).split(" ")
+            return text.encode().split()  # at U+0009..U+000D and space
         if _RUNS.search(text) or _ODD.search(text):
             return [text]
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else [text]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self.cut(t) if t else [] for t in texts]
-        known = self.known
-        new = list(set().union(*cuts).difference(known))
-        if len(known) + len(new) > self.max_pieces:
-            self.known = known = {"": b""}
-            new = list(set().union(*cuts).difference(known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
+        known, older = self.known, self.older
+        new = []
+        for piece in set().union(*cuts).difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                new.append(piece)
+        self._learn(new)
         get = known.__getitem__
         out = [b"".join(map(get, c)) for c in cuts]
+        if len(known) > self.max_pieces:  # pieces in use move on from the older half of the store
+            self.older, self.known = known, {"": b""}
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces, many at once, parted by a pre-token of their own."""
+        known, joins = self.known, self._joins
+        text = bytes.decode if self.drops_space else str
+        parts = [p for p in pieces if joins(p)]
+        single = [p for p in pieces if not joins(p)] if len(parts) < len(pieces) else []
+        groups = [parts[i : i + 1_000] for i in range(0, len(parts), 1_000)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(map(text, g)) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between_id)
+            if len(ends) != len(part) - 1:
+                single += part
+                continue
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(part, [raw[s:e] for s, e in zip([0, *(x + 4 for x in at)], [*at, len(raw)])]))
+        for i in range(0, len(single), 10_000):
+            part = single[i : i + 10_000]
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(list(map(text, part)), add_special_tokens=False)):
+                known[piece] = np.array(e.ids, "<u4").tobytes()
+
+    def _joins(self, piece: str) -> bool:
+        if self.drops_space:
+            return b"\x01" not in piece
+        return len(piece.split()) == 1 and piece.strip() == piece.removeprefix(" ")
+
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
