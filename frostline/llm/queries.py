@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import mixing, packing, token_files
+from frostline.llm import mixing, packing, quality, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_source_mix": mixing.op3_source_mix,
         "op6_token_files": token_files.op6_token_files,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
