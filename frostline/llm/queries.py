@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from frostline.llm import mixing, near_dedup, packing, quality, token_files
+from frostline.llm import language_model, mixing, near_dedup, packing, quality, token_files
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op2_deleted_interpolation": language_model.op2_deleted_interpolation,
         "op3_source_mix": mixing.op3_source_mix,
         "op6_token_files": token_files.op6_token_files,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
