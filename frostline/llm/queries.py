@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import language_model, mixing, near_dedup, packing, quality, token_files
+from frostline.llm import language_model, mixing, near_dedup, packing, quality, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
         "op2_deleted_interpolation": language_model.op2_deleted_interpolation,
         "op3_source_mix": mixing.op3_source_mix,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_files": token_files.op6_token_files,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op10_quality_rules": quality.op10_quality_rules,
