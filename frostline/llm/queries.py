@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import language_model, mixing, near_dedup, packing, quality, token_files, toxicity
+from frostline.llm import exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,12 +10,14 @@ def queries() -> dict:
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
         "op2_deleted_interpolation": language_model.op2_deleted_interpolation,
         "op3_source_mix": mixing.op3_source_mix,
+        "op4_exact_topk": exact_topk.op4_exact_topk,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_token_files": token_files.op6_token_files,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_preference_formatting": preferences.op8_preference_formatting,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_topk": exact_topk.OP4_SQL}
