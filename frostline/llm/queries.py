@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, token_files, toxicity
+from frostline.llm import exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, surrogates, token_files, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_token_files": token_files.op6_token_files,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_preference_formatting": preferences.op8_preference_formatting,
+        "op9_pii_surrogates": surrogates.op9_pii_surrogates,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 

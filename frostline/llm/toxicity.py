@@ -278,5 +278,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts aren't predicted to be toxic; in one pass."""
+    lexicon, model = toxicity_model(docs, labels)
+
+    def keep(batches):
+        trie = FuzzyTrie(lexicon.value)
+        for batch in batches:
+            x = np.array([text_features(t, trie) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.value.score(x) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
