@@ -5,9 +5,11 @@
 2. ``bands * rows`` universal hash minima a class; each band's minima are a bucket's key.
 3. In a bucket every class is paired with the least class, not with every other.  Pairs are confirmed on
    the full sets and components are built.
-4. Buckets whose classes still lie in several components are compared by signature in blocks; pairs of
-   different components whose signatures may belong to linked sets are confirmed too, likeliest first.
-   So no pair that shares a bucket goes unchecked unless its ends are already together.
+4. Buckets whose classes still lie in several components are compared by signature in blocks.  Pairs of
+   different components whose signatures may belong to linked sets make families, as a spanning forest;
+   a family's members are held against each other on the full sets, in blocks, and what is linked joins.
+   So no pair that shares a bucket goes unchecked unless its ends are already together, and no step makes
+   more rows than its members.
 """
 
 from __future__ import annotations
@@ -164,17 +166,39 @@ def _close(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def leftover_pairs(members: DataFrame, least: float, best: int, block: int = 1024) -> DataFrame:
-    """Pairs of one bucket that lie in different components and whose signatures are alike enough.
+class Sets:
+    """Disjoint sets of numbers below n."""
 
-    ``members``: (bucket, node, component, n, sig, pivot).  A bucket is compared by blocks of about
-    ``block`` members, two at a time, so no task holds a whole bucket.  ``best`` > 0 keeps, for each
-    class, the likeliest pairs into each other component and block; 0 keeps all.
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows of each group dealt to blocks of about ``block``, and repeated for every pair (lo, hi) of blocks
+    that theirs is in; ``own`` is their block."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
+    placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    paired = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    return paired.withColumn("lo", F.least("own", "_with")).withColumn("hi", F.greatest("own", "_with")).drop("_with")
+
+
+def alike(members: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """A forest (a, b) that spans, bucket by bucket, the pairs not yet checked whose signatures are alike.
+
+    ``members``: (bucket, node, component, n, sig, pivot).  Pairs in one component, pairs with the pivot and
+    pairs too unlike in size are settled.  A task emits fewer rows than it has members.
     """
-    sized = members.withColumn("_k", F.ceil(F.count("*").over(Window.partitionBy("bucket")) / block).cast("int"))
-    placed = sized.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
-    paired = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    ends = paired.select("bucket", F.least("_own", "_with").alias("lo"), F.greatest("_own", "_with").alias("hi"), F.col("_own").alias("own"), "node", "component", "n", "sig", "pivot")
 
     def compare(t: pa.Table) -> pa.Table:
         own, lo, hi = t.column("own").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
@@ -182,34 +206,61 @@ def leftover_pairs(members: DataFrame, least: float, best: int, block: int = 102
         pivot = t.column("pivot").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
         i, j = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        found: list[tuple] = []
-        for a in range(0, len(i), 256):
-            p = i[a : a + 256]
+        sets, found = Sets(len(node)), []
+        for s in range(0, len(i), 256):
+            p = i[s : s + 256]
             open_ = (comp[p][:, None] != comp[j][None, :]) & ~(pivot[p][:, None] | pivot[j][None, :])
-            size = np.minimum(n[p][:, None], n[j][None, :]) * 100 >= 75 * np.maximum(n[p][:, None], n[j][None, :])
-            if lo == hi:
-                open_ &= node[p][:, None] < node[j][None, :]
-            open_ &= size
+            open_ &= np.minimum(n[p][:, None], n[j][None, :]) * 100 >= 75 * np.maximum(n[p][:, None], n[j][None, :])
             on = np.flatnonzero(open_.any(axis=1))
-            if not len(on):
-                continue
-            near = np.where(open_[on], _close(sig[p[on]], sig[j]), 0)
-            x, y = np.nonzero(near >= least)
-            found += zip(node[p[on[x]]].tolist(), node[j[y]].tolist(), comp[p[on[x]]].tolist(), comp[j[y]].tolist(), near[x, y].tolist())
-        if best:
-            found.sort(key=lambda f: (-f[4], f[0], f[1]))
-            seen: dict[tuple, int] = {}
-            kept = []
-            for f in found:
-                ends = ((f[0], f[3]), (f[1], f[2]))
-                if all(seen.get(e, 0) < best for e in ends):
-                    kept.append(f)
-                    for e in ends:
-                        seen[e] = seen.get(e, 0) + 1
-            found = kept
-        return pa.table({"a": pa.array([min(f[:2]) for f in found], pa.int64()), "b": pa.array([max(f[:2]) for f in found], pa.int64())})
-
-    return ends.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+            if len(on):
+                x, y = np.nonzero(np.where(open_[on], _close(sig[p[on]], sig[j]), 0) >= least)
+                found += [(u, v) for u, v in zip(p[on[x]].tolist(), j[y].tolist()) if sets.join(u, v)]
+        return pa.table({"a": pa.array(node[[f[0] for f in found]] if found else [], pa.int64()), "b": pa.array(node[[f[1] for f in found]] if found else [], pa.int64())})
+
+    rows = _in_blocks(members, "bucket", block).select("bucket", "lo", "hi", "own", "node", "component", "n", "sig", "pivot")
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def family_links(families: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 512) -> DataFrame:
+    """Links between components of one family, found on the full sets: a forest (a, b) that spans them.
+
+    ``families``: (family, node, component).  All pairs of a family are held against each other, two
+    blocks at a time; a task emits fewer links than it has members, so families of many alike but unlinked
+    documents make no more rows than themselves.
+    """
+
+    def compare(t: pa.Table) -> pa.Table:
+        own, lo, hi = t.column("own").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        node, comp, texts = t.column("node").to_numpy(), t.column("component").to_numpy(), t.column("text")
+        known = WordHashes()
+        each = [shingle_hashes(known.of(lower_words(x.as_py())), width) for x in texts]
+        sizes = np.array([len(x) for x in each])
+        every, local = np.unique(np.concatenate(each), return_inverse=True)
+        ends = np.cumsum(sizes)
+        ids = [local[e - k : e] for e, k in zip(ends, sizes)]
+        i, j = np.flatnonzero(own == lo), np.flatnonzero((own == hi) & (sizes > 0))
+        found, sets = [], Sets(len(node))
+        first: dict[int, int] = {}
+        for k, c in enumerate(comp.tolist()):
+            sets.join(first.setdefault(c, k), k)
+        if len(j):
+            flat, starts = np.concatenate([ids[k] for k in j]), np.cumsum([0, *sizes[j][:-1]])
+            mark = np.zeros(len(every), np.int32)
+            for u in i[sizes[i] > 0].tolist():
+                mark[ids[u]] = 1
+                common = np.add.reduceat(mark[flat], starts)
+                mark[ids[u]] = 0
+                for v in j[100 * common >= percent * (sizes[u] + sizes[j] - common)].tolist():
+                    if sets.root(u) != sets.root(v):
+                        a, b = shingle_set(texts[u].as_py(), width), shingle_set(texts[v].as_py(), width)
+                        if 100 * len(a & b) >= percent * len(a | b):
+                            sets.join(u, v)
+                            found.append((u, v))
+        return pa.table({"a": pa.array(node[[f[0] for f in found]] if found else [], pa.int64()), "b": pa.array(node[[f[1] for f in found]] if found else [], pa.int64())})
+
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    rows = _in_blocks(families.join(texts, "node"), "family", block).select("family", "lo", "hi", "own", "node", "component", "text")
+    return rows.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, margin: float = 0.15) -> DataFrame:
@@ -237,15 +288,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     links = materialize(confirmed(pairs, docs, width, percent), "links")
 
     tied = materialize(connected_components(links), "components")
-    for best in (2, 0):
-        named = buckets.where("size > 2").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node2")
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-        rest = named.join(mixed, "bucket").withColumn("pivot", F.col("node") == F.col("pivot"))
-        rest = rest.join(classes.select("node", "sig"), "node").select("bucket", "node", "component", "n", "sig", "pivot")
-        more = materialize(leftover_pairs(rest, percent / 100 - margin, best), "leftover")
-        if more.isEmpty():
-            break
-        links = materialize(confirmed(more, docs, width, percent), "links")
+    named = buckets.where("size > 2").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
+    rest = named.join(mixed, "bucket").withColumn("pivot", F.col("node") == F.col("pivot"))
+    rest = rest.join(classes.select("node", "sig"), "node").select("bucket", "node", "component", "n", "sig", "pivot")
+    likely = materialize(alike(rest, percent / 100 - margin), "alike")
+    if not likely.isEmpty():
+        family = connected_components(likely).withColumnRenamed("component", "family")
+        families = family.join(tied, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component"))
+        links = materialize(family_links(families, docs, width, percent), "links")
         stars = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         tied = materialize(connected_components(stars.union(links)), "components")
 
