@@ -39,19 +39,15 @@ class Unit:
     def __init__(self, ids: list, texts: list, hashes: WordHashes):
         self.ids = ids
         folds = np.array([zlib.crc32(str(i).encode() if i is not None else b"") % FOLDS for i in ids])
-        words: list[bytes] = []
-        lengths = []
-        for text in texts:
-            before = len(words)
-            words += lower_words(text)
-            words.append(END)
-            lengths.append(len(words) - before)
+        hashed = [np.append(hashes.of(lower_words(t)), _END) for t in texts]
+        lengths = [len(w) for w in hashed]
         self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum([0, *lengths[:-1]])
         self.held_out = folds == HELD_OUT
         train, deleted = np.repeat(folds != HELD_OUT, lengths), np.repeat(folds == DELETED, lengths)
         self.deleted = deleted
-        tokens = hashes.of(words)
+        tokens = np.concatenate(hashed)
+        del hashed
         context = np.concatenate([[_START], tokens[:-1]])
         context[self.starts] = _START
         with np.errstate(over="ignore"):
@@ -61,7 +57,7 @@ class Unit:
         for values in (tokens, pairs):
             keys, inverse = np.unique(values, return_inverse=True)
             self.grams.append((keys, inverse, np.bincount(inverse, train, len(keys)).astype(np.uint32), np.bincount(inverse, deleted, len(keys)).astype(np.uint32)))
-        self.name = f"{xxhash.xxh3_64_hexdigest(repr(ids).encode())}{len(words):x}"
+        self.name = f"{xxhash.xxh3_64_hexdigest(repr(ids).encode())}{len(tokens):x}"
 
     @staticmethod
     def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -72,7 +68,7 @@ class Unit:
 
 def units(batches, most_chars: int):
     """Consecutive documents of a task, up to a bound of characters (or one longer document)."""
-    hashes, ids, texts, held = WordHashes(), [], [], 0
+    hashes, ids, texts, held = WordHashes(300_000), [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             ids.append(i)
@@ -207,7 +203,7 @@ def learn_weights(rows: list[tuple[int, int, int, int]], uniform: float, rounds:
     return weights
 
 
-def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int = 24_000_000, bucket_bytes: int = 12_000_000) -> DataFrame:
+def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int = 12_000_000, bucket_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``stored``: the table is read from files whose order holds from one reading to the next; else it is
