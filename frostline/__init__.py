@@ -1,0 +1 @@
+"""Cold-start analytics and corpus operators on Spark."""
