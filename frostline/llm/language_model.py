@@ -68,7 +68,7 @@ class Unit:
 
 def units(batches, most_chars: int):
     """Consecutive documents of a task, up to a bound of characters (or one longer document)."""
-    hashes, ids, texts, held = WordHashes(300_000), [], [], 0
+    hashes, ids, texts, held = WordHashes(150_000), [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             ids.append(i)
@@ -203,7 +203,7 @@ def learn_weights(rows: list[tuple[int, int, int, int]], uniform: float, rounds:
     return weights
 
 
-def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int = 12_000_000, bucket_bytes: int = 12_000_000) -> DataFrame:
+def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int = 5_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``stored``: the table is read from files whose order holds from one reading to the next; else it is
