@@ -20,7 +20,7 @@ def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: in
     """
     n_t, n_p = max(1, -(-targets.count() // block)), max(1, -(-pool.count() // block))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = targets.join(most, targets["id"] == most["target"]).select("id", "v", "k", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
+    left = targets.join(most.withColumnRenamed("target", "id"), "id").select("id", "v", "k", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
     right = pool.select("id", "v", dealt(n_p).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("tb"))
 
     def multiply(t: pa.Table, p: pa.Table) -> pa.Table:

@@ -51,9 +51,9 @@ def _core_sql(min_user: int, min_item: int) -> str:
     return f"WITH {IX}, {', '.join(steps)} SELECT user_id, item_id FROM {at}"
 
 
-@query(_core_sql(29, 22))
+@query(_core_sql(33, 25))
 def kcore_filter(spark, d):
-    return filters.iterative_core(pairs(spark, d), 29, 22)
+    return filters.iterative_core(pairs(spark, d), 33, 25)
 
 
 _EV = "ev AS (SELECT event_id, ts, user_id, event_type, value, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events)"
@@ -69,7 +69,7 @@ def review_filters(spark, d):
     return e.where(filters.first_key("event_type").isNotNull() & F.col("item_id").isNotNull()).select("event_id", "user_id", "item_id", "value")
 
 
-@query("SELECT event_id, epoch_ms(ts) // CASE WHEN event_id % 2 = 0 THEN 1 ELSE 1000 END AS raw, make_timestamp(CASE WHEN event_id % 2 = 0 THEN epoch_ms(ts) * 1000 ELSE (epoch_ms(ts) // 1000) * 1000000 END) AS at FROM events")
+@query("SELECT event_id, epoch_us(ts) // CASE WHEN event_id % 2 = 0 THEN 1000 ELSE 1000000 END AS raw, make_timestamp(CASE WHEN event_id % 2 = 0 THEN (epoch_us(ts) // 1000) * 1000 ELSE (epoch_us(ts) // 1000000) * 1000000 END) AS at FROM events")
 def epoch_unit(spark, d):
     raw = F.when(F.col("event_id") % 2 == 0, F.unix_millis(F.col("ts").cast("timestamp"))).otherwise(F.unix_seconds(F.col("ts").cast("timestamp"))).cast("long")
     return table(spark, d, "events").withColumn("raw", raw).select("event_id", "raw", filters.epoch_time(F.col("raw")).alias("at"))
