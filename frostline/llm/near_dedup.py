@@ -39,7 +39,7 @@ def _finish(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words; those lately met are kept, up to a bound."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
