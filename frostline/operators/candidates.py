@@ -21,14 +21,14 @@ def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: in
     n_t, n_p = max(1, -(-targets.count() // block)), max(1, -(-pool.count() // block))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = targets.join(most.withColumnRenamed("target", "id"), "id").select("id", "v", "k", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
-    right = pool.select("id", "v", dealt(n_p).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("tb"))
+    right = pool.select(F.col("id").alias("pool_id"), F.col("v").alias("pool_v"), dealt(n_p).alias("pool_b"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("target_b"))
 
     def multiply(t: pa.Table, p: pa.Table) -> pa.Table:
         parts = {"target": [], "entity": [], "score": []}
         if len(t) and len(p):
             a = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            b = p.column("v").combine_chunks().flatten().to_numpy().reshape(len(p), -1)
-            ids, entities, k = t.column("id").to_numpy(), p.column("id").to_numpy(), t.column("k").to_numpy()
+            b = p.column("pool_v").combine_chunks().flatten().to_numpy().reshape(len(p), -1)
+            ids, entities, k = t.column("id").to_numpy(), p.column("pool_id").to_numpy(), t.column("k").to_numpy()
             for i in range(0, len(a), 256):
                 for row, score in zip(range(i, min(i + 256, len(a))), np.round(a[i : i + 256] @ b.T, 9)):
                     n = min(int(k[row]), len(b))
@@ -39,7 +39,7 @@ def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: in
                     parts["score"].append(score[best])
         return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if c == "score" else pa.int64()) for c, v in parts.items()})
 
-    return left.groupBy("tb", "pb").cogroup(right.groupBy("tb", "pb")).applyInArrow(multiply, "target long, entity long, score double")
+    return left.groupBy("tb", "pb").cogroup(right.groupBy("target_b", "pool_b")).applyInArrow(multiply, "target long, entity long, score double")
 
 
 def ranked(scored: DataFrame, m: int, *by: str, order: tuple[Column, ...] = ()) -> DataFrame:

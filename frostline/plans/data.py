@@ -51,9 +51,9 @@ def _core_sql(min_user: int, min_item: int) -> str:
     return f"WITH {IX}, {', '.join(steps)} SELECT user_id, item_id FROM {at}"
 
 
-@query(_core_sql(33, 25))
+@query(_core_sql(28, 20))
 def kcore_filter(spark, d):
-    return filters.iterative_core(pairs(spark, d), 33, 25)
+    return filters.iterative_core(pairs(spark, d), 28, 20)
 
 
 _EV = "ev AS (SELECT event_id, ts, user_id, event_type, value, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events)"
