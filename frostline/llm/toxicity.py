@@ -252,7 +252,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
     """
     spark = docs.sparkSession
     marked = labels.where("toxic in (0, 1)").where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = materialize(docs.select("doc_id", "text").join(marked, "doc_id"), "labelled")
+    # Merged at every size: labels grow with the documents, so they are never broadcast.
+    labelled = materialize(docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id"), "labelled")
     lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows)
     rows = _featured(sample, lexicon).join(marked, "doc_id").toPandas()
