@@ -197,11 +197,11 @@ _MM = "CASE WHEN max({0}) OVER {1} > min({0}) OVER {1} THEN ({0} - min({0}) OVER
 def _blend_sql(by: str, other: str, limit: str, weight: float) -> str:
     w = f"(PARTITION BY {by}, entity_type)"
     return _edge_sql(f""", b AS (SELECT *, round({weight}::DOUBLE * {_MM.format('llm', w, 0.5)} + (1 - {weight}::DOUBLE) * {_MM.format('emb', w, 0.5)}, 9) AS blend FROM sp), r AS (SELECT *, row_number() OVER (PARTITION BY {by}, entity_type ORDER BY blend DESC, llm DESC, emb DESC, {other}) AS r FROM b), k AS (SELECT *, count(*) OVER {w} AS n FROM r WHERE r <= {limit})
-SELECT {_OUT}, round(blend, 6) AS blend, CAST(r AS INTEGER) AS rank, round(CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 1.0 - 0.4::DOUBLE * (r - 1) / (n - 1) END, 6) AS probability FROM k""")
+SELECT {_OUT}, blend, CAST(r AS INTEGER) AS rank, round(CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE 1.0 - 0.4::DOUBLE * (r - 1) / (n - 1) END, 6) AS probability FROM k""")
 
 
 def _blend(df):
-    return df.select("user_id", "item_id", "entity_type", F.round("blend", 6).alias("blend"), "rank", F.round("probability", 6).alias("probability"))
+    return df.select("user_id", "item_id", "entity_type", "blend", "rank", F.round("probability", 6).alias("probability"))
 
 
 @query(_blend_sql("item_id", "user_id", "20", 0.6))
