@@ -75,8 +75,9 @@ def shard_quotas(targets: DataFrame, n_blocks: int, shards: int = 16) -> DataFra
     return upto.select("shard", "source", (F.col("seats") - before).alias("quota"))
 
 
-#: A source as a join key that is never null.
-_KEY = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+def _key() -> Column:
+    """A source as a join key that is never null."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("_key")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,16 +89,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sh
     or targets of 0.  Columns of the input that aren't carried play no part.
     """
     # A tape's order: by a seeded hash of the document's id and text.
-    keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), _KEY.alias("_key"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), _key(), *[F.col(c).alias(f"_c_{c}") for c in carry])
     small = materialize(keyed.select("doc_id", "source", "size", "_h", "_key"), "sizes")
     totals = small.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
     block = max(LEAST_BLOCK, -(-totals["w"] // MOST_BLOCKS))
     house = -(-totals["w"] // block)
     groups = max(1, -(-totals["n"] // rows_a_group))
 
-    targets = source_targets(small, weights, most).withColumn("_key", _KEY)
+    targets = source_targets(small, weights, most).withColumn("_key", _key())
     targets = materialize(targets, "targets")
-    quotas = shard_quotas(targets, house, shards).withColumn("_key", _KEY).groupBy("_key").agg(F.sum("quota").alias("quota"))
+    quotas = shard_quotas(targets, house, shards).withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("quota"))
     length = F.ceil(F.col("source_size") / block).cast("long")
     sources = targets.join(quotas, "_key", "left").select("_key", "source_size", "target", length.alias("_len"), F.least(F.coalesce("quota", F.lit(0)), length * most).alias("_quota"))
 
