@@ -57,7 +57,7 @@ class Unit:
         for values in (tokens, pairs):
             keys, inverse = np.unique(values, return_inverse=True)
             self.grams.append((keys, inverse, np.bincount(inverse, train, len(keys)).astype(np.uint32), np.bincount(inverse, deleted, len(keys)).astype(np.uint32)))
-        self.name = f"{xxhash.xxh3_64_hexdigest(repr(ids).encode())}{len(tokens):x}"
+        self.name = f"{xxhash.xxh3_64_hexdigest(repr(ids).encode())}{xxhash.xxh3_64_hexdigest(tokens.tobytes())}"
 
     @staticmethod
     def edges(keys: np.ndarray, buckets: int) -> np.ndarray:

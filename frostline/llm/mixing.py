@@ -45,18 +45,19 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return rated.select("source", "source_size", "weight", F.least(F.col("limit").cast("double"), F.coalesce(F.col("weight") * common, F.col("limit"))).alias("target"))
 
 
-def apportion(targets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Sainte-Laguë seats: for each row (shard, house) of ``blocks`` and each source, its seats.
+def apportion(targets: DataFrame, houses: list[tuple[int, int]]) -> DataFrame:
+    """Sainte-Laguë seats: for each (shard, house) of ``houses`` and each source, its seats.
 
     Every source gets the seats whose quotients surely are among the highest; the few that are left are
     given by comparing the next quotients, ties to the source first by code point.
     """
-    t = targets.where("target > 0").select("source", "target")
+    each = F.array(*[F.struct(F.lit(s).cast("long").alias("shard"), F.lit(h).cast("long").alias("house")) for s, h in houses])
+    t = targets.where("target > 0").select("source", "target", F.explode(each).alias("_at")).select("source", "target", "_at.shard", "_at.house")
     n, whole = F.count("*").over(Window.partitionBy("shard")), F.sum("target").over(Window.partitionBy("shard"))
     # Rounding target / d with d at house -/+ n/2 seats bounds the seats from both sides.
     sure = F.greatest(F.floor(F.col("target") * (F.col("house") - n / 2) / whole + 0.5), F.lit(0))
     most = F.floor(F.col("target") * (F.col("house") + n / 2) / whole + 0.5) + 1
-    bounds = t.join(F.broadcast(blocks)).withColumn("sure", sure).withColumn("most", most)  # shards: a parameter's number
+    bounds = t.withColumn("sure", sure).withColumn("most", most)
     bounds = bounds.withColumn("open", F.col("house") - F.sum("sure").over(Window.partitionBy("shard")))
     seats = bounds.where("open > 0").select("shard", "source", "open", F.explode(F.sequence(F.col("sure") + 1, F.col("most"))).alias("seat"), "target")
     ranked = Window.partitionBy("shard").orderBy((F.col("target") / (2 * F.col("seat") - 1)).desc(), F.col("source").asc_nulls_last(), "seat")
@@ -68,9 +69,7 @@ def apportion(targets: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def shard_quotas(targets: DataFrame, n_blocks: int, shards: int = 16) -> DataFrame:
     """Blocks that each source puts into each shard: shard, source, quota."""
-    spark = targets.sparkSession
-    houses = spark.range(1, shards + 1).select(F.col("id").alias("shard"), F.floor(F.col("id") * n_blocks / shards).cast("long").alias("house"))
-    upto = apportion(targets, houses)
+    upto = apportion(targets, [(k, k * n_blocks // shards) for k in range(1, shards + 1)])
     before = F.lag("seats", 1, 0).over(Window.partitionBy("source").orderBy("shard"))
     return upto.select("shard", "source", (F.col("seats") - before).alias("quota"))
 

@@ -193,7 +193,7 @@ def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     return paired.withColumn("lo", F.least("own", "_with")).withColumn("hi", F.greatest("own", "_with")).drop("_with")
 
 
-def alike(members: DataFrame, least: float, block: int = 1024) -> DataFrame:
+def alike(members: DataFrame, least: float, percent: int, block: int = 1024) -> DataFrame:
     """A forest (a, b) that spans, bucket by bucket, the pairs not yet checked whose signatures are alike.
 
     ``members``: (bucket, node, component, n, sig, pivot).  Pairs in one component, pairs with the pivot and
@@ -210,7 +210,7 @@ def alike(members: DataFrame, least: float, block: int = 1024) -> DataFrame:
         for s in range(0, len(i), 256):
             p = i[s : s + 256]
             open_ = (comp[p][:, None] != comp[j][None, :]) & ~(pivot[p][:, None] | pivot[j][None, :])
-            open_ &= np.minimum(n[p][:, None], n[j][None, :]) * 100 >= 75 * np.maximum(n[p][:, None], n[j][None, :])
+            open_ &= np.minimum(n[p][:, None], n[j][None, :]) * 100 >= percent * np.maximum(n[p][:, None], n[j][None, :])
             on = np.flatnonzero(open_.any(axis=1))
             if len(on):
                 x, y = np.nonzero(np.where(open_[on], _close(sig[p[on]], sig[j]), 0) >= least)
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
     rest = named.join(mixed, "bucket").withColumn("pivot", F.col("node") == F.col("pivot"))
     rest = rest.join(classes.select("node", "sig"), "node").select("bucket", "node", "component", "n", "sig", "pivot")
-    likely = materialize(alike(rest, percent / 100 - margin), "alike")
+    likely = materialize(alike(rest, percent / 100 - margin, percent), "alike")
     if not likely.isEmpty():
         family = connected_components(likely).withColumnRenamed("component", "family")
         families = family.join(tied, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component"))

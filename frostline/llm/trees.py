@@ -90,7 +90,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, dep
         right[k] = grow(rows[~under], g, h, *bounds[1], level + 1)
         return k
 
-    for _ in range(trees if n else 0):
+    for _ in range(trees if 0 < y.sum() < n else 0):
         q = 1 / (1 + np.exp(-margin))
         roots.append(grow(np.arange(n), q - y, np.maximum(q * (1 - q), 1e-6), -np.inf, np.inf, 0))
         one = Trees(*(np.array(v) for v in (feature, cut, left, right, value)), np.array(roots[-1:]), 0.0, depth)

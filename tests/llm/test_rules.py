@@ -127,7 +127,7 @@ def test_quality_on_held_out_labels(spark):
     from frostline.llm.common import table
 
     sf = "/root/testdata/sf0.01"
-    found = quality.op10_quality_rules(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("not base_failed and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0")
+    found = quality.op10_quality_rules(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id").where("not base_failed and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0")
     r = found.selectExpr("avg(cast((quality >= 0.5) = kept as int)) as same", "count(*) as n").first()
     assert r["n"] > 30 and r["same"] == 1.0
 

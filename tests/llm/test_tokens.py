@@ -167,9 +167,8 @@ def test_sainte_lague(spark, seed):
     targets = {f"s{k:02d}": float(x) for k, x in enumerate(rng.random(9) ** 3 * 100 + 0.01)}
     houses = {1: 1, 2: 17, 3: 240}
     t = spark.createDataFrame(list(targets.items()), "source string, target double")
-    b = spark.createDataFrame(list(houses.items()), "shard long, house long")
     got = defaultdict(dict)
-    for r in mixing.apportion(t, b).collect():
+    for r in mixing.apportion(t, list(houses.items())).collect():
         got[r["shard"]][r["source"]] = r["seats"]
     for shard, house in houses.items():
         seats = dict.fromkeys(targets, 0)
