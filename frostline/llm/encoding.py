@@ -6,15 +6,15 @@ its ids are reused.  That gives the ids of the whole text because no pre-token s
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 from frostline.llm.common import one_thread
 
 #: Where a space or line break stands beside other white space, the run decides how it is split.
-_RUNS = re.compile(r"\s\s|^\s|\s\Z")
-_ODD = re.compile(r"[^\S \n]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+_ENDS = (" ", "\n")
+#: White space beside the two, and the mark at which texts are cut.
+_ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in _ENDS) | {"\0"}
 
 
 class PieceEncoder:
@@ -38,15 +38,20 @@ class PieceEncoder:
         self.between = " \x01 " if drops_space else "\n"
         (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
 
-    def cut(self, text: str) -> list:
+    def cut(self, text: str) -> list | None:
+        """A text's pieces, or None where it must stay whole."""
         if self.drops_space:
             return text.encode().split()  # at U+0009..U+000D and space
-        if _RUNS.search(text) or _ODD.search(text):
-            return [text]
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else [text]
+        if text.startswith(_ENDS) or text.endswith(_ENDS) or any(r in text for r in _RUNS) or not _ODD.isdisjoint(set(text)):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [self.cut(t) if t else [] for t in texts]
+        cuts, whole = [self.cut(t) if t else [] for t in texts], set()
+        for i, c in enumerate(cuts):
+            if c is None:
+                cuts[i] = [texts[i]]
+                whole.add(texts[i])
         known, older = self.known, self.older
         new = []
         for piece in set().union(*cuts).difference(known):
@@ -54,19 +59,20 @@ class PieceEncoder:
                 known[piece] = older[piece]
             else:
                 new.append(piece)
-        self._learn(new)
+        self._learn(new, whole)
         get = known.__getitem__
         out = [b"".join(map(get, c)) for c in cuts]
         if len(known) > self.max_pieces:  # pieces in use move on from the older half of the store
             self.older, self.known = known, {"": b""}
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, many at once, parted by a pre-token of their own."""
-        known, joins = self.known, self._joins
+    def _learn(self, pieces: list, whole: set) -> None:
+        """Encode pieces, many at once, parted by a pre-token of their own; ``whole`` ones apart."""
+        known = self.known
         text = bytes.decode if self.drops_space else str
-        parts = [p for p in pieces if joins(p)]
-        single = [p for p in pieces if not joins(p)] if len(parts) < len(pieces) else []
+        single = [p for p in pieces if b"\x01" in p] if self.drops_space else [p for p in pieces if p == self.between or p in whole]
+        apart = set(single)
+        parts = [p for p in pieces if p not in apart] if apart else pieces
         groups = [parts[i : i + 1_000] for i in range(0, len(parts), 1_000)]
         for part, e in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(map(text, g)) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -81,11 +87,6 @@ class PieceEncoder:
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(list(map(text, part)), add_special_tokens=False)):
                 known[piece] = np.array(e.ids, "<u4").tobytes()
 
-    def _joins(self, piece: str) -> bool:
-        if self.drops_space:
-            return b"\x01" not in piece
-        return len(piece.split()) == 1 and piece.strip() == piece.removeprefix(" ")
-
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
