@@ -255,8 +255,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
     # Merged at every size: labels grow with the documents, so they are never broadcast.
     labelled = materialize(docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id"), "labelled")
     lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows)
-    rows = _featured(sample, lexicon).join(marked, "doc_id").toPandas()
+    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # ids, at most ``most_rows``: texts stay where they are
+    rows = _featured(sample, lexicon).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most_rows).join(marked, "doc_id").toPandas()
     model = trees.fit(rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float), np.array(list(FEATURES.values())), trees=40, depth=3)
     return lexicon, spark.sparkContext.broadcast(model)
 
