@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
-A source's documents form a tape of words in a seeded order; the tape is cut into blocks of equal
-length.  The mix has a fixed number of blocks, dealt to the sources by highest quotients
-target / (2 * blocks so far + 1), shard after shard: the method never takes a block back when the
-total grows, so a shard's quota is the difference of two apportionments.  Which blocks of a tape are
-taken is decided by a seeded one-to-one map of block numbers; beyond a whole tape, blocks repeat.
+The mix has a fixed number of words, dealt to the sources by highest quotients target / (2 * words so
+far + 1), shard after shard: the method never takes a word back when the total grows, so a shard's quota
+is the difference of two apportionments.  A source's documents form a tape in a seeded order, and are
+taken whole: all as often as the tape goes into the source's quota, and of the rest those that lie before
+its end by most of their words; a few more or fewer, nearest in size, close the gap to the quota.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from frostline.llm.common import WORD_JAVA, materialize
 
-#: A prime above the largest number of blocks, to step through a tape's blocks; the bounds
-#: of the number of blocks and of the words in one.
-STEP_PRIME = 2_147_483_629
-MOST_BLOCKS = 2**20
+#: A gap of fewer words is left open; rounds of closing gaps.
 LEAST_BLOCK = 8
+ROUNDS = 24
 
 
 def n_words(text: Column) -> Column:
@@ -67,9 +65,9 @@ def apportion(targets: DataFrame, houses: list[tuple[int, int]]) -> DataFrame:
     return b.join(w, same, "left").select("b.shard", "b.source", (F.col("sure") + F.coalesce("more", F.lit(0))).cast("long").alias("seats"))
 
 
-def shard_quotas(targets: DataFrame, n_blocks: int, shards: int = 16) -> DataFrame:
-    """Blocks that each source puts into each shard: shard, source, quota."""
-    upto = apportion(targets, [(k, k * n_blocks // shards) for k in range(1, shards + 1)])
+def shard_quotas(targets: DataFrame, n_words: int, shards: int = 16) -> DataFrame:
+    """Words that each source puts into each shard: shard, source, quota."""
+    upto = apportion(targets, [(k, k * n_words // shards) for k in range(1, shards + 1)])
     before = F.lag("seats", 1, 0).over(Window.partitionBy("source").orderBy("shard"))
     return upto.select("shard", "source", (F.col("seats") - before).alias("quota"))
 
@@ -79,69 +77,88 @@ def _key() -> Column:
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("_key")
 
 
+def _closing(placed: DataFrame) -> DataFrame:
+    """_key, _start and _more (1 or -1) of the documents whose times change so that quotas are met.
+
+    Each round moves the document nearest in size to what a source's words are short of or beyond its
+    quota, if that brings them nearer: one is added once or left out once.  Of documents of one size and
+    equally often taken, that of least hash is asked.
+    """
+    gaps = placed.groupBy("_key").agg((F.first("_quota") - F.sum(F.col("size") * F.col("_times"))).alias("_gap")).where(F.abs("_gap") >= LEAST_BLOCK)
+    near = placed.where("size > 0").join(gaps, "_key").where(F.col("size") < 2 * F.abs("_gap"))
+    one = near.groupBy("_key", "_gap", "size", "_times", "_most").agg(F.min(F.struct("_h", "_start")).alias("_first"))
+    move = lambda way: F.struct((F.col("size") * way).alias("words"), (F.col("_times") * way).alias("often"), F.col("_first._start").alias("start"), F.lit(way).alias("more"))
+    moves = F.array_compact(F.array(F.when(F.col("_times") < F.col("_most"), move(1)), F.when(F.col("_times") > 0, move(-1))))
+    lists = one.select("_key", "_gap", F.explode(moves).alias("_move")).groupBy("_key", "_gap").agg(F.collect_list("_move").alias("_moves"))
+
+    def round_(state: Column, _: Column) -> Column:
+        left = lambda m: F.abs(state["gap"] - m["words"])
+        able = F.filter("_moves", lambda m: (left(m) < F.abs(state["gap"])) & ~F.exists(state["made"], lambda x: x["start"] == m["start"]))
+        best = F.array_min(F.transform(able, lambda m: F.struct(left(m).alias("left"), m["often"].alias("often"), m["start"].alias("start"), m["words"].alias("words"), m["more"].alias("more"))))
+        found = F.filter(F.array(best), lambda x: x.isNotNull() & (F.abs(state["gap"]) >= LEAST_BLOCK))
+        gap = state["gap"] - F.coalesce(F.get(found, F.lit(0))["words"], F.lit(0))
+        made = F.concat(state["made"], F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["more"].alias("more"))))
+        return F.struct(gap.cast("long").alias("gap"), made.cast("array<struct<start:bigint,more:int>>").alias("made"))
+
+    start = F.struct(F.col("_gap").cast("long").alias("gap"), F.expr("cast(array() as array<struct<start:bigint,more:int>>)").alias("made"))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda state: state["made"])
+    return lists.select("_key", F.explode(made).alias("_m")).select("_key", F.col("_m.start").alias("_start"), F.col("_m.more").alias("_more"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and parts of every document, and ``carry``.
+    """doc_id, source, size, source_size, target, taken and times of every document, and ``carry``.
 
-    ``parts`` is an array of (first word, end word, times), in the document's order, of the blocks that
-    are taken.  Null and empty texts have size 0 and nothing taken; a null source is a source; repeated
-    rows are all kept, each with its own place on the tape.  Tables without rows or words give no rows
-    or targets of 0.  Columns of the input that aren't carried play no part.
+    ``times`` is how often the document is taken, whole; ``taken`` its words so often.  Null and empty
+    texts have size 0 and nothing taken; a null source is a source; repeated rows are all kept, each with
+    its own place on the tape.  Tables without rows or words give no rows or targets of 0.  Columns of the
+    input that aren't carried play no part.
     """
     # A tape's order: by a seeded hash of the document's id and text.
     keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), _key(), *[F.col(c).alias(f"_c_{c}") for c in carry])
     small = materialize(keyed.select("doc_id", "source", "size", "_h", "_key"), "sizes")
     totals = small.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
-    block = max(LEAST_BLOCK, -(-totals["w"] // MOST_BLOCKS))
-    house = -(-totals["w"] // block)
     groups = max(1, -(-totals["n"] // rows_a_group))
 
     targets = source_targets(small, weights, most).withColumn("_key", _key())
     targets = materialize(targets, "targets")
-    quotas = shard_quotas(targets, house, shards).withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("quota"))
-    length = F.ceil(F.col("source_size") / block).cast("long")
-    sources = targets.join(quotas, "_key", "left").select("_key", "source_size", "target", length.alias("_len"), F.least(F.coalesce("quota", F.lit(0)), length * most).alias("_quota"))
-
-    # Places on the tape: running sums within salted groups of a source, and before each group.
+    quotas = shard_quotas(targets, totals["w"], shards).withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("quota"))
+    quota = F.least(F.coalesce("quota", F.lit(0)), F.col("source_size") * most)
+    whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
+    sources = targets.join(quotas, "_key", "left").select("_key", "source_size", "target", quota.alias("_quota"), whole.alias("_whole"), (quota - whole * F.col("source_size")).alias("_rest"))
+    sources = materialize(sources, "quotas")
+
+    # Places on the tape: running sums within salted groups of a source, and before each group; of all
+    # documents, and of those that fit into the rest of the quota.
     group = F.pmod(F.col("_h"), F.lit(groups)).alias("_g")
+    fit = F.when(F.col("size") <= F.col("_rest"), F.col("size")).otherwise(0)
     before = Window.partitionBy("_key").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    bases = small.groupBy("_key", group).agg(F.sum("size").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s").join(sources, "_key")
     inside = Window.partitionBy("_key", "_g").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (keyed if carry else small).select("*", group).withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = rows.join(bases, ["_key", "_g"]).withColumn("_start", F.col("_base") + F.col("_in"))
-
-    def times(b: Column) -> Column:
-        place = (b * F.lit(STEP_PRIME) + F.lit(seed)) % F.col("_len")
-        return F.floor(F.col("_quota") / F.col("_len")).cast("long") + (place < F.col("_quota") % F.col("_len")).cast("long")
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = small.join(sources, "_key").groupBy("_key", group).agg(F.sum("size").alias("_s"), F.sum(fit).alias("_f"))
+    bases = sums.select("_key", "_g", upto("_s", before).alias("_base"), upto("_f", before).alias("_fits")).join(sources, "_key")
 
-    def part(b: Column) -> Column:
-        begin, end = F.greatest(b * block, F.col("_start")), F.least((b + 1) * block, F.col("_start") + F.col("size"))
-        return F.struct((begin - F.col("_start")).cast("long").alias("first"), (end - F.col("_start")).cast("long").alias("end"), times(b).alias("times"))
+    def place(rows: DataFrame) -> DataFrame:
+        at = rows.select("*", group).join(bases, ["_key", "_g"]).withColumn("_fit", fit)
+        at = at.withColumn("_start", F.col("_base") + upto("size", inside)).withColumn("_begin", F.col("_fits") + upto("_fit", inside))
+        more = (F.col("_fit") > 0) & (2 * F.col("_begin") + F.col("_fit") <= 2 * F.col("_rest"))
+        return at.withColumn("_times", F.when(F.col("size") > 0, F.col("_whole") + more.cast("long")).otherwise(0)).withColumn("_most", F.lit(most).cast("long"))
 
-    first, last = F.floor(F.col("_start") / block).cast("long"), F.floor((F.col("_start") + F.col("size") - 1) / block).cast("long")
-    parts = F.when(F.col("size") > 0, F.filter(F.transform(F.sequence(first, F.greatest(first, last)), part), lambda x: x["times"] > 0))
-    parted = placed.withColumn("parts", F.coalesce(parts, F.expr("cast(array() as array<struct<first:bigint,end:bigint,times:bigint>>)")))
-    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["first"]) * x["times"])
-    return parted.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), "parts", *[f"_c_{c}" for c in carry])
+    closing = materialize(_closing(place(small)), "closing")
+    placed = place(keyed if carry else small).join(closing, ["_key", "_start"], "left")
+    times = F.when(F.col("size") > 0, F.col("_times") + F.coalesce("_more", F.lit(0))).otherwise(0).cast("long")
+    timed = placed.withColumn("times", times)
+    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", *[f"_c_{c}" for c in carry])
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``.
+    """The mix as documents, with the columns of ``docs``: each whole, as often as it is taken.
 
-    A document comes once for each time that any of its words is taken; a copy holds the words taken at
-    least so often.  A copy of all words is the text itself, another has its words joined by spaces.
     ``n_chars``, where there is one, is counted anew.
     """
     found = mix(docs, carry=tuple(docs.columns), **parameters).where("taken > 0")
-    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("parts", lambda x: x["times"])))))
-    kept = copies.withColumn("_kept", F.filter("parts", lambda x: x["times"] >= F.col("_copy")))
-    n_kept = F.aggregate("_kept", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
-    words = F.regexp_extract_all("_c_text", F.lit(f"({WORD_JAVA})"), 1)
-    some = kept.withColumn("_words", F.when(n_kept < F.col("size"), words))
-    runs = F.transform("_kept", lambda x: F.array_join(F.slice(F.col("_words"), (x["first"] + 1).cast("int"), (x["end"] - x["first"]).cast("int")), " "))
-    text = F.when(F.col("_words").isNull(), F.col("_c_text")).otherwise(F.array_join(runs, " "))
-    texts = some.withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return texts.select(*[new.get(c, F.col(f"_c_{c}")).alias(c) for c in docs.columns])
+    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    new = {"n_chars": F.length("_c_text").cast("long")}
+    return copies.select(*[new.get(c, F.col(f"_c_{c}")).alias(c) for c in docs.columns])
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import text
 from tokenizers import Tokenizer
 
 from frostline.llm import common, mixing, packing, token_files
@@ -155,6 +156,19 @@ def test_mixed_documents_hold_what_is_taken(docs):
     assert held == {k: v for k, v in taken.items() if v}
 
 
+def test_mixed_documents_are_whole(spark):
+    """Sources above and below their targets; line breaks and the words between stay."""
+    rows = [(100 * k + j, text(9 * k + j, 20 + 7 * j) + "\n\n" + text(j, 5), f"s{k}") for k in range(6) for j in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known = {i: t for i, t, _ in rows}
+    out = mixing.mixed_documents(docs).collect()
+    assert out and all(r["text"] == known[r["doc_id"]] for r in out)
+    by = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        by[r["source"], r["target"]] += r["taken"]
+    assert any(t < 30 * 100 for _, t in by) and all(abs(n - t) <= 24 for (_, t), n in by.items())
+
+
 def test_mix_empty(spark, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).agg({"taken": "sum"}).first()[0] == 0
