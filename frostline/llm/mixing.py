@@ -106,9 +106,11 @@ def _closing(placed: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and times of every document, and ``carry``.
+    """doc_id, source, size, source_size, target, taken, times and shards of every document, and ``carry``.
 
-    ``times`` is how often the document is taken, whole; ``taken`` its words so often.  Null and empty
+    ``times`` is how often the document is taken, whole; ``taken`` its words so often; ``shards`` has the
+    shard of each copy.  A source's copies follow its tape, passed as often as it goes into the quota;
+    each falls to the shard in whose quota of that source it starts (beyond the last, to that).  Null and empty
     texts have size 0 and nothing taken; a null source is a source; repeated rows are all kept, each with
     its own place on the tape.  Tables without rows or words give no rows or targets of 0.  Columns of the
     input that aren't carried play no part.
@@ -121,10 +123,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sh
 
     targets = source_targets(small, weights, most).withColumn("_key", _key())
     targets = materialize(targets, "targets")
-    quotas = shard_quotas(targets, totals["w"], shards).withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("quota"))
+    dealt = shard_quotas(targets, totals["w"], shards).where("quota > 0").withColumn("_upto", F.sum("quota").over(Window.partitionBy("source").orderBy("shard")))
+    ends = F.sort_array(F.collect_list(F.struct(F.col("_upto").cast("long").alias("upto"), F.col("shard").cast("int").alias("shard"))))
+    quotas = dealt.withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("quota"), ends.alias("_ends"))
     quota = F.least(F.coalesce("quota", F.lit(0)), F.col("source_size") * most)
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
-    sources = targets.join(quotas, "_key", "left").select("_key", "source_size", "target", quota.alias("_quota"), whole.alias("_whole"), (quota - whole * F.col("source_size")).alias("_rest"))
+    sources = targets.join(quotas, "_key", "left").select("_key", "source_size", "target", quota.alias("_quota"), whole.alias("_whole"), (quota - whole * F.col("source_size")).alias("_rest"), "_ends")
     sources = materialize(sources, "quotas")
 
     # Places on the tape: running sums within salted groups of a source, and before each group; of all
@@ -147,7 +151,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sh
     placed = place(keyed if carry else small).join(closing, ["_key", "_start"], "left")
     times = F.when(F.col("size") > 0, F.col("_times") + F.coalesce("_more", F.lit(0))).otherwise(0).cast("long")
     timed = placed.withColumn("times", times)
-    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", *[f"_c_{c}" for c in carry])
+
+    def shard(copy: Column) -> Column:
+        at = (copy - 1) * F.col("source_size") + F.when(copy <= F.col("_whole"), F.col("_start")).otherwise(F.col("_begin"))
+        return F.coalesce(F.get(F.filter("_ends", lambda e: e["upto"] > at), F.lit(0)), F.element_at("_ends", -1))["shard"]
+
+    none = F.expr("cast(array() as array<int>)")
+    found = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("times"), F.lit(1))), shard)).otherwise(none)
+    timed = timed.withColumn("shards", found)
+    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", "shards", *[f"_c_{c}" for c in carry])
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
@@ -156,11 +168,11 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     ``n_chars``, where there is one, is counted anew.
     """
     found = mix(docs, carry=tuple(docs.columns), **parameters).where("taken > 0")
-    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    copies = found.withColumn("_shard", F.explode("shards"))
     new = {"n_chars": F.length("_c_text").cast("long")}
     return copies.select(*[new.get(c, F.col(f"_c_{c}")).alias(c) for c in docs.columns])
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")

@@ -169,6 +169,22 @@ def test_mixed_documents_are_whole(spark):
     assert any(t < 30 * 100 for _, t in by) and all(abs(n - t) <= 24 for (_, t), n in by.items())
 
 
+def test_small_source_beside_a_huge_one(spark):
+    """Some 9 million words more leave a small source its target; copies are dealt to shards by quota."""
+    rows = [(j, text(j, 10 + j % 9), "tiny") for j in range(40)]
+    huge = spark.range(1000, 1300).selectExpr("id as doc_id", "repeat('word ', 30000) as text", "'huge' as source")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").union(huge)
+    got = [r for r in mixing.mix(docs, shards=4).collect() if r["source"] == "tiny"]
+    size, target = got[0]["source_size"], got[0]["target"]
+    assert target == 3 * size and sum(r["taken"] for r in got) == target
+    dealt = defaultdict(int)
+    for r in got:
+        assert len(r["shards"]) == r["times"]
+        for s in r["shards"]:
+            dealt[s] += r["size"]
+    assert set(dealt) == {1, 2, 3, 4} and all(abs(n - target / 4) <= 2 * 20 for n in dealt.values())
+
+
 def test_mix_empty(spark, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).agg({"taken": "sum"}).first()[0] == 0
