@@ -56,6 +56,41 @@ def reply_pairs(conversations: DataFrame, rows_a_group: int = 20_000) -> DataFra
     return other.select(F.col("conv_id").alias("pair_id"), "chosen", swapped.alias("rejected"))
 
 
+def other_replies(conversations: DataFrame, rows_a_group: int = 20_000) -> DataFrame:
+    """reply and other: each distinct text of assistant turns and the next one by hash, the last one's is the first.
+
+    Null texts count as empty.  Where there is but one text, its other is the empty one.
+    """
+    texts = conversations.where("role = 'assistant'").select(F.coalesce("text", F.lit("")).alias("reply")).distinct()
+    groups = max(1, -(-conversations.where("role = 'assistant'").count() // rows_a_group))
+    hashed = texts.withColumn("h", F.xxhash64("reply")).withColumn("g", F.pmod("h", F.lit(groups)))
+    every = Window.orderBy("g")  # one row a group
+    firsts = hashed.groupBy("g").agg(F.min_by("reply", F.struct("h", "reply")).alias("first"))
+    after = firsts.select("g", F.coalesce(F.lead("first").over(every), F.first("first").over(every)).alias("after"))
+    led = hashed.withColumn("next", F.lead("reply").over(Window.partitionBy("g").orderBy("h", "reply"))).join(F.broadcast(after), "g")
+    return led.select("reply", F.coalesce("next", F.nullif("after", "reply"), F.lit("")).alias("other"))
+
+
+def turn_pairs(conversations: DataFrame, rows_a_group: int = 20_000) -> DataFrame:
+    """pair_id, chosen and rejected for every assistant turn of every conversation.
+
+    Chosen is the whole conversation: what follows the turn stays.  Rejected are the turns before it and
+    another reply, the next different one by hash.  A conversation without an assistant turn gives one row
+    with all its turns on both sides.  pair_id and the number of common turns tell rows apart.
+    """
+    others = other_replies(conversations, rows_a_group)
+    asked = conversations.withColumn("reply", F.when(F.col("role") == "assistant", F.coalesce("text", F.lit(""))))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), "role", "text", "other")
+    turns = asked.join(others, "reply", "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: F.coalesce(F.element_at("turns", k)["role"] == "assistant", F.lit(False)))
+    each = turns.select("conv_id", F.col("turns"), F.explode_outer(at).alias("at"))
+    plain = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"))
+    reply = F.element_at("turns", F.col("at"))
+    swapped = F.concat(F.transform(F.slice("turns", 1, F.col("at") - 1), plain), F.array(F.struct(reply["turn"].alias("turn"), reply["role"].alias("role"), reply["other"].alias("text"))))
+    whole = F.transform("turns", plain)
+    return each.select(F.col("conv_id").alias("pair_id"), whole.alias("chosen"), F.when(F.col("at").isNull(), whole).otherwise(swapped).alias("rejected"))
+
+
 def format_preferences(pairs: DataFrame, vocabulary: str) -> DataFrame:
     """pair_id, n_common, prompt, and for chosen and rejected: text, token ids and loss mask.
 
@@ -90,4 +125,4 @@ def format_preferences(pairs: DataFrame, vocabulary: str) -> DataFrame:
 def op8_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return format_preferences(reply_pairs(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"))
+    return format_preferences(turn_pairs(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"))
