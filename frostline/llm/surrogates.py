@@ -66,7 +66,8 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) of a text's entities, in order and apart; null and empty texts have none.
 
     A name's type has its part, gender and script, as in ``given:f:Latn``; family names have no gender.  A
-    family name that a title has introduced counts wherever else it stands in the text.
+    given or family name that a title has introduced counts wherever else it stands in the text; a given
+    name met under a title of a gender and one of none has that gender.
     """
     if not text:
         return []
@@ -85,22 +86,31 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 add(*m.span("v"), kind)
     if any(t in text for t in _GENDER):
-        families = {}
+        families, givens, names = {}, {}, []
         for m in _NAME.finditer(text):
             words, at = m["n"].split(" "), m.start("n")
             if not words[0][0].isupper() or script_of(words[0]) is None:
                 continue
+            gender = _GENDER[m["t"]]
             if len(words) == 2 and words[1][0].isupper():
-                add(at, at + len(words[0]), f"given:{_GENDER[m['t']]}:{script_of(words[0])}")
+                names.append((at, words[0], gender))
+                if givens.get(words[0], "n") == "n":
+                    givens[words[0]] = gender
                 at, family = at + len(words[0]) + 1, words[1]
             else:
                 family = words[0]
             if script := script_of(family):
                 add(at, at + len(family), f"family:{script}")
                 families[family] = script
+        for at, given, gender in names:
+            add(at, at + len(given), f"given:{givens[given] if gender == 'n' else gender}:{script_of(given)}")
         for family, script in families.items():
             for m in re.finditer(rf"\b{re.escape(family)}\b", text):
                 add(*m.span(), f"family:{script}")
+        for given, gender in givens.items():
+            if given not in _GENDER:  # a second title before a family name is no name
+                for m in re.finditer(rf"(?<!\w)(?<!\w-){re.escape(given)}(?!\w)(?!-\w)", text):
+                    add(*m.span(), f"given:{gender}:{script_of(given)}")
     return sorted(found)
 
 
