@@ -25,6 +25,8 @@ QUOTES = '"«»“”„‹›'
 REPORTING = frozenset("said says say wrote writes quoted quote quotes called calling word words term terms reported sagte schrieb zitat zitiert wort nannte dit écrit cité citation mot appelé dijo escribió cita citó palabra llamó".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dir ihr euch dein deine tu te toi vous votre ton usted ustedes tú vosotros".split())
 STEMS = (4, 5, 6)
+#: In place of an awaited letter: the word goes on after a stem.  No letter equals it.
+STEM = "stem"
 
 FEATURES = {"abuse": 1, "strongest": 1, "exact": 1, "misspelled": 1, "quoted": 0, "density": 1}
 
@@ -95,20 +97,22 @@ def learn_lexicon(labelled: DataFrame, least_share: float = 0.005, least: int =
         longer = max((a[s] for s in stems if s.startswith(stem)), default=0)
         if a[t] >= 1.3 * top.get(stem, 0) and a[t] > 1.02 * longer:
             stems.append(stem + "*")
-    words = [t for t in odds if not t.endswith("*") and not any(t.startswith(s[:-1]) for s in stems)]
+    words = [t for t in odds if not t.endswith("*")]  # also those of a stem: a stem has no edits, they have
     return {t: odds[t] for t in (*stems, *words)}
 
 
 class FuzzyTrie:
     """Finds the term that a word is, within edits: insertions, deletions, changes and swaps.
 
-    Words of 5 letters or more may have one edit, of 9 or more two; stems have none.  States of the
-    automaton are sets of (node, edits, letter awaited after a swap), made as words lead there.
+    Words of 5 letters or more may have one edit, of 9 or more two; stems have none, and win over words.
+    States of the automaton are sets of (node, edits, letter awaited after a swap, or STEM past a stem's
+    end), made as words lead there.
     """
 
     def __init__(self, lexicon: dict[str, float], most_known: int = 400_000):
         self.children: list[dict[str, int]] = [{}]
-        self.term: list[tuple[str, float, int, bool] | None] = [None]
+        self.term: list[tuple[str, float, int] | None] = [None]
+        self.stem: list[tuple[str, float, int] | None] = [None]
         self.reach = [0]
         for t, weight in sorted(lexicon.items()):
             stem = t.endswith("*")
@@ -119,11 +123,10 @@ class FuzzyTrie:
             for c in word:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
-                    self.children.append({}), self.term.append(None), self.reach.append(0)
+                    self.children.append({}), self.term.append(None), self.stem.append(None), self.reach.append(0)
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
-            if self.term[node] is None or not self.term[node][3]:
-                self.term[node] = (t, weight, edits, stem)
+            (self.stem if stem else self.term)[node] = (t, weight, edits)
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -154,11 +157,13 @@ class FuzzyTrie:
         out = set()
         for node, e, wait in self.sets[state]:
             if wait:
-                if c == wait:
+                if wait == STEM:
+                    out.add((node, e, STEM))
+                elif c == wait:
                     out.add((node, e, ""))
                 continue
-            if self.term[node] and self.term[node][3] and e == 0:
-                out.add((node, 0, ""))  # a stem takes any ending
+            if self.stem[node] and e == 0:
+                out.add((node, 0, STEM))  # a stem takes any ending
             if c in self.children[node]:
                 out.add((self.children[node][c], e, ""))
             if e < self.reach[node]:
@@ -185,9 +190,10 @@ class FuzzyTrie:
                 break
         hit = None
         if state >= 0:
-            ends = [(e, -self.term[n][1], self.term[n][0]) for n, e, wait in self.sets[state] if not wait and self.term[n] and e <= self.term[n][2]]
-            if ends:
-                e, w, t = min(ends)
+            ends = [(e, 1, -self.term[n][1], self.term[n][0]) for n, e, wait in self.sets[state] if not wait and self.term[n] and e <= self.term[n][2]]
+            stems = [(0, 0, -self.stem[n][1], self.stem[n][0]) for n, e, wait in self.sets[state] if wait in ("", STEM) and self.stem[n] and e == 0]
+            if ends or stems:
+                e, _, w, t = min(ends + stems)
                 hit = (t, -w, e)
         if len(self.known) >= self.most_known:
             self.known.clear()
