@@ -9,6 +9,7 @@ its window of words reports or quotes it than where it addresses someone.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,6 +26,8 @@ QUOTES = '"«»“”„‹›'
 REPORTING = frozenset("said says say wrote writes quoted quote quotes called calling word words term terms reported sagte schrieb zitat zitiert wort nannte dit écrit cité citation mot appelé dijo escribió cita citó palabra llamó".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dir ihr euch dein deine tu te toi vous votre ton usted ustedes tú vosotros".split())
 STEMS = (4, 5, 6)
+#: Bits of a map of terms, and of the part of it that Spark makes at once.
+BITS, BUCKET = 2**23, 2**15
 #: In place of an awaited letter: the word goes on after a stem.  No letter equals it.
 STEM = "stem"
 
@@ -44,53 +47,68 @@ def _terms(words: list[str]) -> set[str]:
     return found
 
 
-def _count_terms(docs: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """Document frequencies of terms; with ``only``, of those alone."""
+def _count_terms(docs: DataFrame, bits=None) -> DataFrame:
+    """Document frequencies of terms; with ``bits``, a broadcast map of marks, of those with a mark (and some others)."""
 
     def count(batches):
         held: Counter[str] = Counter()
+        marks = None if bits is None else np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+
+        def rows():
+            terms = [t for t in held if marks is None or marks[zlib.crc32(t.encode()) % BITS]]
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[t] for t in terms], pa.int64())], ["term", "n"])
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                terms = _terms((text or "").lower().split())
-                held.update(terms if only is None else terms & only)
+                held.update(_terms((text or "").lower().split()))
             if len(held) > 300_000:
-                yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())})
+                yield rows()
                 held.clear()
         if held:
-            yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())})
+            yield rows()
 
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(labelled: DataFrame, least_share: float = 0.005, least: int = 3, evidence: float = 18.0) -> dict[str, float]:
+def _marks(terms: DataFrame) -> bytes:
+    """A map of BITS bits with those of the terms' crc32 set."""
+    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BITS))
+    found = terms.groupBy(F.floor(at / BUCKET).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(BUCKET))).alias("b")).collect()
+    out = bytearray(BITS // 8)
+    for r in found:
+        out[r["k"] * BUCKET // 8 : r["k"] * BUCKET // 8 + BUCKET // 8] = bytes(r["b"]).ljust(BUCKET // 8, b"\0")[: BUCKET // 8]
+    return bytes(out)
+
+
+def learn_lexicon(labelled: DataFrame, least: int = 3, evidence: float = 18.0) -> dict[str, float]:
     """Terms and their log odds, from all labelled rows (text, toxic) given.
 
-    Candidates are in at least ``least`` toxic documents and in ``least_share`` of them, so their number
-    is below a document's mean number of terms divided by that share.  A term stays if its log odds are
-    2.5 at least and its likelihood ratio against no difference reaches ``evidence``.  A stem stays if
-    many words share it.
+    A term stays if it is in at least ``least`` toxic documents, its log odds are 2.5 at least and its
+    likelihood ratio against no difference reaches ``evidence``; a stem, if besides many words share it.
+    Both frequencies are joined and judged in Spark, and only terms that stay are collected.  A term in x
+    toxic documents has a ratio of 2 x log(documents / toxic documents) at most, so that those below are
+    left out before clean documents are counted; of these, terms without a mark in a map of the rest.
     """
+    spark = labelled.sparkSession
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return {}
-    often = _count_terms(labelled.where("toxic = 1"), None).where(F.col("n") >= max(least, least_share * toxic))
-    a = {r["term"]: r["n"] for r in often.collect()}
-    b = {r["term"]: r["n"] for r in _count_terms(labelled.where("toxic = 0"), frozenset(a)).collect()}
-    odds = {}
-    for t, x in a.items():
-        y = b.get(t, 0)
-        o = math.log((x + 0.5) / (toxic + 1)) - math.log((y + 0.5) / (clean + 1))
-        share = toxic / (toxic + clean)
-        ratio = 2 * (x * math.log(x / ((x + y) * share)) + (y * math.log(y / ((x + y) * (1 - share))) if y else 0))
-        if o >= 2.5 and ratio >= evidence:
-            odds[t] = o
-    top: dict[str, int] = {}  # a stem's commonest single word
-    for t in a:
-        if not t.endswith("*"):
-            for k in STEMS:
-                if len(t) > k:
-                    top[t[:k]] = max(top.get(t[:k], 0), a[t])
+    share = toxic / (toxic + clean)
+    counted = materialize(_count_terms(labelled.where("toxic = 1")).where(F.col("n") >= least), "terms")
+    often = counted.where(-2 * math.log(share) * F.col("n") >= evidence - 1e-6)
+    bits = spark.sparkContext.broadcast(_marks(often))
+    rare = _count_terms(labelled.where("toxic = 0"), bits).withColumnRenamed("n", "y")
+    x, y = F.col("n"), F.coalesce("y", F.lit(0))
+    log_odds = F.log((x + 0.5) / (toxic + 1)) - F.log((y + 0.5) / (clean + 1))
+    ratio = 2 * (x * F.log(x / ((x + y) * share)) + F.when(y > 0, y * F.log(y / ((x + y) * (1 - share)))).otherwise(0.0))
+    judged = often.join(rare, "term", "left").withColumn("o", log_odds).where((F.col("o") >= 2.5) & (ratio >= evidence))
+    # A stem's commonest single word, among all counted.
+    starts = F.explode(F.array(*[F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEMS])).alias("term")
+    tops = counted.where(~F.col("term").endswith("*")).select(F.col("n").alias("top"), F.length("term").alias("_len"), starts).where("_len >= length(term)").groupBy("term").agg(F.max("top").alias("top"))
+    kept = judged.join(tops, "term", "left").select("term", "n", "o", "top").collect()
+    a, odds = {r["term"]: r["n"] for r in kept}, {r["term"]: r["o"] for r in kept}
+    top = {r["term"][:-1]: r["top"] for r in kept if r["top"] is not None}
     stems: list[str] = []
     for t in sorted((t for t in odds if t.endswith("*")), key=lambda t: (-len(t), t)):
         stem = t[:-1]
