@@ -44,11 +44,21 @@ e1 AS (SELECT 'i' AS side, item_id AS id, pos, sum(w * x) AS x FROM nm JOIN e0 O
 SELECT side, id, pos, round(sum(x) / 2, 6) AS x FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1) GROUP BY 1, 2, 3""")
 def propagate_one_layer(spark, d):
     """Mean of the first eight components before and after one step over the graph."""
+    return _propagated(spark, d, F.slice("v", 1, 8))
+
+
+@query()
+def propagate_one_layer_whole(spark, d):
+    """Mean of whole vectors before and after one step over the graph; the SQL above covers eight components."""
+    return _propagated(spark, d, F.col("v"))
+
+
+def _propagated(spark, d, components):
     edges = stored(graph.symmetric_normalised(_edges(spark, d)))
     v = vectors(spark, d)
     n = v.count()
     nodes = edges.select(F.lit("u").alias("side"), F.col("user_id").alias("id"), ((F.col("user_id") * 7 + 3) % n).alias("vec_id")).union(edges.select(F.lit("i"), "item_id", F.col("item_id") % n)).distinct()
-    zero = nodes.join(v, "vec_id").select("side", "id", F.posexplode(F.slice("v", 1, 8)).alias("k", "x")).select("side", "id", (F.col("k") + 1).cast("long").alias("pos"), "x")
+    zero = nodes.join(v, "vec_id").select("side", "id", F.posexplode(components).alias("k", "x")).select("side", "id", (F.col("k") + 1).cast("long").alias("pos"), "x")
     return graph.layer_mean([zero, graph.propagate(edges, zero)]).withColumn("x", F.round("x", 6))
 
 
