@@ -53,7 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     costs nothing but a read."""
     path = new_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, when all that was made of it is stored elsewhere."""
+    if path := getattr(df, "_stored_at", None):
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -70,6 +78,16 @@ def fold(doc_id: str = "doc_id", n: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def by_smallest_hash(rows: DataFrame, n: int, most: int, doc_id: str = "doc_id") -> DataFrame:
+    """Of about n rows, those in the share of all id hashes that holds 0.95 * most of them.
+
+    The share is the same in every task, so that few rows more than the sample leave their tasks.
+    """
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(doc_id), F.lit(2**32)) < F.lit(int(2**32 * 0.95 * most / n)))
+
+
 def one_thread() -> None:
     """A task has one core: libraries start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import trees
-from frostline.llm.common import fold, materialize, table
+from frostline.llm.common import by_smallest_hash, fold, materialize, table
 
 #: The symbols counted, and the white space that parts words.
 SYMBOLS = b"#*$%&|<>"
@@ -99,20 +101,22 @@ def fit_quality(counts: DataFrame, labels: DataFrame, most_rows: int = 40_000, *
 
     The fit takes at most ``most_rows`` rows, those with the smallest hashes of their ids; everything
     else about the operator covers all rows.  Held out are ids whose crc32 modulo 5 is 0.  Null labels
-    and ids that label nothing are left out.
+    and ids that label nothing are left out.  Where labels of either class are missing, every quality is 0.5.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_y"))
-    rows = counts.where(~base_failed()).where(fold() != 0).join(known, "doc_id")
+    rows = by_smallest_hash(counts, known.count(), most_rows).where(~base_failed()).where(fold() != 0).join(known, "doc_id")
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(most_rows).select(*COUNTS, "_y").toPandas()
     x = features({c: sample[c].to_numpy() for c in COUNTS})
-    return trees.fit(x, sample["_y"].to_numpy(float), np.array(list(FEATURES.values())), **parameters)
+    y = sample["_y"].to_numpy(float)
+    model = trees.fit(x, y, np.array(list(FEATURES.values())), **parameters)
+    return model if 0 < y.sum() < len(y) else replace(model, start=0.0)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """COUNTS, base_failed, quality (0 to 1) and kept of every document.
 
     Null and empty texts have counts of zero and fail the base rules.  Repeated rows are each judged.
-    Without labels all documents that pass the base rules have a quality of 0.5 and are kept.
+    Without labels of both classes all documents that pass the base rules have a quality of 0.5 and are kept.
     """
     spark = docs.sparkSession
     counts = materialize(document_counts(docs), "counts")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import replace
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import trees
-from frostline.llm.common import fold, materialize, table
+from frostline.llm.common import by_smallest_hash, fold, materialize, table
 
 #: Marks around words, marks of quotation, words that report speech and that address someone.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„‚‹›¿¡…–—"
@@ -26,6 +27,8 @@ QUOTES = '"«»“”„‹›'
 REPORTING = frozenset("said says say wrote writes quoted quote quotes called calling word words term terms reported sagte schrieb zitat zitiert wort nannte dit écrit cité citation mot appelé dijo escribió cita citó palabra llamó".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dir ihr euch dein deine tu te toi vous votre ton usted ustedes tú vosotros".split())
 STEMS = (4, 5, 6)
+#: Share of toxic documents that is assumed where labels of one class are missing: nothing is toxic then.
+PRIOR = 0.01
 #: Bits of a map of terms, and of the part of it that Spark makes at once.
 BITS, BUCKET = 2**23, 2**15
 #: In place of an awaited letter: the word goes on after a stem.  No letter equals it.
@@ -271,18 +274,22 @@ def _featured(docs: DataFrame, lexicon) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
     """The lexicon and the trees over FEATURES, learned from labelled rows that aren't held out.
 
-    The lexicon's frequencies cover all of them; the trees are fitted to at most ``most_rows``, those
-    with the smallest hashes of their ids.
+    The lexicon's frequencies cover all of them; the trees are fitted to at most ``most_rows``, one row an
+    id and those with the smallest hashes of their ids.  Where they lack labels of either class, there are
+    no terms and every score is PRIOR.
     """
     spark = docs.sparkSession
     marked = labels.where("toxic in (0, 1)").where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Merged at every size: labels grow with the documents, so they are never broadcast.
     labelled = materialize(docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id"), "labelled")
     lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # ids, at most ``most_rows``: texts stay where they are
-    rows = _featured(sample, lexicon).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most_rows).join(marked, "doc_id").toPandas()
-    model = trees.fit(rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float), np.array(list(FEATURES.values())), trees=40, depth=3)
+    sample = _featured(by_smallest_hash(labelled, labelled.count(), most_rows), lexicon)
+    once = sample.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "x.*")
+    rows = once.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).toPandas()
+    x, y = rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float)
+    model = trees.fit(x, y, np.array(list(FEATURES.values())), trees=40, depth=3)
+    if not 0 < y.sum() < len(y):
+        model = replace(model, start=math.log(PRIOR / (1 - PRIOR)))
     return lexicon, spark.sparkContext.broadcast(model)
 
 
@@ -290,7 +297,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and FEATURES of every document.
 
     Null and empty texts score as texts without hits.  Repeated rows are each scored.  Labels of unknown
-    documents and null labels play no part; without labels every score is 0.5 of smoothed odds.
+    documents and null labels play no part; without labels of both classes every score is PRIOR.
     """
     lexicon, model = toxicity_model(docs, labels)
     kinds = ", ".join(f"{f} double" for f in FEATURES)
@@ -305,7 +312,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts aren't predicted to be toxic; in one pass."""
+    """The rows of ``docs``, all columns, whose texts aren't predicted to be toxic; in one pass.
+
+    Without labels of both classes all rows stay.
+    """
     lexicon, model = toxicity_model(docs, labels)
 
     def keep(batches):
