@@ -21,17 +21,20 @@ class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     ``drops_space``: the vocabulary drops white space (cut at any of it); else a space belongs to the
-    word after it, and only texts whose white space is single spaces and line breaks are cut.
+    word after it, and only texts whose white space is single spaces and line breaks are cut.  ``specials``:
+    the strings of special tokens in a text become those tokens, as in a plain call of the library, and a
+    text that holds one stays whole; else they are ordinary text.
     ``max_pieces`` bounds the pieces held in memory: beyond twice as many, those not lately used go.
     Null and empty texts have no ids.
     """
 
-    def __init__(self, path: str, drops_space: bool, max_pieces: int = 400_000):
+    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int = 400_000):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not specials
+        self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if specials else ()
         self.drops_space, self.max_pieces = drops_space, max_pieces
         self.known: dict[str | bytes, bytes] = {"": b""}
         self.older: dict[str | bytes, bytes] = {}
@@ -40,6 +43,8 @@ class PieceEncoder:
 
     def cut(self, text: str) -> list | None:
         """A text's pieces, or None where it must stay whole."""
+        if any(m in text for m in self.marks):
+            return None
         if self.drops_space:
             return text.encode().split()  # at U+0009..U+000D and space
         if text.startswith(_ENDS) or text.endswith(_ENDS) or any(r in text for r in _RUNS) or not _ODD.isdisjoint(set(text)):
@@ -69,8 +74,8 @@ class PieceEncoder:
     def _learn(self, pieces: list, whole: set) -> None:
         """Encode pieces, many at once, parted by a pre-token of their own; ``whole`` ones apart."""
         known = self.known
-        text = bytes.decode if self.drops_space else str
-        single = [p for p in pieces if b"\x01" in p] if self.drops_space else [p for p in pieces if p == self.between or p in whole]
+        text = (lambda p: p.decode() if isinstance(p, bytes) else p) if self.drops_space else str
+        single = [p for p in pieces if p in whole or b"\x01" in p] if self.drops_space else [p for p in pieces if p == self.between or p in whole]
         apart = set(single)
         parts = [p for p in pieces if p not in apart] if apart else pieces
         groups = [parts[i : i + 1_000] for i in range(0, len(parts), 1_000)]
@@ -88,15 +93,22 @@ class PieceEncoder:
                 known[piece] = np.array(e.ids, "<u4").tobytes()
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], PieceEncoder] = {}
+
+
+def vocabulary_size(path: str) -> int:
+    """Number of ids of a vocabulary, special tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def encoder(path: str, drops_space: bool) -> PieceEncoder:
+def encoder(path: str, drops_space: bool, specials: bool = False) -> PieceEncoder:
     """The worker process's own encoder for a vocabulary; kept from task to task."""
-    key = (path, drops_space)
+    key = (path, drops_space, specials)
     if key not in _ENCODERS:
         _ENCODERS.clear()  # one vocabulary's pieces at a time
-        _ENCODERS[key] = PieceEncoder(path, drops_space)
+        _ENCODERS[key] = PieceEncoder(*key)
     return _ENCODERS[key]
 
 

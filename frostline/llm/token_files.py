@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.common import materialize, new_folder
-from frostline.llm.encoding import encoder, slices
+from frostline.llm.encoding import encoder, slices, vocabulary_size
 
 MANIFEST = "name string, first long, nulls long, n_docs long, n_tokens long"
 
@@ -42,17 +42,18 @@ def _map(folder: str, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(there.open_input_file(f"{path}/{name}").read(), dtype)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, drops_space: bool = True, vocab_size: int = 49_408) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, drops_space: bool = True, specials: bool = False) -> DataFrame:
     """Encode every text, append ``end_id``, write shards in ascending doc_id order; the manifest.
 
     Null and empty texts become the end id alone.  Rows that share a doc_id are all kept, ordered by
-    text.  An empty table gives an empty manifest.  Other columns are ignored.
+    text.  An empty table gives an empty manifest.  Other columns are ignored.  With ``specials``, strings
+    of special tokens in a text become those tokens.
     """
-    dtype = "<u2" if max(vocab_size - 1, end_id) < 2**16 else "<u4"
+    dtype = "<u2" if max(vocabulary_size(vocabulary) - 1, end_id) < 2**16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        enc, name = encoder(vocabulary, drops_space), uuid.uuid4().hex
+        enc, name = encoder(vocabulary, drops_space, specials), uuid.uuid4().hex
         data, lengths, ids, nulls = None, [], [], 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -102,13 +103,13 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return based.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_file_digest(docs: DataFrame, vocabulary: str, **parameters) -> DataFrame:
     """Write the token files of a table and digest what is read back from them."""
     folder = new_folder(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(docs, vocabulary, folder), folder)
+    return read_token_files(write_token_files(docs, vocabulary, folder, **parameters), folder)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_file_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_file_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), specials=True)
