@@ -12,13 +12,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm.common import materialize, table
+from frostline.llm.common import discard, materialize, table
+
+KEY_SETTING = "spark.frostline.secretKey"
 
 #: Titles before a name, by gender.
 TITLES = {
@@ -30,7 +34,12 @@ TITLES = {
 GIVEN = {
     "Latn": {"f": "Anna Clara Elena Julia Laura Maria Nora Paula Rosa Sofia".split(), "m": "Adam Bruno Daniel Felix Hugo Jonas Leo Martin Oscar Paul".split(), "n": "Alex Charlie Dominique Jules Kim Lou Robin Sam Sascha Toni".split()},
     "Cyrl": {"f": "Анна Вера Елена Ирина Мария Нина Ольга Софья".split(), "m": "Антон Борис Иван Лев Марк Олег Павел Юрий".split(), "n": "Саша Женя Валя Шура".split()},
-    "Grek": {"f": "Άννα Ελένη Μαρία Σοφία Ζωή Ειρήνη".split(), "m": "Νίκος Γιώργος Πέτρος Μάριος Λουκάς Ανδρέας".split(), "n": "Ανέστη Χριστίν".split()},
+    "Grek": {"f": "Άννα Ελένη Μαρία Σοφία Ζωή Ειρήνη".split(), "m": "Νίκος Γιώργος Πέτρος Μάριος Λουκάς Ανδρέας".split(), "n": "Αλέξ Κρις Σαμ Τζο".split()},
+}
+#: Given names that are known without a title, besides those above.
+KNOWN = {
+    "f": "Mary Emma Olivia Sarah Lisa Marie Sophie Camille Carmen Lucia".split(),
+    "m": "John James Robert Michael David Thomas Peter Hans Pierre Carlos Juan Luis".split(),
 }
 SYLLABLES = {
     "Latn": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo".split(),
@@ -40,10 +49,11 @@ SYLLABLES = {
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_KNOWN = {name: g for of in (*GIVEN.values(), KNOWN) for g, names in of.items() for name in names}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: What is detected, first match first; a group ``v`` is the part that is replaced.
 PATTERNS = [
-    ("email", re.compile(r"(?P<v>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)")),
+    ("email", re.compile(r"(?<![\w.+-])(?P<v>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)")),
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9_+/=.-]{6,})")),
     ("key", re.compile(r"\b(?:AKIA|ASIA)(?P<v>[A-Z0-9]{12,20})\b")),
     ("iban", re.compile(r"\b[A-Z]{2}(?P<v>\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b")),
@@ -54,6 +64,10 @@ PATTERNS = [
     ("number", re.compile(r"(?<![\d.])(?P<v>\d{9,19})(?!\d)")),
 ]
 _NAME = re.compile(rf"\b(?P<t>{_TITLE})\b\.? (?P<n>[^\W\d_]+(?:[-'][^\W\d_]+)?(?: [^\W\d_]+(?:[-'][^\W\d_]+)?)?)")
+_CAPITALS = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я"
+#: A capitalised word before another one.
+_PAIR = re.compile(rf"(?<![\w'-])(?P<g>[{_CAPITALS}][^\W\d_]+) (?=(?P<f>[{_CAPITALS}][^\W\d_]+(?:[-'][^\W\d_]+)?))")
+_WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
 
 
@@ -62,22 +76,34 @@ def script_of(word: str) -> str | None:
     return "Latn" if c < 0x250 else "Grek" if 0x370 <= c < 0x400 else "Cyrl" if 0x400 <= c < 0x530 else None
 
 
+def _met(text: str, names: dict[str, str], compounds: bool):
+    """(start, end, name) where whole words of a text are one of the names; names of two words parted by a
+    hyphen or an apostrophe before their parts.  Parts of hyphenated compounds count only with ``compounds``."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    joined = lambda i, marks: 0 <= i < len(at) - 1 and at[i + 1][0] - at[i][1] == 1 and text[at[i][1]] in marks
+    for i, (a, b) in enumerate(at):
+        for last, end in ((i + 1, at[i + 1][1] if joined(i, "-'") else -1), (i, b)):
+            if end > 0 and text[a:end] in names and (compounds or not (joined(i - 1, "-") or joined(last, "-"))):
+                yield a, end, text[a:end]
+                break
+
+
 def entities(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) of a text's entities, in order and apart; null and empty texts have none.
 
-    A name's type has its part, gender and script, as in ``given:f:Latn``; family names have no gender.  A
-    given or family name that a title has introduced counts wherever else it stands in the text; a given
-    name met under a title of a gender and one of none has that gender.
+    A name's type has its part, gender and script, as in ``given:f:Latn``; family names have no gender.
+    Names are introduced by a title, or by a known given name before a capitalised word; an introduced
+    given or family name counts wherever else it stands in the text.  A given name met under a title of a
+    gender and one of none has that gender.  Time grows in proportion to the text.
     """
     if not text:
         return []
-    found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str]] = []  # in order
 
     def add(a: int, b: int, kind: str) -> None:
-        if all(b <= s or e <= a for s, e in taken):
-            taken.append((a, b))
-            found.append((a, b, kind))
+        i = bisect_left(found, (a,))
+        if (i == 0 or found[i - 1][1] <= a) and (i == len(found) or b <= found[i][0]):
+            found.insert(i, (a, b, kind))
 
     if "@" in text or "=" in text or ":" in text or _DIGIT.search(text):
         for kind, pattern in PATTERNS:
@@ -85,8 +111,15 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             for m in pattern.finditer(text):
                 add(*m.span("v"), kind)
+    families: dict[str, str] = {}
+    givens: dict[str, str] = {}
+    names: list[tuple[int, str, str]] = []
+    for m in _PAIR.finditer(text):
+        if (gender := _KNOWN.get(m["g"])) and (script := script_of(m["f"])) == script_of(m["g"]):
+            names.append((m.start("g"), m["g"], gender))
+            givens[m["g"]] = gender
+            families[m["f"]] = script
     if any(t in text for t in _GENDER):
-        families, givens, names = {}, {}, []
         for m in _NAME.finditer(text):
             words, at = m["n"].split(" "), m.start("n")
             if not words[0][0].isupper() or script_of(words[0]) is None:
@@ -102,16 +135,16 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             if script := script_of(family):
                 add(at, at + len(family), f"family:{script}")
                 families[family] = script
-        for at, given, gender in names:
-            add(at, at + len(given), f"given:{givens[given] if gender == 'n' else gender}:{script_of(given)}")
-        for family, script in families.items():
-            for m in re.finditer(rf"\b{re.escape(family)}\b", text):
-                add(*m.span(), f"family:{script}")
-        for given, gender in givens.items():
+    for at, given, gender in names:
+        add(at, at + len(given), f"given:{givens[given] if gender == 'n' else gender}:{script_of(given)}")
+    if families:
+        for a, b, family in _met(text, families, True):
+            add(a, b, f"family:{families[family]}")
+    if givens:
+        for a, b, given in _met(text, givens, False):
             if given not in _GENDER:  # a second title before a family name is no name
-                for m in re.finditer(rf"(?<!\w)(?<!\w-){re.escape(given)}(?!\w)(?!-\w)", text):
-                    add(*m.span(), f"given:{gender}:{script_of(given)}")
-    return sorted(found)
+                add(a, b, f"given:{givens[given]}:{script_of(given)}")
+    return found
 
 
 def _round(key: bytes, tweak: str, i: int, x: int, size: int) -> int:
@@ -220,13 +253,12 @@ def normal(kind: str, value: str) -> str:
 
 
 def _replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[dict]]:
-    spans, out, last, found = entities(text), [], 0, []
+    spans, out, last, moved, found = entities(text), [], 0, 0, []
     for a, b, kind in spans:
         new = surrogate(kind, text[a:b], key, attempts.get((kind, normal(kind, text[a:b])), 0))
         out += [text[last:a], new]
-        start = sum(map(len, out)) - len(new)
-        found.append({"type": kind, "start": start, "end": start + len(new), "surrogate": new})
-        last = b
+        found.append({"type": kind, "start": a + moved, "end": a + moved + len(new), "surrogate": new})
+        last, moved = b, moved + len(new) - (b - a)
     return ("".join([*out, text[last:]]) if spans else text), found
 
 
@@ -256,7 +288,7 @@ def collision_attempts(found: DataFrame, key: bytes, most: int = 24) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "value", "attempt", "made"])
 
     schema = "kind string, value string, attempt int, made string"
-    state = found.withColumn("attempt", F.lit(0)).mapInArrow(make, schema)
+    state, last = found.withColumn("attempt", F.lit(0)).mapInArrow(make, schema), None
     for _ in range(most):
         state = materialize(state, "surrogates")
         real = found.select("kind", F.col("value").alias("made")).withColumn("real", F.lit(True))
@@ -265,6 +297,9 @@ def collision_attempts(found: DataFrame, key: bytes, most: int = 24) -> DataFram
         judged = state.join(first, ["kind", "made"]).join(real, ["kind", "made"], "left")
         bad = F.coalesce("real", F.lit(False)) | (F.col("value") != F.col("first.value"))
         judged = judged.select("kind", "value", "attempt", "made", bad.alias("bad"))
+        if last is not None:
+            discard(last)
+        last = state
         if not judged.where("bad").isEmpty():
             again = judged.where("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(make, schema)
             state = judged.where("not bad").select("kind", "value", "attempt", "made").union(again)
@@ -273,20 +308,29 @@ def collision_attempts(found: DataFrame, key: bytes, most: int = 24) -> DataFram
     raise RuntimeError(f"surrogates still meet after {most} attempts")
 
 
-def with_surrogates(docs: DataFrame, key: bytes = b"frostline", most_exceptions: int = 100_000) -> DataFrame:
-    """``docs`` with replaced texts, and ``entities``: array of (type, start, end, surrogate) in the new text.
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.frostline.secretKey``; where it isn't set, a random one, the same for the session."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return hashlib.blake2b(spark.conf.get(KEY_SETTING).encode(), digest_size=32).digest()
+
+
+def with_surrogates(docs: DataFrame, key: bytes | None = None, most_exceptions: int = 100_000, column: str = "entities") -> DataFrame:
+    """``docs`` with replaced texts, and ``column``: array of (type, start, end, surrogate) in the new text.
 
-    ``key`` decides the surrogates: keep it secret and the same where corpora are to agree.  Null and
+    ``key`` decides the surrogates, by default the session's: keep it secret, since who has it can undo them,
+    and the same where corpora are to agree.  A column of the input named ``column`` gives way.  Null and
     empty texts stay as they are.  Rows repeat as they come.  The few entities that needed another attempt
     are broadcast up to ``most_exceptions``, checked; beyond, each document's own are joined to it.
     """
     spark = docs.sparkSession
+    key = key or session_key(spark)
     again = materialize(collision_attempts(materialize(distinct_entities(docs), "entities"), key), "attempts")
     few = again.limit(most_exceptions + 1).count() <= most_exceptions
     kinds = "array<struct<type:string,start:int,end:int,surrogate:string>>"
     item = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
-    names = [c for c in docs.columns if c != "entities"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names) + f", entities {kinds}"
+    names = [c for c in docs.columns if c != column]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names) + f", `{column}` {kinds}"
     if few:
         table_ = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in again.collect()})
 
@@ -294,7 +338,7 @@ def with_surrogates(docs: DataFrame, key: bytes = b"frostline", most_exceptions:
             for batch in batches:
                 done = [_replaced(t, key, table_.value) for t in batch.column("text").to_pylist()]
                 cols = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], item)], [*names, "entities"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], item)], [*names, column])
 
         return docs.select(*names).mapInArrow(replace, schema)
 
@@ -312,7 +356,7 @@ def with_surrogates(docs: DataFrame, key: bytes = b"frostline", most_exceptions:
         for batch in batches:
             done = [_replaced(t, key, {(x["kind"], x["value"]): x["attempt"] for x in own_ or []}) for t, own_ in zip(batch.column("text").to_pylist(), batch.column("_again").to_pylist())]
             cols = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], item)], [*names, "entities"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], item)], [*names, column])
 
     return hashed.join(lists, "_h", "left").select(*names, "_again").mapInArrow(replace_own, schema)
 
