@@ -2,9 +2,11 @@
 
 A vector's score is the sum of one contribution for each component, so each component is a sorted list
 of the candidates, read from its largest values for a query with a positive component and from its
-smallest for a negative one.  A block of candidates reads its lists to a common depth, holds for every
-query a lower and an upper bound of every candidate, and reads on until few candidates can still reach
-the k-th lower bound; their scores are then resolved.  Queries are a stated set, in blocks of their own.
+smallest for a negative one.  Vectors are turned to their block's principal axes first, which keeps all
+inner products and lets few lists tell most of a score.  All lists are read to a common depth, which gives
+every candidate a lower and an upper bound; lists are then read on, those that can still tell most first,
+and a candidate whose upper bound lies below the k-th lower bound goes for good.  When few are left, their
+scores are resolved in whole numbers.  A query's k-th score so far holds for the blocks that a task meets later.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.common import table
+from frostline.llm.common import materialize, table
 
 
 class Lists:
     """Sorted lists of a block of vectors: per component, each vector's place from either end."""
 
     def __init__(self, x: np.ndarray):
-        self.x, n = x, len(x)
+        self.x, self.columns, self.squares, n = x, np.ascontiguousarray(x.T), np.einsum("ij,ij->i", x, x), len(x)
         order = np.argsort(x, axis=0, kind="stable")
         self.ascending = np.take_along_axis(x, order, axis=0)
         self.from_low = np.empty_like(order)
@@ -37,67 +39,144 @@ class Lists:
         return lower, upper
 
 
-def block_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, first_depth: int = 8) -> list[tuple[int, int, int]]:
-    """(query's place, candidate's id, score): each query's k best in the block, ties to the smaller id.
+def turned(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates and queries in the candidates' principal axes, those of most weight first."""
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    return x @ axes, q @ axes
 
-    Integers come as float64 and stay exact below 2**53.
+
+def read_on(z: np.ndarray, lists: Lists, lower: np.ndarray, upper: np.ndarray, depth: int, k: int, least: float, slack: float, few: int) -> tuple[np.ndarray, int]:
+    """Candidates that a query can't do without, and the number of list entries read to know.
+
+    ``lower`` and ``upper`` are the bounds after ``depth`` entries of every list; ``least`` is a score that k
+    others are known to reach.  Lists are read to their ends, four at a time, those first whose ends lie
+    farthest below what is read of them; what a list adds to a candidate replaces its upper bound.  Second
+    bounds are what was added so far, less and plus the product of the lengths of what query and candidate
+    have in lists that aren't read to their ends.  Where ``lower`` is minus infinity, the candidate is none.
+    """
+    n, d = lists.x.shape
+    alive, entries, columns = np.arange(n), depth * d, lists.columns
+    up, ends = z >= 0, lists.ascending
+    last = z * np.where(up, ends[n - depth], ends[depth - 1])
+    order = np.argsort(z * np.where(up, ends[0], ends[-1]) - last)
+    added, rest, own = np.zeros(n), lists.squares, np.isneginf(lower)
+    length = np.sqrt(np.append(np.cumsum(z[order[::-1]] ** 2)[::-1], 0))  # of the query in the lists from here on
+    for s in range(0, d + 4, 4):
+        most = length[min(s, d)] * np.sqrt(np.maximum(rest, 0))
+        if len(alive) > k:
+            least = max(least, np.partition(np.maximum(lower, np.where(own, -np.inf, added - most)), len(alive) - k)[len(alive) - k])
+        able = np.minimum(upper, added + most) >= least - slack
+        n_able = np.count_nonzero(able)
+        if n_able <= few or s >= d:
+            return alive[able], entries
+        if 2 * n_able < len(alive):
+            alive, lower, upper, added, rest, own, columns = alive[able], lower[able], upper[able], added[able], rest[able], own[able], np.compress(able, columns, axis=1)
+        for j in order[s : s + 4].tolist():
+            part = columns[j] * z[j]
+            added = added + part
+            part -= last[j]
+            upper = upper + np.minimum(part, 0, out=part)
+            np.multiply(columns[j], columns[j], out=part)
+            rest = rest - part
+        entries += (n - depth) * min(4, d - s)
+    return alive, entries
+
+
+def block_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None, first_depth: int = 16) -> tuple[list[tuple[int, int, int]], int]:
+    """(query's place, candidate's id, score) of each query's k best in the block, ties to the smaller id; entries read.
+
+    ``least``: a score for each query that its candidates of other blocks are known to reach k times; what lies
+    below may be left out.  Integers come as float64 and stay exact below 2**53.
+    """
+    n, out, entries = len(x), [], 0
+    least = np.full(len(q), -np.inf) if least is None else least
+    few = max(8 * k, n // 32)
+    if n > few:
+        y, z = turned(x, q)
+        lists, depth = Lists(y), max(1, n // first_depth)
+        lower, upper = lists.bounds(z, depth)
+        lower[q_ids[:, None] == ids[None, :]] = -np.inf
+        slack = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max())
+    for row in range(len(q)):
+        who = np.arange(n)
+        if n > few:
+            who, read = read_on(z[row], lists, lower[row], upper[row], depth, k, least[row], slack[row], few)
+            entries += read
+        who = who[ids[who] != q_ids[row]]
+        score = x[who] @ q[row]
+        best = np.lexsort((ids[who], -score))[:k]
+        out += zip([row] * len(best), ids[who[best]].tolist(), score[best].astype(np.int64).tolist())
+    return out, entries
+
+
+def search(asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, block: int):
+    """The function of one group of candidates: blocks one after another, each query's k-th score carried on.
+
+    ``asked``: by length of vectors, the queries' ids and vectors, and a score that each has k times elsewhere.
     """
-    n, out = len(x), []
-    lists = Lists(x)
-    open_, depth = np.arange(len(q)), max(1, n // first_depth)
-    while len(open_):
-        depth = min(depth, n)
-        lower, upper = lists.bounds(q[open_], depth)
-        own = q_ids[open_][:, None] == ids[None, :]
-        lower[own] = upper[own] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-        able = (upper >= kth[:, None]) & ~own
-        done = (able.sum(axis=1) <= max(8 * k, n // 16)) | (depth == n)
-        for row in np.flatnonzero(done):
-            who = np.flatnonzero(able[row])
-            score = x[who] @ q[open_[row]]
-            best = np.lexsort((ids[who], -score))[:k]
-            out += zip([int(open_[row])] * len(best), ids[who[best]].tolist(), score[best].astype(np.int64).tolist())
-        open_ = open_[~done]
-        depth *= 2
-    return out
-
-
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, query_block: int = 2048) -> DataFrame:
+
+    def run(candidates: pa.Table) -> pa.Table:
+        best: dict[int, list[tuple[int, int]]] = {}
+        d = candidates.column("d")[0].as_py()
+        if d in asked:
+            q_ids, q, known = asked[d]
+            x = candidates.column("v").combine_chunks().flatten().to_numpy().reshape(len(candidates), d)
+            ids = candidates.column("vec_id").to_numpy()
+            if d and float(np.abs(x).max()) * float(np.abs(q).max()) * d >= 2**53:
+                raise OverflowError("scores beyond 2**53 aren't exact")
+            x, q, least = x.astype(float), q.astype(float), known.copy()
+            for s in range(0, len(x), block):
+                for row, c, score in block_topk(q, q_ids, x[s : s + block], ids[s : s + block], k, least)[0]:
+                    best.setdefault(row, []).append((-score, c))
+                for row, found in best.items():
+                    best[row] = found = sorted(found)[:k]
+                    if len(found) == k:
+                        least[row] = max(known[row], -found[-1][0])
+        rows = [(int(q_ids[row]), c, -s) for row, found in best.items() for s, c in found if -s >= known[row]]
+        cols = list(zip(*rows)) or [[], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, query_block: int = 2048, blocks_a_group: int = 4, most_bytes: int = 2**26) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k candidates of highest inner product.
 
     Both tables: (vec_id long, v array<long>).  A candidate with the query's vec_id is the query itself.
     Only vectors as long as the query are candidates; repeated queries count once; a null vec_id takes no
-    part.  Fewer than k candidates are all returned; an empty table gives no rows.
+    part.  Fewer than k candidates are all returned; an empty table gives no rows.  Candidates are shuffled
+    once for each block of queries; a block of queries is broadcast, ``query_block`` of them and
+    ``most_bytes`` at most.  One block of candidates goes first: its k-th scores bound the search in all.
     """
-    n = vectors.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-queries.count() // query_block))
-    d = F.size("v").alias("d")
+    spark = vectors.sparkSession
+    left, asked = vectors.where("vec_id is not null"), queries.where("vec_id is not null").dropDuplicates(["vec_id", "v"])
+    n, d = left.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    rows_a_block = max(1, min(query_block, most_bytes // (8 * max(d, 1))))
+    parts = max(1, -(-asked.count() // rows_a_block))
     dealt = lambda parts: F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-    left = vectors.where("vec_id is not null").select("vec_id", "v", d, dealt(blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asked = queries.where("vec_id is not null").dropDuplicates(["vec_id", "v"])
-    right = asked.select("vec_id", "v", d, dealt(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        v = t.column("v").combine_chunks()
-        return v.flatten().to_numpy().reshape(len(t), -1).astype(float) if len(t) else np.zeros((0, 0))
-
-    def score(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int]] = []
-        if len(candidates) and len(asked):
-            x, q = matrix(candidates), matrix(asked)
-            ids, q_ids = candidates.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
-            if x.shape[1] and np.abs(x).max() * np.abs(q).max() * x.shape[1] >= 2**53:
-                raise OverflowError("scores beyond 2**53 aren't exact")
-            if x.shape[1]:
-                rows = [(int(q_ids[i]), c, s) for i, c, s in block_topk(q, q_ids, x, ids, k)]
-            else:
-                rows = [(int(i), int(c), 0) for i in q_ids for c in sorted(ids[ids != i].tolist())[:k]]
-        cols = list(zip(*rows)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    keys = ["qb", "cb", "d"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score long")
+    groups = max(1, -(-n // (blocks_a_group * block)))
+    left = left.select("vec_id", "v", F.size("v").alias("d"), dealt(groups * blocks_a_group).alias("cb"))
+    schema, stored = "query_id long, vec_id long, score long", []
+    for part in range(parts):
+        held: dict[int, list] = {}
+        for r in asked.where(dealt(parts) == part).select("vec_id", "v").collect():  # one block of the queries
+            held.setdefault(len(r["v"]), []).append(r)
+        for s in range(0, max(map(len, held.values()), default=0), rows_a_block):
+            some = {}
+            for d, rows in held.items():
+                if rows := rows[s : s + rows_a_block]:
+                    some[d] = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64).reshape(len(rows), d), np.full(len(rows), -np.inf)
+            if groups > 1:
+                first: dict[int, list[int]] = {}
+                for r in left.where("cb = 0").groupBy("d").applyInArrow(search(some, k, block), schema).collect():
+                    first.setdefault(r["query_id"], []).append(r["score"])
+                for q_ids, _, known in some.values():
+                    known[:] = [min(found) if len(found := first.get(i, [])) == k else -np.inf for i in q_ids.tolist()]
+            found = left.groupBy((F.col("cb") % groups).alias("g"), "d").applyInArrow(search(some, k, block), schema)
+            stored.append(found if parts == 1 else materialize(found, "found"))
+    if not stored:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = stored[0] if len(stored) == 1 else spark.read.schema(stored[0].schema).parquet(*[s._stored_at for s in stored])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
