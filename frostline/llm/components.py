@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import materialize
+from frostline.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
     before = edges.agg(state).first()[0]
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(last)
         after = edges.agg(state).first()[0]
         if after == before:
             break

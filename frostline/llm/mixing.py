@@ -105,19 +105,22 @@ def _closing(placed: DataFrame) -> DataFrame:
     return lists.select("_key", F.explode(made).alias("_m")).select("_key", F.col("_m.start").alias("_start"), F.col("_m.more").alias("_more"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, times and shards of every document, and ``carry``.
+def _hash(seed: int) -> Column:
+    """A tape's order: by a seeded hash of the document's id and text."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 50_000) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, times, shards, and _key and _h, of every document.
 
     ``times`` is how often the document is taken, whole; ``taken`` its words so often; ``shards`` has the
     shard of each copy.  A source's copies follow its tape, passed as often as it goes into the quota;
     each falls to the shard in whose quota of that source it starts (beyond the last, to that).  Null and empty
     texts have size 0 and nothing taken; a null source is a source; repeated rows are all kept, each with
-    its own place on the tape.  Tables without rows or words give no rows or targets of 0.  Columns of the
-    input that aren't carried play no part.
+    its own place on the tape.  Tables without rows or words give no rows or targets of 0.  Other columns of
+    the input play no part; texts are read once and never shuffled.
     """
-    # A tape's order: by a seeded hash of the document's id and text.
-    keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), _key(), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    small = materialize(keyed.select("doc_id", "source", "size", "_h", "_key"), "sizes")
+    small = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed), _key()), "sizes")
     totals = small.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
     groups = max(1, -(-totals["n"] // rows_a_group))
 
@@ -148,7 +151,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sh
         return at.withColumn("_times", F.when(F.col("size") > 0, F.col("_whole") + more.cast("long")).otherwise(0)).withColumn("_most", F.lit(most).cast("long"))
 
     closing = materialize(_closing(place(small)), "closing")
-    placed = place(keyed if carry else small).join(closing, ["_key", "_start"], "left")
+    placed = place(small).join(closing, ["_key", "_start"], "left")
     times = F.when(F.col("size") > 0, F.col("_times") + F.coalesce("_more", F.lit(0))).otherwise(0).cast("long")
     timed = placed.withColumn("times", times)
 
@@ -159,18 +162,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, sh
     none = F.expr("cast(array() as array<int>)")
     found = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("times"), F.lit(1))), shard)).otherwise(none)
     timed = timed.withColumn("shards", found)
-    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", "shards", *[f"_c_{c}" for c in carry])
+    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", "shards", "_key", "_h")
 
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, **parameters) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: each whole, as often as it is taken.
 
-    ``n_chars``, where there is one, is counted anew.
+    The mix is made without texts, which are joined to its result in one shuffle.  Of rows that agree in
+    doc_id, source and text, one stands for all, as often as they are taken together.  ``n_chars``, where
+    there is one, is counted anew.
     """
-    found = mix(docs, carry=tuple(docs.columns), **parameters).where("taken > 0")
-    copies = found.withColumn("_shard", F.explode("shards"))
-    new = {"n_chars": F.length("_c_text").cast("long")}
-    return copies.select(*[new.get(c, F.col(f"_c_{c}")).alias(c) for c in docs.columns])
+    keys = ["doc_id", "_key", "_h"]
+    of = mix(docs, seed=seed, **parameters).groupBy(*keys).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    of = materialize(of.where("_times > 0").withColumnsRenamed({k: f"{k}_" for k in keys}), "times")
+    hashed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", _hash(seed), _key())
+    same = (F.col("doc_id").eqNullSafe(F.col("doc_id_"))) & (F.col("_key") == F.col("_key_")) & (F.col("_h") == F.col("_h_"))
+    found = hashed.join(of.hint("shuffle_hash"), same)
+    if not of.where("_rows > 1").isEmpty():
+        found = found.where("_rows = 1").union(found.where("_rows > 1").dropDuplicates(keys))
+    copies = found.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).select("_doc.*")
+    return copies.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else copies
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
