@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import mixing, near_dedup, packing, surrogates, toxicity
-from frostline.llm.common import materialize, table
+from frostline.llm.common import discard, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, detected entities replaced; ``n_chars`` is counted anew."""
-    found = surrogates.with_surrogates(docs).select(*docs.columns)
+    column = "entities"
+    while column in docs.columns:  # no column of the documents gives way
+        column = f"_{column}"
+    found = surrogates.with_surrogates(docs, column=column).select(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
@@ -47,7 +50,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents and their places in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), specials=True)
 
 
 STAGES = [
@@ -66,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
