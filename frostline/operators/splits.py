@@ -90,6 +90,16 @@ def split_tables(pairs: DataFrame, entity: str = "item_id", k0: int = 5, seed: i
     return rows
 
 
+def split_outputs(splits: DataFrame, cold: str) -> DataFrame:
+    """``split_tables`` under all their names: the cold object is named, training sets are embedding sets as well,
+    strict cold parts are also one set, and have their older names."""
+    plain = splits.withColumn("split", F.replace("split", F.lit("cold_"), F.lit(f"cold_{cold}_")))
+    train = splits.where(F.col("split").startswith("warm_train")).withColumn("split", F.replace("split", F.lit("train"), F.lit("emb")))
+    strict = splits.where(F.col("split").startswith("cold_"))
+    older = strict.withColumn("split", F.concat(F.lit(f"strict_cold_{cold}_"), F.expr("substr(split, 6)")))
+    return plain.union(train).union(strict.withColumn("split", F.lit(f"cold_{cold}"))).union(older)
+
+
 def temporal_parts(rows: DataFrame, opposite: str, time: str = "ts", train: float = 0.6, val: float = 0.2) -> DataFrame:
     """Rows with ``part`` by relative time; the earliest later row of each opposite entity that training
     hasn't seen is moved to train.  Rows need a column ``row_idx`` to settle equal times."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frostline.operators.ids import numbered
+
 PAIRS = "user_id long, item_id long"
 
 
@@ -49,8 +51,75 @@ def read_latin1(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with ``row_idx`` in reading order."""
-    return spark.read.text(path).withColumn("row_idx", F.monotonically_increasing_id())
+    """(value, row_idx): lines of text files numbered from 0 without gaps, by file name and place in the file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return numbered(lines, "_file", "_block", "_line", name="row_idx").select("value", (F.col("row_idx") - 1).alias("row_idx"))
+
+
+def read_predictions(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(row_idx, valid, parsed): JSON lines in order; a bad line has null fields and isn't valid."""
+    lines = read_lines(spark, path)
+    valid = F.get_json_object("value", "$").isNotNull()
+    return lines.select("row_idx", valid.alias("valid"), F.when(valid, F.from_json("value", schema)).alias("parsed"))
+
+
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two tables that share row_idx; tables of different length are an error."""
+    if (a := left.count()) != (b := right.count()):
+        raise ValueError(f"{a} rows beside {b}")
+    return left.join(right, "row_idx")
+
+
+def read_tree(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str, *names: str) -> DataFrame:
+    """JSON files of a tree (a glob), with columns from the groups of a pattern over their paths."""
+    rows = spark.read.schema(schema).json(path).withColumn("_path", F.input_file_name())
+    for k, name in enumerate(names, 1):
+        rows = rows.withColumn(name, F.regexp_extract("_path", pattern, k))
+    return rows.drop("_path")
+
+
+def with_all(rows: DataFrame, group: str, member: str, n: int) -> DataFrame:
+    """Rows of the groups that have n different members."""
+    full = rows.groupBy(group).agg(F.countDistinct(member).alias("_n")).where(F.col("_n") == n).select(group)
+    return rows.join(full, group, "left_semi")
+
+
+def last_block(spark: SparkSession, path: str, mark: str, names: list[str]) -> DataFrame:
+    """(file, metrics): of each log the last line that begins with a mark, its ``name=value`` pairs as doubles."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    last = lines.where(F.col("value").startswith(mark)).groupBy("file").agg(F.max_by("value", F.struct("_block", "_line")).alias("value"))
+    metric = lambda name: F.regexp_extract("value", rf"(?:^|\s){name}=(-?[0-9.eE+-]+)", 1).try_cast("double").alias(name)
+    return last.select("file", *[metric(n) for n in names])
+
+
+def read_matrix(spark: SparkSession, path: str, rows_a_task: int = 65_536) -> DataFrame:
+    """(id, v array<double>) of a two-dimensional ``.npy`` file; tasks read the rows' own bytes."""
+    import numpy as np
+    import pandas as pd
+    from pyarrow import fs
+
+    def opened():
+        there, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        return there.open_input_file(name)
+
+    with opened() as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        start = f.tell()
+    if len(shape) != 2 or by_column:
+        raise ValueError(f"{path}: not a matrix by rows")
+
+    def read(parts):
+        for pdf in parts:
+            for a in pdf["a"].tolist():
+                n = min(rows_a_task, shape[0] - a)
+                with opened() as f:
+                    raw = f.read_at(n * shape[1] * dtype.itemsize, start + a * shape[1] * dtype.itemsize)
+                x = np.frombuffer(raw, dtype).reshape(n, shape[1]).astype(float)
+                yield pd.DataFrame({"id": np.arange(a, a + n), "v": list(x)})
+
+    starts = spark.range(0, shape[0], rows_a_task, numPartitions=max(1, -(-shape[0] // rows_a_task))).withColumnRenamed("id", "a")
+    return starts.mapInPandas(read, "id long, v array<double>")
 
 
 def checked_matrix(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
