@@ -59,3 +59,55 @@ def chat(template: str, instruction: Column, text: Column) -> Column:
 def float_tag(x: Column) -> Column:
     """Two decimals with ``p`` for the point."""
     return F.replace(F.format_string("%.2f", x), F.lit("."), F.lit("p"))
+
+
+def map_text(m: Column, n: int = 8) -> Column:
+    """A map as ``key: value`` pairs parted by semicolons, the first n of them."""
+    return F.array_join(F.transform(F.slice(F.map_entries(m), 1, n), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"].cast("string"), F.lit("")))), "; ")
+
+
+def list_text(x: Column, n: int = 8) -> Column:
+    """The first n elements of a list, parted by semicolons."""
+    return F.array_join(F.slice(x, 1, n), "; ")
+
+
+def year_token(title: Column) -> Column:
+    """``year_1999`` where a title holds a year in brackets, else empty."""
+    year = F.regexp_extract(title, r"\((\d{4})\)", 1)
+    return F.when(year == "", F.lit("")).otherwise(F.concat(F.lit("year_"), year))
+
+
+def coded(code: Column, names: dict, unknown: str = "unknown") -> Column:
+    """What a code stands for."""
+    pairs = F.create_map(*[F.lit(x) for item in names.items() for x in item])
+    return F.coalesce(F.try_element_at(pairs, code), F.lit(unknown))
+
+
+#: Other names of the strict cold split.
+STRICT = ("strict", "cold", "strict_cold")
+
+
+def metric_parts(name: Column) -> Column:
+    """(split, metric, k) of names as ``warmup_recall@20``; other names of the strict cold split give that name."""
+    part = lambda k: F.regexp_extract(F.trim(name), r"^(?:(.*)_)?([a-z]+)@(\d+)$", k)
+    split = F.when(part(1).isin(*STRICT), "strict_cold").when(part(1) == "", "overall").otherwise(part(1))
+    return F.struct(split.alias("split"), part(2).alias("metric"), part(3).try_cast("int").alias("k"))
+
+
+def key_values(x: Column) -> Column:
+    """A map from text as ``a=1,b=2``; spaces around names and values go."""
+    entries = F.transform(F.filter(F.split(x, ","), lambda e: F.trim(e) != ""), lambda e: F.struct(F.trim(F.split_part(e, F.lit("="), F.lit(1))).alias("k"), F.trim(F.split_part(e, F.lit("="), F.lit(2))).alias("v")))
+    return F.map_from_entries(entries)
+
+
+def parsed_date(x: Column) -> Column:
+    """A day as ``2024-01-31``, at midnight; other text is null."""
+    return F.try_to_timestamp(x, F.lit("yyyy-MM-dd"))
+
+
+def rendered(template: str, **columns: Column) -> Column:
+    """A template's text with ``{name}`` replaced by columns; null ones are empty."""
+    out = F.lit(template)
+    for name, value in columns.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

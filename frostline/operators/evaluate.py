@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frostline.operators.ids import running_total
 
 def ranking_metrics(topk: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Mean recall, precision and NDCG at k over users with truth: topk (user_id, item_id, rank)."""
@@ -40,17 +41,18 @@ def pool_oracle(pool: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     )
 
 
-def auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve of (score, label 0/1) with mean ranks for ties; null with one class.
+def auc(scored: DataFrame, *by: str) -> DataFrame:
+    """Area under the ROC curve of (score, label 0/1), of each group, with mean ranks for ties; null with one class.
 
-    Ranks come from counts by distinct score, so ties share a row and no task sorts all rows.
+    Ranks come from counts by distinct score and their running total over ranges of scores, so that no
+    task sees all rows.
     """
-    by = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("mean_rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
-    total = ranked.agg(F.sum("p").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("mean_rank") * F.col("p")).alias("s"))
-    neg = F.col("n") - F.col("pos")
-    return total.select(F.col("pos").cast("long").alias("positives"), neg.cast("long").alias("negatives"), F.when((F.col("pos") > 0) & (neg > 0), F.round((F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg), 6)).alias("auc"))
+    each = running_total(scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("label").alias("p")), "n", *by, "score")
+    ranked = each.withColumn("mean_rank", F.col("before") + (F.col("n") + 1) / 2)
+    total = ranked.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("mean_rank") * F.col("p")).alias("s"), F.min("before").alias("first"))
+    pos, neg = F.col("pos"), F.col("n") - F.col("pos")
+    area = (F.col("s") - F.col("first") * pos - pos * (pos + 1) / 2) / (pos * neg)
+    return total.select(*by, pos.cast("long").alias("positives"), neg.cast("long").alias("negatives"), F.when((pos > 0) & (neg > 0), F.round(area, 6)).alias("auc"))
 
 
 def bin_of(score: Column, bins: int = 10) -> Column:
@@ -80,3 +82,72 @@ def head_entities(pairs: DataFrame, entity: str, quantile: float = 0.8) -> DataF
     counts = pairs.groupBy(entity).agg(F.count("*").alias("n"))
     cut = counts.agg(F.percentile("n", F.lit(quantile)).alias("cut"))
     return counts.join(F.broadcast(cut), F.col("n") >= F.col("cut")).select(entity, "n")
+
+
+def ideal_gain(n: Column) -> Column:
+    """Discounted gain of n hits in the first n places."""
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))).otherwise(0.0)
+
+
+def report_by_group(ranked: DataFrame, truth: DataFrame, k: int, by: str = "entity_type") -> DataFrame:
+    """Per group: users with truth, those covered by candidates, hits, recall, precision and NDCG at k.
+
+    ``ranked``: (by, user_id, item_id, rank); ``truth``: (by, user_id, item_id), distinct.
+    """
+    top = ranked.where(F.col("rank") <= k)
+    hits = top.join(truth, [by, "user_id", "item_id"]).groupBy(by, "user_id").agg(F.count("*").alias("h"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    covered = top.select(by, "user_id").distinct().withColumn("covered", F.lit(1))
+    users = truth.groupBy(by, "user_id").agg(F.count("*").alias("n")).join(hits, [by, "user_id"], "left").join(covered, [by, "user_id"], "left")
+    h, dcg = F.coalesce("h", F.lit(0)), F.coalesce("dcg", F.lit(0.0))
+    return users.groupBy(by).agg(
+        F.count("*").alias("users"), F.count("covered").alias("covered"), F.sum(h).alias("hits"), F.round(F.avg(h / F.col("n")), 6).alias("recall"), F.round(F.avg(h / F.lit(k)), 6).alias("precision"),
+        F.round(F.avg(dcg / ideal_gain(F.least(F.col("n"), F.lit(k)))), 6).alias("ndcg"),
+    )
+
+
+def hit_counters(candidates: DataFrame, truth: DataFrame, by: str = "entity_type") -> DataFrame:
+    """Per group: pairs of truth and those among candidates, users and those with a hit."""
+    found = truth.join(candidates.select(by, "user_id", "item_id").distinct().withColumn("hit", F.lit(1)), [by, "user_id", "item_id"], "left")
+    users = found.groupBy(by, "user_id").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+    return users.groupBy(by).agg(F.sum("h").alias("hits"), F.sum("n").alias("total"), F.sum((F.col("h") > 0).cast("long")).alias("users_hit"), F.count("*").alias("users"))
+
+
+def macro_recall(counters: DataFrame, by: str = "entity_type") -> DataFrame:
+    """Mean of the groups' recalls, and the recall of all pairs together."""
+    return counters.agg(F.round(F.avg(F.try_divide("hits", "total")), 6).alias("macro"), F.round(F.try_divide(F.sum("hits"), F.sum("total")), 6).alias("pooled"))
+
+
+def reciprocal_rank(ranked: DataFrame, truth: DataFrame) -> DataFrame:
+    """Mean over users with truth of 1 / the rank of their first hit, 0 without one."""
+    first = ranked.join(truth.distinct(), ["user_id", "item_id"]).groupBy("user_id").agg(F.min("rank").alias("rank"))
+    users = truth.select("user_id").distinct().join(first, "user_id", "left")
+    return users.agg(F.count("*").alias("users"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def simulation_quality(scored: DataFrame, truth: DataFrame, validation: DataFrame, head: DataFrame, by: str, k: int, missing: float) -> DataFrame:
+    """Per entity_type: precision, recall and share of head entities in the first k of each target that has
+    truth; AUC, Brier score and calibration error of all scored pairs, plain and calibrated on validation.
+
+    ``scored``: (user_id, item_id, entity_type, probability), a null probability counts as ``missing``;
+    ``by``: the target's side; ``head``: ids of the other side.
+    """
+    other = "item_id" if by == "user_id" else "user_id"
+    pair, t = ["user_id", "item_id"], "entity_type"
+    flag = lambda df, name: df.select(*pair).distinct().withColumn(name, F.lit(1))
+    p = F.least(F.greatest(F.coalesce("probability", F.lit(missing)), F.lit(0.0)), F.lit(1.0))
+    rows = scored.select(*pair, t, p.alias("score")).join(flag(truth, "_t"), pair, "left").join(flag(validation, "_v"), pair, "left")
+    rows = rows.select(*pair, t, "score", F.coalesce("_t", F.lit(0)).alias("label"), F.coalesce("_v", F.lit(0)).alias("val"))
+    place = F.row_number().over(Window.partitionBy(t, by).orderBy(F.col("score").desc(), other))
+    top = rows.withColumn("r", place).where(F.col("r") <= k).join(head.select(other).distinct().withColumn("_h", F.lit(1)), other, "left")
+    each = top.groupBy(t, by).agg(F.count("*").alias("n"), F.sum("label").alias("h"), F.count("_h").alias("heads")).join(truth.select(*pair).distinct().groupBy(by).agg(F.count("*").alias("g")), by)
+    ranking = each.groupBy(t).agg(F.count("*").alias("targets"), F.round(F.avg(F.col("h") / F.col("n")), 6).alias("precision"), F.round(F.avg(F.col("h") / F.col("g")), 6).alias("recall"), F.round(F.avg(F.col("heads") / F.col("n")), 6).alias("head"))
+    rates = rows.groupBy(t, bin_of(F.col("score")).alias("bin")).agg(F.avg("val").alias("rate"))
+    calibrated = rows.withColumn("bin", bin_of(F.col("score"))).join(F.broadcast(rates), [t, "bin"])  # ten rows an entity type
+
+    def errors(of: DataFrame, score: str, prefix: str) -> DataFrame:
+        b = of.groupBy(t, bin_of(F.col(score)).alias("b")).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.sum("label").alias("p"), F.sum(F.pow(F.col(score) - F.col("label"), 2.0)).alias("q"))
+        return b.groupBy(t).agg(F.round(F.sum("q") / F.sum("n"), 6).alias(f"{prefix}brier"), F.round(F.sum(F.abs(F.col("s") - F.col("p"))) / F.sum("n"), 6).alias(f"{prefix}ece"))
+
+    counts = rows.groupBy(t).agg(F.count("*").alias("scored_pairs"), F.sum("label").alias("positive_pairs"))
+    found = counts.join(ranking, t, "left").join(auc(rows, t).select(t, "auc"), t)
+    return found.join(errors(calibrated, "score", ""), t).join(errors(calibrated, "rate", "cal_"), t)

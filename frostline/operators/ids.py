@@ -32,6 +32,16 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 1).drop("_part", "_at", "_before")
 
 
+def running_total(df: DataFrame, value: str, *order: str, name: str = "before") -> DataFrame:
+    """Add the sum of ``value`` over the rows before in a total order, range by range as in ``numbered``."""
+    cols = [F.col(c) for c in order]
+    placed = stored(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_n"))  # one row a range
+    bases = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return placed.withColumn("_inside", inside).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
+
+
 def dense_remap(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add ``name``: 0..n-1 by ascending distinct value of ``column``."""
     ids = numbered(df.select(column).distinct(), column, name=name).withColumn(name, F.col(name) - 1)

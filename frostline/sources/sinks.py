@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.operators.ids import numbered
+from frostline.operators.ids import running_total
 from frostline.operators.stats import shard_sizes
 from frostline.sources.storage import move_or_delete, stored
 
@@ -55,13 +55,8 @@ def merge_shards(spark: SparkSession, path: str, manifest: DataFrame, to: str) -
 def ragged(truth: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """(user, start, items): each user's items in order, and where they start in all users' items one after another."""
     lists = truth.groupBy(user).agg(F.sort_array(F.collect_set(item)).alias("items"))
-    sized = numbered(lists.select(user, F.size("items").alias("n")), user, name="rn")
-    groups = sized.withColumn("g", F.floor(F.col("rn") / 100_000))
-    before = lambda *by: Window.partitionBy(*by)
-    inside = F.coalesce(F.sum("n").over(before("g").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = groups.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    starts = groups.withColumn("inside", inside).join(F.broadcast(bases), "g").select(user, (F.col("base") + F.col("inside")).alias("start"))
-    return lists.join(starts, user)
+    starts = running_total(lists.select(user, F.size("items").alias("n")), "n", user, name="start")
+    return lists.join(starts.select(user, "start"), user)
 
 
 def fixed(x: Column, digits: int) -> Column:

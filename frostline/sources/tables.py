@@ -135,3 +135,20 @@ def reviews_path(kind: str, category: str) -> str:
     if kind not in ("review", "meta"):
         raise ValueError(kind)
     return f"raw/{kind}_categories/{category}.jsonl" if kind == "review" else f"raw/meta_categories/meta_{category}.jsonl"
+
+
+def cold_side(spark: SparkSession, folder: str, flag: str | None = None) -> str:
+    """``user`` or ``item``: which side of a folder of splits is cold.
+
+    A flag decides; else ``cold_object`` in its split_meta.json; else which side's cold test it has.
+    """
+    if flag:
+        found = flag
+    elif _exists(spark, f"{folder}/split_meta.json"):
+        found = spark.read.schema("cold_object string").option("multiLine", True).json(f"{folder}/split_meta.json").first()[0]
+    else:
+        sides = [s for s in ("item", "user") if _exists(spark, f"{folder}/cold_{s}_test*")]
+        found = sides[0] if len(sides) == 1 else None
+    if found not in ("user", "item"):
+        raise ValueError(f"{folder}: neither a flag nor files tell the cold side")
+    return found
