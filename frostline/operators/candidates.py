@@ -7,39 +7,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frostline.sources.storage import stored
+
 BLOCK = 2048
 
 
-def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: int = BLOCK) -> DataFrame:
+def _best(a: np.ndarray, ids: np.ndarray, k: np.ndarray, b: np.ndarray, entities: np.ndarray) -> pa.Table:
+    """(target, entity, score) of each row of a with its k best rows of b."""
+    parts = {"target": [], "entity": [], "score": []}
+    for i in range(0, len(a), 256):
+        for row, score in zip(range(i, min(i + 256, len(a))), np.round(a[i : i + 256] @ b.T, 9)):
+            n = min(int(k[row]), len(b))
+            some = np.flatnonzero(score >= np.partition(score, len(b) - n)[len(b) - n]) if 0 < n < len(b) else np.arange(len(b))
+            best = some[np.lexsort((entities[some], -score[some]))[:n]]
+            parts["target"].append(np.full(len(best), ids[row]))
+            parts["entity"].append(entities[best])
+            parts["score"].append(score[best])
+    return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if c == "score" else pa.int64()) for c, v in parts.items()})
+
+
+def _matrix(t, column: str) -> np.ndarray:
+    v = t.column(column)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+
+def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: int = BLOCK, most_bytes: int = 2**26) -> DataFrame:
     """(target, entity, score): each target's best pool entities by inner product.
 
     ``targets`` and ``pool``: (id, v array<double>) with vectors of one length; ``most``: (target, k), how
-    many to keep of each.  Both sides are cut into blocks by hash; a task multiplies one block with
-    another and sends on only what each target may need of it.  Scores are rounded to 9 decimals, so that
-    their order doesn't hang on the order of summation; ties go to the smaller id.
+    many to keep of each.  A pool of at most ``most_bytes`` is broadcast and the targets stay where they are;
+    else both sides are cut into blocks by hash, and a task multiplies one block with another.  Only what each
+    target may need of a block is sent on.  Scores are rounded to 9 decimals, so that their order doesn't hang
+    on the order of summation; ties go to the smaller id.
     """
-    n_t, n_p = max(1, -(-targets.count() // block)), max(1, -(-pool.count() // block))
+    schema = "target long, entity long, score double"
+    pool = stored(pool.select("id", "v"))
+    wanted = targets.join(most.withColumnRenamed("target", "id"), "id").select("id", "v", "k")
+    size = pool.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    if size["n"] * (8 * size["d"] + 8) <= most_bytes:
+        t = pool.toArrow()
+        held = pool.sparkSession.sparkContext.broadcast((_matrix(t, "v"), t.column("id").to_numpy()))
+
+        def of_batch(batches):
+            b, entities = held.value
+            for batch in batches:
+                if batch.num_rows and len(b):
+                    yield from _best(_matrix(batch, "v"), batch.column("id").to_numpy(), batch.column("k").to_numpy(), b, entities).to_batches()
+
+        return wanted.mapInArrow(of_batch, schema)
+    wanted = stored(wanted)
+    n_t, n_p = max(1, -(-wanted.count() // block)), max(1, -(-size["n"] // block))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = targets.join(most.withColumnRenamed("target", "id"), "id").select("id", "v", "k", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
+    left = wanted.select("id", "v", "k", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
     right = pool.select(F.col("id").alias("pool_id"), F.col("v").alias("pool_v"), dealt(n_p).alias("pool_b"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("target_b"))
 
-    def multiply(t: pa.Table, p: pa.Table) -> pa.Table:
-        parts = {"target": [], "entity": [], "score": []}
-        if len(t) and len(p):
-            a = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            b = p.column("pool_v").combine_chunks().flatten().to_numpy().reshape(len(p), -1)
-            ids, entities, k = t.column("id").to_numpy(), p.column("pool_id").to_numpy(), t.column("k").to_numpy()
-            for i in range(0, len(a), 256):
-                for row, score in zip(range(i, min(i + 256, len(a))), np.round(a[i : i + 256] @ b.T, 9)):
-                    n = min(int(k[row]), len(b))
-                    some = np.flatnonzero(score >= np.partition(score, len(b) - n)[len(b) - n]) if n < len(b) else np.arange(len(b))
-                    best = some[np.lexsort((entities[some], -score[some]))[:n]]
-                    parts["target"].append(np.full(len(best), ids[row]))
-                    parts["entity"].append(entities[best])
-                    parts["score"].append(score[best])
-        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if c == "score" else pa.int64()) for c, v in parts.items()})
-
-    return left.groupBy("tb", "pb").cogroup(right.groupBy("target_b", "pool_b")).applyInArrow(multiply, "target long, entity long, score double")
+    def of_blocks(t: pa.Table, p: pa.Table) -> pa.Table:
+        a, b = (_matrix(t, "v"), _matrix(p, "pool_v")) if len(t) and len(p) else (np.zeros((0, 1)), np.zeros((0, 1)))
+        return _best(a, t.column("id").to_numpy(), t.column("k").to_numpy(), b, p.column("pool_id").to_numpy())
+
+    return left.groupBy("tb", "pb").cogroup(right.groupBy("target_b", "pool_b")).applyInArrow(of_blocks, schema)
 
 
 def ranked(scored: DataFrame, m: int, *by: str, order: tuple[Column, ...] = ()) -> DataFrame:
@@ -48,12 +75,15 @@ def ranked(scored: DataFrame, m: int, *by: str, order: tuple[Column, ...] = ())
     return scored.withColumn("candidate_rank", F.row_number().over(place)).where(F.col("candidate_rank") <= m)
 
 
-def top_candidates(targets: DataFrame, pool: DataFrame, observed: DataFrame, m: int) -> DataFrame:
+def top_candidates(targets: DataFrame, pool: DataFrame, observed: DataFrame | None, m: int) -> DataFrame:
     """(target, entity, score, candidate_rank): the m best pool entities that a target hasn't been seen with.
 
-    ``observed``: (target, entity).  A target keeps m and as many more as it has been seen with, so m are
-    left when those are taken out.
+    ``observed``: (target, entity), or None.  A target keeps m and as many more as it has been seen with, so
+    m are left when those are taken out.
     """
+    if observed is None:
+        most = targets.select(F.col("id").alias("target"), F.lit(m).cast("long").alias("k"))
+        return ranked(similarities(targets, pool, most), m, "target")
     seen = observed.distinct()
     degree = seen.groupBy("target").agg(F.count("*").alias("d"))
     most = targets.select(F.col("id").alias("target")).join(degree, "target", "left").select("target", (F.coalesce("d", F.lit(0)) + m).cast("long").alias("k"))
@@ -89,7 +119,7 @@ def neighbour_features(near: DataFrame, edges: DataFrame, observed: DataFrame) -
 
 
 def policy_scores(features: DataFrame, popularity: DataFrame) -> DataFrame:
-    """Long form (target, entity, policy, score) of thirteen ways to score neighbour features."""
+    """Long form (target, entity, policy, score), and k where there is one, of thirteen ways to score neighbour features."""
     f = features.join(popularity, "entity", "left").withColumn("p", F.log1p(F.greatest(F.coalesce("pop", F.lit(0)), F.lit(1)).cast("double")))
     s, c, p = F.col("s"), F.col("c"), F.col("p")
     scores = {
@@ -97,20 +127,81 @@ def policy_scores(features: DataFrame, popularity: DataFrame) -> DataFrame:
         "sum_count_boost": s * F.log1p(c.cast("double")), "sum_idf025": s / F.pow(p, 0.25), "sum_idf050": s / F.pow(p, 0.5), "sum_idf100": s / p, "sum_pop025": s * F.pow(p, 0.25), "sum_pop050": s * F.pow(p, 0.5),
     }
     long = F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), F.round(v.cast("double"), 9).alias("score")) for k, v in scores.items()])).alias("x")
-    return f.select("target", "entity", long).select("target", "entity", "x.policy", "x.score")
+    keys = [c for c in ("k", "target", "entity") if c in features.columns]
+    return f.select(*keys, long).select(*keys, "x.policy", "x.score")
 
 
-def popularity_backfill(candidates: DataFrame, targets: DataFrame, popular: DataFrame, observed: DataFrame, m: int) -> DataFrame:
+def popularity_backfill(candidates: DataFrame, targets: DataFrame, popular: DataFrame, observed: DataFrame, m: int, *more: str) -> DataFrame:
     """Fill targets with fewer than m candidates from the most popular entities, at score 0.
 
-    ``popular``: (entity, pop_rank).  A target needs no popular entity beyond rank m plus what it has been
-    seen with or has already, so only so many are joined to it.
+    ``popular``: (entity, pop_rank).  Targets are lists of ``id`` and, where candidates have them, of ``more``
+    columns; ``observed``: (target, entity).  A target needs no popular entity beyond rank m plus the number
+    it has been seen with or has already: the most popular are held in one list, of which each takes a slice.
+    """
+    keys = ["target", *more]
+    lists = targets.select(F.col("id").alias("target"), *more).distinct()
+    held = candidates.select(*keys, "entity").union(lists.join(observed, "target").select(*keys, "entity")).distinct()
+    need = lists.join(held.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").withColumn("n", (F.coalesce("n", F.lit(0)) + m).cast("int"))
+    most = need.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    ordered = popular.where(F.col("pop_rank") <= most).agg(F.sort_array(F.collect_list(F.struct("pop_rank", "entity"))).alias("list"))  # m and what one target has seen
+    extra = need.join(F.broadcast(ordered), F.lit(True)).select(*keys, F.explode(F.slice("list", 1, F.col("n"))).alias("x")).select(*keys, F.col("x.entity").alias("entity"), F.col("x.pop_rank").alias("pop_rank"))
+    fresh = extra.join(held, [*keys, "entity"], "left_anti")
+    both = candidates.select(*keys, "entity", "score", F.lit(0).alias("source"), F.lit(0).alias("pop_rank")).union(fresh.select(*keys, "entity", F.lit(0.0), F.lit(1), "pop_rank"))
+    order = (F.col("source"), F.col("score").desc(), F.col("pop_rank"), F.col("entity"))
+    return ranked(both, m, *keys, order=order).select(*keys, "entity", "score", "source", "candidate_rank")
+
+
+def score_moments(targets: DataFrame, pool: DataFrame) -> DataFrame:
+    """(target, mean, sd): of each target's inner products with the whole pool, sample deviation, without making them.
+
+    The pool's sums of components and of their products are taken in Spark; they are as large as a vector
+    and its square.
     """
-    taken = candidates.select("target", "entity").union(observed.select("target", "entity")).distinct()
-    need = targets.select(F.col("id").alias("target")).join(taken.groupBy("target").agg(F.count("*").alias("n")), "target", "left").select("target", F.explode(F.sequence(F.lit(1), (F.coalesce("n", F.lit(0)) + m).cast("int"))).alias("pop_rank"))
-    extra = need.join(popular, "pop_rank").join(taken, ["target", "entity"], "left_anti")
-    both = candidates.select("target", "entity", "score", F.lit(0).alias("source"), F.lit(0).alias("pop_rank")).union(extra.select("target", "entity", F.lit(0.0), F.lit(1), "pop_rank"))
-    return ranked(both, m, "target", order=(F.col("source"), F.col("score").desc(), F.col("pop_rank"), F.col("entity"))).select("target", "entity", "score", "source", "candidate_rank")
+    spark, d = targets.sparkSession, pool.select(F.max(F.size("v"))).first()[0] or 0
+
+    def sums(batches):
+        total = np.zeros((d + 1, d + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), batch.column("v").flatten().to_numpy().reshape(-1, d)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+
+    parts = pool.select("v").mapInArrow(sums, "m array<double>").select(F.posexplode("m").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    total = spark.sparkContext.broadcast(np.array([r["x"] for r in parts.orderBy("k").collect()]).reshape(d + 1, d + 1) if d else np.zeros((1, 1)))
+
+    def moments(batches):
+        t = total.value
+        n = max(t[0, 0], 1.0)
+        for batch in batches:
+            q = batch.column("v").flatten().to_numpy().reshape(-1, d)
+            mean = q @ t[0, 1:] / n
+            squares = np.einsum("ij,jk,ik->i", q, t[1:, 1:] - np.outer(t[0, 1:], t[0, 1:]) / n, q)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(mean), pa.array(np.sqrt(np.maximum(squares, 0) / max(n - 1, 1.0)))], ["target", "mean", "sd"])
+
+    return targets.select("id", "v").mapInArrow(moments, "target long, mean double, sd double")
+
+
+def standardised(scored: DataFrame, moments: DataFrame) -> DataFrame:
+    """Scores less their target's mean, over its deviation or 1e-6."""
+    return scored.join(moments, "target").withColumn("score", (F.col("score") - F.col("mean")) / F.greatest("sd", F.lit(1e-6))).drop("mean", "sd")
+
+
+def hybrid_vectors(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, v): two vectors of an id as one, whose inner products are the sums of both."""
+    return first.join(second.select("id", F.col("v").alias("_w")), "id").select("id", F.concat("v", "_w").alias("v"))
+
+
+def scaled_vectors(vectors: DataFrame, moments: DataFrame) -> DataFrame:
+    """Target vectors over their scores' deviation: their inner products are standardised scores plus a constant of the target."""
+    return vectors.join(moments.withColumnRenamed("target", "id"), "id").select("id", F.transform("v", lambda x: x / F.greatest(F.col("sd"), F.lit(1e-6))).alias("v"))
+
+
+def sized_features(near: DataFrame, edges: DataFrame, observed: DataFrame, sizes: list[int]) -> DataFrame:
+    """``neighbour_features`` for several numbers of neighbours ``k``, from one join."""
+    s = F.col("score")
+    rows = near.where("score > 0").withColumn("k", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda k: k >= F.col("rank"))))
+    rows = rows.join(edges, "neighbour").join(observed, ["target", "entity"], "left_anti")
+    return rows.groupBy("k", "target", "entity").agg(F.sum(s).alias("s"), F.max(s).alias("mx"), F.count("*").alias("c"), F.sum(s / F.log2(F.col("rank") + 1)).alias("decay"), F.sum(s * s).alias("sq"), F.sum(F.sqrt(s)).alias("root"))
 
 
 def z_scored(scored: DataFrame, by: str = "target") -> DataFrame:

@@ -142,3 +142,70 @@ def by_source(strict: DataFrame, warmup: DataFrame, gamma: float = 1.0) -> DataF
     """Strict rows of one table and warm-up rows of another, probabilities to the power gamma."""
     rows = strict.where("entity_type = 'strict_cold'").unionByName(warmup.where("entity_type = 'warmup'"))
     return rows.withColumn("probability", F.least(F.greatest(F.pow("probability", F.lit(gamma)), F.lit(0.0)), F.lit(1.0)))
+
+
+def nine_features(rows: DataFrame, popularity: DataFrame, pool: int = 50) -> DataFrame:
+    """Rows (user_id, item_id, entity_type, score) with nine features of a score's place in its user's list.
+
+    Scaled score (by rank over ``pool`` where all are equal), rank share, 1 / rank, score over the best,
+    z-score, gaps to the rows before, after and the best, and the item's popularity (``popularity``: item_id, pop).
+    """
+    s, w = F.col("score"), Window.partitionBy("entity_type", "user_id")
+    o = w.orderBy(s.desc(), F.col("item_id"))
+    low, high = F.min(s).over(w), F.max(s).over(w)
+    span, sd = F.nullif(high - low, F.lit(0.0)), F.nullif(F.coalesce(F.stddev_samp(s).over(w), F.lit(0.0)), F.lit(0.0))
+    within = lambda x, a, b: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(a)), F.lit(b))
+    placed = rows.withColumn("r", F.row_number().over(o))
+    most = popularity.agg(F.max("pop").alias("_most"))
+    popular = rows.select("item_id").distinct().join(popularity, "item_id", "left").join(F.broadcast(most), F.lit(True))
+    norm = popular.select("item_id", within(F.log1p(F.coalesce("pop", F.lit(0)).cast("double")) / F.log1p(F.col("_most").cast("double")), 0.0, 1.0).alias("popular"))
+    by_rank = 1 - (F.col("r") - 1) / F.lit(float(pool - 1))
+    made = placed.select(
+        "user_id", "item_id", "entity_type", within(F.coalesce((s - low) / span, by_rank), 0.0, 1.0).alias("scaled"), (1 - by_rank).alias("rank_share"), (1 / F.col("r")).alias("inverse_rank"),
+        F.coalesce(s / F.nullif(high, F.lit(0.0)), F.lit(0.0)).alias("to_best"), within((s - F.avg(s).over(w)) / sd, -10.0, 10.0).alias("z"), within((F.lag(s).over(o) - s) / span, 0.0, 10.0).alias("gap_before"),
+        within((s - F.lead(s).over(o)) / span, 0.0, 10.0).alias("gap_after"), within((high - s) / span, 0.0, 10.0).alias("gap_best"),
+    )
+    return made.join(norm, "item_id")
+
+
+def first_of(rows: DataFrame, k: dict[str, int], default: int = 20) -> DataFrame:
+    """Of ranked lists (user_id, item_id, entity_type, rank, ...) the first rows, as many as the entity type has."""
+    return rows.where(F.col("rank") <= budget(k, default))
+
+
+def probability_of_lists(rows: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(user_id, item_id, entity_type, rank, probability): scores scaled within a user's list (flat: 1), to the power gamma."""
+    p = group_minmax(F.col("score"), Window.partitionBy("entity_type", "user_id"), 1.0)
+    return rows.select("user_id", "item_id", "entity_type", "rank", F.pow(p, F.lit(gamma)).alias("probability"))
+
+
+def source_mix(old: DataFrame, new: DataFrame, strict: str, warmup: str, k: dict[str, int], gamma: float = 1.0) -> DataFrame:
+    """Strict rows of one list and warm-up rows of the same or the other, the first k of each, by their list's probabilities."""
+    of = {"old": old, "new": new}
+    rows = of[strict].where("entity_type = 'strict_cold'").unionByName(of[warmup].where("entity_type = 'warmup'"))
+    return probability_of_lists(first_of(rows, k), gamma)
+
+
+def core_tail_lists(old: DataFrame, new: DataFrame, core: dict[str, int], k: dict[str, int], old_only: tuple[str, ...] = (), gamma: float = 1.0) -> DataFrame:
+    """Per list: the first rows of the old one, then the new one, then the rest of the old one, each item once, k in all.
+
+    Entity types of ``old_only`` take nothing new.  Probabilities fall linearly with the place, 1 to 0.6, to the power gamma.
+    """
+    keys = ["entity_type", "user_id"]
+    a = old.select(*keys, "item_id", F.when(F.col("rank") <= budget(core, 0), 0).otherwise(2).alias("o"), "rank")
+    b = new.where(~F.col("entity_type").isin(*old_only)).select(*keys, "item_id", F.lit(1).alias("o"), "rank") if old_only else new.select(*keys, "item_id", F.lit(1).alias("o"), "rank")
+    first = a.union(b).groupBy(*keys, "item_id").agg(F.min(F.struct("o", "rank")).alias("p"))
+    w = Window.partitionBy(*keys)
+    placed = first.withColumn("rank", F.row_number().over(w.orderBy("p.o", "p.rank", "item_id")))
+    kept = first_of(placed, k)
+    return kept.select("user_id", "item_id", "entity_type", "rank", F.pow(rank_linear(F.col("rank"), F.count("*").over(w)), F.lit(gamma)).alias("probability"))
+
+
+def rrf_lists(old: DataFrame, new: DataFrame, k: dict[str, int], c: float = 60.0, weight: float = 1.0, old_only: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion within each list; entity types of ``old_only`` take nothing new."""
+    keys = ["entity_type", "user_id"]
+    fresh = new.where(~F.col("entity_type").isin(*old_only)) if old_only else new
+    part = lambda df, x: df.select(*keys, "item_id", (F.lit(x) / (c + F.col("rank"))).alias("s"))
+    summed = part(old, 1.0).union(part(fresh, weight)).groupBy(*keys, "item_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    placed = summed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "item_id")))
+    return probability_of_lists(first_of(placed, k))

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.sources.storage import stored
+from frostline.sources.storage import discard, stored
 
 
 def iterative_core(pairs: DataFrame, min_user: int, min_item: int) -> DataFrame:
-    """Drop rare users, then rare items, until nothing changes; a minimum of 1 leaves its side alone."""
-    now, n = pairs, pairs.count()
+    """Drop rare users, then rare items, until nothing changes; a minimum of 1 leaves its side alone.
+
+    Each round's table is stored, counted from its files, and replaces the last one.
+    """
+    now = stored(pairs)
+    n = now.count()
     while True:
+        last = now
         for column, least in (("user_id", min_user), ("item_id", min_item)):
             if least > 1:
                 now = now.join(now.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(column), column, "left_semi")
         now = stored(now.select(*pairs.columns))
+        discard(last)
         left = now.count()
         if left == n:
             return now

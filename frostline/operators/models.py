@@ -96,3 +96,18 @@ def stub_scorer(prompts: list[str]) -> list[float]:
     import hashlib
 
     return [int(hashlib.md5(p.encode()).hexdigest()[:8], 16) / 2**32 for p in prompts]
+
+
+def mapped(vectors: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, v) through linear layers (weights, one row an output, and biases) with max(0, x) between them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, (w, b) in enumerate(layers):
+                x = (np.maximum(x, 0) if k else x) @ w.T + b
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"])
+
+    return vectors.select("id", "v").mapInArrow(run, "id long, v array<double>")

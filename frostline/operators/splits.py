@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.operators.ids import hash_order, numbered
-from frostline.sources.storage import stored
+from frostline.sources.storage import discard, stored
 
 
 def entity_groups(pairs: DataFrame, entity: str, k0: int = 5, warm: float = 0.8, cold: float = 0.1, seed: int = 42) -> DataFrame:
@@ -40,7 +40,9 @@ def repair_visibility(parts: DataFrame) -> DataFrame:
         for column in ("user_id", "item_id"):
             seen = now.where("part = 'train'").select(column).distinct().withColumn("_seen", F.lit(True))
             moved = F.when((F.col("part") == part) & F.col("_seen").isNull(), "train").otherwise(F.col("part"))
-            now = stored(now.join(seen, column, "left").withColumn("part", moved).select(*parts.columns))
+            last, now = now, stored(now.join(seen, column, "left").withColumn("part", moved).select(*parts.columns))
+            if last is not parts:
+                discard(last)
     return now
 
 
@@ -69,9 +71,9 @@ def strict_split(rows: DataFrame, entity: str, seed: int = 42) -> DataFrame:
 def split_tables(pairs: DataFrame, entity: str = "item_id", k0: int = 5, seed: int = 42) -> DataFrame:
     """(split, user_id, item_id): warm, warm-up and strict-cold parts over a common training set."""
     other = "user_id" if entity == "item_id" else "item_id"
-    pairs = pairs.select("user_id", "item_id")
-    groups = stored(entity_groups(pairs, entity, k0, seed=seed).select(entity, "grp"))
-    of = lambda g: pairs.join(groups.where(F.col("grp") == g), entity, "left_semi").select("user_id", "item_id")
+    pairs = stored(pairs.select("user_id", "item_id"))
+    grouped = stored(pairs.join(entity_groups(pairs, entity, k0, seed=seed).select(entity, "grp"), entity).select("user_id", "item_id", "grp"))
+    of = lambda g: grouped.where(F.col("grp") == g).select("user_id", "item_id")
     warm = repair_visibility(warm_rows(of("warm"), seed))
     support = stored(warmup_support(of("warmup"), entity, k0, seed))
     base = warm.where("part = 'train'").select("user_id", "item_id")

@@ -83,29 +83,34 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", as_doubles("embedding").alias("v"))
 
 
-def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, v) of the items that have a vector."""
-    items = pairs(spark, sf_dir).select("item_id").distinct()
+def item_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """(id, v) of the items (of some pairs, by default all) that have a vector."""
+    items = (pairs(spark, sf_dir) if rows is None else rows).select("item_id").distinct()
     return vectors(spark, sf_dir).join(items, F.col("vec_id") == F.col("item_id"), "left_semi").select(F.col("vec_id").alias("id"), "v")
 
 
-def user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """(id, v): a user's vector is that of (7 * user + 3) modulo the number of vectors."""
     v = vectors(spark, sf_dir)
     n = v.count()
-    users = pairs(spark, sf_dir).select("user_id").distinct().withColumn("vec_id", (F.col("user_id") * 7 + 3) % n)
+    users = (pairs(spark, sf_dir) if rows is None else rows).select("user_id").distinct().withColumn("vec_id", (F.col("user_id") * 7 + 3) % n)
     return users.join(v, "vec_id").select(F.col("user_id").alias("id"), "v")
 
 
 VECTORS = "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), iv AS (SELECT vec_id AS id, v FROM vecs WHERE vec_id IN (SELECT item_id FROM ix)), uv AS (SELECT user_id AS id, v FROM (SELECT DISTINCT user_id FROM ix) JOIN vecs ON vec_id = (user_id * 7 + 3) % (SELECT count(*) FROM embeddings))"
 
 
+def grouped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, item_id, grp): all pairs with their item's group, stored."""
+    p = stored(pairs(spark, sf_dir))
+    return stored(p.join(entity_groups(p, "item_id", k0=30).select("item_id", "grp"), "item_id").select("user_id", "item_id", "grp"))
+
+
 def cold_setting(spark: SparkSession, sf_dir: str):
     """(cold items' vectors, users' vectors, training pairs): training is the pairs of warm items."""
-    groups = stored(item_groups(spark, sf_dir))
-    cold = item_vectors(spark, sf_dir).join(groups.where("grp <> 'warm'"), F.col("id") == F.col("item_id"), "left_semi")
-    train = pairs(spark, sf_dir).join(groups.where("grp = 'warm'"), "item_id", "left_semi").select("user_id", "item_id")
-    return cold, user_vectors(spark, sf_dir), train
+    rows = grouped_pairs(spark, sf_dir)
+    cold = stored(item_vectors(spark, sf_dir, rows.where("grp <> 'warm'")))
+    return cold, stored(user_vectors(spark, sf_dir, rows)), rows.where("grp = 'warm'").select("user_id", "item_id")
 
 
 COLD = f"{GROUPS}, {VECTORS}, cold AS (SELECT iv.* FROM iv JOIN grps ON id = item_id WHERE grp <> 'warm'), train AS (SELECT user_id, item_id FROM ix JOIN grps USING (item_id) WHERE grp = 'warm')"

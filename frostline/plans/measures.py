@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from frostline.functions.vectors import dot
 from frostline.operators import candidates as C
 from frostline.operators import evaluate, graph, models, stats
 from frostline.operators.ids import hash_order
@@ -79,23 +80,31 @@ u AS (SELECT user_id, count(*) AS n FROM truth GROUP BY 1), hh AS (SELECT user_i
 SELECT count(*) AS users, CAST(sum(coalesce(h, 0)) AS BIGINT) AS hits, round(avg(coalesce(h, 0)::DOUBLE / n), 6) AS recall, round(avg(coalesce(h, 0) / 20.0::DOUBLE), 6) AS precision, round(avg(coalesce(dcg, 0) / g), 6) AS ndcg FROM u LEFT JOIN hh USING (user_id) JOIN ideal ON k = least(n, 20)"""
 
 
-def _topk(spark, d, items, prior=None, hidden=None):
-    """Users' 20 best of some items, by inner product plus a prior; ``hidden`` pairs are masked first."""
+def _topk(spark, d, items, hidden=None):
+    """Users' 20 best of some items by inner product; ``hidden`` pairs are left out."""
+    from frostline.plans.base import user_vectors
+
+    seen = hidden.select(F.col("user_id").alias("target"), F.col("item_id").alias("entity")) if hidden is not None else None
+    return _best(C.top_candidates(user_vectors(spark, d), items, seen, 20))
+
+
+def _best(top):
+    return top.select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), F.col("candidate_rank").alias("rank"))
+
+
+def _with_prior(spark, d, items, prior):
+    """Users' 20 best by inner product plus a prior of some pairs.
+
+    A prior only adds, so a pair without one is among its user's 20 best without priors or isn't among them.
+    """
     from frostline.plans.base import user_vectors
 
     users = user_vectors(spark, d)
-    k = items.count() if prior is not None else 20
-    masked = hidden.select(F.col("user_id").alias("target"), F.col("item_id").alias("entity")) if hidden is not None else None
-    if prior is None and masked is not None:
-        return C.top_candidates(users, items, masked, 20).select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), F.col("candidate_rank").alias("rank"))
-    most = users.select(F.col("id").alias("target"), F.lit(k).cast("long").alias("k"))
-    scored = C.similarities(users, items, most)
-    if prior is not None:
-        p = prior.select(F.col("user_id").alias("target"), F.col("item_id").alias("entity"), "p")
-        scored = scored.join(p, ["target", "entity"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("p", F.lit(0.0)), 9))
-    if masked is not None:
-        scored = scored.join(masked, ["target", "entity"], "left_anti")
-    return C.ranked(scored, 20, "target").select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), F.col("candidate_rank").alias("rank"))
+    p = prior.select(F.col("user_id").alias("target"), F.col("item_id").alias("entity"), "p")
+    known = p.join(users.select(F.col("id").alias("target"), F.col("v").alias("a")), "target").join(items.select(F.col("id").alias("entity"), F.col("v").alias("b")), "entity")
+    lifted = known.select("target", "entity", F.round(F.round(dot("a", "b"), 9) + F.col("p"), 9).alias("score"))
+    plain = C.top_candidates(users, items, None, 20).select("target", "entity", "score").join(p, ["target", "entity"], "left_anti")
+    return _best(C.ranked(plain.union(lifted), 20, "target"))
 
 
 def _truth(spark, d, cold):
@@ -129,7 +138,7 @@ def score_prior_eval(spark, d):
     """Scores plus 0.9 times the pairs' probabilities."""
     cold, _, _ = cold_setting(spark, d)
     prior = scored_pairs(spark, d).groupBy("user_id", "item_id").agg(F.max(0.9 * F.col("llm")).alias("p")).where("p > 0")
-    return evaluate.ranking_metrics(_topk(spark, d, cold, prior=prior), _truth(spark, d, cold), 20)
+    return evaluate.ranking_metrics(_with_prior(spark, d, cold, prior), _truth(spark, d, cold), 20)
 
 
 @query(_metrics_sql(f"round({_DOT} + CASE WHEN c.id IN (SELECT item_id FROM grps WHERE grp = 'warmup') THEN 1.5::DOUBLE ELSE 0 END, 9)", "c.id IN (SELECT id FROM cold)"))
@@ -138,11 +147,10 @@ def group_offset_eval(spark, d):
     from frostline.plans.base import item_groups
 
     cold, users, _ = cold_setting(spark, d)
-    lifted = item_groups(spark, d).where("grp = 'warmup'").select("item_id", F.lit(1.5).alias("p"))
-    most = users.select(F.col("id").alias("target"), F.lit(cold.count()).cast("long").alias("k"))
-    scored = C.similarities(users, cold, most).join(lifted.withColumnRenamed("item_id", "entity"), "entity", "left").withColumn("score", F.round(F.col("score") + F.coalesce("p", F.lit(0.0)), 9))
-    top = C.ranked(scored, 20, "target").select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), F.col("candidate_rank").alias("rank"))
-    return evaluate.ranking_metrics(top, _truth(spark, d, cold), 20)
+    lifted = item_groups(spark, d).where("grp = 'warmup'").select(F.col("item_id").alias("id"))
+    top = lambda items, offset: C.top_candidates(users, items, None, 20).select("target", "entity", F.round(F.col("score") + offset, 9).alias("score"))
+    both = top(cold.join(lifted, "id", "left_semi"), 1.5).union(top(cold.join(lifted, "id", "left_anti"), 0.0))
+    return evaluate.ranking_metrics(_best(C.ranked(both, 20, "target")), _truth(spark, d, cold), 20)
 
 
 _CAL = f"cal AS (SELECT doc_id, quality AS label, least(greatest(0.3::DOUBLE * quality + 0.7::DOUBLE * (({h('doc_id', 's')} % 101) / 100.0::DOUBLE), 0), 1) AS score FROM labels)"

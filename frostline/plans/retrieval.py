@@ -10,7 +10,7 @@ from frostline.operators import candidates as C
 from frostline.operators import edges as E
 from frostline.operators import evaluate
 from frostline.operators.ids import hash_order, numbered
-from frostline.plans.base import COLD, SP, cold_setting, h, pairs, query, scored_pairs
+from frostline.plans.base import COLD, SP, cold_setting, h, item_vectors, pairs, query, scored_pairs
 from frostline.sources.storage import stored
 
 
@@ -50,10 +50,8 @@ def cand_item_cosine(spark, d):
 @query(f"WITH {COLD}, vis AS (SELECT * FROM iv WHERE id IN (SELECT item_id FROM train)) " + _TOP.format("SELECT u.id AS target, c.id AS entity, round(list_dot_product(c.v, u.v), 9) AS score FROM vis c, uv u", "NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = target AND t.item_id = entity)", 20))
 def cand_user_topm(spark, d):
     """Users to the 20 best items that training has, without those they met."""
-    from frostline.plans.base import item_vectors
-
     _, users, train = cold_setting(spark, d)
-    visible = item_vectors(spark, d).join(train.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    visible = item_vectors(spark, d, train)
     return _rounded(C.top_candidates(users, visible, _observed(train, "user_id"), 20))
 
 
@@ -61,11 +59,9 @@ _NN = f"{COLD}, cn AS (SELECT id, {_UNIT} AS v FROM cold), wn AS (SELECT id, {_U
 
 
 def _near(spark, d, k=30):
-    from frostline.plans.base import item_vectors
-
     cold, _, train = cold_setting(spark, d)
     unit = lambda df: df.select("id", l2_normalised("v").alias("v"))
-    warm = item_vectors(spark, d).join(train.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    warm = item_vectors(spark, d, train)
     edges = train.select(F.col("item_id").alias("neighbour"), F.col("user_id").alias("entity"))
     return cold, C.neighbours(unit(cold), unit(warm), k), edges, _observed(train)
 
@@ -122,11 +118,11 @@ def policy_search(spark, d):
 
 @query(f"WITH {COLD}, s AS ({_SIM}), z AS (SELECT target, entity, round((score - avg(score) OVER w) / greatest(coalesce(stddev_samp(score) OVER w, 0.0::DOUBLE), 1e-6), 6) AS score FROM s WINDOW w AS (PARTITION BY target)) " + _TOP.format("SELECT * FROM z", _NOT_SEEN, 20))
 def cand_hybrid_zscore(spark, d):
-    """Scores standardised per target over the whole pool, then ranked."""
+    """Scores standardised per target over the whole pool, then ranked: the order is that of the scores."""
     cold, users, train = cold_setting(spark, d)
-    every = cold.select(F.col("id").alias("target"), F.lit(users.count()).alias("k"))
-    z = C.z_scored(C.similarities(cold, users, every)).withColumn("score", F.round("score", 6))
-    return _rounded(C.ranked(z.join(_observed(train), ["target", "entity"], "left_anti"), 20, "target"))
+    top = C.top_candidates(cold, users, _observed(train), 28).drop("candidate_rank")  # some more, for ties of rounded scores
+    z = C.standardised(top, C.score_moments(cold, users)).withColumn("score", F.round("score", 6))
+    return _rounded(C.ranked(z, 20, "target"))
 
 
 _TRUTH = f"{COLD}, cand AS ({_TOP.format(_SIM, _NOT_SEEN, 50)}), truth AS (SELECT user_id, item_id FROM ix WHERE item_id IN (SELECT id FROM cold))"
@@ -135,7 +131,7 @@ _TRUTH = f"{COLD}, cand AS ({_TOP.format(_SIM, _NOT_SEEN, 50)}), truth AS (SELEC
 def _pool(spark, d):
     cold, users, train = cold_setting(spark, d)
     cand = C.top_candidates(cold, users, _observed(train), 50).select(F.col("target").alias("item_id"), F.col("entity").alias("user_id"), "score", "candidate_rank")
-    truth = pairs(spark, d).join(cold.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("user_id", "item_id")
+    truth = stored(pairs(spark, d)).join(cold.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("user_id", "item_id")
     return stored(cand), truth
 
 
@@ -308,7 +304,7 @@ def edges_ablation(spark, d):
     return ranked.join(limit, "entity_type").where("g - g0 < n").select("user_id", "item_id", "entity_type", F.lit(1.0).alias("probability"))
 
 
-@query(_edge_sql(f""" SELECT {_OUT}, llm, round({_MM.format('llm', '(PARTITION BY entity_type, user_id)', 0.5)}, 6) AS scaled, round(avg(llm) OVER w, 6) AS mean, round(coalesce(stddev_samp(llm) OVER w, 0), 6) AS sd,
+@query(_edge_sql(f""" SELECT {_OUT}, llm, round({_MM.format('llm', '(PARTITION BY entity_type, user_id)', 0.5)}, 6) AS scaled, round(avg(llm) OVER w, 9) AS mean, round(coalesce(stddev_samp(llm) OVER w, 0), 6) AS sd,
 round(coalesce(least(greatest((lag(llm) OVER o - llm) / nullif(max(llm) OVER w - min(llm) OVER w, 0), 0), 10), 0), 6) AS gap_before, round(coalesce(least(greatest((llm - lead(llm) OVER o) / nullif(max(llm) OVER w - min(llm) OVER w, 0), 0), 10), 0), 6) AS gap_after
 FROM sp WINDOW w AS (PARTITION BY entity_type, user_id), o AS (PARTITION BY entity_type, user_id ORDER BY llm DESC, item_id)"""))
 def rerank_features(spark, d):
@@ -318,6 +314,6 @@ def rerank_features(spark, d):
     gap = lambda x: F.round(F.coalesce(F.least(F.greatest(x / span, F.lit(0.0)), F.lit(10.0)), F.lit(0.0)), 6)
     llm = F.col("llm")
     return scored_pairs(spark, d).select(
-        "user_id", "item_id", "entity_type", "llm", F.round(E.group_minmax(llm, w), 6).alias("scaled"), F.round(F.avg(llm).over(w), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(llm).over(w), F.lit(0.0)), 6).alias("sd"),
+        "user_id", "item_id", "entity_type", "llm", F.round(E.group_minmax(llm, w), 6).alias("scaled"), F.round(F.avg(llm).over(w), 9).alias("mean"), F.round(F.coalesce(F.stddev_samp(llm).over(w), F.lit(0.0)), 6).alias("sd"),
         gap(F.lag(llm).over(o) - llm).alias("gap_before"), gap(llm - F.lead(llm).over(o)).alias("gap_after"),
     )
