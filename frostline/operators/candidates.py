@@ -118,6 +118,10 @@ def neighbour_features(near: DataFrame, edges: DataFrame, observed: DataFrame) -
     )
 
 
+#: Names of the ways to score neighbour features.
+POLICIES = ("sum", "max", "avg", "count", "rank_decay", "sum_sq", "sum_sqrt", "sum_count_boost", "sum_idf025", "sum_idf050", "sum_idf100", "sum_pop025", "sum_pop050")
+
+
 def policy_scores(features: DataFrame, popularity: DataFrame) -> DataFrame:
     """Long form (target, entity, policy, score), and k where there is one, of thirteen ways to score neighbour features."""
     f = features.join(popularity, "entity", "left").withColumn("p", F.log1p(F.greatest(F.coalesce("pop", F.lit(0)), F.lit(1)).cast("double")))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostline.functions.vectors import l2_normalised
+
 
 def reranked(features: DataFrame, labels: DataFrame, columns: list[str], share: float = 0.5, seed: int = 7) -> DataFrame:
     """Per entity type, a balanced logistic regression on labelled pairs; (1-share) * scaled + share * p.
@@ -111,3 +113,156 @@ def mapped(vectors: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]]) -> D
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"])
 
     return vectors.select("id", "v").mapInArrow(run, "id long, v array<double>")
+
+
+def summed_vectors(rows: DataFrame, by: str = "id") -> DataFrame:
+    """(by, n, v): the number and the sum of each id's vectors of (by long, v array<double>).
+
+    A task adds up what it meets of an id in a batch before anything is shuffled, so that an id with very many
+    rows sends one row a batch; what arrives is sorted by id and added up run by run.
+    """
+    import pyarrow as pa
+
+    schema = f"{by} long, n long, v array<double>"
+
+    def add(ids: np.ndarray, n: np.ndarray, x: np.ndarray):
+        keys, at = np.unique(ids, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(len(keys)))
+        return keys, np.add.reduceat(n[order], starts), np.add.reduceat(x[order], starts, axis=0)
+
+    def batch_of(keys, n, x):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(list(x), pa.list_(pa.float64()))], [by, "n", "v"])
+
+    def arrays(batch):
+        n = batch.column("n").to_numpy() if "n" in batch.schema.names else np.ones(batch.num_rows, np.int64)
+        return batch.column(by).to_numpy(), n, batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch_of(*add(*arrays(batch)))
+
+    def final(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, n, x = arrays(batch)
+            if held is not None:
+                ids, n, x = np.append(held[0], ids), np.append(held[1], n), np.concatenate([held[2], x])
+            keys, n, x = add(ids, n, x)
+            if len(keys) > 1:
+                yield batch_of(keys[:-1], n[:-1], x[:-1])
+            held = keys[-1:], n[-1:], x[-1:]
+        if held is not None:
+            yield batch_of(*held)
+
+    some = rows.where(f"{by} is not null and v is not null").select(F.col(by).cast("long").alias(by), "v").mapInArrow(partial, schema)
+    return some.repartition(by).sortWithinPartitions(by).mapInArrow(final, schema)
+
+
+def mean_vectors(rows: DataFrame) -> DataFrame:
+    """(id, v): the mean of each id's vectors."""
+    return summed_vectors(rows).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+
+
+def embedded(docs: DataFrame, embedder: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(id, v): an embedder's vectors of texts, which tasks call batch by batch; a null text is an empty one."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf["v"] = list(np.asarray(embedder(pdf["text"].fillna("").tolist()), float).reshape(len(pdf), -1))
+            yield pdf[["id", "v"]]
+
+    return docs.select("id", "text").mapInPandas(run, "id long, v array<double>")
+
+
+def hashed_words(dim: int) -> Callable[[list[str]], np.ndarray]:
+    """The default embedder: each word adds 1 or -1 to a component, both by hash; vectors have unit length."""
+    import hashlib
+    import re
+
+    def embed(texts: list[str]) -> np.ndarray:
+        number = lambda w, seed: int(hashlib.md5(f"{seed}:{w}".encode()).hexdigest()[:8], 16)
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts):
+            for w in re.split(r"[^\w]+", text.lower()):
+                if len(w) >= 2:
+                    row[number(w, "v") % dim] += 1 - 2 * (number(w, "w") % 2)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return embed
+
+
+def text_factors(docs: DataFrame, dim: int, least: int = 512, most: int = 16_384) -> DataFrame:
+    """(id, v): TF-IDF of words and pairs of words without stop words, on its first singular vectors, of unit length.
+
+    The vocabulary has eight terms a document, ``least`` at least and ``most`` at most: the commonest.  Where
+    there are fewer singular vectors than ``dim``, the rest is zeros.
+    """
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+
+    words = RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"\W+", minTokenLength=2).transform(docs.select("id", F.coalesce("text", F.lit("")).alias("text")))
+    words = NGram(inputCol="words", outputCol="two").transform(StopWordsRemover(inputCol="raw", outputCol="words").transform(words))
+    terms = words.select("id", F.concat("words", "two").alias("terms"))
+    size = min(max(8 * docs.count(), least), most)
+    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size).fit(terms).transform(terms)
+    weighed = IDF(inputCol="tf", outputCol="x").fit(counts).transform(counts).select("id", "x")
+    matrix = IndexedRowMatrix(weighed.rdd.map(lambda r: (r["id"], Vectors.fromML(r["x"]))))
+    k = max(1, min(dim, matrix.numCols(), docs.count() - 1))
+    axes = matrix.computeSVD(k, computeU=False).V
+    rows = matrix.multiply(axes).rows.map(lambda r: (r.index, r.vector.toArray().tolist()))
+    v = rows.toDF("id long, v array<double>")
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), dim - F.size("v")))
+    return v.select("id", padded.alias("v")).select("id", l2_normalised("v").alias("v"))
+
+
+def two_towers(rows: DataFrame, hidden: int = 16, out: int = 8, epochs: int = 8, batch: int = 256, rate: float = 3e-3, decay: float = 0.01, most_rows: int = 20_000, seed: int = 5):
+    """(weights, report) of two towers, each linear, max(0, x), linear, whose outputs' inner product is a pair's log odds.
+
+    ``rows``: (u, i, label in 0..1, share in 0..1); shares below 0.8 train, the others are held out.  At most
+    about ``most_rows`` rows are taken, by a share of their hashes.  Soft log loss, Adam with decoupled decay
+    and a rate that falls linearly.  The report has each epoch's held-out loss and accuracy at 0.5; the weights
+    are those of the most accurate epoch.
+    """
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("share", "label", "u"), F.lit(2**32)) < int(2**32 * min(1.0, most_rows / max(n, 1))))
+    pdf = some.orderBy("share").toPandas()
+    u, i, y = np.stack(pdf["u"]), np.stack(pdf["i"]), pdf["label"].to_numpy(float)
+    train = pdf["share"].to_numpy() < 0.8
+    rng = np.random.default_rng(seed)
+    w = [rng.normal(0, 1 / np.sqrt(a), (a, b)) for a, b in ((u.shape[1], hidden), (hidden, out), (i.shape[1], hidden), (hidden, out))]
+    m, s = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+
+    def forward(w, a, b):
+        ha, hb = np.maximum(a @ w[0], 0), np.maximum(b @ w[2], 0)
+        return ha, hb, ha @ w[1], hb @ w[3]
+
+    def held_out(w):
+        _, _, a, b = forward(w, u[~train], i[~train])
+        p = np.clip(1 / (1 + np.exp(-(a * b).sum(axis=1))), 1e-9, 1 - 1e-9)
+        t = y[~train]
+        return float(-(t * np.log(p) + (1 - t) * np.log(1 - p)).mean()), float(((p >= 0.5) == (t >= 0.5)).mean())
+
+    best, report, at = None, [], np.flatnonzero(train)
+    steps = epochs * -(-len(at) // batch)
+    t = 0
+    for epoch in range(epochs):
+        for k in range(0, len(at), batch):
+            on, t = at[rng.permutation(len(at))[:batch]], t + 1
+            ha, hb, a, b = forward(w, u[on], i[on])
+            g = ((1 / (1 + np.exp(-(a * b).sum(axis=1))) - y[on]) / len(on))[:, None]
+            ga, gb = g * b, g * a
+            grads = [u[on].T @ ((ga @ w[1].T) * (ha > 0)), ha.T @ ga, i[on].T @ ((gb @ w[3].T) * (hb > 0)), hb.T @ gb]
+            for x, grad, mk, sk in zip(w, grads, m, s):
+                mk += 0.1 * (grad - mk)
+                sk += 0.001 * (grad * grad - sk)
+                x -= rate * (1 - (t - 1) / steps) * (mk / (1 - 0.9**t) / (np.sqrt(sk / (1 - 0.999**t)) + 1e-8) + decay * x)
+        loss, accuracy = held_out(w)
+        report.append([epoch, loss, accuracy])
+        if best is None or accuracy > best[0]:
+            best = accuracy, epoch, [x.copy() for x in w]
+    return best[2], [(e, loss, accuracy, e == best[1]) for e, loss, accuracy in report]

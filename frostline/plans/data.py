@@ -236,8 +236,8 @@ def sft_examples(spark, d):
     return ix.select("user_id", "item_id", F.lit(1).alias("label"), F.round(0.6 + noise, 2).alias("soft")).union(neg.select("user_id", "item_id", F.lit(0), F.round(noise, 2)))
 
 
-def drawn_negatives(positives, items):
-    """(user_id, item_id): for each user min(positives, unseen items) items that the user hasn't met, none twice.
+def drawn_negatives(positives, items, ratio=1):
+    """(user_id, item_id): for each user min(ratio * positives, unseen items) items that the user hasn't met, none twice.
 
     ``positives`` are distinct pairs, ``items`` distinct ids from 0.  Users who have met less than a quarter
     of the items draw four times their need and more by hash, and keep the first fresh ones; all others, and
@@ -246,7 +246,7 @@ def drawn_negatives(positives, items):
     n, top = items.agg(F.count("*"), F.coalesce(F.max("item_id"), F.lit(-1)) + 1).first()
     known = stored(positives.join(items, "item_id", "left_semi").select("user_id", "item_id"))
     met = known.groupBy("user_id").agg(F.count("*").alias("met"))
-    counts = positives.groupBy("user_id").agg(F.count("*").alias("n")).join(met, "user_id", "left")
+    counts = positives.groupBy("user_id").agg((F.count("*") * ratio).alias("n")).join(met, "user_id", "left")
     unseen = F.lit(n) - F.coalesce("met", F.lit(0))
     users = stored(counts.select("user_id", F.least("n", unseen).alias("need"), (4 * F.col("n") < n).alias("light")).where("need > 0"))
     draws = users.where("light").select("user_id", "need", F.explode(F.sequence(F.lit(1).cast("long"), 4 * F.col("need") + 16)).alias("draw"))

@@ -51,7 +51,11 @@ def propagate_one_layer(spark, d):
 @query()
 def propagate_one_layer_whole(spark, d):
     """Mean of whole vectors before and after one step over the graph; the SQL above covers eight components."""
-    return _propagated(spark, d, F.col("v"))
+    from frostline.operators.factors import propagated
+    from frostline.plans.training import _graph
+
+    found = propagated(*_graph(spark, d), 1)
+    return found.select("side", "id", F.posexplode("v").alias("k", "x")).select("side", "id", (F.col("k") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def _propagated(spark, d, components):

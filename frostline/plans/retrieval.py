@@ -230,7 +230,7 @@ def edges_high_first(spark, d):
     return E.high_first(scored_pairs(spark, d), 0.5, 10)
 
 
-@query(_edge_sql(_CR + f""", weak AS (SELECT entity_type, user_id, content_rank, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY content_rank) AS nth FROM c WHERE content_rank > 4 AND content_rank <= 10 AND llm < 0.5), strong AS (SELECT entity_type, user_id, item_id AS new_item, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY content_rank) AS nth FROM c WHERE content_rank > 10 AND llm >= 0.5), s AS (SELECT entity_type, user_id, content_rank, new_item FROM weak JOIN strong USING (entity_type, user_id, nth))
+@query(_edge_sql(_CR.replace("c AS (", "c AS MATERIALIZED (") + f""", weak AS MATERIALIZED (SELECT entity_type, user_id, content_rank, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY content_rank) AS nth FROM c WHERE content_rank > 4 AND content_rank <= 10 AND llm < 0.5), strong AS MATERIALIZED (SELECT entity_type, user_id, item_id AS new_item, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY content_rank) AS nth FROM c WHERE content_rank > 10 AND llm >= 0.5), s AS (SELECT entity_type, user_id, content_rank, new_item FROM weak JOIN strong USING (entity_type, user_id, nth))
 SELECT user_id, coalesce(new_item, item_id) AS item_id, entity_type, CAST(content_rank AS INTEGER) AS rank, new_item IS NOT NULL AS swapped FROM c LEFT JOIN s USING (entity_type, user_id, content_rank) WHERE content_rank <= 10"""))
 def edges_tail_swap(spark, d):
     return E.tail_swap(scored_pairs(spark, d), 0.5, 4, 10)
