@@ -185,6 +185,29 @@ def score_moments(targets: DataFrame, pool: DataFrame) -> DataFrame:
     return targets.select("id", "v").mapInArrow(moments, "target long, mean double, sd double")
 
 
+def rounded_moments(targets: DataFrame, pool: DataFrame, block: int = 4 * BLOCK) -> DataFrame:
+    """``score_moments`` of scores rounded to nine decimals: they are made block by block, and three sums of each target sent on."""
+    pool = stored(pool.select("id", "v"))
+    blocks = max(1, -(-pool.count() // block))
+    sums = targets.sparkSession.createDataFrame([], "target long, n long, s double, q double")
+    for k in range(blocks):
+        t = pool.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("v").toArrow()  # one block of the pool
+        held = pool.sparkSession.sparkContext.broadcast(_matrix(t, "v"))
+
+        def of_batch(batches, held=held):
+            for batch in batches:
+                if batch.num_rows and len(held.value):
+                    a = _matrix(batch, "v")
+                    for i in range(0, len(a), 256):
+                        x = np.round(a[i : i + 256] @ held.value.T, 9)
+                        yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 256), pa.array(np.full(len(x), x.shape[1])), pa.array(x.sum(axis=1)), pa.array((x * x).sum(axis=1))], ["target", "n", "s", "q"])
+
+        sums = sums.union(targets.select("id", "v").mapInArrow(of_batch, "target long, n long, s double, q double"))
+    total = sums.groupBy("target").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    return total.select("target", mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - F.col("s") * mean) / F.greatest(F.col("n") - 1, F.lit(1)), F.lit(0.0))).alias("sd"))
+
+
 def standardised(scored: DataFrame, moments: DataFrame) -> DataFrame:
     """Scores less their target's mean, over its deviation or 1e-6."""
     return scored.join(moments, "target").withColumn("score", (F.col("score") - F.col("mean")) / F.greatest("sd", F.lit(1e-6))).drop("mean", "sd")
