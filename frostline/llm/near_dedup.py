@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash with banding, signatures, confirmed links, components.
 
 1. A document's set of word shingles is hashed to 64 bits; equal sets form a class, kept by its least
-   doc_id, and only classes go on.
+   doc_id and confirmed text by text, and only classes go on.
 2. ``bands * rows`` universal hash minima a class; each band's minima are a bucket's key.
 3. In a bucket every class is paired with the least class, not with every other.  Pairs are confirmed on
    the full sets and components are built.
@@ -14,13 +14,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.common import lower_words, materialize, table
+from frostline.llm.common import discard, lower_words, materialize, table
 from frostline.llm.components import connected_components
 
 #: Bits of a seed sequence; multipliers are derived from it, not listed.
@@ -92,7 +94,7 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, n_hashes: int) -> DataFrame:
-    """doc_id, n_shingles, fp1 and fp2 (of the whole set) and sig (minima, 32 bits each) of documents."""
+    """doc_id, n_shingles, fp1 and fp2 (of the whole set), text_key (128 bits of the text) and sig (minima, 32 bits each) of documents."""
 
     def sign(batches):
         a, b = hash_family(n_hashes)
@@ -113,9 +115,10 @@ def signatures(docs: DataFrame, width: int, n_hashes: int) -> DataFrame:
                 if i < len(sets) and sizes[i]:
                     part.append(i)
                     held += sizes[i]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "sig"])
+            keys = pa.array([hashlib.blake2b(t.encode(), digest_size=16).digest() if t else None for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), keys, pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "text_key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, text_key binary, sig binary")
 
 
 def band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -263,6 +266,19 @@ def family_links(families: DataFrame, docs: DataFrame, width: int, percent: int,
     return rows.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
+def check_classes(some: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> None:
+    """Hold one document of every distinct text of a class against the class's least, on the full sets.
+
+    Sets that differ in spite of equal fingerprints (128 bits and the size) are an error.
+    """
+    texts = some.groupBy("fp1", "fp2", "n_shingles", "text_key").agg(F.min("doc_id").alias("b"))
+    pairs = materialize(texts.join(sets, ["fp1", "fp2", "n_shingles"]).where("b <> node").select(F.col("node").alias("a"), "b").distinct(), "variants")
+    same = confirmed(pairs, docs, width, 100).distinct().count()
+    if same != (n := pairs.count()):
+        raise RuntimeError(f"{n - same} documents have another's fingerprints and other shingles")
+    discard(pairs)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, margin: float = 0.15) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -274,6 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     signed = materialize(signatures(docs, width, bands * rows), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
+    check_classes(some, sets, docs, width)
     # One row for each class: its least document's (repeated rows of it are alike).
     own = some.select(F.col("doc_id").alias("node"), "fp1", "fp2", "n_shingles", "sig").join(sets, ["node", "fp1", "fp2", "n_shingles"], "left_semi")
     classes = own.groupBy("node", "n_shingles").agg(F.first("sig").alias("sig"))
@@ -301,8 +318,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
         tied = materialize(connected_components(stars.union(links)), "components")
 
     members = sets.join(tied, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    full = signed.drop("sig").where("n_shingles > 0").join(members, ["fp1", "fp2", "n_shingles"], "left")
-    empty = signed.drop("sig").where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    full = signed.drop("sig", "text_key").where("n_shingles > 0").join(members, ["fp1", "fp2", "n_shingles"], "left")
+    empty = signed.drop("sig", "text_key").where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return full.select("doc_id", "n_shingles", "component_id").union(empty.select("doc_id", "n_shingles", "component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
