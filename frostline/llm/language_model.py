@@ -171,7 +171,7 @@ def _estimates(unit: Unit, counts: list[dict[str, np.ndarray]], totals: tuple[in
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
-    """Half octaves of a probability, so held-out counts fit a table of bounded size."""
+    """For learning the weights only, never for scores: half octaves of a probability, so held-out counts fit a table of bounded size."""
     return np.where(p > 0, np.rint(2 * np.log2(np.maximum(p, 1e-300))), _NONE).astype(np.int64)
 
 
@@ -203,6 +203,13 @@ def learn_weights(rows: list[tuple[int, int, int, int]], uniform: float, rounds:
     return weights
 
 
+def without_context(weights: np.ndarray) -> np.ndarray:
+    """Bucket 0 has the contexts that were never seen: order 2 tells nothing there, and its weight goes to the others."""
+    weights[0, 0] = 0
+    weights[0] /= weights[0].sum()
+    return weights
+
+
 def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int = 5_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -235,7 +242,7 @@ def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int =
             yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(n, pa.int64())], ["bucket", "q2", "q1", "n"])
 
     held = docs.mapInArrow(hold, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n"))
-    weights = learn_weights([tuple(r) for r in held.orderBy("bucket", "q2", "q1").collect()], uniform)  # bounded by the quantised values
+    weights = without_context(learn_weights([tuple(r) for r in held.orderBy("bucket", "q2", "q1").collect()], uniform))  # bounded by the quantised values
 
     def score(batches):
         for unit in units(batches, most_chars):
