@@ -85,8 +85,9 @@ def _closing(placed: DataFrame) -> DataFrame:
     equally often taken, that of least hash is asked.
     """
     gaps = placed.groupBy("_key").agg((F.first("_quota") - F.sum(F.col("size") * F.col("_times"))).alias("_gap")).where(F.abs("_gap") >= LEAST_BLOCK)
-    near = placed.where("size > 0").join(gaps, "_key").where(F.col("size") < 2 * F.abs("_gap"))
-    one = near.groupBy("_key", "_gap", "size", "_times", "_most").agg(F.min(F.struct("_h", "_start")).alias("_first"))
+    # One row for each size and number of times of a source, before a source's rows meet.
+    sizes = placed.where("size > 0").groupBy("_key", "size", "_times", "_most").agg(F.min(F.struct("_h", "_start")).alias("_first"))
+    one = sizes.join(gaps, "_key").where(F.col("size") < 2 * F.abs("_gap"))
     move = lambda way: F.struct((F.col("size") * way).alias("words"), (F.col("_times") * way).alias("often"), F.col("_first._start").alias("start"), F.lit(way).alias("more"))
     moves = F.array_compact(F.array(F.when(F.col("_times") < F.col("_most"), move(1)), F.when(F.col("_times") > 0, move(-1))))
     lists = one.select("_key", "_gap", F.explode(moves).alias("_move")).groupBy("_key", "_gap").agg(F.collect_list("_move").alias("_moves"))
@@ -110,7 +111,7 @@ def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 2_048) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, times, shards, and _key and _h, of every document.
 
     ``times`` is how often the document is taken, whole; ``taken`` its words so often; ``shards`` has the
