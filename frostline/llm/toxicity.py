@@ -2,8 +2,9 @@
 
 Terms (words, and stems that start many words) are mined from the document frequencies of all labelled
 training documents.  They form a trie; the automaton of words within a few edits of a term is the trie
-walked with edit counts, made deterministic state by state as words need it.  A hit counts for less where
-its window of words reports or quotes it than where it addresses someone.
+walked with edit counts, made deterministic state by state as words need it.  A hit counts for more or
+less by its context, whether its window of words quotes it, reports it or addresses someone; by how much
+is learned from all labelled documents.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ BITS, BUCKET = 2**23, 2**15
 #: In place of an awaited letter: the word goes on after a stem.  No letter equals it.
 STEM = "stem"
 
+#: Parts of a context, added up to its number, and numbers for a hit in any context and for every document.
+QUOTED, REPORTED, ADDRESSED, ANYWHERE, DOCUMENT = 1, 2, 4, 8, 9
+#: Factors of a hit's weight by number of its context, before labels tell more.
+PRIOR_FACTORS = (1.0, 0.5, 0.8, 0.25, 1.2, 0.5, 0.96, 0.25)
+
 FEATURES = {"abuse": 1, "strongest": 1, "exact": 1, "misspelled": 1, "quoted": 0, "density": 1}
 
 
@@ -222,9 +228,8 @@ class FuzzyTrie:
         return hit
 
 
-def context_scores(text: str, words: list[str], hits: list[int], window: int = 6) -> list[tuple[float, bool]]:
-    """For each hit, a factor for its weight (0.25 where reported in quotes, over 1 where it addresses
-    someone) and whether it is quoted."""
+def contexts(words: list[str], hits: list[int], window: int = 6) -> list[int]:
+    """For each hit the number of its context: QUOTED, REPORTED and ADDRESSED, added up."""
     if not hits:
         return []
     marks, inside = [], False
@@ -235,46 +240,82 @@ def context_scores(text: str, words: list[str], hits: list[int], window: int = 6
     out = []
     for i in hits:
         near = [bare(w) for w in words[max(0, i - window) : i + window + 1]]
-        reported = any(w in REPORTING for w in near)
         quoted = marks[i] and (any(marks[i + 1 : i + window + 1]) or any(c in QUOTES for c in words[i]))
-        factor = 0.25 if quoted and reported else 0.5 if quoted else 0.8 if reported else 1.0
-        out.append((factor * (1.2 if any(w in ADDRESS for w in near) and not quoted else 1.0), quoted))
+        out.append(QUOTED * quoted + REPORTED * any(w in REPORTING for w in near) + ADDRESSED * any(w in ADDRESS for w in near))
     return out
 
 
-def text_features(text: str | None, trie: FuzzyTrie) -> tuple[float, ...]:
-    """FEATURES of a text; null and empty texts have zeros."""
+def _hits(text: str | None, trie: FuzzyTrie) -> tuple[list[str], list[int]]:
+    """A text's words and the places of those that are terms."""
     words = (text or "").lower().split()
     known, find = trie.known, trie.find
     for w in set(words).difference(known):
         find(w)
-    hits = [i for i, w in enumerate(words) if (known[w] if w in known else find(w))]
+    return words, [i for i, w in enumerate(words) if (known[w] if w in known else find(w))]
+
+
+def text_features(text: str | None, trie: FuzzyTrie, factors: tuple[float, ...] = PRIOR_FACTORS) -> tuple[float, ...]:
+    """FEATURES of a text; null and empty texts have zeros.  ``factors``: of a hit's weight, by context."""
+    words, hits = _hits(text, trie)
     abuse = strongest = 0.0
     exact = misspelled = quoted = 0
-    for i, (factor, inside) in zip(hits, context_scores(text or "", words, hits)):
-        _, weight, edits = find(words[i])
-        s = factor * weight * 0.8**edits
+    for i, context in zip(hits, contexts(words, hits)):
+        _, weight, edits = trie.find(words[i])
+        inside = bool(context & QUOTED)
+        s = factors[context] * weight * 0.8**edits
         abuse, strongest = abuse + s, max(strongest, s)
         exact, misspelled, quoted = exact + (edits == 0 and not inside), misspelled + (edits > 0 and not inside), quoted + inside
     return (min(abuse, 100.0), strongest, min(exact, 20), min(misspelled, 20), min(quoted, 20), min(20.0, abuse / max(len(words), 1) * 100))
 
 
-def _featured(docs: DataFrame, lexicon) -> DataFrame:
+def learn_factors(labelled: DataFrame, lexicon, shrink: float = 20.0) -> tuple[float, ...]:
+    """Factors by context, from all labelled rows (text, toxic) given.
+
+    A context's log odds are those of a document having a hit in it, toxic against clean; its factor is
+    their share of the log odds of a hit in any context, from 0 to 1.5.  It is averaged with the context's
+    prior factor, which counts as much as ``shrink`` documents do.
+    """
+
+    def count(batches):
+        trie = FuzzyTrie(lexicon.value)
+        seen: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words, hits = _hits(text, trie)
+                seen.update((c, toxic) for c in {DOCUMENT, *contexts(words, hits), *([ANYWHERE] if hits else [])})
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["context", "toxic", "n"])
+
+    counts = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "context int, toxic int, n long").groupBy("context", "toxic").agg(F.sum("n").alias("n"))
+    n = Counter({(r["context"], r["toxic"]): r["n"] for r in counts.collect()})  # ten contexts, two labels
+
+    def log_odds(context: int) -> float:
+        return math.log((n[context, 1] + 0.5) / (n[DOCUMENT, 1] + 1)) - math.log((n[context, 0] + 0.5) / (n[DOCUMENT, 0] + 1))
+
+    whole = log_odds(ANYWHERE)
+    if whole <= 0:
+        return PRIOR_FACTORS
+    seen = [n[c, 0] + n[c, 1] for c in range(len(PRIOR_FACTORS))]
+    learned = [min(max(log_odds(c) / whole, 0.0), 1.5) for c in range(len(PRIOR_FACTORS))]
+    return tuple((k * f + shrink * prior) / (k + shrink) for k, f, prior in zip(seen, learned, PRIOR_FACTORS))
+
+
+def _featured(docs: DataFrame, lexicon, factors: tuple[float, ...]) -> DataFrame:
     kinds = ", ".join(f"{f} double" for f in FEATURES)
 
     def featured(batches):
         trie = FuzzyTrie(lexicon.value)
         for batch in batches:
-            x = np.array([text_features(t, trie) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", *FEATURES])
 
     return docs.select("doc_id", "text").mapInArrow(featured, f"doc_id long, {kinds}")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
-    """The lexicon and the trees over FEATURES, learned from labelled rows that aren't held out.
+    """The lexicon, the contexts' factors and the trees over FEATURES, learned from labelled rows that aren't held out.
 
-    The lexicon's frequencies cover all of them; the trees are fitted to at most ``most_rows``, one row an
+    The lexicon's and the contexts' frequencies cover all of them; the trees are fitted to at most ``most_rows``, one row an
     id and those with the smallest hashes of their ids.  Where they lack labels of either class, there are
     no terms and every score is PRIOR.
     """
@@ -283,14 +324,15 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
     # Merged at every size: labels grow with the documents, so they are never broadcast.
     labelled = materialize(docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id"), "labelled")
     lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
-    sample = _featured(by_smallest_hash(labelled, labelled.count(), most_rows), lexicon)
+    factors = learn_factors(labelled, lexicon)
+    sample = _featured(by_smallest_hash(labelled, labelled.count(), most_rows), lexicon, factors)
     once = sample.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "x.*")
     rows = once.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).toPandas()
     x, y = rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float)
     model = trees.fit(x, y, np.array(list(FEATURES.values())), trees=40, depth=3)
     if not 0 < y.sum() < len(y):
         model = replace(model, start=math.log(PRIOR / (1 - PRIOR)))
-    return lexicon, spark.sparkContext.broadcast(model)
+    return lexicon, factors, spark.sparkContext.broadcast(model)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -299,7 +341,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts score as texts without hits.  Repeated rows are each scored.  Labels of unknown
     documents and null labels play no part; without labels of both classes every score is PRIOR.
     """
-    lexicon, model = toxicity_model(docs, labels)
+    lexicon, factors, model = toxicity_model(docs, labels)
     kinds = ", ".join(f"{f} double" for f in FEATURES)
 
     def judge(batches):
@@ -307,7 +349,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.stack([batch.column(f).to_numpy() for f in FEATURES], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.score(x))], [*batch.schema.names, "score"])
 
-    scored = _featured(docs, lexicon).mapInArrow(judge, f"doc_id long, {kinds}, score double")
+    scored = _featured(docs, lexicon, factors).mapInArrow(judge, f"doc_id long, {kinds}, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
 
 
@@ -316,12 +358,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Without labels of both classes all rows stay.
     """
-    lexicon, model = toxicity_model(docs, labels)
+    lexicon, factors, model = toxicity_model(docs, labels)
 
     def keep(batches):
         trie = FuzzyTrie(lexicon.value)
         for batch in batches:
-            x = np.array([text_features(t, trie) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.value.score(x) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
