@@ -10,9 +10,11 @@ is learned from all labelled documents.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import replace
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from frostline.llm.common import by_smallest_hash, fold, materialize, table
 #: Marks around words, marks of quotation, words that report speech and that address someone.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„‚‹›¿¡…–—"
 QUOTES = '"«»“”„‹›'
+QUOTED_WORD = re.compile(f"[{QUOTES}]").search
 REPORTING = frozenset("said says say wrote writes quoted quote quotes called calling word words term terms reported sagte schrieb zitat zitiert wort nannte dit écrit cité citation mot appelé dijo escribió cita citó palabra llamó".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dir ihr euch dein deine tu te toi vous votre ton usted ustedes tú vosotros".split())
 STEMS = (4, 5, 6)
@@ -35,12 +38,14 @@ BITS, BUCKET = 2**23, 2**15
 #: In place of an awaited letter: the word goes on after a stem.  No letter equals it.
 STEM = "stem"
 
-#: Parts of a context, added up to its number, and numbers for a hit in any context and for every document.
-QUOTED, REPORTED, ADDRESSED, ANYWHERE, DOCUMENT = 1, 2, 4, 8, 9
+#: Parts of a context, added up to its number.
+QUOTED, REPORTED, ADDRESSED = 1, 2, 4
 #: Factors of a hit's weight by number of its context, before labels tell more.
 PRIOR_FACTORS = (1.0, 0.5, 0.8, 0.25, 1.2, 0.5, 0.96, 0.25)
 
+HIT_SUMS = {"sums": "array<double>", "tops": "array<double>", "exact": "long", "misspelled": "long", "quoted": "long", "words": "long"}
 FEATURES = {"abuse": 1, "strongest": 1, "exact": 1, "misspelled": 1, "quoted": 0, "density": 1}
+KINDS = ", ".join(f"{f} double" for f in FEATURES)
 
 
 def bare(word: str) -> str:
@@ -133,10 +138,10 @@ class FuzzyTrie:
 
     Words of 5 letters or more may have one edit, of 9 or more two; stems have none, and win over words.
     States of the automaton are sets of (node, edits, letter awaited after a swap, or STEM past a stem's
-    end), made as words lead there.
+    end), made as words lead there; beyond ``most_states`` they are made anew, so memory is bounded.
     """
 
-    def __init__(self, lexicon: dict[str, float], most_known: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], most_known: int = 400_000, most_states: int = 100_000):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[tuple[str, float, int] | None] = [None]
         self.stem: list[tuple[str, float, int] | None] = [None]
@@ -154,21 +159,25 @@ class FuzzyTrie:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
             (self.stem if stem else self.term)[node] = (t, weight, edits)
+        self.known: dict[str, tuple | None] = {}
+        self.most_known, self.most_states = most_known, most_states
+        self._restart()
+
+    def _restart(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.start = self._state({(0, 0, "")})
-        self.known: dict[str, tuple | None] = {}
-        self.most_known = most_known
 
     def _state(self, items: set) -> int:
-        todo, seen = list(items), set(items)
+        reach, seen = self.reach, set(items)
+        todo = [x for x in items if not x[2] and x[1] < reach[x[0]]]
         while todo:  # letters left out of the word
-            node, e, wait = todo.pop()
-            if not wait:
-                for child in self.children[node].values():
-                    if e < self.reach[child] and (child, e + 1, "") not in seen:
-                        seen.add((child, e + 1, ""))
+            node, e, _ = todo.pop()
+            for child in self.children[node].values():
+                if e < reach[child] and (child, e + 1, "") not in seen:
+                    seen.add((child, e + 1, ""))
+                    if e + 1 < reach[child]:
                         todo.append((child, e + 1, ""))
         best = {}
         for node, e, wait in seen:
@@ -181,7 +190,7 @@ class FuzzyTrie:
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        out = set()
+        out, children, reach = set(), self.children, self.reach
         for node, e, wait in self.sets[state]:
             if wait:
                 if wait == STEM:
@@ -191,22 +200,24 @@ class FuzzyTrie:
                 continue
             if self.stem[node] and e == 0:
                 out.add((node, 0, STEM))  # a stem takes any ending
-            if c in self.children[node]:
-                out.add((self.children[node][c], e, ""))
-            if e < self.reach[node]:
+            below = children[node]
+            if c in below:
+                out.add((below[c], e, ""))
+            if e < reach[node]:
                 out.add((node, e + 1, ""))
-            for x, child in self.children[node].items():
-                if e < self.reach[child]:
-                    if x != c:
+                for x, child in below.items():
+                    if x != c and e < reach[child]:
                         out.add((child, e + 1, ""))
-                    if c in self.children[child] and c != x:
-                        out.add((self.children[child][c], e + 1, x))
+                        if c in children[child]:
+                            out.add((children[child][c], e + 1, x))
         return self._state(out) if out else -1
 
     def find(self, raw: str) -> tuple[str, float, int] | None:
         """(term, log odds, edits) of the nearest term, or None."""
         if raw in self.known:
             return self.known[raw]
+        if len(self.sets) > self.most_states:
+            self._restart()
         state = self.start
         for c in bare(raw):
             step = self.next[state]
@@ -232,84 +243,117 @@ def contexts(words: list[str], hits: list[int], window: int = 6) -> list[int]:
     """For each hit the number of its context: QUOTED, REPORTED and ADDRESSED, added up."""
     if not hits:
         return []
-    marks, inside = [], False
-    for w in words:  # a word opens or closes a quotation by the quotation marks on it
-        n = sum(c in QUOTES for c in w) if any(c in QUOTES for c in w) else 0
-        marks.append(inside or n > 0)
-        inside ^= n % 2 == 1
+    marks, inside, last = [], False, 0
+    for i, w in enumerate(words):  # a word opens or closes a quotation by the quotation marks on it
+        if QUOTED_WORD(w):
+            marks += [inside] * (i - last) + [True]
+            inside ^= sum(c in QUOTES for c in w) % 2 == 1
+            last = i + 1
+    marks += [inside] * (len(words) - last)
     out = []
     for i in hits:
         near = [bare(w) for w in words[max(0, i - window) : i + window + 1]]
-        quoted = marks[i] and (any(marks[i + 1 : i + window + 1]) or any(c in QUOTES for c in words[i]))
+        quoted = marks[i] and (any(marks[i + 1 : i + window + 1]) or bool(QUOTED_WORD(words[i])))
         out.append(QUOTED * quoted + REPORTED * any(w in REPORTING for w in near) + ADDRESSED * any(w in ADDRESS for w in near))
     return out
 
 
-def _hits(text: str | None, trie: FuzzyTrie) -> tuple[list[str], list[int]]:
-    """A text's words and the places of those that are terms."""
+def hit_sums(text: str | None, trie: FuzzyTrie) -> tuple:
+    """HIT_SUMS of a text: for each context the sum and the greatest of its hits' weights, before factors,
+    then numbers of hits and of words."""
     words = (text or "").lower().split()
     known, find = trie.known, trie.find
     for w in set(words).difference(known):
         find(w)
-    return words, [i for i, w in enumerate(words) if (known[w] if w in known else find(w))]
-
-
-def text_features(text: str | None, trie: FuzzyTrie, factors: tuple[float, ...] = PRIOR_FACTORS) -> tuple[float, ...]:
-    """FEATURES of a text; null and empty texts have zeros.  ``factors``: of a hit's weight, by context."""
-    words, hits = _hits(text, trie)
-    abuse = strongest = 0.0
+    hits = [i for i, w in enumerate(words) if (known[w] if w in known else find(w))]
+    sums, tops = [0.0] * len(PRIOR_FACTORS), [0.0] * len(PRIOR_FACTORS)
     exact = misspelled = quoted = 0
     for i, context in zip(hits, contexts(words, hits)):
-        _, weight, edits = trie.find(words[i])
+        _, weight, edits = find(words[i])
+        s = weight * 0.8**edits
+        sums[context], tops[context] = sums[context] + s, max(tops[context], s)
         inside = bool(context & QUOTED)
-        s = factors[context] * weight * 0.8**edits
-        abuse, strongest = abuse + s, max(strongest, s)
         exact, misspelled, quoted = exact + (edits == 0 and not inside), misspelled + (edits > 0 and not inside), quoted + inside
-    return (min(abuse, 100.0), strongest, min(exact, 20), min(misspelled, 20), min(quoted, 20), min(20.0, abuse / max(len(words), 1) * 100))
+    return sums, tops, exact, misspelled, quoted, len(words)
+
+
+def weighed(sums: list, tops: list, exact: int, misspelled: int, quoted: int, words: int, factors: tuple[float, ...]) -> tuple[float, ...]:
+    """FEATURES from HIT_SUMS and the factors of contexts."""
+    abuse = sum(f * s for f, s in zip(factors, sums))
+    strongest = max(f * s for f, s in zip(factors, tops))
+    return (min(abuse, 100.0), strongest, min(exact, 20), min(misspelled, 20), min(quoted, 20), min(20.0, abuse / max(words, 1) * 100))
+
+
+def text_features(text: str | None, trie: FuzzyTrie, factors: tuple[float, ...] = PRIOR_FACTORS) -> tuple[float, ...]:
+    """FEATURES of a text; null and empty texts have zeros.  ``factors``: of a hit's weight, by context."""
+    return weighed(*hit_sums(text, trie), factors)
+
+
+@lru_cache(maxsize=1)
+def _trie(terms: tuple[tuple[str, float], ...]) -> FuzzyTrie:
+    """The trie of a lexicon, kept with the states it has made from task to task of a Python process."""
+    return FuzzyTrie(dict(terms))
 
 
-def learn_factors(labelled: DataFrame, lexicon, shrink: float = 20.0) -> tuple[float, ...]:
-    """Factors by context, from all labelled rows (text, toxic) given.
+def _with_sums(labelled: DataFrame, lexicon) -> DataFrame:
+    """HIT_SUMS of labelled texts beside doc_id and toxic."""
+    kinds = ", ".join(f"{c} {t}" for c, t in HIT_SUMS.items())
+
+    def summed(batches):
+        trie = _trie(lexicon.value)
+        for batch in batches:
+            cols = list(zip(*(hit_sums(t, trie) for t in batch.column("text").to_pylist()))) or [()] * len(HIT_SUMS)
+            types = [pa.list_(pa.float64())] * 2 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "toxic", *HIT_SUMS])
+
+    return labelled.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(summed, f"doc_id long, toxic int, {kinds}")
+
+
+def factors_of(summed: DataFrame, shrink: float = 20.0) -> tuple[float, ...]:
+    """Factors by context, from the HIT_SUMS of all labelled texts.
 
     A context's log odds are those of a document having a hit in it, toxic against clean; its factor is
     their share of the log odds of a hit in any context, from 0 to 1.5.  It is averaged with the context's
     prior factor, which counts as much as ``shrink`` documents do.
     """
+    within = [F.count(F.when(F.col("tops")[c] > 0, 1)).alias(f"in{c}") for c in range(len(PRIOR_FACTORS))]
+    anywhere = F.count(F.when(F.array_max("tops") > 0, 1)).alias("anywhere")
+    n = {r["toxic"]: r for r in summed.groupBy("toxic").agg(*within, anywhere, F.count("*").alias("all")).collect()}
+    if 0 not in n or 1 not in n:
+        return PRIOR_FACTORS
 
-    def count(batches):
-        trie = FuzzyTrie(lexicon.value)
-        seen: Counter[tuple[int, int]] = Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words, hits = _hits(text, trie)
-                seen.update((c, toxic) for c in {DOCUMENT, *contexts(words, hits), *([ANYWHERE] if hits else [])})
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["context", "toxic", "n"])
-
-    counts = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "context int, toxic int, n long").groupBy("context", "toxic").agg(F.sum("n").alias("n"))
-    n = Counter({(r["context"], r["toxic"]): r["n"] for r in counts.collect()})  # ten contexts, two labels
-
-    def log_odds(context: int) -> float:
-        return math.log((n[context, 1] + 0.5) / (n[DOCUMENT, 1] + 1)) - math.log((n[context, 0] + 0.5) / (n[DOCUMENT, 0] + 1))
+    def log_odds(column: str) -> float:
+        return math.log((n[1][column] + 0.5) / (n[1]["all"] + 1)) - math.log((n[0][column] + 0.5) / (n[0]["all"] + 1))
 
-    whole = log_odds(ANYWHERE)
+    whole = log_odds("anywhere") if n[0]["anywhere"] + n[1]["anywhere"] else 0.0
     if whole <= 0:
         return PRIOR_FACTORS
-    seen = [n[c, 0] + n[c, 1] for c in range(len(PRIOR_FACTORS))]
-    learned = [min(max(log_odds(c) / whole, 0.0), 1.5) for c in range(len(PRIOR_FACTORS))]
-    return tuple((k * f + shrink * prior) / (k + shrink) for k, f, prior in zip(seen, learned, PRIOR_FACTORS))
+    out = []
+    for c, prior in enumerate(PRIOR_FACTORS):
+        seen = n[0][f"in{c}"] + n[1][f"in{c}"]
+        out.append((seen * min(max(log_odds(f"in{c}") / whole, 0.0), 1.5) + shrink * prior) / (seen + shrink))
+    return tuple(out)
+
+
+def learn_factors(labelled: DataFrame, lexicon) -> tuple[float, ...]:
+    """``factors_of`` the labelled rows (text, toxic) given, with a broadcast lexicon."""
+    terms = labelled.sparkSession.sparkContext.broadcast(tuple(sorted(lexicon.value.items())))
+    return factors_of(_with_sums(labelled.withColumn("doc_id", F.lit(0).cast("long")), terms))
+
+
+def _features(batch: pa.RecordBatch, trie: FuzzyTrie, factors: tuple[float, ...]) -> np.ndarray:
+    return np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
 
 
-def _featured(docs: DataFrame, lexicon, factors: tuple[float, ...]) -> DataFrame:
-    kinds = ", ".join(f"{f} double" for f in FEATURES)
+def _sampled(summed: DataFrame, factors: tuple[float, ...]) -> DataFrame:
+    """FEATURES of labelled texts from their HIT_SUMS."""
 
-    def featured(batches):
-        trie = FuzzyTrie(lexicon.value)
+    def weigh(batches):
         for batch in batches:
-            x = np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([weighed(*r, factors) for r in zip(*(batch.column(c).to_pylist() for c in HIT_SUMS))], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", *FEATURES])
 
-    return docs.select("doc_id", "text").mapInArrow(featured, f"doc_id long, {kinds}")
+    return summed.mapInArrow(weigh, f"doc_id long, {KINDS}")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
@@ -323,9 +367,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000):
     marked = labels.where("toxic in (0, 1)").where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Merged at every size: labels grow with the documents, so they are never broadcast.
     labelled = materialize(docs.select("doc_id", "text").join(marked.hint("merge"), "doc_id"), "labelled")
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(labelled))
-    factors = learn_factors(labelled, lexicon)
-    sample = _featured(by_smallest_hash(labelled, labelled.count(), most_rows), lexicon, factors)
+    lexicon = spark.sparkContext.broadcast(tuple(sorted(learn_lexicon(labelled).items())))
+    summed = materialize(_with_sums(labelled, lexicon), "hits")
+    factors = factors_of(summed)
+    sample = _sampled(by_smallest_hash(summed, summed.count(), most_rows), factors)
     once = sample.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "x.*")
     rows = once.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).toPandas()
     x, y = rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float)
@@ -342,14 +387,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents and null labels play no part; without labels of both classes every score is PRIOR.
     """
     lexicon, factors, model = toxicity_model(docs, labels)
-    kinds = ", ".join(f"{f} double" for f in FEATURES)
 
     def judge(batches):
+        trie = _trie(lexicon.value)
         for batch in batches:
-            x = np.stack([batch.column(f).to_numpy() for f in FEATURES], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.score(x))], [*batch.schema.names, "score"])
+            x = _features(batch, trie, factors)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(x.shape[1])), pa.array(model.value.score(x))], ["doc_id", *FEATURES, "score"])
 
-    scored = _featured(docs, lexicon, factors).mapInArrow(judge, f"doc_id long, {kinds}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(judge, f"doc_id long, {KINDS}, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
 
 
@@ -361,9 +406,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon, factors, model = toxicity_model(docs, labels)
 
     def keep(batches):
-        trie = FuzzyTrie(lexicon.value)
+        trie = _trie(lexicon.value)
         for batch in batches:
-            x = np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            x = _features(batch, trie, factors)
             yield batch.filter(pa.array(model.value.score(x) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -30,3 +30,10 @@ def test_factors_without_hits_are_the_priors(spark):
 def test_contexts():
     words = 'you said the "glorp" is a glorp'.split()
     assert toxicity.contexts(words, [3, 6]) == [7, 6] and toxicity.contexts(words, []) == []
+
+
+def test_states_made_anew_find_the_same():
+    lexicon = {"idiot": 5.0, "worthless": 4.0, "scum": 3.0, "zorb*": 2.0}
+    words = [w for k in range(40) for w in (f"idi{k}ot", f"worthl{k}ss", f"w{k}rthlss", f"zorb{k}", f"s{k}um")]
+    one, other = toxicity.FuzzyTrie(lexicon, most_states=3), toxicity.FuzzyTrie(lexicon)
+    assert [one.find(w) for w in words] == [other.find(w) for w in words] and len(one.sets) < len(other.sets)
