@@ -9,11 +9,13 @@ is learned from all labelled documents.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
 from dataclasses import replace
 from collections import Counter
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -244,7 +246,7 @@ def contexts(words: list[str], hits: list[int], window: int = 6) -> list[int]:
     if not hits:
         return []
     marks, inside, last = [], False, 0
-    for i, w in enumerate(words):  # a word opens or closes a quotation by the quotation marks on it
+    for i, w in enumerate(words if QUOTED_WORD(" ".join(words)) else ()):  # a word opens or closes a quotation by the quotation marks on it
         if QUOTED_WORD(w):
             marks += [inside] * (i - last) + [True]
             inside ^= sum(c in QUOTES for c in w) % 2 == 1
@@ -289,6 +291,18 @@ def text_features(text: str | None, trie: FuzzyTrie, factors: tuple[float, ...]
     return weighed(*hit_sums(text, trie), factors)
 
 
+@contextmanager
+def _uncollected():
+    """States hold no references to one another, so the search for cycles among them is put off."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @lru_cache(maxsize=1)
 def _trie(terms: tuple[tuple[str, float], ...]) -> FuzzyTrie:
     """The trie of a lexicon, kept with the states it has made from task to task of a Python process."""
@@ -302,7 +316,8 @@ def _with_sums(labelled: DataFrame, lexicon) -> DataFrame:
     def summed(batches):
         trie = _trie(lexicon.value)
         for batch in batches:
-            cols = list(zip(*(hit_sums(t, trie) for t in batch.column("text").to_pylist()))) or [()] * len(HIT_SUMS)
+            with _uncollected():
+                cols = list(zip(*(hit_sums(t, trie) for t in batch.column("text").to_pylist()))) or [()] * len(HIT_SUMS)
             types = [pa.list_(pa.float64())] * 2 + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "toxic", *HIT_SUMS])
 
@@ -342,7 +357,8 @@ def learn_factors(labelled: DataFrame, lexicon) -> tuple[float, ...]:
 
 
 def _features(batch: pa.RecordBatch, trie: FuzzyTrie, factors: tuple[float, ...]) -> np.ndarray:
-    return np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+    with _uncollected():
+        return np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
 
 
 def _sampled(summed: DataFrame, factors: tuple[float, ...]) -> DataFrame:
