@@ -42,6 +42,7 @@ STEM = "stem"
 
 #: Parts of a context, added up to its number.
 QUOTED, REPORTED, ADDRESSED = 1, 2, 4
+SPEECH = {w: REPORTED * (w in REPORTING) + ADDRESSED * (w in ADDRESS) for w in REPORTING | ADDRESS}
 #: Factors of a hit's weight by number of its context, before labels tell more.
 PRIOR_FACTORS = (1.0, 0.5, 0.8, 0.25, 1.2, 0.5, 0.96, 0.25)
 
@@ -135,6 +136,94 @@ def learn_lexicon(labelled: DataFrame, least: int = 3, evidence: float = 18.0) -
     return {t: odds[t] for t in (*stems, *words)}
 
 
+#: Base and multiplier of hashes of words, modulo 2**64.
+BASE, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: What left-out letters a term's hashes are kept for: those of terms without edits, with one, with two; and of stems.
+BY_EDITS, STEMS_BIT = (1, 2, 4), 8
+
+
+class Shortened:
+    """Tells, many words at once, which may be a term: those that agree with one once letters are left out of both.
+
+    A word within e edits of a term agrees with it after at most e letters are left out of either (a swap
+    leaves one out of both), so no word that is a term is denied; what passes goes to the automaton.
+    Shortened words are compared by hashes, sums of letters times powers of BASE, in numpy.
+    """
+
+    def __init__(self, lexicon: dict[str, float]):
+        words = [t for t in lexicon if not t.endswith("*")]
+        self.stem_lengths = sorted({len(t) - 1 for t in lexicon if t.endswith("*")})
+        #: Words that are longer can only be words of a stem.
+        self.most = max((len(w) + 2 for w in words), default=0)
+        self.cut = max([self.most + 1, *self.stem_lengths])
+        self.up = np.array([pow(BASE, k, 2**64) for k in range(self.cut + 3)], np.uint64)
+        found = [(np.zeros(0, np.uint64), 0)]
+        for edits, bit in enumerate(BY_EDITS):
+            for _, rows in self._by_length([w for w in words if edits_of(w) == edits]):
+                found += [(h.ravel(), bit) for h in self._hashes(rows, edits)]
+        for _, rows in self._by_length([t[:-1] for t in lexicon if t.endswith("*")]):
+            found.append((self._hashes(rows, 0)[0].ravel(), STEMS_BIT))
+        hashes = np.concatenate([h for h, _ in found])
+        self.hashes, at = np.unique(hashes, return_inverse=True)
+        self.bits = np.zeros(len(self.hashes), np.uint8)
+        np.bitwise_or.at(self.bits, at, np.concatenate([np.full(len(h), bit, np.uint8) for h, bit in found]))
+        size = min(max(16, len(self.hashes).bit_length() + 5), 24)
+        self.shift, self.table = np.uint64(64 - size), np.zeros(2**size, np.uint8)
+        np.bitwise_or.at(self.table, self.hashes >> self.shift, self.bits)
+
+    def _by_length(self, words: list[str]):
+        """(places, letters of these words in rows) for each length."""
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        for n, places in by.items():
+            letters = "".join([words[k] for k in places]).encode("utf-32-le", "surrogatepass")
+            yield places, np.frombuffer(letters, np.uint32).reshape(len(places), n).astype(np.uint64)
+
+    def _hashes(self, rows: np.ndarray, edits: int):
+        """Hashes of the rows' words without up to ``edits`` letters: an array each for 0, 1, 2 letters left out."""
+        m, n = rows.shape
+        zero = np.zeros((m, 1), np.uint64)
+        # Sums of the letters before each place, at their own powers and at those one and two below.
+        own = np.concatenate([zero, np.cumsum(rows * self.up[2 : n + 2], axis=1)], axis=1)
+        one = np.concatenate([zero, np.cumsum(rows * self.up[1 : n + 1], axis=1)], axis=1)
+        out = [own[:, -1:] * SPREAD]
+        if edits > 0 and n > 0:
+            out.append((own[:, :-1] + (one[:, -1:] - one[:, 1:])) * SPREAD)
+        if edits > 1 and n > 1:
+            two = np.concatenate([zero, np.cumsum(rows * self.up[:n], axis=1)], axis=1)
+            later = one[:, :-1] + (two[:, -1:] - two[:, 1:])
+            out.append(np.concatenate([own[:, i : i + 1] - one[:, i + 1 : i + 2] + later[:, i + 1 :] for i in range(n - 1)], axis=1) * SPREAD)
+        return out
+
+    def _has(self, hashes: np.ndarray, mask: int) -> np.ndarray:
+        """Rows of which some hash is one of the terms' with a bit of ``mask``."""
+        out = np.zeros(len(hashes), bool)
+        row, col = np.nonzero(self.table[hashes >> self.shift] & np.uint8(mask))
+        if len(row):
+            h = hashes[row, col]
+            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out[row[(self.hashes[k] == h) & (self.bits[k] & mask > 0)]] = True
+        return out
+
+    def may_be_terms(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words), bool)
+        for places, rows in self._by_length([w[: self.cut] for w in words]):
+            found = np.zeros(len(rows), bool)
+            for k in self.stem_lengths:
+                if k <= rows.shape[1]:
+                    found |= self._has(self._hashes(rows[:, :k], 0)[0], STEMS_BIT)
+            if rows.shape[1] <= self.most:
+                for h, mask in zip(self._hashes(rows, 2), (7, 6, 4)):
+                    found |= self._has(h, mask)
+            out[places] = found
+        return out
+
+
+def edits_of(word: str) -> int:
+    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+
+
 class FuzzyTrie:
     """Finds the term that a word is, within edits: insertions, deletions, changes and swaps.
 
@@ -151,7 +240,7 @@ class FuzzyTrie:
         for t, weight in sorted(lexicon.items()):
             stem = t.endswith("*")
             word = t.rstrip("*")
-            edits = 0 if stem or len(word) < 5 else 1 if len(word) < 9 else 2
+            edits = 0 if stem else edits_of(word)
             node = 0
             self.reach[0] = max(self.reach[0], edits)
             for c in word:
@@ -161,7 +250,11 @@ class FuzzyTrie:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
             (self.stem if stem else self.term)[node] = (t, weight, edits)
-        self.known: dict[str, tuple | None] = {}
+        self.shortened = Shortened(lexicon)
+        #: Words met, what those are that are terms, and which report speech or address someone.
+        self.known: set[str] = set()
+        self.hits: dict[str, tuple[str, float, int]] = {}
+        self.speech: dict[str, int] = {}
         self.most_known, self.most_states = most_known, most_states
         self._restart()
 
@@ -192,32 +285,53 @@ class FuzzyTrie:
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        out, children, reach = set(), self.children, self.reach
+        out, children, reach, stem = set(), self.children, self.reach, self.stem
+        add = out.add
         for node, e, wait in self.sets[state]:
             if wait:
                 if wait == STEM:
-                    out.add((node, e, STEM))
+                    add((node, e, STEM))
                 elif c == wait:
-                    out.add((node, e, ""))
+                    add((node, e, ""))
                 continue
-            if self.stem[node] and e == 0:
-                out.add((node, 0, STEM))  # a stem takes any ending
+            if e == 0 and stem[node]:
+                add((node, 0, STEM))  # a stem takes any ending
             below = children[node]
             if c in below:
-                out.add((below[c], e, ""))
+                add((below[c], e, ""))
             if e < reach[node]:
-                out.add((node, e + 1, ""))
+                add((node, e + 1, ""))
                 for x, child in below.items():
                     if x != c and e < reach[child]:
-                        out.add((child, e + 1, ""))
-                        if c in children[child]:
-                            out.add((children[child][c], e + 1, x))
+                        add((child, e + 1, ""))
+                        after = children[child].get(c)
+                        if after is not None and e < reach[after]:
+                            add((after, e + 1, x))
         return self._state(out) if out else -1
 
+    def meet(self, texts: list[list[str]]) -> None:
+        """Has all words of the texts in ``known``; the automaton is spared those that can be no term."""
+        words = set().union(*texts)
+        new = list(words.difference(self.known))
+        if len(self.known) + len(new) > self.most_known:
+            self.known.clear(), self.hits.clear(), self.speech.clear()
+            new = list(words)
+        for a in range(0, len(new), 4096):
+            part = [(raw, bare(raw)) for raw in new[a : a + 4096]]
+            self.speech.update((raw, SPEECH[w]) for raw, w in part if w in SPEECH)
+            for k in np.flatnonzero(self.shortened.may_be_terms([w for _, w in part])):
+                if hit := self.walk(part[k][0]):
+                    self.hits[part[k][0]] = hit
+        self.known.update(new)
+
     def find(self, raw: str) -> tuple[str, float, int] | None:
         """(term, log odds, edits) of the nearest term, or None."""
-        if raw in self.known:
-            return self.known[raw]
+        if raw not in self.known:
+            self.meet([[raw]])
+        return self.hits.get(raw)
+
+    def walk(self, raw: str) -> tuple[str, float, int] | None:
+        """What ``find`` gives, by the automaton."""
         if len(self.sets) > self.most_states:
             self._restart()
         state = self.start
@@ -235,14 +349,14 @@ class FuzzyTrie:
             if ends or stems:
                 e, _, w, t = min(ends + stems)
                 hit = (t, -w, e)
-        if len(self.known) >= self.most_known:
-            self.known.clear()
-        self.known[raw] = hit
         return hit
 
 
-def contexts(words: list[str], hits: list[int], window: int = 6) -> list[int]:
-    """For each hit the number of its context: QUOTED, REPORTED and ADDRESSED, added up."""
+def contexts(words: list[str], hits: list[int], speech: dict[str, int] | None = None, window: int = 6) -> list[int]:
+    """For each hit the number of its context: QUOTED, REPORTED and ADDRESSED, added up.
+
+    ``speech`` has the words of SPEECH as they stand in the text, where that is known.
+    """
     if not hits:
         return []
     marks, inside, last = [], False, 0
@@ -252,26 +366,44 @@ def contexts(words: list[str], hits: list[int], window: int = 6) -> list[int]:
             inside ^= sum(c in QUOTES for c in w) % 2 == 1
             last = i + 1
     marks += [inside] * (len(words) - last)
-    out = []
+    if speech is None:
+        speech = {w: SPEECH[bare(w)] for w in set(words) if bare(w) in SPEECH}
+    said = [(i, speech[w]) for i, w in enumerate(words) if w in speech]
+    out, first = [], 0
     for i in hits:
-        near = [bare(w) for w in words[max(0, i - window) : i + window + 1]]
+        while first < len(said) and said[first][0] < i - window:
+            first += 1
+        near = 0
+        for j, kind in said[first : first + 2 * window + 1]:
+            near |= kind if j <= i + window else 0
         quoted = marks[i] and (any(marks[i + 1 : i + window + 1]) or bool(QUOTED_WORD(words[i])))
-        out.append(QUOTED * quoted + REPORTED * any(w in REPORTING for w in near) + ADDRESSED * any(w in ADDRESS for w in near))
+        out.append(QUOTED * quoted + near)
     return out
 
 
-def hit_sums(text: str | None, trie: FuzzyTrie) -> tuple:
-    """HIT_SUMS of a text: for each context the sum and the greatest of its hits' weights, before factors,
-    then numbers of hits and of words."""
-    words = (text or "").lower().split()
-    known, find = trie.known, trie.find
-    for w in set(words).difference(known):
-        find(w)
-    hits = [i for i, w in enumerate(words) if (known[w] if w in known else find(w))]
+def words_met(texts: list[str | None], trie: FuzzyTrie, most: int = 100_000):
+    """The words of each text, known to the trie, which meets texts of about ``most`` words together."""
+    held, n = [], 0
+    for text in texts:
+        held.append((text or "").lower().split())
+        n += len(held[-1])
+        if n >= most:
+            trie.meet(held)
+            yield from held
+            held, n = [], 0
+    trie.meet(held)
+    yield from held
+
+
+def hit_sums(words: list[str], trie: FuzzyTrie) -> tuple:
+    """HIT_SUMS of words that the trie has met: for each context the sum and the greatest of its hits' weights,
+    before factors, then numbers of hits and of words."""
+    found = trie.hits
+    hits = [i for i, w in enumerate(words) if w in found]
     sums, tops = [0.0] * len(PRIOR_FACTORS), [0.0] * len(PRIOR_FACTORS)
     exact = misspelled = quoted = 0
-    for i, context in zip(hits, contexts(words, hits)):
-        _, weight, edits = find(words[i])
+    for i, context in zip(hits, contexts(words, hits, trie.speech)):
+        _, weight, edits = found[words[i]]
         s = weight * 0.8**edits
         sums[context], tops[context] = sums[context] + s, max(tops[context], s)
         inside = bool(context & QUOTED)
@@ -288,7 +420,7 @@ def weighed(sums: list, tops: list, exact: int, misspelled: int, quoted: int, wo
 
 def text_features(text: str | None, trie: FuzzyTrie, factors: tuple[float, ...] = PRIOR_FACTORS) -> tuple[float, ...]:
     """FEATURES of a text; null and empty texts have zeros.  ``factors``: of a hit's weight, by context."""
-    return weighed(*hit_sums(text, trie), factors)
+    return weighed(*hit_sums(next(words_met([text], trie)), trie), factors)
 
 
 @contextmanager
@@ -317,7 +449,7 @@ def _with_sums(labelled: DataFrame, lexicon) -> DataFrame:
         trie = _trie(lexicon.value)
         for batch in batches:
             with _uncollected():
-                cols = list(zip(*(hit_sums(t, trie) for t in batch.column("text").to_pylist()))) or [()] * len(HIT_SUMS)
+                cols = list(zip(*(hit_sums(w, trie) for w in words_met(batch.column("text").to_pylist(), trie)))) or [()] * len(HIT_SUMS)
             types = [pa.list_(pa.float64())] * 2 + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "toxic", *HIT_SUMS])
 
@@ -358,7 +490,7 @@ def learn_factors(labelled: DataFrame, lexicon) -> tuple[float, ...]:
 
 def _features(batch: pa.RecordBatch, trie: FuzzyTrie, factors: tuple[float, ...]) -> np.ndarray:
     with _uncollected():
-        return np.array([text_features(t, trie, factors) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+        return np.array([weighed(*hit_sums(w, trie), factors) for w in words_met(batch.column("text").to_pylist(), trie)], float).reshape(-1, len(FEATURES))
 
 
 def _sampled(summed: DataFrame, factors: tuple[float, ...]) -> DataFrame:
