@@ -33,6 +33,18 @@ _END = np.uint64(xxhash.xxh3_64_intdigest(END))
 _NONE = -999
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted hashes as bytes: their steps, low bytes as they are, high ones, which mostly are zero, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return steps[:5].tobytes() + zlib.compress(steps[5:].tobytes(), 1)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n hashes of ``packed``."""
+    steps = np.frombuffer(raw[: 5 * n] + zlib.decompress(raw[5 * n :]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Unit:
     """Tokens of consecutive documents, their distinct n-grams and the unit's own counts."""
 
@@ -82,14 +94,14 @@ def units(batches, most_chars: int):
 
 
 def _count(docs: DataFrame, buckets: int, most_chars: int) -> DataFrame:
-    """(bucket, unit, gram, keys, train, deleted): sorted hashes and counts as bytes."""
+    """(bucket, unit, gram, keys, train, deleted): sorted hashes, packed, and counts as bytes."""
 
     def count(batches):
         for unit in units(batches, most_chars):
             rows = []
             for gram, (keys, _, train, deleted) in enumerate(unit.grams):
                 at = Unit.edges(keys, buckets)
-                rows += [(k, unit.name, gram, keys[a:b].tobytes(), train[a:b].tobytes(), deleted[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+                rows += [(k, unit.name, gram, packed(keys[a:b]), train[a:b].tobytes(), deleted[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
             for i in range(0, len(rows), 256):
                 cols = list(zip(*rows[i : i + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], ["bucket", "unit", "gram", "keys", "train", "deleted"])
@@ -110,7 +122,7 @@ def _beyond(t: pa.Table) -> pa.Table:
         rows = np.flatnonzero(grams == gram).tolist()
         if not rows:
             continue
-        parts = [np.frombuffer(raw["keys"][r], np.uint64) for r in rows]
+        parts = [unpacked(raw["keys"][r], len(raw["train"][r]) // 4) for r in rows]
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         own = {c: np.concatenate([np.frombuffer(raw[c][r], np.uint32) for r in rows]).astype(np.int64) for c in ("train", "deleted")}
         total = {c: np.bincount(inverse, own[c], len(keys)).astype(np.int64) for c in own}
