@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, resampling, surrogates, token_files, toxicity
+from frostline.llm import alignment, exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, resampling, surrogates, token_files, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_pii_surrogates": surrogates.op9_pii_surrogates,
         "op10_quality_rules": quality.op10_quality_rules,
         "op12_importance_resampling": resampling.op12_importance_resampling,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 
 
