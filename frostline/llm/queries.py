@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import alignment, exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, resampling, surrogates, token_files, toxicity
+from frostline.llm import alignment, exact_topk, language_model, mixing, near_dedup, packing, preferences, quality, resampling, site_pages, surrogates, token_files, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_preference_formatting": preferences.op8_preference_formatting,
         "op9_pii_surrogates": surrogates.op9_pii_surrogates,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_site_style_tree": site_pages.op11_site_style_tree,
         "op12_importance_resampling": resampling.op12_importance_resampling,
         "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
