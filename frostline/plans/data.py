@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frostline.functions import text
-from frostline.operators import filters, splits
+from frostline.operators import complement, filters, splits
 from frostline.operators.ids import dense_remap, hash_order, numbered
 from frostline.plans.base import GROUPS, IX, groups_sql, h, interactions, item_groups, pairs, query
 from frostline.sources.storage import stored
@@ -223,52 +223,13 @@ def preference_text(spark, d):
     return users.join(joined, "user_id", "left").select("user_id", F.coalesce("history", F.lit("default info")).alias("history"))
 
 
-_N_PART = "(SELECT max(p_partkey) + 1 FROM part)"
-_NEG = f"((item_id * 31 + {h(_PAIR, 'n')}) % {_N_PART})"
-@query(f"WITH {IX}, n AS (SELECT DISTINCT user_id, CAST({_NEG} AS BIGINT) AS item_id FROM ix), na AS (SELECT n.* FROM n ANTI JOIN ix USING (user_id, item_id)) SELECT user_id, item_id, 1 AS label, round(0.6 + ({h(_PAIR, 'l')} % 41) / 100.0::DOUBLE, 2) AS soft FROM ix UNION ALL SELECT user_id, item_id, 0, round(({h(_PAIR, 'l')} % 41) / 100.0::DOUBLE, 2) FROM na")
-def sft_examples(spark, d):
-    """All positives, and one hash-drawn item for each, dropped where it repeats or the user has met it; noisy labels of two decimals."""
-    ix = pairs(spark, d)
-    key = F.concat_ws("-", "user_id", "item_id")
-    n = table(spark, d, "part").agg(F.max("p_partkey") + 1).first()[0]
-    neg = ix.select("user_id", ((F.col("item_id") * 31 + hash_order(key, "n")) % n).alias("item_id")).distinct().join(ix, ["user_id", "item_id"], "left_anti")
-    noise = (hash_order(key, "l") % 41) / 100.0
-    return ix.select("user_id", "item_id", F.lit(1).alias("label"), F.round(0.6 + noise, 2).alias("soft")).union(neg.select("user_id", "item_id", F.lit(0), F.round(noise, 2)))
-
-
 def drawn_negatives(positives, items, ratio=1):
     """(user_id, item_id): for each user min(ratio * positives, unseen items) items that the user hasn't met, none twice.
 
-    ``positives`` are distinct pairs, ``items`` distinct ids from 0.  Users who have met less than a quarter
-    of the items draw four times their need and more by hash, and keep the first fresh ones; all others, and
-    those whose draws don't suffice, take the unseen items of least hash.
+    ``positives`` are distinct pairs.  Items are drawn from the unseen ones by rank (``complement.sampled_unmet``).
     """
-    n, top = items.agg(F.count("*"), F.coalesce(F.max("item_id"), F.lit(-1)) + 1).first()
-    known = stored(positives.join(items, "item_id", "left_semi").select("user_id", "item_id"))
-    met = known.groupBy("user_id").agg(F.count("*").alias("met"))
-    counts = positives.groupBy("user_id").agg((F.count("*") * ratio).alias("n")).join(met, "user_id", "left")
-    unseen = F.lit(n) - F.coalesce("met", F.lit(0))
-    users = stored(counts.select("user_id", F.least("n", unseen).alias("need"), (4 * F.col("n") < n).alias("light")).where("need > 0"))
-    draws = users.where("light").select("user_id", "need", F.explode(F.sequence(F.lit(1).cast("long"), 4 * F.col("need") + 16)).alias("draw"))
-    drawn = draws.withColumn("item_id", hash_order(F.concat_ws("-", "user_id", "draw"), "d") % F.lit(max(top, 1)))
-    fresh = drawn.groupBy("user_id", "need", "item_id").agg(F.min("draw").alias("draw")).join(items, "item_id", "left_semi").join(known, ["user_id", "item_id"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))
-    first = stored(fresh.withColumn("r", place).where("r <= need").select("user_id", "item_id", "need"))
-    full = first.groupBy("user_id", "need").agg(F.count("*").alias("got")).where("got = need")
-    rest = users.join(full, "user_id", "left_anti").select("user_id", "need")
-    open_ = rest.crossJoin(items).join(known, ["user_id", "item_id"], "left_anti")
-    least = F.row_number().over(Window.partitionBy("user_id").orderBy(hash_order(F.concat_ws("-", "user_id", "item_id"), "d"), "item_id"))
-    taken = open_.withColumn("r", least).where("r <= need").select("user_id", "item_id")
-    return first.join(full, "user_id", "left_semi").select("user_id", "item_id").union(taken)
-
-
-@query()
-def sft_examples_whole(spark, d):
-    """All positives, and for each user as many unmet items, or all unmet ones; noisy labels of two decimals."""
-    ix = pairs(spark, d)
-    neg = drawn_negatives(ix, table(spark, d, "part").select(F.col("p_partkey").alias("item_id")).distinct())
-    noise = (hash_order(F.concat_ws("-", "user_id", "item_id"), "l") % 41) / 100.0
-    return ix.select("user_id", "item_id", F.lit(1).alias("label"), F.round(0.6 + noise, 2).alias("soft")).union(neg.select("user_id", "item_id", F.lit(0), F.round(noise, 2)))
+    needs = positives.groupBy("user_id").agg((F.count("*") * ratio).alias("need"))
+    return complement.sampled_unmet(needs, positives, items, "user_id", "item_id", hash_order(F.concat_ws("-", "user_id", "_k"), "d"))
 
 
 @query("SELECT p_partkey AS item_id, 'Would the user like the product titled \"' || p_name || '\" (' || p_brand || ')?' AS prompt FROM part")

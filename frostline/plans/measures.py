@@ -40,17 +40,11 @@ def sym_norm(spark, d):
     return graph.symmetric_normalised(_edges(spark, d)).withColumn("w", F.round("w", 6))
 
 
-@query(f"""WITH {_NORM}, n AS (SELECT count(*) AS n FROM embeddings), e0 AS (SELECT 'u' AS side, user_id AS id, pos, embedding[pos]::DOUBLE AS x FROM (SELECT DISTINCT user_id FROM nm), n, embeddings, range(1, 9) t(pos) WHERE vec_id = (user_id * 7 + 3) % n UNION ALL SELECT 'i', item_id, pos, embedding[pos]::DOUBLE FROM (SELECT DISTINCT item_id FROM nm), n, embeddings, range(1, 9) t(pos) WHERE vec_id = item_id % n),
+@query(f"""WITH {_NORM}, n AS (SELECT count(*) AS n FROM embeddings), e0 AS (SELECT 'u' AS side, user_id AS id, pos, embedding[pos]::DOUBLE AS x FROM (SELECT DISTINCT user_id FROM nm), n, embeddings, range(1, 65) t(pos) WHERE vec_id = (user_id * 7 + 3) % n UNION ALL SELECT 'i', item_id, pos, embedding[pos]::DOUBLE FROM (SELECT DISTINCT item_id FROM nm), n, embeddings, range(1, 65) t(pos) WHERE vec_id = item_id % n),
 e1 AS (SELECT 'i' AS side, item_id AS id, pos, sum(w * x) AS x FROM nm JOIN e0 ON side = 'u' AND id = user_id GROUP BY 2, 3 UNION ALL SELECT 'u', user_id, pos, sum(w * x) FROM nm JOIN e0 ON side = 'i' AND id = item_id GROUP BY 2, 3)
 SELECT side, id, pos, round(sum(x) / 2, 6) AS x FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1) GROUP BY 1, 2, 3""")
 def propagate_one_layer(spark, d):
-    """Mean of the first eight components before and after one step over the graph."""
-    return _propagated(spark, d, F.slice("v", 1, 8))
-
-
-@query()
-def propagate_one_layer_whole(spark, d):
-    """Mean of whole vectors before and after one step over the graph; the SQL above covers eight components."""
+    """Mean of whole vectors before and after one step over the graph."""
     from frostline.operators.factors import propagated
     from frostline.plans.training import _graph
 
@@ -58,15 +52,6 @@ def propagate_one_layer_whole(spark, d):
     return found.select("side", "id", F.posexplode("v").alias("k", "x")).select("side", "id", (F.col("k") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-def _propagated(spark, d, components):
-    edges = stored(graph.symmetric_normalised(_edges(spark, d)))
-    v = vectors(spark, d)
-    n = v.count()
-    nodes = edges.select(F.lit("u").alias("side"), F.col("user_id").alias("id"), ((F.col("user_id") * 7 + 3) % n).alias("vec_id")).union(edges.select(F.lit("i"), "item_id", F.col("item_id") % n)).distinct()
-    zero = nodes.join(v, "vec_id").select("side", "id", F.posexplode(components).alias("k", "x")).select("side", "id", (F.col("k") + 1).cast("long").alias("pos"), "x")
-    return graph.layer_mean([zero, graph.propagate(edges, zero)]).withColumn("x", F.round("x", 6))
-
-
 @query(f"WITH {IX}, e AS (SELECT user_id, item_id FROM ix WHERE {h(_K, 'v')} % 10 = 0) SELECT user_id, item_id FROM ix EXCEPT SELECT user_id, item_id FROM e")
 def exclude_pairs(spark, d):
     """All positives of users less the evaluated split's truth."""

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frostline.functions import text
-from frostline.operators import evaluate, factors, filters, graph, models, splits
+from frostline.operators import complement, evaluate, factors, filters, graph, models, splits
 from frostline.operators.ids import dense_remap, hash_order, hash_uniform, numbered
-from frostline.plans.base import IX, SP, h, interactions, item_vectors, pairs, query, scored_pairs, vectors
+from frostline.plans.base import GROUPS, IX, SP, h, interactions, item_groups, item_vectors, pairs, query, scored_pairs, vectors
 from frostline.plans.data import _CORE_ROUNDS, _FT, _WARM, drawn_negatives
 from frostline.plans.measures import _NORM, _edges
 from frostline.sources.storage import stored
@@ -97,20 +97,24 @@ def neighbor_maps(spark, d):
 _LISTED = "it AS (SELECT DISTINCT p_partkey AS item_id FROM part), top AS (SELECT max(item_id) + 1 AS top, count(*) AS n FROM it)"
 
 
+def _unmet_sql(who: str = "SELECT DISTINCT user_id FROM ix", met: str = "ix", group: str = "'_all'") -> str:
+    """SQL of the unmet items by rank: un (user_id, g, item_id, x, open); ``who`` lists the users that are asked for."""
+    return f"""un AS MATERIALIZED (SELECT w.user_id, {group} AS g, it.item_id, row_number() OVER (PARTITION BY w.user_id, {group} ORDER BY it.item_id) - 1 AS x, count(*) OVER (PARTITION BY w.user_id, {group}) AS open FROM ({who}) w, it WHERE NOT EXISTS (SELECT 1 FROM {met} kn WHERE kn.user_id = w.user_id AND kn.item_id = it.item_id))"""
+
+
 def _drawn_sql(source: str, ratio: int = 1) -> str:
     """SQL of ``drawn_negatives``: ng (user_id, item_id)."""
-    return f"""{_LISTED}, kn AS (SELECT user_id, item_id FROM {source} WHERE item_id IN (SELECT item_id FROM it)), uu AS (SELECT user_id, least(count(*) * {ratio}, (SELECT n FROM top) - coalesce(any_value(met), 0)) AS need, 4 * count(*) * {ratio} < (SELECT n FROM top) AS light FROM {source} LEFT JOIN (SELECT user_id, count(*) AS met FROM kn GROUP BY 1) USING (user_id) GROUP BY 1),
-dr AS (SELECT user_id, need, draw, {h("user_id || '-' || draw", 'd')} % (SELECT top FROM top) AS item_id FROM (SELECT user_id, need, unnest(range(1, 4 * need + 17)) AS draw FROM uu WHERE light AND need > 0)), fr AS (SELECT user_id, need, item_id, min(draw) AS draw FROM dr WHERE item_id IN (SELECT item_id FROM it) AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.user_id = dr.user_id AND kn.item_id = dr.item_id) GROUP BY 1, 2, 3),
-fi AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY draw) AS r FROM fr QUALIFY r <= need), fu AS (SELECT user_id FROM fi GROUP BY user_id, need HAVING count(*) = need), rs AS (SELECT * FROM uu WHERE need > 0 AND user_id NOT IN (SELECT user_id FROM fu)),
-op AS (SELECT rs.user_id, need, it.item_id, row_number() OVER (PARTITION BY rs.user_id ORDER BY {h("rs.user_id || '-' || it.item_id", 'd')}, it.item_id) AS r FROM rs, it WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.user_id = rs.user_id AND kn.item_id = it.item_id) QUALIFY r <= need), ng AS (SELECT user_id, item_id FROM fi WHERE user_id IN (SELECT user_id FROM fu) UNION ALL SELECT user_id, item_id FROM op)"""
+    return f"""{_LISTED}, us AS (SELECT user_id, count(*) * {ratio} AS need FROM {source} GROUP BY 1), un AS MATERIALIZED (SELECT us.user_id, need, it.item_id, row_number() OVER (PARTITION BY us.user_id ORDER BY it.item_id) - 1 AS x, count(*) OVER (PARTITION BY us.user_id) AS open FROM us, it WHERE NOT EXISTS (SELECT 1 FROM {source} kn WHERE kn.user_id = us.user_id AND kn.item_id = it.item_id)),
+dr AS (SELECT user_id, open, unnest(range(least(need, open))) AS k, least(need, open) AS n FROM (SELECT DISTINCT user_id, need, open FROM un)), dx AS (SELECT user_id, k * open // n + {h("user_id || '-' || k", 'd')} % ((k + 1) * open // n - k * open // n) AS x FROM dr), ng AS (SELECT un.user_id, item_id FROM dx JOIN un USING (user_id, x))"""
 
 
 @query(f"WITH {IX}, {_drawn_sql('ix')} SELECT user_id, item_id, 1 AS label, round(0.6 + ({h(_K, 'l')} % 41) / 100.0::DOUBLE, 2) AS soft FROM ix UNION ALL SELECT user_id, item_id, 0, round(({h(_K, 'l')} % 41) / 100.0::DOUBLE, 2) FROM ng")
 def sft_all_negatives(spark, d):
     """All positives, and for each user as many unmet items, or all unmet ones; noisy labels of two decimals."""
-    from frostline.plans.data import sft_examples_whole
-
-    return sft_examples_whole(spark, d)
+    ix = pairs(spark, d)
+    neg = drawn_negatives(ix, table(spark, d, "part").select(F.col("p_partkey").alias("item_id")).distinct())
+    noise = (hash_order(F.concat_ws("-", "user_id", "item_id"), "l") % 41) / 100.0
+    return ix.select("user_id", "item_id", F.lit(1).alias("label"), F.round(0.6 + noise, 2).alias("soft")).union(neg.select("user_id", "item_id", F.lit(0), F.round(noise, 2)))
 
 
 _PROFILE = "'A ' || lower(c_mktsegment) || ' customer from ' || n_name"
@@ -131,7 +135,7 @@ _HISTORY = f"hs AS (SELECT user_id, item_id, p_name, row_number() OVER (PARTITIO
 
 
 @query(f"""WITH {IX}, {_HISTORY}, {_LISTED}, po AS (SELECT user_id, item_id, 1 AS label FROM (SELECT *, row_number() OVER (ORDER BY {h(_K, 's')}, user_id, item_id) AS r FROM (SELECT user_id, item_id FROM ix)) WHERE r <= 400), us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS no FROM (SELECT DISTINCT user_id FROM ix)), nj AS (SELECT j, user_id FROM range(1, 401) t(j) JOIN us ON no = {h("'u' || j", 's')} % (SELECT count(*) FROM us)),
-dr AS (SELECT j, user_id, t, {h("j || '-' || t", 's')} % (SELECT top FROM top) AS item_id FROM nj, range(1, 101) t(t)), ne AS (SELECT j, user_id, arg_min(item_id, t) AS item_id FROM dr WHERE item_id IN (SELECT item_id FROM it) AND NOT EXISTS (SELECT 1 FROM ix WHERE ix.user_id = dr.user_id AND ix.item_id = dr.item_id) GROUP BY 1, 2), ex AS (SELECT 0::BIGINT AS j, * FROM po UNION ALL SELECT j, user_id, item_id, 0 FROM ne)
+{_unmet_sql("SELECT DISTINCT user_id FROM nj")}, ne AS (SELECT j, nj.user_id, item_id FROM nj JOIN un ON un.user_id = nj.user_id AND x = {h("'n' || j", 's')} % open), ex AS (SELECT 0::BIGINT AS j, * FROM po UNION ALL SELECT j, user_id, item_id, 0 FROM ne)
 SELECT j, ex.user_id, ex.item_id, label, CASE WHEN {h("j || '-' || ex.user_id || '-' || ex.item_id", 'n')} % 100 < 15 THEN 'No visible history' ELSE coalesce((SELECT string_agg(hs.p_name, ', ' ORDER BY r) FROM hs WHERE hs.user_id = ex.user_id AND hs.item_id <> ex.item_id), 'No visible history') END AS history FROM ex""")
 def sft_sampled_histories(spark, d):
     """As many sampled positives as negatives; histories lack the target, and are hidden from 15 of 100."""
@@ -143,18 +147,17 @@ def sft_sampled_histories(spark, d):
     first = numbered(ix.select("user_id", "item_id", hash_order(key, "s").alias("x")), "x", "user_id", "item_id", name="r").where("r <= 400")
     pos = first.select(F.lit(0).cast("long").alias("j"), "user_id", "item_id", F.lit(1).alias("label"))
     users = stored(numbered(ix.select("user_id").distinct(), "user_id", name="no").withColumn("no", F.col("no") - 1))
-    n, top = users.count(), table(spark, d, "part").agg(F.max("p_partkey") + 1).first()[0]
+    n = users.count()
     asked = spark.range(1, 401).select(F.col("id").alias("j"), (hash_order(F.concat(F.lit("u"), F.col("id").cast("string")), "s") % n).alias("no")).join(users, "no").select("j", "user_id")
-    draws = asked.select("j", "user_id", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("t")).withColumn("item_id", hash_order(F.concat_ws("-", "j", "t"), "s") % top)
-    neg = draws.join(items.select("item_id"), "item_id", "left_semi").join(ix, ["user_id", "item_id"], "left_anti").groupBy("j", "user_id").agg(F.min_by("item_id", "t").alias("item_id"))
-    rows = pos.union(neg.select("j", "user_id", "item_id", F.lit(0))).join(lists, "user_id", "left")
+    neg = complement.drawn_unmet(asked, ix, items, "user_id", "item_id", hash_order(F.concat(F.lit("n"), F.col("j").cast("string")), "s"))
+    rows = pos.union(neg.where("item_id is not null").select("j", "user_id", "item_id", F.lit(0))).join(lists, "user_id", "left")
     shown = F.array_join(F.transform(F.filter("seen", lambda s: s["item_id"] != F.col("item_id")), lambda s: s["p_name"]), ", ")
     hidden = hash_order(F.concat_ws("-", "j", "user_id", "item_id"), "n") % 100 < 15
     return rows.select("j", "user_id", "item_id", "label", F.when(hidden, "No visible history").otherwise(F.coalesce(F.nullif(shown, F.lit("")), F.lit("No visible history"))).alias("history"))
 
 
-_PROBE = f"""{_WARM}, ho AS (SELECT user_id, item_id, grp FROM ix JOIN grps USING (item_id) WHERE grp <> 'warm'), po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {h(_K, 'p1')}, user_id, item_id) AS r FROM ho) WHERE r <= 300), nu AS (SELECT max(user_id) + 1 AS n FROM ix),
-dr AS (SELECT user_id, item_id, grp, t, {h(_K + " || '-' || t", 'p2')} % (SELECT n FROM nu) AS other FROM po, range(1, 51) t(t)), ne AS (SELECT item_id, grp, arg_min(other, t) AS other FROM dr WHERE NOT EXISTS (SELECT 1 FROM ix WHERE ix.user_id = dr.other AND ix.item_id = dr.item_id) GROUP BY user_id, item_id, grp),
+_PROBE = f"""{_WARM}, ho AS (SELECT user_id, item_id, grp FROM ix JOIN grps USING (item_id) WHERE grp <> 'warm'), po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {h(_K, 'p1')}, user_id, item_id) AS r FROM ho) WHERE r <= 300), us AS (SELECT DISTINCT user_id AS other FROM ix),
+un AS MATERIALIZED (SELECT t.item_id, other, row_number() OVER (PARTITION BY t.item_id ORDER BY other) - 1 AS x, count(*) OVER (PARTITION BY t.item_id) AS open FROM (SELECT DISTINCT item_id FROM po) t, us WHERE NOT EXISTS (SELECT 1 FROM ix WHERE ix.user_id = other AND ix.item_id = t.item_id)), ne AS (SELECT po.item_id, grp, other FROM po JOIN un ON un.item_id = po.item_id AND x = {h(_K.replace("item_id", "po.item_id"), 'p2')} % open),
 pb AS (SELECT user_id, item_id, grp AS entity_type, 1 AS label FROM po UNION ALL SELECT other, item_id, grp || '_negative', 0 FROM ne)"""
 
 
@@ -163,13 +166,12 @@ def _probe(spark, d):
     from frostline.plans.base import grouped_pairs
 
     ix = grouped_pairs(spark, d)
-    n = ix.agg(F.max("user_id") + 1).first()[0]
     key = F.concat_ws("-", "user_id", "item_id")
     placed = numbered(ix.where("grp <> 'warm'").withColumn("x", hash_order(key, "p1")), "grp", "x", "user_id", "item_id", name="g")
     first = placed.groupBy("grp").agg(F.min("g").alias("g0"))  # two groups
     pos = stored(placed.join(F.broadcast(first), "grp").where("g - g0 < 300").select("user_id", "item_id", "grp"))
-    draws = pos.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("other", hash_order(F.concat_ws("-", "user_id", "item_id", "t"), "p2") % n)
-    fresh = draws.join(ix.select(F.col("user_id").alias("other"), "item_id"), ["other", "item_id"], "left_anti").groupBy("user_id", "item_id", "grp").agg(F.min_by("other", "t").alias("other"))
+    met = ix.select(F.col("user_id").alias("other"), "item_id")
+    fresh = complement.drawn_unmet(pos, met, met.select("other").distinct(), "item_id", "other", hash_order(key, "p2")).where("other is not null")
     return pos.select("user_id", "item_id", F.col("grp").alias("entity_type"), F.lit(1).alias("label")).union(fresh.select("other", "item_id", F.concat("grp", F.lit("_negative")), F.lit(0)))
 
 
@@ -216,11 +218,45 @@ def edge_dropout(spark, d):
     return graph.kept_edges(graph.symmetric_normalised(_edges(spark, d)), 0.8, "dr").withColumn("w", F.round("w", 6))
 
 
-@query(f"WITH {IX}, {_LISTED}, us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM ix)), pl AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM ix), dw AS (SELECT j, us.user_id FROM range(0, 5000) t(j) JOIN us ON no = {h("'u' || j", 3)} % n), po AS (SELECT j, dw.user_id, item_id AS positive FROM dw JOIN pl ON pl.user_id = dw.user_id AND place = {h("'p' || j", 3)} % n), dr AS (SELECT j, user_id, positive, t, {h("'n' || j || '-' || t", 3)} % (SELECT top FROM top) AS item_id FROM po, range(1, 51) t(t)) SELECT j, user_id, positive, arg_min(item_id, t) AS negative FROM dr WHERE item_id IN (SELECT item_id FROM it) AND NOT EXISTS (SELECT 1 FROM ix WHERE ix.user_id = dr.user_id AND ix.item_id = dr.item_id) GROUP BY 1, 2, 3")
+def _triples_sql(seed) -> str:
+    """SQL of drawn users and positives: po (j, user_id, positive)."""
+    return f"""us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM ix)), pl AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM ix), dw AS (SELECT j, us.user_id FROM range(0, 5000) t(j) JOIN us ON no = {h("'u' || j", seed)} % n), po AS (SELECT j, dw.user_id, item_id AS positive FROM dw JOIN pl ON pl.user_id = dw.user_id AND place = {h("'p' || j", seed)} % n)"""
+
+
+@query(f"WITH {IX}, {_LISTED}, {_triples_sql(3)}, {_unmet_sql()} SELECT j, po.user_id, positive, item_id AS negative FROM po JOIN un ON un.user_id = po.user_id AND x = {h("'n' || j", 3)} % open")
 def sampled_triples(spark, d):
-    """Users drawn with replacement, a positive and a rejected-uniform negative of each."""
+    """Users drawn with replacement, a positive and an unmet item of each, drawn by rank among all unmet ones."""
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id")).distinct()
-    return factors.triples(pairs(spark, d), items, 5000, 3)
+    return complement.negative_triples(pairs(spark, d), items, 5000, 3).drop("mode")
+
+
+_GROUPED = "it AS (SELECT p_partkey AS item_id, coalesce(grp, 'none') AS grp FROM (SELECT DISTINCT p_partkey FROM part) LEFT JOIN grps ON item_id = p_partkey)"
+
+
+@query(f"""WITH {GROUPS}, {_GROUPED}, {_triples_sql(4)}, {_unmet_sql(group="grp")}, ua AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS x, count(*) OVER (PARTITION BY user_id) AS open FROM un), pg AS (SELECT po.*, coalesce(grp, 'none') AS g FROM po LEFT JOIN grps ON item_id = positive),
+sg AS (SELECT j, pg.user_id, positive, item_id AS negative FROM pg JOIN un ON un.user_id = pg.user_id AND un.g = pg.g AND x = {h("'n' || j", 4)} % open) SELECT *, 'same_group' AS mode FROM sg UNION ALL SELECT j, pg.user_id, positive, item_id, 'uniform' FROM pg JOIN ua ON ua.user_id = pg.user_id AND x = {h("'n' || j", 4)} % open WHERE j NOT IN (SELECT j FROM sg)""")
+def group_triples(spark, d):
+    """Negatives of the positive's own group; of all unmet items where the user has met the whole group."""
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
+    return complement.negative_triples(pairs(spark, d), items, 5000, 4, ("same_group", "uniform"), item_groups(spark, d))
+
+
+_POOL = "pool AS (SELECT a.user_id, b.item_id, row_number() OVER (PARTITION BY a.user_id ORDER BY b.user_id, b.ts, b.item_id) AS place FROM (SELECT DISTINCT user_id FROM ix) a JOIN ix b ON b.user_id IN (a.user_id + 1, a.user_id + 2) AND a.user_id % 4 <> 0)"
+
+
+@query(f"""WITH {GROUPS}, {_GROUPED}, {_triples_sql(5)}, {_unmet_sql(group="grp")}, {_POOL}, pf AS (SELECT user_id, item_id, grp, min(place) AS place FROM pool JOIN grps USING (item_id) GROUP BY ALL), ph AS (SELECT *, row_number() OVER (PARTITION BY user_id, grp ORDER BY place, item_id) AS r FROM pf QUALIFY r <= 8), pu AS (SELECT user_id, grp AS g, item_id, row_number() OVER (PARTITION BY user_id, grp ORDER BY place, item_id) - 1 AS x, count(*) OVER (PARTITION BY user_id, grp) AS open FROM ph ANTI JOIN ix USING (user_id, item_id)),
+ua AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS x, count(*) OVER (PARTITION BY user_id) AS open FROM un), pg AS (SELECT po.*, coalesce(grp, 'none') AS g, {h("'n' || j", 5)} AS draw FROM po LEFT JOIN grps ON item_id = positive), hd AS (SELECT j, pg.user_id, positive, item_id AS negative FROM pg JOIN pu ON pu.user_id = pg.user_id AND pu.g = pg.g AND x = draw % open),
+sg AS (SELECT j, pg.user_id, positive, item_id AS negative FROM pg JOIN un ON un.user_id = pg.user_id AND un.g = pg.g AND x = draw % open WHERE j NOT IN (SELECT j FROM hd)) SELECT *, 'hard' AS mode FROM hd UNION ALL SELECT *, 'same_group' FROM sg UNION ALL SELECT j, pg.user_id, positive, item_id, 'uniform' FROM pg JOIN ua ON ua.user_id = pg.user_id AND x = draw % open WHERE j NOT IN (SELECT j FROM hd) AND j NOT IN (SELECT j FROM sg)""")
+def hard_triples(spark, d):
+    """Negatives from the first eight of a ranked pool of the positive's group (what the next two users have met,
+    for three users of four), else of its group, else of all unmet items."""
+    ix = stored(interactions(spark, d))
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
+    near = ix.select(F.explode(F.array(F.col("user_id") - 1, F.col("user_id") - 2)).alias("to"), F.col("user_id").alias("from"), "ts", "item_id")
+    asked = ix.where("user_id % 4 <> 0").select(F.col("user_id").alias("to")).distinct()
+    w = Window.partitionBy("to").orderBy("from", "ts", "item_id")
+    pools = near.join(asked, "to").select(F.col("to").alias("user_id"), "item_id", F.row_number().over(w).alias("place"))
+    return complement.negative_triples(ix, items, 5000, 5, ("hard", "same_group", "uniform"), item_groups(spark, d), pools, 8)
 
 
 @query()

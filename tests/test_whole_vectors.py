@@ -25,6 +25,6 @@ def test_whole_vectors(spark):
         for to, of in ((("i", i), ("u", u)), (("u", u), ("i", i))):
             for k, c in enumerate(at[of] or []):
                 want[*to, k + 1] += w * c / 2
-    got = {(r["side"], r["id"], r["pos"]): r["x"] for r in plans.QUERIES["propagate_one_layer_whole"](spark, SF).collect()}
+    got = {(r["side"], r["id"], r["pos"]): r["x"] for r in plans.QUERIES["propagate_one_layer"](spark, SF).collect()}
     assert set(got) == set(want) and max(pos for _, _, pos in got) == max(map(len, v.values())) > 8
     assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
