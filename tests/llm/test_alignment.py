@@ -88,13 +88,16 @@ def test_empty(empty):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \nab'▁1.\té漢"), st.characters(codec="utf-8")), max_size=30), min_size=1, max_size=4))
 def test_pieces_join_to_whole_texts(texts):
-    al = alignment.aligner(A, B)
-    for t, c, (a, b) in zip(texts, al.learn(list(map(al.pieces, texts))), tokens(texts)):
-        groups, links, _ = walk(t, a, b)
-        found = [al.known[p] for p in c]
-        assert (";".join(k[5] for k in found if k) if None not in found else "") == groups
-        keys = [x for k in found if k for x in k[4].tolist()]
-        assert sorted(keys) == sorted(x * 32_000 + y for x, y in links)
+    unit = alignment.Unit(alignment.aligner(A, B))
+    numbers, hashes, _ = unit.add(texts)
+    keys, n, _ = unit.pairs()
+    count = Counter()
+    for t, found, sha, (a, b) in zip(texts, numbers.tolist(), hashes, tokens(texts)):
+        groups, links, (n_a, n_b) = walk(t, a, b)
+        assert found == [n_a, n_b, groups.count(";") + 1 if groups else 0, len(links)]
+        assert sha == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+        count.update(x * 32_000 + y for x, y in links)
+    assert {k: c for k, c in zip(keys.tolist(), n.tolist()) if c} == count
 
 
 def test_union_find():
@@ -112,4 +115,4 @@ def test_union_find():
 def test_units_carry_all_pairs(spark, docs):
     units = alignment._in_units(docs, A, B, 3_000)
     assert units.select("unit").distinct().count() > 3
-    assert units.where("pair is null").count() == docs.count()
+    assert units.where("kind = 2").count() == docs.count()
