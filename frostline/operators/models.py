@@ -1,4 +1,4 @@
-"""Learned parts: calibrated reranking, factorisation, text vectors, a ridge map; and a pluggable scorer."""
+"""Learned parts: factorisation, text vectors, a ridge map; and a pluggable scorer."""
 
 from __future__ import annotations
 
@@ -11,35 +11,6 @@ from pyspark.sql import functions as F
 from frostline.functions.vectors import l2_normalised
 
 
-def reranked(features: DataFrame, labels: DataFrame, columns: list[str], share: float = 0.5, seed: int = 7) -> DataFrame:
-    """Per entity type, a balanced logistic regression on labelled pairs; (1-share) * scaled + share * p.
-
-    ``labels``: (user_id, item_id, entity_type, label).  An entity type with one class keeps its scores.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    keys = ["user_id", "item_id", "entity_type"]
-    rows = VectorAssembler(inputCols=columns, outputCol="raw").transform(features.join(labels, keys, "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("double")))
-    out = None
-    for kind in [r[0] for r in rows.select("entity_type").distinct().orderBy("entity_type").collect()]:  # a few kinds
-        part = rows.where(F.col("entity_type") == kind)
-        n = {r["label"]: r["n"] for r in part.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        if len(n) < 2:
-            scored = part.withColumn("p", F.col("scaled"))
-        else:
-            scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(part)
-            total = sum(n.values())
-            weight = F.when(F.col("label") == 1, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0]))
-            ready = scale.transform(part).withColumn("w", weight)
-            model = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, elasticNetParam=0.0, regParam=1.0 / total).fit(ready)
-            scored = model.transform(ready).withColumn("p", vector_to_array("probability")[1])
-        piece = scored.select(*keys, ((1 - share) * F.col("scaled") + share * F.col("p")).alias("probability"))
-        out = piece if out is None else out.union(piece)
-    return out
-
-
 def factorised(pairs: DataFrame, rank: int = 16, rounds: int = 5, seed: int = 42):
     """Implicit alternating least squares over interactions: the fitted model."""
     from pyspark.ml.recommendation import ALS

@@ -270,14 +270,6 @@ def tfidf_terms(spark, d):
     return models.tfidf(docs, "item_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def rerank_logreg(spark, d):
-    """Balanced logistic regression per entity type over the rerank features."""
-    f = stored(rerank_features(spark, d))
-    label = (hash_order(F.concat_ws("-", "user_id", "item_id"), "z") % 100 < F.col("llm") * 100).cast("int")
-    return models.reranked(f, f.select("user_id", "item_id", "entity_type", label.alias("label")), ["scaled", "mean", "sd", "gap_before", "gap_after"])
-
-
 @query()
 def als_scores(spark, d):
     """Each user's 20 best items by implicit factorisation."""

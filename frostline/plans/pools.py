@@ -10,13 +10,13 @@ from frostline.functions import numbers
 from frostline.functions.vectors import l2_normalised
 from frostline.operators import candidates as C
 from frostline.operators import edges as E
-from frostline.operators import evaluate, models
+from frostline.operators import calibration, evaluate, models
 from frostline.operators.ids import hash_order, numbered
 from frostline.plans.base import COLD, SP, cold_setting, grouped_pairs, h, item_vectors, query, scored_pairs, user_vectors
 from frostline.plans.retrieval import _NN, _NOT_SEEN, _TOP, _UNIT, _near, _observed, _rounded
 from frostline.sources.storage import stored
 
-_K = "user_id || '-' || item_id"
+_K = _KEY = "user_id || '-' || item_id"
 #: Scores as they are ranked, of nine decimals.
 _TOP9 = _TOP.replace("round(score, 6) AS score", "score")
 _SEEN_BY_USER = "NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = target AND t.item_id = entity)"
@@ -233,6 +233,41 @@ def rerank_nine(spark, d):
     return found.select("user_id", "item_id", "entity_type", *[F.round(n, 6).alias(n) for n in names])
 
 
+def _nine(spark, d):
+    """Nine features of all pairs, and the pairs that validation calls positive."""
+    sp = stored(scored_pairs(spark, d))
+    found = stored(E.nine_features(sp.select("user_id", "item_id", "entity_type", F.col("emb").alias("score")), sp.groupBy("item_id").agg(F.count("*").alias("pop"))))
+    return found, sp.where(hash_order(F.concat_ws("-", "user_id", "item_id"), "z") % 100 < F.col("llm") * 20 + F.col("emb") * 10).select(*calibration.KEYS)
+
+
+_LABELLED = f"lb AS (SELECT user_id, item_id, entity_type, CASE WHEN {h(_KEY, 'z')} % 100 < llm * 20 + emb * 10 THEN 1 ELSE 0 END AS label FROM sp)"
+
+
+@query(f"""WITH {SP}, {_LABELLED}, tr AS (SELECT *, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY entity_type) AS p, row_number() OVER (PARTITION BY entity_type, label ORDER BY {h(_KEY, 42)}, user_id, item_id) AS r FROM lb), kp AS (SELECT * FROM tr WHERE label = 1 OR r <= greatest(500, p * 2))
+SELECT user_id, item_id, entity_type, label, round(count(*) OVER (PARTITION BY entity_type) / (2.0::DOUBLE * count(*) OVER (PARTITION BY entity_type, label)), 6) AS weight FROM kp""")
+def calibration_rows(spark, d):
+    """What the calibration learns from: all positives and a hash sample of negatives, with balanced weights."""
+    found, labels = _nine(spark, d)
+    rows = found.join(labels.withColumn("label", F.lit(1)), calibration.KEYS, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return calibration.training_rows(rows, 2, 500).select(*calibration.KEYS, "label", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def rerank_logreg(spark, d):
+    """Balanced logistic regressions by entity type over nine features, blended with the scaled scores; all pairs stay."""
+    found, labels = _nine(spark, d)
+    return calibration.reranked(found, labels, mode="rerank").select(*calibration.KEYS, "probability")
+
+
+@query()
+def calibrated_lists(spark, d):
+    """Each user's best by calibrated scores, as many as the entity type has, in the three modes of output."""
+    found, labels = _nine(spark, d)
+    every = stored(calibration.reranked(found, labels, budgets={"strict_cold": 10}, default=20, share=0.7, multiplier=2, least=500))
+    modes = [F.struct(F.lit(m).alias("mode"), F.col(m).alias("probability")) for m in calibration.MODES]
+    return every.select(*calibration.KEYS, F.explode(F.array(*modes)).alias("m")).select(*calibration.KEYS, "m.mode", "m.probability")
+
+
 _KS, _POOL = {"strict_cold": 10, "warmup": 20}, 30
 _LIM = "CASE entity_type WHEN 'strict_cold' THEN 10 ELSE 20 END"
 _OLDNEW = f"ol AS (SELECT user_id, item_id, entity_type, emb AS score, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY emb DESC, item_id) AS rank FROM sp QUALIFY rank <= {_POOL}), nw AS (SELECT user_id, item_id, entity_type, llm AS score, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY llm DESC, item_id) AS rank FROM sp QUALIFY rank <= {_POOL})"
