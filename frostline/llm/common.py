@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,36 @@ def remove(spark: SparkSession, path: str) -> None:
     to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
 
+def named(*columns: str) -> list:
+    """Columns by their names as they are, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """A name that no other column has, by Spark's comparison, which knows no case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+@contextmanager
+def same_splits(spark: SparkSession):
+    """While this holds, files are cut for tasks alike, whatever executors come or go.
+
+    Spark's split size follows the number of cores that there are at the moment; the number that there are now
+    stays in force.
+    """
+    setting = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, before or str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm.common import lower_words, materialize, new_folder, table
+from frostline.llm.common import lower_words, materialize, new_folder, same_splits, table
 from frostline.llm.near_dedup import _PLACES, WordHashes, _finish
 
 #: Neither can be a word.
@@ -226,10 +226,16 @@ def interpolated_scores(docs: DataFrame, stored: bool = False, most_chars: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``stored``: the table is read from files whose order holds from one reading to the next; else it is
-    written first.  Null and empty texts have the end token alone; repeated rows are each counted and
+    written first; executors may come and go between and during readings.  Null and empty texts have the end token alone; repeated rows are each counted and
     scored; a null doc_id counts as the empty text.  Without training documents the base score of a token
     is log10(0.5 / 0.5) = 0.  Words and word pairs are told apart by 64-bit hashes.
     """
+    with same_splits(docs.sparkSession):
+        return materialize(_scored(docs, stored, most_chars, bucket_bytes), "scores")
+
+
+def _scored(docs: DataFrame, stored: bool, most_chars: int, bucket_bytes: int) -> DataFrame:
+    """``interpolated_scores`` in three passes that meet the same units, as the table is cut alike for all of them."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text") if stored else materialize(docs.select("doc_id", "text"), "texts")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
