@@ -71,17 +71,28 @@ def other_replies(conversations: DataFrame, rows_a_group: int = 20_000) -> DataF
     return led.select("reply", F.coalesce("next", F.nullif("after", "reply"), F.lit("")).alias("other"))
 
 
+def with_others(conversations: DataFrame, rows_a_group: int = 20_000) -> DataFrame:
+    """(conv_id, turn, role, text, other): each turn; of an assistant's, another reply, the next different one by hash.
+
+    Only assistant turns are joined, so that no null key gathers the others; a reply that very many turns share is
+    split by Spark's skew join.
+    """
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = rows.where("role = 'assistant'").withColumn("reply", F.coalesce("text", F.lit("")))
+    joined = said.join(other_replies(rows, rows_a_group), "reply").select(*rows.columns, "other")
+    return joined.unionByName(rows.where("role is null or role <> 'assistant'").withColumn("other", F.lit(None).cast("string")))
+
+
 def turn_pairs(conversations: DataFrame, rows_a_group: int = 20_000) -> DataFrame:
     """pair_id, chosen and rejected for every assistant turn of every conversation.
 
     Chosen is the whole conversation: what follows the turn stays.  Rejected are the turns before it and
     another reply, the next different one by hash.  A conversation without an assistant turn gives one row
-    with all its turns on both sides.  pair_id and the number of common turns tell rows apart.
+    with all its turns on both sides.  pair_id and the number of common turns tell rows apart.  Each row holds its
+    conversation; ``turn_preferences`` gives the formatted pairs without that.
     """
-    others = other_replies(conversations, rows_a_group)
-    asked = conversations.withColumn("reply", F.when(F.col("role") == "assistant", F.coalesce("text", F.lit(""))))
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), "role", "text", "other")
-    turns = asked.join(others, "reply", "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turn = F.struct("turn", "role", "text", "other")
+    turns = with_others(conversations, rows_a_group).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: F.coalesce(F.element_at("turns", k)["role"] == "assistant", F.lit(False)))
     each = turns.select("conv_id", F.col("turns"), F.explode_outer(at).alias("at"))
     plain = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"))
@@ -91,6 +102,107 @@ def turn_pairs(conversations: DataFrame, rows_a_group: int = 20_000) -> DataFram
     return each.select(F.col("conv_id").alias("pair_id"), whole.alias("chosen"), F.when(F.col("at").isNull(), whole).otherwise(swapped).alias("rejected"))
 
 
+def _line(role: str | None) -> str:
+    return f"<|{role or ''}|>\n"
+
+
+class Rendered:
+    """A conversation's turns as one text and one list of ids, from which pairs are cut; each turn is encoded once."""
+
+    def __init__(self, turns: list[tuple[str | None, str | None, str | None]], ids: list[bytes]):
+        self.turns = turns
+        parts = [x for role, text, _ in turns for x in (_line(role), f"{text or ''}\n")]
+        self.text = "".join(parts)
+        self.chars = np.cumsum([0, *(len(a) + len(b) for a, b in zip(parts[::2], parts[1::2]))])
+        self.raw, others = ids[: len(parts)], iter(ids[len(parts) :])
+        self.others = [next(others) if role == "assistant" else b"" for role, _, _ in turns]
+        sizes = np.array([len(x) // 4 for x in self.raw], np.int64)
+        learned = np.repeat([int(k and role == "assistant") for role, _, _ in turns for k in (0, 1)], sizes) if len(sizes) else np.zeros(0, np.int64)
+        self.ids, self.mask = np.frombuffer(b"".join(self.raw), "<u4").astype(np.int32), learned.astype(np.int8)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])[::2]
+
+    @staticmethod
+    def parts(turns: list[tuple[str | None, str | None, str | None]]) -> list[str]:
+        """What has to be encoded: each turn's line and text, then the other replies."""
+        return [x for role, text, _ in turns for x in (_line(role), f"{text or ''}\n")] + [f"{other or ''}\n" for role, _, other in turns if role == "assistant"]
+
+    def pairs(self):
+        """n_common, prompt, and text, ids and mask of both sides, for each assistant turn; without one, all is prompt."""
+        none = ("", self.ids[:0], self.mask[:0])
+        replies = [k for k, (role, _, _) in enumerate(self.turns) if role == "assistant"]
+        if not replies:
+            yield (len(self.turns), self.text, *none, *none)
+        for k in replies:
+            role, text, other = self.turns[k]
+            # The longest common prefix: the turns before, and the reply itself where there is no other text.
+            n = k + (text == other)
+            chosen = (self.text[self.chars[n] :], self.ids[self.at[n] :], self.mask[self.at[n] :])
+            rejected = none
+            if n == k:
+                line, body = self.raw[2 * k], self.others[k]
+                learned = np.repeat(np.array([0, 1], np.int8), [len(line) // 4, len(body) // 4])
+                rejected = (f"{_line(role)}{other or ''}\n", np.frombuffer(line + body, "<u4").astype(np.int32), learned)
+            yield (n, self.text[: self.chars[n]], *chosen, *rejected)
+
+
+def turn_preferences(conversations: DataFrame, vocabulary: str, rows_a_group: int = 20_000, most_chars: int = 1_000_000) -> DataFrame:
+    """The formatted pairs (see ``format_preferences``) of every assistant turn, as ``turn_pairs`` makes them.
+
+    Conversations are read in order of turns (ties by role and text), one after another; every turn is encoded
+    once, and prompts and completions are cut from that.  Null texts and roles count as empty ones; a null conv_id is
+    one conversation; repeated turns are turns; very long texts are rendered whole; other columns are ignored,
+    whatever their names; an empty table gives an empty result.
+    """
+    rows = with_others(conversations, rows_a_group)
+    numbers = pa.list_(pa.int32()), pa.list_(pa.int8())
+    names = ["pair_id", "n_common", "prompt", "chosen", "chosen_ids", "chosen_mask", "rejected", "rejected_ids", "rejected_mask"]
+    ints = "array<int>", "array<tinyint>"
+    types = ["int", "string", "string", *ints, "string", *ints]
+    schema = conversations.select(F.col("conv_id").alias("pair_id"), *[F.lit(None).cast(t).alias(c) for c, t in zip(names[1:], types)]).schema
+
+    def arrays(values: list[np.ndarray], kind):
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind.value_type.to_pandas_dtype()), *values])))
+
+    def run(batches):
+        enc, id_type = encoder(vocabulary, False), None
+
+        def formatted(talks):
+            lists = [Rendered.parts(turns) for _, turns in talks]
+            ids, at, out, held = enc.encode([x for p in lists for x in p]), 0, [], 0
+            for (conv, turns), p in zip(talks, lists):
+                for pair in Rendered(turns, ids[at : at + len(p)]).pairs():
+                    out.append((conv, *pair))
+                    held += len(pair[1]) + len(pair[2]) + len(pair[5])
+                    if held >= 4 * most_chars:
+                        yield batch_of(out)
+                        out, held = [], 0
+                at += len(p)
+            if out:
+                yield batch_of(out)
+
+        def batch_of(out):
+            c = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(c[0], id_type), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string()), *(x for k in (3, 6) for x in (pa.array(c[k], pa.string()), arrays(c[k + 1], numbers[0]), arrays(c[k + 2], numbers[1])))], names)
+
+        talks, held, open_ = [], 0, False
+        for batch in batches:
+            id_type = batch.column("conv_id").type
+            for conv, role, text, other in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "other"))):
+                if not open_ or talks[-1][0] != conv:
+                    if held >= most_chars:  # only whole conversations
+                        yield from formatted(talks)
+                        talks, held = [], 0
+                    talks.append((conv, []))
+                    open_ = True
+                talks[-1][1].append((role, text, other))
+                held += len(text or "") + len(other or "")
+        if talks:
+            yield from formatted(talks)
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, schema)
+
+
 def format_preferences(pairs: DataFrame, vocabulary: str) -> DataFrame:
     """pair_id, n_common, prompt, and for chosen and rejected: text, token ids and loss mask.
 
@@ -125,4 +237,4 @@ def format_preferences(pairs: DataFrame, vocabulary: str) -> DataFrame:
 def op8_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return format_preferences(turn_pairs(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"))
+    return turn_preferences(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
