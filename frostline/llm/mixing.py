@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
-The mix has a fixed number of words, dealt to the sources by highest quotients target / (2 * words so
-far + 1), shard after shard: the method never takes a word back when the total grows, so a shard's quota
-is the difference of two apportionments.  A source's documents form a tape in a seeded order, and are
-taken whole: all as often as the tape goes into the source's quota, and of the rest those that lie before
-its end by most of their words; a few more or fewer, nearest in size, close the gap to the quota.
+The mix is dealt in blocks of equal words, to the sources by highest quotients target / (2 * blocks so far + 1),
+shard after shard: the method never takes a block back when the total grows, so a shard's quota is the
+difference of two apportionments.  A source's documents form a tape in a seeded order that is cut into blocks, and
+each shard draws its quota from its own blocks.  Blocks hold whole documents; a few documents more or fewer,
+nearest in size, close the gap between what the blocks hold and the target.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.common import WORD_JAVA, materialize
+from frostline.llm.common import WORD_JAVA, materialize, named
 
 #: A gap of fewer words is left open; rounds of closing gaps.
 LEAST_BLOCK = 8
@@ -65,13 +65,47 @@ def apportion(targets: DataFrame, houses: list[tuple[int, int]]) -> DataFrame:
     return b.join(w, same, "left").select("b.shard", "b.source", (F.col("sure") + F.coalesce("more", F.lit(0))).cast("long").alias("seats"))
 
 
-def shard_quotas(targets: DataFrame, n_words: int, shards: int = 16) -> DataFrame:
-    """Words that each source puts into each shard: shard, source, quota."""
-    upto = apportion(targets, [(k, k * n_words // shards) for k in range(1, shards + 1)])
+def shard_quotas(targets: DataFrame, house: int, shards: int = 16) -> DataFrame:
+    """Blocks that each source puts into each shard, of ``house`` in all: shard, source, quota."""
+    upto = apportion(targets, [(k, k * house // shards) for k in range(1, shards + 1)])
     before = F.lag("seats", 1, 0).over(Window.partitionBy("source").orderBy("shard"))
     return upto.select("shard", "source", (F.col("seats") - before).alias("quota"))
 
 
+def block_length(targets: DataFrame, shards: int) -> int:
+    """Words in a block: a sixteenth of what the source of the smallest target puts into a shard, 1 at least."""
+    least = targets.where("target > 0").agg(F.min("target").alias("t")).first()["t"]
+    return max(1, int((least or 0) / (16 * shards)))
+
+
+def block_draws(sources: DataFrame, quotas: DataFrame, length: int, shards: int, most: int) -> DataFrame:
+    """(_key, _blocks, _whole, _draws): a source's blocks, how often all are taken, and how many more of each shard's.
+
+    Block b is dealt to shard b modulo ``shards``, and its copy in pass p over all blocks to the shard p further on.  What
+    the passes leave of a shard's quota is drawn from its own blocks; where these are too few or too many, the next
+    shards give or take.
+    """
+    blocks = F.ceil(F.col("source_size") / length).cast("long")
+    seats = quotas.withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("_seats"))
+    all_ = sources.join(seats, "_key", "left").withColumn("_blocks", blocks).withColumn("_seats", F.least(F.coalesce("_seats", F.lit(0)), F.col("_blocks") * most))
+    all_ = all_.withColumn("_whole", F.coalesce(F.expr("_seats div nullif(_blocks, 0)"), F.lit(0)).cast("long"))
+    each = all_.select("_key", "_blocks", "_whole", "_seats", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("_k"))
+    of = lambda k: F.greatest(F.expr("_blocks + {0} - 1".format(shards)) - k, F.lit(0)) / shards
+    own = lambda k: F.floor(of(k)).cast("long")
+    passed = sum((F.when(F.col("_whole") > p, own(F.pmod(F.col("_k") - p, F.lit(shards)))).otherwise(0) for p in range(most)), F.lit(0).cast("long"))
+    mine = quotas.select(_key(), (F.col("shard") - 1).alias("_k"), "quota")
+    each = each.join(mine, ["_key", "_k"], "left").withColumn("_n", own(F.col("_k")))
+    x = F.greatest(F.least(F.coalesce("quota", F.lit(0)) - passed, F.col("_n")), F.lit(0))
+    source, before = Window.partitionBy("_key"), Window.partitionBy("_key").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_seats") - F.col("_whole") * F.col("_blocks") - F.sum("_x").over(source)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    within = lambda v, top: F.greatest(F.least(v, top), F.lit(0))
+    room = F.col("_n") - F.col("_x")
+    fit = each.withColumn("_x", x).withColumn("_left", left).withColumn("_more", within(F.col("_left") - upto(room), room)).withColumn("_less", within(-F.col("_left") - upto("_x"), F.col("_x")))
+    drawn = fit.groupBy("_key").agg(F.first("_blocks").alias("_blocks"), F.first("_whole").alias("_whole"), F.sort_array(F.collect_list(F.struct("_k", (F.col("_x") + F.col("_more") - F.col("_less")).alias("n")))).alias("_d"))
+    return drawn.select("_key", "_blocks", "_whole", F.transform("_d", lambda d: d["n"]).alias("_draws"))
+
+
 def _key() -> Column:
     """A source as a join key that is never null."""
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("_key")
@@ -111,59 +145,53 @@ def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 2_048) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 17, rows_a_group: int = 2_048, block_words: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, times, shards, and _key and _h, of every document.
 
     ``times`` is how often the document is taken, whole; ``taken`` its words so often; ``shards`` has the
-    shard of each copy.  A source's copies follow its tape, passed as often as it goes into the quota;
-    each falls to the shard in whose quota of that source it starts (beyond the last, to that).  Null and empty
-    texts have size 0 and nothing taken; a null source is a source; repeated rows are all kept, each with
-    its own place on the tape.  Tables without rows or words give no rows or targets of 0.  Other columns of
-    the input play no part; texts are read once and never shuffled.
+    shard of each copy.  A source's documents lie on a tape in a seeded order, which is cut into blocks of
+    ``block_words`` (see ``block_length``); a document belongs to the block that it starts in.  Sources get blocks shard
+    by shard by highest quotients; each shard draws its blocks, seeded, one from each of as many even parts of its own.
+    Blocks hold whole documents, so closing rounds make up for their unequal words.  Other seeds and numbers of shards
+    take other documents, to the same totals.  Null and empty texts have size 0 and nothing taken; a null source is a
+    source; repeated rows are all kept, each with its own place on the tape.  Tables without rows or words give no rows
+    or targets of 0.  Other columns of the input play no part; texts are read once and never shuffled.
     """
     small = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed), _key()), "sizes")
     totals = small.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
     groups = max(1, -(-totals["n"] // rows_a_group))
 
-    targets = source_targets(small, weights, most).withColumn("_key", _key())
-    targets = materialize(targets, "targets")
-    dealt = shard_quotas(targets, totals["w"], shards).where("quota > 0").withColumn("_upto", F.sum("quota").over(Window.partitionBy("source").orderBy("shard")))
-    ends = F.sort_array(F.collect_list(F.struct(F.col("_upto").cast("long").alias("upto"), F.col("shard").cast("int").alias("shard"))))
-    quotas = dealt.withColumn("_key", _key()).groupBy("_key").agg(F.sum("quota").alias("quota"), ends.alias("_ends"))
-    quota = F.least(F.coalesce("quota", F.lit(0)), F.col("source_size") * most)
-    whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
-    sources = targets.join(quotas, "_key", "left").select("_key", "source_size", "target", quota.alias("_quota"), whole.alias("_whole"), (quota - whole * F.col("source_size")).alias("_rest"), "_ends")
-    sources = materialize(sources, "quotas")
-
-    # Places on the tape: running sums within salted groups of a source, and before each group; of all
-    # documents, and of those that fit into the rest of the quota.
+    targets = materialize(source_targets(small, weights, most).withColumn("_key", _key()), "targets")
+    length = block_words or block_length(targets, shards)
+    quotas = shard_quotas(targets, totals["w"] // length, shards)
+    draws = block_draws(targets, quotas, length, shards, most)
+    quota = F.least(F.round("target").cast("long"), F.col("source_size") * most).alias("_quota")
+    sources = materialize(targets.join(draws, "_key").select("_key", "source_size", "target", quota, "_blocks", "_whole", "_draws"), "quotas")
+
+    # Places on the tape: running sums within salted groups of a source, and before each group.
     group = F.pmod(F.col("_h"), F.lit(groups)).alias("_g")
-    fit = F.when(F.col("size") <= F.col("_rest"), F.col("size")).otherwise(0)
     before = Window.partitionBy("_key").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_key", "_g").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    sums = small.join(sources, "_key").groupBy("_key", group).agg(F.sum("size").alias("_s"), F.sum(fit).alias("_f"))
-    bases = sums.select("_key", "_g", upto("_s", before).alias("_base"), upto("_f", before).alias("_fits")).join(sources, "_key")
-
-    def place(rows: DataFrame) -> DataFrame:
-        at = rows.select("*", group).join(bases, ["_key", "_g"]).withColumn("_fit", fit)
-        at = at.withColumn("_start", F.col("_base") + upto("size", inside)).withColumn("_begin", F.col("_fits") + upto("_fit", inside))
-        more = (F.col("_fit") > 0) & (2 * F.col("_begin") + F.col("_fit") <= 2 * F.col("_rest"))
-        return at.withColumn("_times", F.when(F.col("size") > 0, F.col("_whole") + more.cast("long")).otherwise(0)).withColumn("_most", F.lit(most).cast("long"))
-
-    closing = materialize(_closing(place(small)), "closing")
-    placed = place(small).join(closing, ["_key", "_start"], "left")
-    times = F.when(F.col("size") > 0, F.col("_times") + F.coalesce("_more", F.lit(0))).otherwise(0).cast("long")
-    timed = placed.withColumn("times", times)
-
-    def shard(copy: Column) -> Column:
-        at = (copy - 1) * F.col("source_size") + F.when(copy <= F.col("_whole"), F.col("_start")).otherwise(F.col("_begin"))
-        return F.coalesce(F.get(F.filter("_ends", lambda e: e["upto"] > at), F.lit(0)), F.element_at("_ends", -1))["shard"]
-
+    sums = small.groupBy("_key", group).agg(F.sum("size").alias("_s"))
+    bases = sums.select("_key", "_g", upto("_s", before).alias("_base")).join(sources, "_key")
+    at = small.select("*", group).join(bases, ["_key", "_g"]).withColumn("_start", F.col("_base") + upto("size", inside))
+    at = at.withColumn("_b", F.expr(f"_start div {length}")).withColumn("_k", F.pmod("_b", F.lit(shards))).withColumn("_i", F.expr(f"_b div {shards}"))
+    # The one of n blocks that each of r even parts gives: its part, where that starts and ends, and the draw.
+    at = at.withColumn("_n", F.expr(f"(_blocks - _k + {shards - 1}) div {shards}")).withColumn("_r", F.coalesce(F.get("_draws", F.col("_k").cast("int")), F.lit(0)))
+    part = F.expr("((_i + 1) * _r - 1) div nullif(_n, 0)")
+    low, high = F.expr("(_t * _n) div nullif(_r, 0)"), F.expr("((_t + 1) * _n) div nullif(_r, 0)")
+    at = at.withColumn("_t", part).withColumn("_low", low).withColumn("_high", high)
+    more = F.col("_i") == F.col("_low") + F.pmod(F.xxhash64(F.lit(seed), "_key", "_k", "_t"), F.nullif(F.col("_high") - F.col("_low"), F.lit(0)))
+    times = F.when(F.col("size") > 0, F.col("_whole") + F.when(F.col("_r") > 0, F.coalesce(more.cast("long"), F.lit(0))).otherwise(0)).otherwise(0)
+    placed = at.select("doc_id", "source", "size", "source_size", "target", "_key", "_h", "_start", "_quota", "_b", times.cast("long").alias("_times"), F.lit(most).cast("long").alias("_most"))
+    placed = materialize(placed, "placed")
+
+    closing = materialize(_closing(placed), "closing")
+    timed = placed.join(closing, ["_key", "_start"], "left").withColumn("times", F.when(F.col("size") > 0, F.col("_times") + F.coalesce("_more", F.lit(0))).otherwise(0).cast("long"))
     none = F.expr("cast(array() as array<int>)")
-    found = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("times"), F.lit(1))), shard)).otherwise(none)
-    timed = timed.withColumn("shards", found)
-    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", "shards", "_key", "_h")
+    copies = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("times"), F.lit(1))), lambda c: (F.pmod(F.col("_b") + c - 1, F.lit(shards)) + 1).cast("int"))
+    return timed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times", F.when(F.col("times") > 0, copies).otherwise(none).alias("shards"), "_key", "_h")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **parameters) -> DataFrame:
@@ -176,7 +204,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **parameters) -> DataFrame:
     keys = ["doc_id", "_key", "_h"]
     of = mix(docs, seed=seed, **parameters).groupBy(*keys).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
     of = materialize(of.where("_times > 0").withColumnsRenamed({k: f"{k}_" for k in keys}), "times")
-    hashed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", _hash(seed), _key())
+    hashed = docs.select(F.struct(*named(*docs.columns)).alias("_doc"), "doc_id", _hash(seed), _key())
     same = (F.col("doc_id").eqNullSafe(F.col("doc_id_"))) & (F.col("_key") == F.col("_key_")) & (F.col("_h") == F.col("_h_"))
     found = hashed.join(of.hint("shuffle_hash"), same)
     if not of.where("_rows > 1").isEmpty():

@@ -206,3 +206,48 @@ def test_sainte_lague(spark, seed):
             best = min(targets, key=lambda s: (-targets[s] / (2 * seats[s] + 1), s))
             seats[best] += 1
         assert got[shard] == seats
+
+
+def many(spark):
+    rows = [(1_000 * k + j, text(31 * k + j, 5 + (j * 7) % 60), f"s{k}") for k in range(4) for j in range(400 if k else 60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_seeds_and_shards_change_the_choice_not_the_totals(spark):
+    docs = many(spark)
+    taken = {}
+    for shards, seed in ((16, 17), (4, 17), (16, 18)):
+        got = mixing.mix(docs, shards=shards, seed=seed).collect()
+        taken[shards, seed] = {r["doc_id"]: r["times"] for r in got}
+        by = defaultdict(int)
+        for r in got:
+            by[r["source"], r["target"]] += r["taken"]
+            assert len(r["shards"]) == r["times"] <= 3 and all(1 <= s <= shards for s in r["shards"])
+        assert all(abs(n - t) <= 3 * mixing.LEAST_BLOCK for (_, t), n in by.items())
+    a, b, c = taken.values()
+    assert min(sum(a[i] != x[i] for i in a) for x in (b, c)) > len(a) / 20
+
+
+def test_blocks_are_dealt_by_quota(spark):
+    """Each shard's draws are its quota where its own blocks allow that, and all draws together are the seats."""
+    sizes = {"a": 10_000, "b": 777, "c": 31, None: 50_000, "d": 0}
+    targets = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).withColumn("_key", mixing._key())
+    for shards, length in ((16, 10), (5, 3), (16, 1_000), (1, 50)):
+        house = sum(sizes.values()) // length
+        quotas = mixing.shard_quotas(targets, house, shards)
+        want = defaultdict(dict)
+        for r in quotas.collect():
+            want[r["source"]][r["shard"] - 1] = r["quota"]
+        assert sum(sum(q.values()) for q in want.values()) == house
+        for r in mixing.block_draws(targets, quotas, length, shards, 3).collect():
+            name = None if r["_key"] == "n" else r["_key"][1:]
+            n, q = -(-sizes[name] // length), want[name]
+            assert r["_blocks"] == n and len(r["_draws"]) == shards
+            own = [len(range(k, n, shards)) for k in range(shards)]
+            assert all(0 <= d <= o for d, o in zip(r["_draws"], own))
+            seats = min(sum(q.values()), 3 * n)
+            assert r["_whole"] * n + sum(r["_draws"]) == seats
+            for k in range(shards):
+                passed = sum(own[(k - p) % shards] for p in range(r["_whole"]))
+                if seats == sum(q.values()) and all(0 <= q.get(j, 0) - sum(own[(j - p) % shards] for p in range(r["_whole"])) <= own[j] for j in range(shards)):
+                    assert passed + r["_draws"][k] == q.get(k, 0)
