@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from frostline.llm.common import discard, materialize, table
+from frostline.llm.common import discard, materialize, named, table
 
 KEY_SETTING = "spark.frostline.secretKey"
 
@@ -58,8 +59,11 @@ PATTERNS = [
     ("key", re.compile(r"\b(?:AKIA|ASIA)(?P<v>[A-Z0-9]{12,20})\b")),
     ("iban", re.compile(r"\b[A-Z]{2}(?P<v>\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("ip", re.compile(rf"(?<![\d.])(?P<v>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d.]*\d)")),
+    ("ip6", re.compile(r"(?<![\w:.])(?P<v>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]*:){3,7}[0-9A-Fa-f]*(?![\w:]))(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")),
     ("ssn", re.compile(r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?P<v>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
+    ("phone", re.compile(r"(?i)\b(?:tel|phone|telephone|telefon|tél|mobile|fax|call)\b[.:]*\s*(?P<v>\(?0\d{1,5}\)?(?:[ /.-]?\d{2,8}){1,4})(?!\d)")),
+    ("passport", re.compile(r"(?i)\b(?:passport|pasaporte|passeport|reisepass)\b(?:\s+(?:no|number|nr)\b)?[.:#]*\s*(?P<v>(?=[A-Z]*\d)[A-Z0-9]{6,9})\b")),
     ("card", re.compile(r"(?<![\d.])(?P<v>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\d)")),
     ("number", re.compile(r"(?<![\d.])(?P<v>\d{9,19})(?!\d)")),
 ]
@@ -115,7 +119,8 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     givens: dict[str, str] = {}
     names: list[tuple[int, str, str]] = []
     for m in _PAIR.finditer(text):
-        if (gender := _KNOWN.get(m["g"])) and (script := script_of(m["f"])) == script_of(m["g"]):
+        loud = m["g"].isupper() and m["f"].isupper()  # a name all in capitals
+        if (gender := _KNOWN.get(m["g"].capitalize() if loud else m["g"])) and (script := script_of(m["f"])) == script_of(m["g"]):
             names.append((m.start("g"), m["g"], gender))
             givens[m["g"]] = gender
             families[m["f"]] = script
@@ -176,9 +181,9 @@ def _classes(value: str) -> list[str]:
     return [("x" if hexadecimal else "d" if c in _CLASSES["d"] else "l" if c in _CLASSES["l"] else "u" if c in _CLASSES["u"] else "") for c in value]
 
 
-def _formatted(value: str, key: bytes, tweak: str) -> str:
+def _formatted(value: str, key: bytes, tweak: str, kinds: list[str] | None = None) -> str:
     """The value with its digits and letters permuted as one number; other characters stay."""
-    kinds = _classes(value)
+    kinds = kinds or _classes(value)
     x, size = 0, 1
     for c, k in zip(value, kinds):
         if k:
@@ -227,6 +232,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             x = x * 256 + int(octet)
         x = permute(x, 2**32, key, tweak)
         made = ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    elif kind == "ip6":
+        made = _formatted(low, key, tweak, ["x" if c.isalnum() else "" for c in low])
     elif kind == "phone" and low.startswith("+"):
         code = re.match(r"\+\d{1,3}?(?=[ .(-])|\+\d", low)[0]
         made = code + _formatted(low[len(code) :], key, tweak + code)
@@ -319,46 +326,50 @@ def with_surrogates(docs: DataFrame, key: bytes | None = None, most_exceptions:
     """``docs`` with replaced texts, and ``column``: array of (type, start, end, surrogate) in the new text.
 
     ``key`` decides the surrogates, by default the session's: keep it secret, since who has it can undo them,
-    and the same where corpora are to agree.  A column of the input named ``column`` gives way.  Null and
-    empty texts stay as they are.  Rows repeat as they come.  The few entities that needed another attempt
+    and the same where corpora are to agree.  A column of the input named ``column`` gives way; all others ride
+    along, of whatever names and types.  Null and empty texts stay as they are, an empty table is empty, very long
+    texts are searched whole.  Rows repeat as they come.  The few entities that needed another attempt
     are broadcast up to ``most_exceptions``, checked; beyond, each document's own are joined to it.
     """
     spark = docs.sparkSession
     key = key or session_key(spark)
     again = materialize(collision_attempts(materialize(distinct_entities(docs), "entities"), key), "attempts")
     few = again.limit(most_exceptions + 1).count() <= most_exceptions
-    kinds = "array<struct<type:string,start:int,end:int,surrogate:string>>"
     item = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
-    names = [c for c in docs.columns if c != column]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names) + f", `{column}` {kinds}"
+    names = [c for c in docs.columns if c.lower() != column.lower()]
+    # All but the text ride along in one column, whatever their names; an empty struct would be no column.
+    kept = docs.select(F.struct(F.lit(True).alias("_"), *named(*[c for c in names if c != "text"])).alias("row"), "text")
+    schema = T.StructType([*kept.schema.fields, T.StructField("spans", T.ArrayType(T.StructType.fromDDL("type string, start int, end int, surrogate string")))])
+
+    def replaced(batch, attempts):
+        done = [_replaced(t, key, own) for t, own in zip(batch.column("text").to_pylist(), attempts)]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], item)], ["row", "text", "spans"])
+
     if few:
         table_ = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in again.collect()})
 
         def replace(batches):
             for batch in batches:
-                done = [_replaced(t, key, table_.value) for t in batch.column("text").to_pylist()]
-                cols = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], item)], [*names, column])
-
-        return docs.select(*names).mapInArrow(replace, schema)
+                yield replaced(batch, [table_.value] * batch.num_rows)
 
-    def own(batches):
-        for batch in batches:
-            rows = [(h, k, normal(k, t[a:b])) for h, t in zip(batch.column("_h").to_pylist(), batch.column("text").to_pylist()) if t for a, b, k in entities(t)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["_h", "kind", "value"])
+        out = kept.mapInArrow(replace, schema)
+    else:
 
-    hashed = docs.select(*names).withColumn("_h", F.sha2("text", 256))
-    needed = hashed.select("_h", "text").mapInArrow(own, "_h string, kind string, value string").distinct().join(again, ["kind", "value"])
-    lists = needed.groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again"))
+        def own(batches):
+            for batch in batches:
+                found = [(h, k, normal(k, t[a:b])) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()) if t for a, b, k in entities(t)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["h", "kind", "value"])
 
-    def replace_own(batches):
-        for batch in batches:
-            done = [_replaced(t, key, {(x["kind"], x["value"]): x["attempt"] for x in own_ or []}) for t, own_ in zip(batch.column("text").to_pylist(), batch.column("_again").to_pylist())]
-            cols = [pa.array([d[0] for d in done], pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], item)], [*names, column])
+        def replace_own(batches):
+            for batch in batches:
+                yield replaced(batch, [{(x["kind"], x["value"]): x["attempt"] for x in own_ or []} for own_ in batch.column("again").to_pylist()])
 
-    return hashed.join(lists, "_h", "left").select(*names, "_again").mapInArrow(replace_own, schema)
+        hashed = kept.withColumn("h", F.sha2("text", 256))
+        needed = hashed.select("h", "text").mapInArrow(own, "h string, kind string, value string").distinct().join(again, ["kind", "value"])
+        lists = needed.groupBy("h").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("again"))
+        out = hashed.join(lists, "h", "left").select("row", "text", "again").mapInArrow(replace_own, schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], F.col("spans").alias(column))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
