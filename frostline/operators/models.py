@@ -191,49 +191,57 @@ def text_factors(docs: DataFrame, dim: int, least: int = 512, most: int = 16_384
     return v.select("id", padded.alias("v")).select("id", l2_normalised("v").alias("v"))
 
 
-def two_towers(rows: DataFrame, hidden: int = 16, out: int = 8, epochs: int = 8, batch: int = 256, rate: float = 3e-3, decay: float = 0.01, most_rows: int = 20_000, seed: int = 5):
-    """(weights, report) of two towers, each linear, max(0, x), linear, whose outputs' inner product is a pair's log odds.
+def gaussian_rows(terms: list[str], dim: int, seed: int | str) -> np.ndarray:
+    """Rows of a random matrix by term: entries are normal by md5 (Box and Muller), of variance 1 / dim, made when asked for."""
+    import hashlib
+
+    raw = b"".join(hashlib.md5(f"{seed}:{t}-{k}".encode()).digest()[:8] for t in terms for k in range(dim))
+    h = np.frombuffer(raw, ">u4").astype(float).reshape(len(terms), dim, 2)
+    return np.sqrt(-2 * np.log((h[..., 0] + 0.5) / 2**32)) * np.cos(2 * np.pi * h[..., 1] / 2**32) / np.sqrt(dim)
+
 
-    ``rows``: (u, i, label in 0..1, share in 0..1); shares below 0.8 train, the others are held out.  At most
-    about ``most_rows`` rows are taken, by a share of their hashes.  Soft log loss, Adam with decoupled decay
-    and a rate that falls linearly.  The report has each epoch's held-out loss and accuracy at 0.5; the weights
-    are those of the most accurate epoch.
+def projected(weights: DataFrame, dim: int = 128, seed: int | str = 42, most_terms: int = 20_000) -> DataFrame:
+    """(id, v) of unit length: sparse (id, term, weight) times a random matrix that is never stored.
+
+    A row of the matrix is made by hash from its term wherever a weight lies; a task remembers the rows of the last
+    ``most_terms`` terms, and adds up what it meets of an id before anything is shuffled.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms = batch.column("term").to_pylist()
+            if len(known) > most_terms:
+                known = {}
+            new = list(set(terms).difference(known))
+            known.update(zip(new, gaussian_rows(new, dim, seed)))
+            ids, at = np.unique(batch.column("id").to_numpy(), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            x = np.stack([known[t] for t in terms]) * batch.column("weight").to_numpy()[:, None]
+            sums = np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(len(ids))), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(sums), pa.list_(pa.float64()))], ["id", "v"])
+
+    rows = weights.select(F.col("id").cast("long").alias("id"), "term", F.col("weight").cast("double").alias("weight")).where("id is not null and term is not null and weight <> 0")
+    sums = summed_vectors(rows.mapInArrow(run, "id long, v array<double>"), "id")
+    return sums.select("id", l2_normalised("v").alias("v"))
+
+
+def pooled(tokens: DataFrame, mode: str = "mean", most: int = 128) -> DataFrame:
+    """(id, v): one vector of each id's token vectors (id, pos, mask, v) among its first ``most`` positions.
+
+    ``mean``: of the unmasked ones, zeros where all are masked; ``last``: the unmasked one of greatest pos, and no row
+    where all are masked.  Means are added up task by task before the shuffle; of last ones a task sends one an id.
     """
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("share", "label", "u"), F.lit(2**32)) < int(2**32 * min(1.0, most_rows / max(n, 1))))
-    pdf = some.orderBy("share").toPandas()
-    u, i, y = np.stack(pdf["u"]), np.stack(pdf["i"]), pdf["label"].to_numpy(float)
-    train = pdf["share"].to_numpy() < 0.8
-    rng = np.random.default_rng(seed)
-    w = [rng.normal(0, 1 / np.sqrt(a), (a, b)) for a, b in ((u.shape[1], hidden), (hidden, out), (i.shape[1], hidden), (hidden, out))]
-    m, s = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-
-    def forward(w, a, b):
-        ha, hb = np.maximum(a @ w[0], 0), np.maximum(b @ w[2], 0)
-        return ha, hb, ha @ w[1], hb @ w[3]
-
-    def held_out(w):
-        _, _, a, b = forward(w, u[~train], i[~train])
-        p = np.clip(1 / (1 + np.exp(-(a * b).sum(axis=1))), 1e-9, 1 - 1e-9)
-        t = y[~train]
-        return float(-(t * np.log(p) + (1 - t) * np.log(1 - p)).mean()), float(((p >= 0.5) == (t >= 0.5)).mean())
-
-    best, report, at = None, [], np.flatnonzero(train)
-    steps = epochs * -(-len(at) // batch)
-    t = 0
-    for epoch in range(epochs):
-        for k in range(0, len(at), batch):
-            on, t = at[rng.permutation(len(at))[:batch]], t + 1
-            ha, hb, a, b = forward(w, u[on], i[on])
-            g = ((1 / (1 + np.exp(-(a * b).sum(axis=1))) - y[on]) / len(on))[:, None]
-            ga, gb = g * b, g * a
-            grads = [u[on].T @ ((ga @ w[1].T) * (ha > 0)), ha.T @ ga, i[on].T @ ((gb @ w[3].T) * (hb > 0)), hb.T @ gb]
-            for x, grad, mk, sk in zip(w, grads, m, s):
-                mk += 0.1 * (grad - mk)
-                sk += 0.001 * (grad * grad - sk)
-                x -= rate * (1 - (t - 1) / steps) * (mk / (1 - 0.9**t) / (np.sqrt(sk / (1 - 0.999**t)) + 1e-8) + decay * x)
-        loss, accuracy = held_out(w)
-        report.append([epoch, loss, accuracy])
-        if best is None or accuracy > best[0]:
-            best = accuracy, epoch, [x.copy() for x in w]
-    return best[2], [(e, loss, accuracy, e == best[1]) for e, loss, accuracy in report]
+    rows = tokens.where(F.col("pos") < most).select(F.col("id").cast("long").alias("id"), "pos", F.coalesce(F.col("mask") > 0, F.lit(False)).alias("on"), F.col("v").cast("array<double>").alias("v"))
+    if mode == "last":
+        return rows.where("on").groupBy("id").agg(F.max_by("v", "pos").alias("v"))
+    if mode != "mean":
+        raise ValueError(f"unknown mode: {mode}")
+    zeros = F.transform("v", lambda x: F.lit(0.0))
+    ones = rows.select("id", F.when(F.col("on"), F.concat("v", F.array(F.lit(1.0)))).otherwise(F.concat(zeros, F.array(F.lit(0.0)))).alias("v"))
+    sums = summed_vectors(ones, "id")
+    n = F.greatest(F.element_at("v", -1), F.lit(1.0))
+    return sums.select("id", F.transform(F.slice("v", 1, F.size("v") - 1), lambda x: x / n).alias("v"))

@@ -100,6 +100,12 @@ def user_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None
 VECTORS = "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), iv AS (SELECT vec_id AS id, v FROM vecs WHERE vec_id IN (SELECT item_id FROM ix)), uv AS (SELECT user_id AS id, v FROM (SELECT DISTINCT user_id FROM ix) JOIN vecs ON vec_id = (user_id * 7 + 3) % (SELECT count(*) FROM embeddings))"
 
 
+def part_terms(spark, d):
+    """(id, term, weight): counts of the words of a part's name and type."""
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+
+
 def grouped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, item_id, grp): all pairs with their item's group, stored."""
     p = stored(pairs(spark, sf_dir))

@@ -12,7 +12,7 @@ from frostline.operators import candidates as C
 from frostline.operators import edges as E
 from frostline.operators import calibration, evaluate, models
 from frostline.operators.ids import hash_order, numbered
-from frostline.plans.base import COLD, SP, cold_setting, grouped_pairs, h, item_vectors, query, scored_pairs, user_vectors
+from frostline.plans.base import COLD, SP, cold_setting, grouped_pairs, h, item_vectors, part_terms, query, scored_pairs, user_vectors
 from frostline.plans.retrieval import _NN, _NOT_SEEN, _TOP, _UNIT, _near, _observed, _rounded
 from frostline.sources.storage import stored
 
@@ -193,13 +193,15 @@ def cand_dry_run(spark, d):
 
 @query()
 def cand_ridge(spark, d):
-    """Cold users to items by cosine, after ridge regression from user vectors to mean vectors of met items."""
+    """Cold users to items by cosine in a space of projected item texts, which ridge regression from user vectors to
+    the profiles of training users reaches."""
     users, items, train = _fresh(spark, d)
-    every = stored(user_vectors(spark, d, train))
-    means = models.mean_vectors(train.join(items, F.col("item_id") == F.col("id")).select(F.col("user_id").alias("id"), "v"))
-    w = models.ridge_map(stored(every.join(means.withColumnRenamed("v", "y"), "id")), "v", "y")
     unit = lambda df: df.select("id", l2_normalised("v").alias("v"))
-    top = C.top_candidates(unit(models.mapped(users, [(w[:-1].T, w[-1])])), unit(items), _observed(train, "user_id"), 20)
+    content = stored(models.projected(part_terms(spark, d).join(items.select("id"), "id", "left_semi"), 32, "ridge"))
+    profiles = unit(models.mean_vectors(train.join(content, F.col("item_id") == F.col("id")).select(F.col("user_id").alias("id"), "v")))
+    known = user_vectors(spark, d, train).join(profiles.withColumnRenamed("v", "y"), "id")
+    w = models.ridge_map(stored(known), "v", "y", 10.0)
+    top = C.top_candidates(unit(models.mapped(users, [(w[:-1].T, w[-1])])), content, _observed(train, "user_id"), 20)
     p = 0.2 + 0.7 * E.group_minmax(F.col("score"), Window.partitionBy("target"))
     return top.select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), F.round(p, 6).alias("probability"))
 

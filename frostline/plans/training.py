@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frostline.functions import text
-from frostline.operators import complement, evaluate, factors, filters, graph, models, splits
+from frostline.operators import complement, evaluate, factors, filters, graph, models, splits, towers
 from frostline.operators.ids import dense_remap, hash_order, hash_uniform, numbered
-from frostline.plans.base import GROUPS, IX, SP, h, interactions, item_groups, item_vectors, pairs, query, scored_pairs, vectors
+from frostline.plans.base import GROUPS, IX, SP, h, interactions, item_groups, item_vectors, pairs, part_terms, query, scored_pairs, vectors
 from frostline.plans.data import _CORE_ROUNDS, _FT, _WARM, drawn_negatives
 from frostline.plans.measures import _NORM, _edges
 from frostline.sources.storage import stored
@@ -290,7 +290,7 @@ def two_tower_head(spark, d):
     sp = scored_pairs(spark, d)
     rows = sp.join(user_vectors(spark, d).withColumnsRenamed({"id": "user_id", "v": "u"}), "user_id").join(item_vectors(spark, d).withColumnsRenamed({"id": "item_id", "v": "i"}), "item_id")
     share = hash_uniform(F.concat_ws("-", "user_id", "item_id"), "tt")
-    _, report = models.two_towers(rows.select("u", "i", F.col("llm").alias("label"), share.alias("share")))
+    _, report = towers.train(rows.select("u", "i", F.col("llm").alias("label"), share.alias("share")))
     return spark.createDataFrame(report, "epoch int, loss double, accuracy double, best boolean")
 
 
@@ -302,6 +302,33 @@ def hashed_vectors(spark, d):
     return v.select(F.col("id").alias("item_id"), F.posexplode("v").alias("pos", "x")).where("x <> 0").select("item_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+_TOKENS = f"tk AS (SELECT vec_id % 12 AS id, vec_id // 12 AS pos, CASE WHEN {h('vec_id', 'm')} % 5 = 0 THEN 0 ELSE 1 END AS mask, embedding::DOUBLE[] AS v FROM embeddings), tu AS (SELECT * FROM tk WHERE pos < 32)"
+
+
+@query(f"WITH {_TOKENS}, al AS (SELECT id, pos, mask, v, max(CASE WHEN mask = 1 THEN pos END) OVER (PARTITION BY id) AS last FROM tu) SELECT id, 'mean' AS mode, k AS pos, round(sum(v[k] * mask) / greatest(sum(mask), 1), 6) AS x FROM tu, range(1, 65) t(k) GROUP BY 1, 3 UNION ALL SELECT id, 'last', k, round(v[k], 6) FROM al, range(1, 65) t(k) WHERE pos = last")
+def pooled_vectors(spark, d):
+    """Token vectors (every twelfth row is of one text) pooled to one a text: masked means and last unmasked tokens of 32 positions."""
+    v = vectors(spark, d)
+    tokens = v.select((F.col("vec_id") % 12).alias("id"), F.expr("vec_id div 12").alias("pos"), F.when(hash_order(F.col("vec_id"), "m") % 5 == 0, 0).otherwise(1).alias("mask"), "v")
+    out = None
+    for mode in ("mean", "last"):
+        one = models.pooled(tokens, mode, 32).select("id", F.lit(mode).alias("mode"), F.posexplode("v").alias("k", "x")).select("id", "mode", (F.col("k") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_TERMS = "tt AS (SELECT p_partkey AS id, unnest([x FOR x IN regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}_]+') IF length(x) >= 2]) AS term FROM part), tw AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS weight FROM tt GROUP BY 1, 2)"
+_MD5 = "md5('pc:' || term || '-' || k)"
+_NORMAL = f"sqrt(-2 * ln((CAST('0x' || substr({_MD5}, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * CAST('0x' || substr({_MD5}, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE) / sqrt(16.0::DOUBLE)"
+
+
+@query(f"WITH {_TERMS}, gm AS (SELECT term, k, {_NORMAL} AS r FROM (SELECT DISTINCT term FROM tw), range(0, 16) t(k)), px AS (SELECT id, k, sum(weight * r) AS x FROM tw JOIN gm USING (term) GROUP BY 1, 2) SELECT id AS item_id, k AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM px")
+def projected_content(spark, d):
+    """Word counts of parts projected on 16 random directions, of unit length."""
+    v = models.projected(part_terms(spark, d), 16, "pc")
+    return v.select(F.col("id").alias("item_id"), F.posexplode("v").alias("k", "x")).select("item_id", F.col("k").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
 @query()
 def tfidf_svd(spark, d):
     """Text vectors by TF-IDF of words and pairs of words, projected on their first singular vectors, of unit length."""
