@@ -111,3 +111,30 @@ def rendered(template: str, **columns: Column) -> Column:
     for name, value in columns.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+def nested_text(json: Column, most: int = 8, rest: int = 4, depth: int = 4) -> Column:
+    """A JSON value as text: a string as it is, an object's ``key: value`` pairs and a list's elements parted by semicolons.
+
+    The first ``most`` of the outermost level are told, the first ``rest`` of each deeper one, in the order of the
+    text; what lies deeper than ``depth`` levels stays JSON.  Null is empty, and so is what isn't JSON.  VARIANT values say
+    what each part is.
+    """
+
+    def scalar(raw: Column, kind: Column) -> Column:
+        number = raw.try_cast("double").cast("string")
+        return F.when(kind == "BOOLEAN", F.initcap(raw)).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.coalesce(number, raw)).when(kind == "VOID", F.lit("")).otherwise(F.coalesce(raw, F.lit("")))
+
+    def walk(raw: Column, kind: Column, n: int, left: int) -> Column:
+        if not left:
+            return scalar(raw, kind)
+        fields, typed = F.from_json(raw, "map<string,string>"), F.from_json(raw, "map<string,variant>")
+        object_ = F.transform(F.slice(F.map_keys(fields), 1, n), lambda k: F.concat(k, F.lit(": "), walk(F.try_element_at(fields, k), F.schema_of_variant(F.try_element_at(typed, k)), rest, left - 1)))
+        items, kinds = F.from_json(raw, "array<string>"), F.from_json(raw, "array<variant>")
+        list_ = F.transform(F.slice(F.arrays_zip(items.alias("a"), kinds.alias("b")), 1, n), lambda x: walk(x["a"], F.schema_of_variant(x["b"]), rest, left - 1))
+        return F.when(kind.startswith("OBJECT"), F.array_join(object_, "; ")).when(kind.startswith("ARRAY"), F.array_join(list_, "; ")).otherwise(scalar(raw, kind))
+
+    value = F.try_parse_json(json)
+    kind = F.schema_of_variant(value)
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(json)
+    return F.when(value.isNull(), F.lit("")).otherwise(F.coalesce(walk(text, kind, most, depth), F.lit("")))

@@ -151,3 +151,37 @@ def simulation_quality(scored: DataFrame, truth: DataFrame, validation: DataFram
     counts = rows.groupBy(t).agg(F.count("*").alias("scored_pairs"), F.sum("label").alias("positive_pairs"))
     found = counts.join(ranking, t, "left").join(auc(rows, t).select(t, "auc"), t)
     return found.join(errors(calibrated, "score", ""), t).join(errors(calibrated, "rate", "cal_"), t)
+
+
+def blend_scan(rows: DataFrame, weights: list[float], k: int, most: int = 50, by: str = "entity_type") -> DataFrame:
+    """(by, weight, hits, truth) of scores weight * a + (1 - weight) * b, all weights in one pass.
+
+    ``rows``: (user_id, item_id, by, a, b, label); candidates are what either score has among a user's first ``most`` of a
+    group, and each is scored with every weight.  Hits are positives among a user's first ``k``, ties to the smaller item.
+    """
+    user = Window.partitionBy(by, "user_id")
+    place = lambda c: F.row_number().over(user.orderBy(F.col(c).desc(), "item_id"))
+    some = rows.withColumn("_a", place("a")).withColumn("_b", place("b")).where((F.col("_a") <= most) | (F.col("_b") <= most))
+    each = some.withColumn("weight", F.explode(F.array(*map(F.lit, weights)))).withColumn("_s", F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), 9))
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy(by, "user_id", "weight").orderBy(F.col("_s").desc(), "item_id")))
+    hits = ranked.where(F.col("_r") <= k).groupBy(by, "weight").agg(F.sum("label").cast("long").alias("hits"))
+    return hits.join(rows.groupBy(by).agg(F.sum("label").cast("long").alias("truth")), by)
+
+
+def blend_choices(scan: DataFrame, thresholds: dict[str, float], by: str = "entity_type") -> DataFrame:
+    """One row a choice of weights: a weight and a recall by group, ``overall``, margin, total, and whether it is chosen.
+
+    ``scan`` as of ``blend_scan``; thresholds are by group, and for ``overall`` where it counts.  Chosen is the choice
+    whose least margin over the thresholds is greatest, then the one of greatest sum, then of least weights.  There are
+    few groups and weights, and one row for each choice of them.
+    """
+    groups = sorted(g for g in thresholds if g != "overall")
+    lists = scan.groupBy().agg(*[F.sort_array(F.collect_list(F.when(F.col(by) == g, F.struct("weight", "hits", "truth")))).alias(f"_{g}") for g in groups])
+    for g in groups:
+        lists = lists.withColumn(f"_{g}", F.explode(f"_{g}"))
+    recall = {g: F.col(f"_{g}.hits") / F.nullif(F.col(f"_{g}.truth"), F.lit(0)) for g in groups}
+    recall["overall"] = sum(F.col(f"_{g}.hits") for g in groups) / F.nullif(sum(F.col(f"_{g}.truth") for g in groups), F.lit(0))
+    told = lists.select(*[F.col(f"_{g}.weight").alias(f"{g}_weight") for g in groups], *[F.round(recall[g], 9).alias(g) for g in recall])
+    margins = told.withColumn("margin", F.least(*[F.round(F.col(g) - t, 9) for g, t in thresholds.items()], F.lit(1.0))).withColumn("total", F.round(sum(F.col(g) for g in thresholds), 9))
+    best = Window.orderBy(F.col("margin").desc(), F.col("total").desc(), *[f"{g}_weight" for g in groups])
+    return margins.withColumn("chosen", F.row_number().over(best) == 1)

@@ -120,6 +120,18 @@ def stringified(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), text.map_text(details).alias("details"), text.list_text(words, 4).alias("features"))
 
 
+@query("""SELECT p_partkey AS item_id, 'brand: ' || p_brand || '; dims: size: ' || p_size || '; price: ' || CAST(round(p_retailprice, 1) AS VARCHAR) || '; deep: words: ' || array_to_string(string_split(p_name || ' a b c d e', ' ')[1:4], '; ') || '; big: ' || CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END || '; lists: ' || p_type || '; {"k":"' || p_brand || '"}; 7' AS details FROM part""")
+def nested_details(spark, d):
+    """Nested JSON as text: objects, lists and scalars, the first eight outermost parts and four of each deeper level."""
+    words = F.split(F.concat("p_name", F.lit(" a b c d e")), " ")
+    dims = F.struct(F.col("p_size").alias("size"), F.round(F.col("p_retailprice").cast("double"), 1).alias("price"), F.struct(words.alias("words"), (F.col("p_size") > 25).alias("big")).alias("deep"))
+    quoted = F.concat(F.lit('{"k":"'), "p_brand", F.lit('"}'))  # a string, though it looks like an object
+    rows = F.struct(F.col("p_brand").alias("brand"), dims.alias("dims"))
+    lists = F.concat(F.lit('["'), "p_type", F.lit('",'), F.to_json(F.struct(quoted.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(quoted.alias("x")))) - 6), F.lit(",7]"))
+    whole = F.concat(F.expr("substr(x, 1, length(x) - 1)"), F.lit(',"lists":'), F.col("l"), F.lit("}"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.to_json(rows).alias("x"), lists.alias("l")).select("item_id", text.nested_text(whole).alias("details"))
+
+
 @query("SELECT conv_id, turn, role, CASE WHEN length(t) > 80 THEN substr(t, 1, 77) || '...' ELSE t END AS short FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")
 def shortened_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", text.shortened(F.col("text"), 80).alias("short"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frostline.functions.vectors import dot
 from frostline.operators import splits, stats
 from frostline.operators.ids import numbered
-from frostline.plans.base import IX, interactions, pairs, query
+from frostline.plans.base import COLD, GROUPS, IX, cold_setting, grouped_pairs, interactions, pairs, query
 from frostline.plans.data import _FT, _PR, _predictions
 from frostline.plans.measures import _MET, _met
-from frostline.sources import sinks, tables
+from frostline.sources import matrix_sink, sinks, tables
 from frostline.sources.storage import new_path, stored
 from frostline.sources.tables import table
 
@@ -50,6 +51,15 @@ def invalid_lines(spark, d):
     return tolerant_json(spark, d).agg(F.count("*").alias("n"), F.count(F.when(~F.col("valid"), 1)).alias("invalid"))
 
 
+@query(f"WITH l AS (SELECT {_BAD} AS value, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM events) SELECT row_idx, value FROM l WHERE NOT json_valid(value) ORDER BY row_idx LIMIT 1")
+def bad_line(spark, d):
+    """The first line of a folder of JSON lines that can't be parsed, and its number, without a sort of the lines."""
+    path = new_path(spark, "bad")
+    line = F.when(F.col("event_id") % 7 == 3, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    table(spark, d, "events").repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return tables.first_bad_line(spark, path).select("row_idx", "value")
+
+
 @query("SELECT p_partkey AS item_id, p_name AS dat, p_name || ' é' AS latin1 FROM part")
 def separated_files(spark, d):
     """Fields parted by two colons, and CSV in Latin-1."""
@@ -133,6 +143,33 @@ def score_export(spark, d):
     return sinks.ragged(pairs(spark, d)).select("user_id", "start", "items")
 
 
+_HELD = f"{COLD}, u0 AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM uv)"
+
+
+@query(f"WITH {_HELD} SELECT u0.id AS user_id, c.id AS item_id, round(list_dot_product(c.v, u0.v), 6) AS score FROM u0, cold c")
+def score_matrices(spark, d):
+    """All users' scores of the cold items as a matrix of blocks, a row a user and a column an item in order of ids, read back."""
+    cold, users, _ = cold_setting(spark, d)
+    columns = stored(numbered(cold, "id", name="pos").select((F.col("pos") - 1).alias("pos"), F.col("id").alias("item_id"), "v"))
+    # Blocks of columns meet blocks of users; a block of columns is at most 1,024 of them.
+    wide = columns.groupBy(F.expr("pos div 1024").alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("c"))
+    path = new_path(spark, "scores")
+    n = columns.count()
+    parts = users.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (n - 1) // 1_024)).cast("long")))).join(wide, "part").select("id", "part", F.transform("c", lambda x: dot(F.col("v"), x["v"])).alias("s"))
+    rows = parts.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "s"))), lambda p: p["s"])).alias("v"))
+    matrix_sink.write_matrix(rows, path, 512)
+    back = matrix_sink.read_matrix_blocks(spark, path).select(F.col("id").alias("user_id"), F.posexplode("v").alias("pos", "score"))
+    return back.join(columns.select("pos", "item_id"), "pos").select("user_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {GROUPS}, us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS row_idx FROM (SELECT DISTINCT user_id FROM ix JOIN grps USING (item_id) WHERE grp = 'strict_cold')) SELECT CAST(row_idx AS BIGINT) AS row_idx, item_id FROM ix JOIN us USING (user_id) JOIN grps USING (item_id) WHERE grp <> 'strict_cold'")
+def exclude_coordinates(spark, d):
+    """Cells of a score matrix that ranking leaves out: positives of its users that aren't the truth, by row and item."""
+    rows = grouped_pairs(spark, d)
+    truth = rows.where("grp = 'strict_cold'").select("user_id", "item_id")
+    return sinks.exclude_coordinates(rows.select("user_id", "item_id"), truth)
+
+
 def _fixed_sql(x: str) -> str:
     w = f"CAST(floor({x} * 100 + 0.5) AS BIGINT)"
     return f"(CAST({w} // 100 AS VARCHAR) || '.' || lpad(CAST({w} % 100 AS VARCHAR), 2, '0'))"

@@ -336,6 +336,23 @@ def tfidf_svd(spark, d):
     return models.text_factors(docs, 16)
 
 
+_WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
+_LIMITS = {"strict_cold": 0.2, "warmup": 0.4, "overall": 0.3}
+
+
+@query(f"""WITH {SP}, lb AS (SELECT *, CASE WHEN {h(_K, 'z')} % 100 < llm * 60 + emb * 20 THEN 1 ELSE 0 END AS label FROM sp), ca AS (SELECT *, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY emb DESC, item_id) AS ra, row_number() OVER (PARTITION BY entity_type, user_id ORDER BY llm DESC, item_id) AS rb FROM lb QUALIFY ra <= 20 OR rb <= 20),
+sc AS (SELECT entity_type, user_id, w, label, row_number() OVER (PARTITION BY entity_type, user_id, w ORDER BY round(w * emb + (1 - w) * llm, 9) DESC, item_id) AS r FROM ca, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w)), hi AS (SELECT entity_type, w, sum(label) AS hits FROM sc WHERE r <= 5 GROUP BY 1, 2), tr AS (SELECT entity_type, sum(label) AS truth FROM lb GROUP BY 1), re AS (SELECT * FROM hi JOIN tr USING (entity_type)),
+ch AS (SELECT s.w AS strict_cold_weight, u.w AS warmup_weight, round(s.hits / s.truth, 9) AS strict_cold, round(u.hits / u.truth, 9) AS warmup, round((s.hits + u.hits) / (s.truth + u.truth), 9) AS overall FROM re s, re u WHERE s.entity_type = 'strict_cold' AND u.entity_type = 'warmup'), mg AS (SELECT *, least(round(strict_cold - 0.2::DOUBLE, 9), round(warmup - 0.4::DOUBLE, 9), round(overall - 0.3::DOUBLE, 9)) AS margin, round(strict_cold + warmup + overall, 9) AS total FROM ch)
+SELECT strict_cold_weight, warmup_weight, round(strict_cold, 6) AS strict_cold, round(warmup, 6) AS warmup, round(overall, 6) AS overall, round(margin, 6) AS margin, row_number() OVER (ORDER BY margin DESC, total DESC, strict_cold_weight, warmup_weight) = 1 AS chosen FROM mg""")
+def scanned_blend(spark, d):
+    """Recalls of all choices of two groups' weights between two scores, of which the one with the greatest least margin is chosen."""
+    sp = stored(scored_pairs(spark, d))
+    label = (hash_order(F.concat_ws("-", "user_id", "item_id"), "z") % 100 < F.col("llm") * 60 + F.col("emb") * 20).cast("int")
+    scan = evaluate.blend_scan(sp.select("user_id", "item_id", "entity_type", F.col("emb").alias("a"), F.col("llm").alias("b"), label.alias("label")), _WEIGHTS, 5, 20)
+    found = evaluate.blend_choices(scan, _LIMITS)
+    return found.select("strict_cold_weight", "warmup_weight", *[F.round(c, 6).alias(c) for c in ("strict_cold", "warmup", "overall", "margin")], "chosen")
+
+
 _BLEND = "CASE WHEN id % 3 = 0 THEN 0.7::DOUBLE WHEN id % 3 = 1 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.operators.ids import running_total
+from frostline.operators.ids import numbered, running_total
 from frostline.operators.stats import shard_sizes
 from frostline.sources.storage import move_or_delete, stored
 
@@ -59,6 +59,12 @@ def ragged(truth: DataFrame, user: str = "user_id", item: str = "item_id") -> Da
     return lists.join(starts.select(user, "start"), user)
 
 
+def exclude_coordinates(positives: DataFrame, truth: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
+    """(row_idx, item): positives of the users that have a truth which aren't in it; rows are those users in order from 0."""
+    rows = numbered(truth.select(user).distinct(), user, name="row_idx").withColumn("row_idx", F.col("row_idx") - 1)
+    return positives.select(user, item).distinct().join(truth.select(user, item), [user, item], "left_anti").join(rows, user).select("row_idx", item)
+
+
 def fixed(x: Column, digits: int) -> Column:
     """A number of no sign rounded half up to some digits, as text."""
     whole = F.floor(x * 10**digits + 0.5).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,27 @@ def read_pairs(spark: SparkSession, path: str, empty_ok: bool = False) -> DataFr
     return rows.select(F.col("user").alias("user_id"), F.col("item").alias("item_id")).distinct()
 
 
+def first_bad_line(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, row_idx, value): the first line, by file name, that is neither blank nor JSON; no row where all are good.
+
+    Lines count from 1 in their file, row_idx from 0 over all files.  Tasks read byte ranges of the files; a range
+    gives its number of lines and the place of its first bad one, and running sums of the ranges' numbers say which
+    line of its file that is, so no line is sorted or sent anywhere.  An object that repeats a key isn't JSON here.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    ranges = lines.groupBy("file", "_block").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"), F.min(F.when(bad, F.struct("_line", "value"))).alias("_bad"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a range of a file.
+    placed = ranges.withColumn("_file", before(Window.partitionBy("file").orderBy("_block"))).withColumn("_all", before(Window.orderBy("file", "_block")))
+    at = F.col("_bad._line") - F.col("_first")
+    return placed.where("_bad is not null").select("file", (F.col("_file") + at + 1).alias("line"), (F.col("_all") + at).alias("row_idx"), F.col("_bad.value").alias("value")).orderBy("row_idx").limit(1)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines, of which a bad one is an error; blank lines are skipped."""
+    """JSON lines, of which a bad one is an error that names its file and line; blank lines are skipped."""
+    if bad := first_bad_line(spark, path).first():
+        raise ValueError(f"could not parse {bad.file}:{bad.line}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
