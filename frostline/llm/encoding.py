@@ -6,6 +6,9 @@ its ids are reused.  That gives the ids of the whole text because no pre-token s
 
 from __future__ import annotations
 
+import re
+import string
+
 import numpy as np
 
 from frostline.llm.common import one_thread
@@ -17,6 +20,11 @@ _ENDS = (" ", "\n")
 _ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in _ENDS) | {"\0"}
 
 
+_ODD_ONE = re.compile("[" + re.escape("".join(sorted(_ODD))) + "]")
+#: Trailing marks that every pre-tokenizer here parts from letters and digits before them; an apostrophe may not be.
+_MARKS = "".join(c for c in string.punctuation if c != "'")
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -24,11 +32,11 @@ class PieceEncoder:
     word after it, and only texts whose white space is single spaces and line breaks are cut.  ``specials``:
     the strings of special tokens in a text become those tokens, as in a plain call of the library, and a
     text that holds one stays whole; else they are ordinary text.
-    ``max_pieces`` bounds the pieces held in memory: beyond twice as many, those not lately used go.
+    ``max_pieces`` bounds the pieces held in memory between calls: beyond, all go.
     Null and empty texts have no ids.
     """
 
-    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int = 400_000):
+    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int = 800_000):
         one_thread()
         from tokenizers import Tokenizer
 
@@ -37,17 +45,23 @@ class PieceEncoder:
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if specials else ()
         self.drops_space, self.max_pieces = drops_space, max_pieces
         self.known: dict[str | bytes, bytes] = {"": b""}
-        self.older: dict[str | bytes, bytes] = {}
         self.between = " \x01 " if drops_space else "\n"
-        (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        (self.between_id,) = ids(self.between)
+        self.lowers = drops_space and all(ids(c) == ids(c.lower()) for c in string.ascii_uppercase)
+        # By which ids a run of words falls apart without marks between: the last of a word, or the first behind a space.
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(names.values()) + 1, bool)
+        self.edge[[i for t, i in names.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
 
     def cut(self, text: str) -> list | None:
         """A text's pieces, or None where it must stay whole."""
         if any(m in text for m in self.marks):
             return None
         if self.drops_space:
-            return text.encode().split()  # at U+0009..U+000D and space
-        if text.startswith(_ENDS) or text.endswith(_ENDS) or any(r in text for r in _RUNS) or not _ODD.isdisjoint(set(text)):
+            raw = text.encode()
+            return (raw.lower() if self.lowers else raw).split()  # at U+0009..U+000D and space; of ASCII letters
+        if text.startswith(_ENDS) or text.endswith(_ENDS) or any(r in text for r in _RUNS) or _ODD_ONE.search(text):
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -57,41 +71,80 @@ class PieceEncoder:
             if c is None:
                 cuts[i] = [texts[i]]
                 whole.add(texts[i])
-        known, older = self.known, self.older
-        new = []
-        for piece in set().union(*cuts).difference(known):
-            if piece in older:
-                known[piece] = older[piece]
-            else:
-                new.append(piece)
-        self._learn(new, whole)
-        get = known.__getitem__
+        self._know(set().union(*cuts).difference(self.known), whole)
+        get = self.known.__getitem__
         out = [b"".join(map(get, c)) for c in cuts]
-        if len(known) > self.max_pieces:  # pieces in use move on from the older half of the store
-            self.older, self.known = known, {"": b""}
+        if len(self.known) > self.max_pieces:
+            self.known = {"": b""}
         return out
 
+    def _know(self, pieces: set, whole: set) -> None:
+        """Put pieces into the store: words with marks behind them from their parts, which are met more often.
+
+        A word of letters and digits and the marks behind it are parts.
+        """
+        known, made, todo = self.known, [], list(pieces.intersection(whole))
+        new = pieces.difference(whole)
+        if self.drops_space:
+            marks = _MARKS.encode()
+            for p in new:
+                base = p.rstrip(marks)
+                if base != p and (base.isalnum() or (base and base.decode().lower().isalnum())):
+                    made.append((p, base, p[len(base) :]))
+                else:
+                    todo.append(p)
+        else:
+            for p in new:
+                base = p.rstrip(_MARKS)
+                if base != p and (base[1:] if base[:1] == " " else base).isalnum():
+                    made.append((p, base, p[len(base) :]))
+                else:
+                    todo.append(p)
+        parts = {b for _, b, _ in made}.union(t for _, _, t in made).difference(known, todo)
+        self._learn([*todo, *parts], whole)
+        for p, base, tail in made:
+            known[p] = known[base] + known[tail]
+
     def _learn(self, pieces: list, whole: set) -> None:
-        """Encode pieces, many at once, parted by a pre-token of their own; ``whole`` ones apart."""
+        """Encode pieces, many at once; words fall apart by their ids, others by a pre-token of their own between; ``whole`` ones apart."""
         known = self.known
-        text = (lambda p: p.decode() if isinstance(p, bytes) else p) if self.drops_space else str
-        single = [p for p in pieces if p in whole or b"\x01" in p] if self.drops_space else [p for p in pieces if p == self.between or p in whole]
-        apart = set(single)
-        parts = [p for p in pieces if p not in apart] if apart else pieces
-        groups = [parts[i : i + 1_000] for i in range(0, len(parts), 1_000)]
-        for part, e in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(map(text, g)) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == self.between_id)
-            if len(ends) != len(part) - 1:
-                single += part
-                continue
-            raw, at = ids.tobytes(), (4 * ends).tolist()
-            known.update(zip(part, [raw[s:e] for s, e in zip([0, *(x + 4 for x in at)], [*at, len(raw)])]))
+        if self.drops_space:
+            named = [(p, p.decode() if isinstance(p, bytes) else p) for p in pieces]
+            words = [(p, t) for p, t in named if t.isalpha() and p not in whole]
+            rest = [(p, t) for p, t in named if not t.isalpha() or p in whole]
+            single, between = [x for x in rest if x[0] in whole or "\x01" in x[1]], " "
+        else:
+            words = [(p, p) for p in pieces if p[:1] == " " and p not in whole]
+            rest = [(p, p) for p in pieces if p[:1] != " " or p in whole]
+            single, between = [x for x in rest if x[1] == self.between or x[0] in whole], ""
+        single += self._together(words, between, lambda ids: self.edge[np.minimum(ids, len(self.edge) - 1)], False)
+        apart = {p for p, _ in single}
+        single += self._together([x for x in rest if x[0] not in apart], self.between, lambda ids: ids == self.between_id, True)
         for i in range(0, len(single), 10_000):
             part = single[i : i + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(list(map(text, part)), add_special_tokens=False)):
+            for (piece, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
                 known[piece] = np.array(e.ids, "<u4").tobytes()
 
+    def _together(self, pieces: list, between: str, edges, marks: bool) -> list:
+        """Encode runs of a thousand pieces, cut at ``edges`` of their ids; the pieces of runs that don't fall apart as expected."""
+        known, failed = self.known, []
+        runs = [pieces[i : i + 1_000] for i in range(0, len(pieces), 1_000)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([between.join([t for _, t in r]) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(edges(ids))
+            if marks:  # a mark stands between two pieces
+                starts, ends = np.append(0, at + 1), np.append(at, len(ids))
+            elif self.drops_space:  # a word's last id
+                starts, ends = np.append(0, at[:-1] + 1), at + 1
+            else:  # a word's first id
+                starts, ends = at, np.append(at[1:], len(ids))
+            if len(starts) != len(run) or (not marks and (starts[0] or ends[-1] != len(ids))):
+                failed += run
+                continue
+            raw = ids.tobytes()
+            known.update(zip([p for p, _ in run], [raw[s:e] for s, e in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+        return failed
+
 
 _ENCODERS: dict[tuple[str, bool, bool], PieceEncoder] = {}
 

@@ -1,5 +1,6 @@
 """Search, toxicity, quality, preferences, surrogates and the pipeline on small cases."""
 
+import os
 import re
 from collections import Counter
 
@@ -123,13 +124,21 @@ def test_quality_rules(spark, docs, empty):
     assert quality.quality_rules(empty, labels).count() == 0
 
 
-def test_quality_on_held_out_labels(spark):
+HELD_OUT = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(HELD_OUT), reason="the tables aren't here")
+def test_verdicts_on_held_out_labels(spark):
+    """Labels that neither fit has seen: most documents of either class are judged as they are labelled."""
     from frostline.llm.common import table
 
-    sf = "/root/testdata/sf0.01"
-    found = quality.op10_quality_rules(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id").where("not base_failed and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0")
-    r = found.selectExpr("avg(cast((quality >= 0.5) = kept as int)) as same", "count(*) as n").first()
-    assert r["n"] > 30 and r["same"] == 1.0
+    labels = table(spark, HELD_OUT, "labels")
+    unseen = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+    rates = lambda df, verdict: df.where(unseen).selectExpr(f"avg(if(y = 1, int({verdict}), null)) as found", f"avg(if(y = 0, int(not {verdict}), null)) as spared", "sum(y) as ones", "count(*) - sum(y) as zeros").first()
+    good = rates(quality.op10_quality_rules(spark, HELD_OUT).where("not base_failed").join(labels.selectExpr("doc_id", "quality as y"), "doc_id"), "kept")
+    assert good["ones"] > 100 and good["zeros"] > 20 and good["found"] > 0.97 and good["spared"] > 0.9
+    toxic = rates(toxicity.op5_toxicity(spark, HELD_OUT).join(labels.selectExpr("doc_id", "toxic as y"), "doc_id"), "predicted = 1")
+    assert toxic["ones"] > 50 and toxic["zeros"] > 300 and toxic["found"] > 0.85 and toxic["spared"] > 0.98
 
 
 # Toxicity.
