@@ -138,19 +138,20 @@ def policy_scores(features: DataFrame, popularity: DataFrame) -> DataFrame:
 def popularity_backfill(candidates: DataFrame, targets: DataFrame, popular: DataFrame, observed: DataFrame, m: int, *more: str) -> DataFrame:
     """Fill targets with fewer than m candidates from the most popular entities, at score 0.
 
-    ``popular``: (entity, pop_rank).  Targets are lists of ``id`` and, where candidates have them, of ``more``
-    columns; ``observed``: (target, entity).  A target needs no popular entity beyond rank m plus the number
-    it has been seen with or has already: the most popular are held in one list, of which each takes a slice.
+    ``popular``: (entity, pop_rank from 1).  Targets are lists of ``id`` and, where candidates have them, of ``more``
+    columns; ``observed``: (target, entity).  Only targets that lack rows ask for popular entities, by rank: those as
+    far as m plus the number that the target has been seen with or has already, which is as far as it can need.
     """
     keys = ["target", *more]
     lists = targets.select(F.col("id").alias("target"), *more).distinct()
-    held = candidates.select(*keys, "entity").union(lists.join(observed, "target").select(*keys, "entity")).distinct()
-    need = lists.join(held.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").withColumn("n", (F.coalesce("n", F.lit(0)) + m).cast("int"))
-    most = need.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    ordered = popular.where(F.col("pop_rank") <= most).agg(F.sort_array(F.collect_list(F.struct("pop_rank", "entity"))).alias("list"))  # m and what one target has seen
-    extra = need.join(F.broadcast(ordered), F.lit(True)).select(*keys, F.explode(F.slice("list", 1, F.col("n"))).alias("x")).select(*keys, F.col("x.entity").alias("entity"), F.col("x.pop_rank").alias("pop_rank"))
+    some = candidates.groupBy(*keys).agg(F.count("*").alias("_n"))
+    short = stored(lists.join(some, keys, "left").where(F.coalesce("_n", F.lit(0)) < m).select(*keys))
+    held = candidates.select(*keys, "entity").join(short, keys).union(short.join(observed, "target").select(*keys, "entity")).distinct()
+    need = short.join(held.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left")
+    asked = need.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_n", F.lit(0)) + m)).alias("pop_rank"))
+    extra = asked.join(popular.select(F.col("pop_rank").cast("long").alias("pop_rank"), "entity"), "pop_rank").select(*keys, "entity", "pop_rank")
     fresh = extra.join(held, [*keys, "entity"], "left_anti")
-    both = candidates.select(*keys, "entity", "score", F.lit(0).alias("source"), F.lit(0).alias("pop_rank")).union(fresh.select(*keys, "entity", F.lit(0.0), F.lit(1), "pop_rank"))
+    both = candidates.select(*keys, "entity", "score", F.lit(0).alias("source"), F.lit(0).cast("long").alias("pop_rank")).union(fresh.select(*keys, "entity", F.lit(0.0), F.lit(1), "pop_rank"))
     order = (F.col("source"), F.col("score").desc(), F.col("pop_rank"), F.col("entity"))
     return ranked(both, m, *keys, order=order).select(*keys, "entity", "score", "source", "candidate_rank")
 
@@ -185,27 +186,25 @@ def score_moments(targets: DataFrame, pool: DataFrame) -> DataFrame:
     return targets.select("id", "v").mapInArrow(moments, "target long, mean double, sd double")
 
 
-def rounded_moments(targets: DataFrame, pool: DataFrame, block: int = 4 * BLOCK) -> DataFrame:
-    """``score_moments`` of scores rounded to nine decimals: they are made block by block, and three sums of each target sent on."""
-    pool = stored(pool.select("id", "v"))
-    blocks = max(1, -(-pool.count() // block))
-    sums = targets.sparkSession.createDataFrame([], "target long, n long, s double, q double")
-    for k in range(blocks):
-        t = pool.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("v").toArrow()  # one block of the pool
-        held = pool.sparkSession.sparkContext.broadcast(_matrix(t, "v"))
+def standardised_candidates(targets: DataFrame, pool: DataFrame, observed: DataFrame | None, m: int, digits: int = 6, more: int = 8) -> DataFrame:
+    """(target, entity, score, candidate_rank): the m best by scores standardised over the whole pool and rounded, ties to the smaller entity.
 
-        def of_batch(batches, held=held):
-            for batch in batches:
-                if batch.num_rows and len(held.value):
-                    a = _matrix(batch, "v")
-                    for i in range(0, len(a), 256):
-                        x = np.round(a[i : i + 256] @ held.value.T, 9)
-                        yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 256), pa.array(np.full(len(x), x.shape[1])), pa.array(x.sum(axis=1)), pa.array((x * x).sum(axis=1))], ["target", "n", "s", "q"])
-
-        sums = sums.union(targets.select("id", "v").mapInArrow(of_batch, "target long, n long, s double, q double"))
-    total = sums.groupBy("target").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.col("n")
-    return total.select("target", mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - F.col("s") * mean) / F.greatest(F.col("n") - 1, F.lit(1)), F.lit(0.0))).alias("sd"))
+    Rounding ties scores that lie close together.  A search that brings ``more`` than m rows settles a target whose
+    last row lies below its m-th; targets where it doesn't are searched again, four times as deep, until all their ties
+    are there or the pool ends.
+    """
+    moments = stored(score_moments(targets, pool))
+    left, deep, out = stored(targets.select("id", "v")), m + more, None
+    while True:
+        top = standardised(top_candidates(left, pool, observed, deep).drop("candidate_rank"), moments).withColumn("score", F.round("score", digits))
+        top = stored(ranked(top, deep, "target"))
+        last = top.groupBy("target").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.min(F.when(F.col("candidate_rank") == m, F.col("score"))).alias("mth"))
+        open_ = stored(last.where((F.col("n") == deep) & (F.col("low") == F.col("mth"))).select("target"))
+        found = top.join(open_, "target", "left_anti").where(F.col("candidate_rank") <= m)
+        out = found if out is None else out.union(found)
+        if open_.isEmpty():
+            return out
+        left, deep = stored(left.join(open_, left["id"] == open_["target"], "left_semi")), 4 * deep
 
 
 def standardised(scored: DataFrame, moments: DataFrame) -> DataFrame:

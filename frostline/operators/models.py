@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.vectors import l2_normalised
+from frostline.sources.storage import stored
 
 
 def factorised(pairs: DataFrame, rank: int = 16, rounds: int = 5, seed: int = 42):
@@ -166,29 +167,80 @@ def hashed_words(dim: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def text_factors(docs: DataFrame, dim: int, least: int = 512, most: int = 16_384) -> DataFrame:
+def text_factors(docs: DataFrame, dim: int, least: int = 512, most: int = 16_384, rounds: int = 12, seed: int = 3) -> DataFrame:
     """(id, v): TF-IDF of words and pairs of words without stop words, on its first singular vectors, of unit length.
 
     The vocabulary has eight terms a document, ``least`` at least and ``most`` at most: the commonest.  Where
-    there are fewer singular vectors than ``dim``, the rest is zeros.
+    there are fewer singular vectors than ``dim``, the rest is zeros.  The vectors come from a random subspace that
+    ``rounds`` passes over the documents turn towards them; a pass adds up a matrix of terms by dimensions.
     """
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.ml.functions import vector_to_array
 
     words = RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"\W+", minTokenLength=2).transform(docs.select("id", F.coalesce("text", F.lit("")).alias("text")))
     words = NGram(inputCol="words", outputCol="two").transform(StopWordsRemover(inputCol="raw", outputCol="words").transform(words))
     terms = words.select("id", F.concat("words", "two").alias("terms"))
-    size = min(max(8 * docs.count(), least), most)
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size).fit(terms).transform(terms)
-    weighed = IDF(inputCol="tf", outputCol="x").fit(counts).transform(counts).select("id", "x")
-    matrix = IndexedRowMatrix(weighed.rdd.map(lambda r: (r["id"], Vectors.fromML(r["x"]))))
-    k = max(1, min(dim, matrix.numCols(), docs.count() - 1))
-    axes = matrix.computeSVD(k, computeU=False).V
-    rows = matrix.multiply(axes).rows.map(lambda r: (r.index, r.vector.toArray().tolist()))
-    v = rows.toDF("id long, v array<double>")
-    padded = F.concat("v", F.array_repeat(F.lit(0.0), dim - F.size("v")))
-    return v.select("id", padded.alias("v")).select("id", l2_normalised("v").alias("v"))
+    n = docs.count()
+    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=min(max(8 * n, least), most)).fit(terms).transform(terms)
+    weighed = IDF(inputCol="tf", outputCol="x").fit(counts).transform(counts)
+    # Non-zero weights and their terms; a document has few of the vocabulary's.
+    sparse = F.expr("filter(transform(a, (x, i) -> struct(i as t, x as w)), s -> s.w <> 0)")
+    rows = stored(weighed.select("id", vector_to_array("x").alias("a")).select("id", F.size("a").alias("size"), sparse.alias("s")).select("id", "size", F.col("s.t").alias("t"), F.col("s.w").alias("w")))
+    size = (rows.agg(F.max("size")).first()[0] or 0) if n else 0
+    k = max(1, min(dim, size, n - 1))
+    axes = _top_axes(rows, size, k, rounds, seed) if size else np.zeros((0, k))
+    v = _times(rows, axes).select("id", F.concat("v", F.array_repeat(F.lit(0.0), dim - k)).alias("v"))
+    return v.select("id", l2_normalised("v").alias("v"))
+
+
+def _sparse_batch(batch, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of a batch's non-zero weights, and its rows times ``axes``."""
+    t, w = batch.column("t"), batch.column("w")
+    row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(t.offsets)))
+    term, weight = t.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy()
+    out = np.zeros((batch.num_rows, axes.shape[1]))
+    np.add.at(out, row, weight[:, None] * axes[term])
+    return row, term, weight, out
+
+
+def _times(rows: DataFrame, axes: np.ndarray) -> DataFrame:
+    import pyarrow as pa
+
+    sent = rows.sparkSession.sparkContext.broadcast(axes)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(_sparse_batch(batch, sent.value)[3]), pa.list_(pa.float64()))], ["id", "v"])
+
+    return rows.select("id", "t", "w").mapInArrow(run, "id long, v array<double>")
+
+
+def _top_axes(rows: DataFrame, size: int, k: int, rounds: int, seed: int) -> np.ndarray:
+    """The first k right singular vectors of sparse rows (t, w) over ``size`` terms, by subspace iteration."""
+    import pyarrow as pa
+
+    spare = min(size, k + 10)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, spare)))[0]
+    for _ in range(rounds):
+        sent = rows.sparkSession.sparkContext.broadcast(q)
+
+        def run(batches, sent=sent):
+            total = np.zeros((size, spare))
+            for batch in batches:
+                row, term, weight, y = _sparse_batch(batch, sent.value)
+                np.add.at(total, term, weight[:, None] * y[row])
+            met = np.flatnonzero(total.any(axis=1))
+            for a in range(0, len(met), 1_000):
+                yield pa.RecordBatch.from_arrays([pa.array(met[a : a + 1_000]), pa.array(list(total[met[a : a + 1_000]]), pa.list_(pa.float64()))], ["id", "v"])
+
+        found = summed_vectors(rows.select("t", "w").mapInArrow(run, "id long, v array<double>"), "id").collect()  # a row a term
+        sent.unpersist()
+        product = np.zeros((size, spare))
+        for r in found:
+            product[r.id] = r.v
+        q, r = np.linalg.qr(product)
+    u, _, _ = np.linalg.svd(r)  # the subspace's own axes, the strongest first
+    return (q @ u)[:, :k]
 
 
 def gaussian_rows(terms: list[str], dim: int, seed: int | str) -> np.ndarray:

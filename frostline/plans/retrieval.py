@@ -120,9 +120,7 @@ def policy_search(spark, d):
 def cand_hybrid_zscore(spark, d):
     """Scores standardised per target over the whole pool, then ranked: the order is that of the scores."""
     cold, users, train = cold_setting(spark, d)
-    top = C.top_candidates(cold, users, _observed(train), 28).drop("candidate_rank")  # some more, for ties of rounded scores
-    z = C.standardised(top, C.rounded_moments(cold, users)).withColumn("score", F.round("score", 6))
-    return _rounded(C.ranked(z, 20, "target"))
+    return _rounded(C.standardised_candidates(cold, users, _observed(train), 20))
 
 
 _TRUTH = f"{COLD}, cand AS ({_TOP.format(_SIM, _NOT_SEEN, 50)}), truth AS (SELECT user_id, item_id FROM ix WHERE item_id IN (SELECT id FROM cold))"

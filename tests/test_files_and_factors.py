@@ -1,10 +1,12 @@
 """Readers and writers on files of their own, errors they must raise, and learned factors against their rules."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frostline.operators import candidates, factors, filters, models, stats
+from frostline.operators import candidates, complement, factors, filters, models, stats
 from frostline.sources import sinks, tables
 
 
@@ -84,8 +86,82 @@ def test_bounded_and_blocked_pools_agree(spark):
     best = lambda **p: sorted(map(tuple, candidates.ranked(candidates.similarities(targets, pool, most, **p), 6, "target").collect()))
     assert best() == best(block=16, most_bytes=0)
     one = {r["target"]: (r["mean"], r["sd"]) for r in candidates.score_moments(targets, pool).collect()}
-    for t, m, s in candidates.rounded_moments(targets, pool, block=16).collect():
-        assert one[t] == pytest.approx((m, s), abs=1e-7)
+    x, y = (np.array([r["v"] for r in f.orderBy("id").collect()]) for f in (targets, pool))
+    assert [one[t] for t in sorted(one)] == [pytest.approx((m, s)) for m, s in zip((x @ y.T).mean(axis=1), (x @ y.T).std(axis=1, ddof=1))]
+
+
+def test_standardised_candidates_bring_all_ties(spark):
+    """Sixty vectors within one step of rounding: the twenty of smallest id are taken, however many tie."""
+    pool = spark.createDataFrame([(k, [1.0 + 2e-9 * k, 0.0]) for k in range(60)] + [(100 + k, [-float(k), 1.0]) for k in range(30)], "id long, v array<double>")
+    targets = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.5])], "id long, v array<double>")
+    for seen in (None, spark.createDataFrame([(1, 3), (2, 129)], "target long, entity long")):
+        got = candidates.standardised_candidates(targets, pool, seen, 20).collect()
+        want = [k for k in range(60) if seen is None or k != 3][:20]
+        assert [r["entity"] for r in sorted(got, key=lambda r: (r["target"], r["candidate_rank"])) if r["target"] == 1] == want
+        assert sum(r["target"] == 2 for r in got) == 20 and next(r["entity"] for r in got if (r["target"], r["candidate_rank"]) == (2, 1)) == (129 if seen is None else 128)
+
+
+def test_backfill_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    popular = [(int(e), k + 1) for k, e in enumerate(rng.permutation(50))]
+    have = sorted({(t, int(e), round(float(rng.random()), 3)) for t in range(12) for e in rng.choice(50, t, replace=False)})
+    seen = sorted({(t, int(e)) for t in range(13) for e in rng.choice(50, 3 * t, replace=False)} - {(t, e) for t, e, _ in have})
+    frames = (spark.createDataFrame(have, "target long, entity long, score double"), spark.range(14), spark.createDataFrame(popular, "entity long, pop_rank int"), spark.createDataFrame(seen, "target long, entity long"))
+    got = sorted((r["target"], r["candidate_rank"], r["entity"], r["score"], r["source"]) for r in candidates.popularity_backfill(*frames, 8).collect())
+    want = []
+    for t in range(14):
+        rows = sorted(((-s, e) for u, e, s in have if u == t))[:8]
+        taken = {e for u, e, _ in have if u == t} | {e for u, e in seen if u == t}
+        fill = [e for e, _ in popular if e not in taken][: 8 - len(rows)]
+        want += [(t, k + 1, e, -s, 0) for k, (s, e) in enumerate(rows)] + [(t, len(rows) + k + 1, e, 0.0, 1) for k, e in enumerate(fill)]
+    assert got == want
+
+
+def test_text_factors_are_the_first_singular_vectors(spark):
+    rng = np.random.default_rng(4)
+    topics = ["red apple fruit tree", "fast car road wheel", "deep sea fish boat"]
+    docs = [(k, " ".join(rng.choice(topics[k % 3].split(), 6)) + f" w{k % 11}") for k in range(120)] + [(500, None), (501, "")]
+    got = {r["id"]: np.array(r["v"]) for r in models.text_factors(spark.createDataFrame(docs, "id long, text string"), 3, rounds=40).collect()}
+    assert len(got) == 122 and np.allclose(got[500], 0) and np.allclose(got[501], 0)
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
+
+    words = RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"\W+", minTokenLength=2).transform(spark.createDataFrame([(i, t or "") for i, t in docs], "id long, text string"))
+    words = NGram(inputCol="words", outputCol="two").transform(StopWordsRemover(inputCol="raw", outputCol="words").transform(words)).selectExpr("id", "concat(words, two) as terms")
+    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=976).fit(words).transform(words)
+    a = {r["id"]: r["x"].toArray() for r in IDF(inputCol="tf", outputCol="x").fit(counts).transform(counts).collect()}
+    ids = sorted(a)
+    x = np.array([a[i] for i in ids])
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    want, found = unit(x @ vt[:3].T), np.array([got[i] for i in ids])
+    assert s[2] > 1.02 * s[3] and np.allclose(np.abs((found * want).sum(axis=0)), (want * want).sum(axis=0), atol=1e-3)
+    assert np.allclose(found @ found.T, want @ want.T, atol=1e-2)
+
+
+def test_training_by_a_single_process(spark):
+    """Adam on pairwise log loss over the same draws, vector by vector."""
+    pairs = spark.createDataFrame([(u, i) for u in range(12) for i in range(15) if (u * 7 + i * 3) % 4 == 0], "user_id long, item_id long")
+    items = spark.range(15).withColumnRenamed("id", "item_id")
+    seed, per, steps, rate, ridge = 7, 200, 2, 0.05, 1e-4
+    got = {(r["side"], r["id"]): np.array(r["v"]) for r in factors.trained(pairs, items, dim=3, epochs=2, per_epoch=per, rate=rate, ridge=ridge, seed=seed, steps=steps).collect()}
+    key = lambda side, i: 2 * i + (side == "i")
+    h = lambda k, c: int(hashlib.md5(f"{seed}:{k}-{c}".encode()).hexdigest()[:8], 16) / 2**32
+    v = {n: np.array([0.2 * (h(key(*n), c) - 0.5) for c in (1, 2, 3)]) for n in got}
+    m, s, t = {n: np.zeros(3) for n in v}, {n: np.zeros(3) for n in v}, 0
+    for epoch in range(2):
+        drawn = complement.negative_triples(pairs, items, per, seed * 1000 + epoch).collect()
+        for part in range(steps):
+            t, g = t + 1, {}
+            for r in (r for r in drawn if r["j"] % steps == part):
+                names = ("u", r["user_id"]), ("i", r["positive"]), ("i", r["negative"])
+                a, b, c = (v[n] for n in names)
+                w = -1 / (1 + np.exp((b - c) @ a))
+                for n, x in zip(names, (w * (b - c) + ridge * a, w * a + ridge * b, -w * a + ridge * c)):
+                    g[n] = g.get(n, 0) + x / (per // steps)
+            for n, x in g.items():
+                m[n], s[n] = 0.9 * m[n] + 0.1 * x, 0.999 * s[n] + 0.001 * x * x
+                v[n] = v[n] - rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.999**t)) + 1e-8)
+    assert all(np.allclose(got[n], v[n], atol=1e-9) for n in v)
 
 
 def test_pairwise_training_ranks_met_items_higher(spark):
