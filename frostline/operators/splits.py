@@ -134,3 +134,46 @@ def evaluation_sample(groups: DataFrame, entity: str, size: int, seed: int = 42)
     level = F.when(first, 0).when(F.col("grp") == "warm", 1).otherwise(2)
     filled = numbered(within.withColumn("level", level), "level", "grp", "k", entity, name="at")
     return filled.where(F.col("at") <= size).select(entity, "grp")
+
+
+def temporal_tables(parts: DataFrame, opposite: str, entity: str, k0: int = 5, cold: str = "item") -> DataFrame:
+    """(split, user_id, item_id) of rows with ``part`` by time: warm, warm-up and strict-cold parts, as ``split_tables`` has them.
+
+    Later rows count only for opposite entities that training has seen.  An entity is strict cold without training
+    rows, warm-up with fewer than k0, else warm; training keeps the rows of warm and warm-up ones.
+    """
+    rows = stored(parts.select("user_id", "item_id", "part").distinct())
+    train = rows.where("part = 'train'")
+    later = rows.where("part <> 'train'").join(train.select(opposite).distinct(), opposite, "left_semi")
+    groups = stored(temporal_groups(train.select(*rows.columns).union(later.select(*rows.columns)), entity, k0).select(entity, "grp"))
+    placed = stored(train.select(*rows.columns).union(later.select(*rows.columns)).join(groups, entity))
+    of = lambda split, *where: placed.where(" and ".join(where)).select(F.lit(split).alias("split"), "user_id", "item_id")
+    warm, warmup, strict = "grp = 'warm'", "grp = 'warmup'", "grp = 'strict_cold'"
+    out = [of("warm_train_original", "part = 'train'", warm), of("warmup_support", "part = 'train'", warmup), of("train", "part = 'train'"), of(f"cold_{cold}", "part <> 'train'", strict)]
+    for part in ("val", "test"):
+        on = f"part = '{part}'"
+        out += [of(f"warm_{part}", on, warm), of(f"warmup_{part}", on, warmup), of(f"cold_{cold}_{part}", on, strict), of(f"overall_{part}", on)]
+    every = out[0]
+    for x in out[1:]:
+        every = every.union(x)
+    return every.distinct()
+
+
+def sampled_temporal_tables(rows: DataFrame, size: int, k0: int = 5, train: float = 0.6, val: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(splits, user ids, item ids) of rows (user_id, item_id, ts, row_idx) after a sample of at most ``size`` evaluated items.
+
+    Rows are split by time; of later rows those of the sampled items stay (all, where there are no more than ``size``);
+    what is left is split by time again, and ids are numbered from 0 without gaps: (user_id, user_no), (item_id, item_no).
+    """
+    parts = stored(temporal_parts(rows, "user_id", train=train, val=val).select("user_id", "item_id", "ts", "row_idx", "part"))
+    groups = stored(temporal_groups(parts, "item_id", k0).select("item_id", "grp"))
+    kept = parts
+    if groups.count() > size:
+        some = evaluation_sample(groups, "item_id", size, seed).select("item_id")
+        kept = parts.where("part = 'train'").union(parts.where("part <> 'train'").join(some, "item_id", "left_semi").select(*parts.columns))
+        kept = stored(temporal_parts(kept.drop("part"), "user_id", train=train, val=val))
+    ids = []
+    for c, no in (("user_id", "user_no"), ("item_id", "item_no")):
+        ids.append(stored(numbered(kept.select(c).distinct(), c, name=no).withColumn(no, F.col(no) - 1)))
+    splits = temporal_tables(kept, "user_id", "item_id", k0)
+    return splits.join(ids[0], "user_id").join(ids[1], "item_id").select("split", F.col("user_no").alias("user_id"), F.col("item_no").alias("item_id")), *ids

@@ -124,6 +124,17 @@ def split_files_roundtrip(spark, d):
     return back.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("user").alias("users"), F.countDistinct("item").alias("items"))
 
 
+@query(f"WITH {_SO} SELECT split, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, count(*) AS records FROM so GROUP BY 1")
+def split_summary(spark, d):
+    """The summary beside the splits: written as JSON, read back, and asked which side is cold."""
+    path = new_path(spark, "summary")
+    rows = stored(splits.split_outputs(splits.split_tables(pairs(spark, d), "item_id", 30), "item"))
+    sinks.write_summary(rows, path, seed=42, cold_object="item", warmup_k=30)
+    if tables.cold_side(spark, path) != "item":
+        raise ValueError("the summary doesn't tell the cold side")
+    return sinks.read_summary(spark, path)
+
+
 _W = "w AS (SELECT n_nationkey AS shard, count(*) AS weight FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)"
 
 

@@ -44,12 +44,47 @@ tg AS (SELECT item_no, count(*) FILTER (WHERE part = 'train') AS n_train FROM tp
 @query(f"WITH {_PREP} SELECT event_id, user_no, item_no, part, CASE WHEN n_train = 0 THEN 'strict_cold' WHEN n_train < 20 THEN 'warmup' ELSE 'warm' END AS grp FROM tp JOIN tg USING (item_no)")
 def prepared_reviews(spark, d):
     """Reviews from the log to parts: filters, items with metadata, iterative core, dense ids, split by time, groups."""
+    dense = _review_core(spark, d).select(F.col("user_id").alias("user_no"), F.col("item_id").alias("item_no"), "ts", "row_idx")
+    parts = stored(splits.temporal_parts(dense, "user_no"))
+    return parts.join(splits.temporal_groups(parts, "item_no", 20), "item_no").select(F.col("row_idx").alias("event_id"), "user_no", "item_no", "part", "grp")
+
+
+def _review_core(spark, d):
+    """(user_id, item_id, raw_item, ts, row_idx): reviews that pass the filters and the iterative core, under dense ids."""
     e = table(spark, d, "events").withColumn("item_id", F.get_json_object("props", "$.k").try_cast("long"))
     kept = e.where((F.col("value") >= 2) & (F.col("ts") < F.to_timestamp(F.lit("2024-01-29")))).groupBy("user_id", "item_id").agg(F.min("ts").alias("ts"), F.min("event_id").alias("event_id"))
     core = filters.iterative_core(kept.where("item_id % 7 <> 0"), 20, 5)
-    dense = dense_remap(dense_remap(core, "user_id", "user_no"), "item_id", "item_no").withColumn("row_idx", F.col("event_id"))
-    parts = stored(splits.temporal_parts(dense, "user_no"))
-    return parts.join(splits.temporal_groups(parts, "item_no", 20), "item_no").select("event_id", "user_no", "item_no", "part", "grp")
+    dense = dense_remap(dense_remap(core, "user_id", "user_no"), "item_id", "item_no")
+    return stored(dense.select(F.col("user_no").alias("user_id"), F.col("item_no").alias("item_id"), F.col("item_id").alias("raw_item"), "ts", F.col("event_id").alias("row_idx")))
+
+
+def _resplit(source: str) -> str:
+    """SQL of a split by time of ``source`` (user_no, item_no, r): z4 (user_no, item_no, part)."""
+    return f"""z0 AS (SELECT user_no, item_no, row_number() OVER (ORDER BY r) AS r, count(*) OVER () AS n FROM {source}), z1 AS (SELECT *, least(greatest(CAST(floor(n * 0.6) AS BIGINT), 1), greatest(n - 2, 1)) AS a FROM z0), z2 AS (SELECT *, least(greatest(CAST(floor(n * 0.8) AS BIGINT), a + 1), greatest(n - 1, a + 1)) AS b FROM z1), z3 AS (SELECT *, CASE WHEN r <= a THEN 'train' WHEN r <= b THEN 'val' ELSE 'test' END AS part0 FROM z2),
+zn AS (SELECT min(r) AS r FROM z3 WHERE part0 <> 'train' AND user_no NOT IN (SELECT user_no FROM z3 WHERE part0 = 'train') GROUP BY user_no), z4 AS (SELECT user_no, item_no, CASE WHEN r IN (SELECT r FROM zn) THEN 'train' ELSE part0 END AS part FROM z3)"""
+
+
+_WHOLE = f"""{_PREP}, tr AS (SELECT event_id, r FROM p0), gg AS (SELECT item_no, CASE WHEN n_train = 0 THEN 'strict_cold' WHEN n_train < 20 THEN 'warmup' ELSE 'warm' END AS grp FROM tg), gk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {h('item_no', 42)}, item_no) AS k FROM gg), gl AS (SELECT *, CASE WHEN (grp = 'strict_cold' AND k <= 16) OR (grp = 'warmup' AND k <= 12) THEN 0 WHEN grp = 'warm' THEN 1 ELSE 2 END AS level FROM gk), go AS (SELECT *, row_number() OVER (ORDER BY level, grp, k, item_no) AS place FROM gl),
+kp AS (SELECT user_no, item_no, r FROM tp JOIN tr USING (event_id) WHERE part = 'train' OR item_no IN (SELECT item_no FROM go WHERE place <= 40) OR (SELECT count(*) FROM gg) <= 40), {_resplit('kp')},
+vs AS (SELECT user_no, item_no, part FROM z4 WHERE part = 'train' OR user_no IN (SELECT user_no FROM z4 WHERE part = 'train')), ng AS (SELECT item_no, count(*) FILTER (WHERE part = 'train') AS n_train FROM vs GROUP BY 1 HAVING count(*) FILTER (WHERE part <> 'train') > 0), vg AS (SELECT vs.*, CASE WHEN n_train = 0 THEN 'cold_item' WHEN n_train < 20 THEN 'warmup' ELSE 'warm' END AS g FROM vs JOIN ng USING (item_no)),
+sp AS (SELECT CASE WHEN part <> 'train' THEN g || '_' || part WHEN g = 'warm' THEN 'warm_train_original' ELSE 'warmup_support' END AS split, user_no, item_no FROM vg UNION ALL SELECT CASE WHEN part = 'train' THEN 'train' ELSE 'overall_' || part END, user_no, item_no FROM vg UNION ALL SELECT 'cold_item', user_no, item_no FROM vg WHERE g = 'cold_item' AND part <> 'train'),
+un AS (SELECT user_no, dense_rank() OVER (ORDER BY user_no) - 1 AS user_id FROM (SELECT DISTINCT user_no FROM z4)), im AS (SELECT item_no, dense_rank() OVER (ORDER BY item_no) - 1 AS item_id FROM (SELECT DISTINCT item_no FROM z4))"""
+
+
+@query(f"WITH {_WHOLE} SELECT split, user_id, item_id FROM sp JOIN un USING (user_no) JOIN im USING (item_no)")
+def prepared_whole(spark, d):
+    """Reviews from the log to splits: filters, metadata, iterative core, dense ids, split by time, a sample of evaluated items, the split and the ids anew."""
+    return splits.sampled_temporal_tables(_review_core(spark, d), 40, 20)[0]
+
+
+@query()
+def prepared_content(spark, d):
+    """Text vectors of the items that the whole preparation keeps, by their last ids."""
+    core = _review_core(spark, d)
+    _, _, items = splits.sampled_temporal_tables(core, 40, 20)
+    raw = core.select("item_id", "raw_item").distinct().join(items, "item_id").select("item_no", "raw_item")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("raw_item"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return models.text_factors(raw.join(parts, "raw_item", "left").select(F.col("item_no").alias("id"), "text"), 16)
 
 
 def _entity_sql(side: str) -> str:

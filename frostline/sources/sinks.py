@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.operators.ids import numbered, running_total
 from frostline.operators.stats import shard_sizes
-from frostline.sources.storage import move_or_delete, stored
+from frostline.sources.storage import move_or_delete, stored, write_text
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
@@ -20,6 +22,22 @@ def write_splits(splits: DataFrame, path: str) -> None:
     splits.select("split", F.col("user_id").alias("user"), F.col("item_id").alias("item")).write.partitionBy("split").option("header", True).csv(path)
 
 
+def write_summary(splits: DataFrame, path: str, **facts) -> dict:
+    """Numbers of users, items and records of each split of (split, user_id, item_id), and other facts, as a JSON file
+    ``split_meta.json`` beside the splits; there are few splits."""
+    counts = splits.groupBy("split").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"), F.count("*").alias("records"))
+    summary = facts | {"splits": {r["split"]: {c: r[c] for c in ("users", "items", "records")} for r in counts.orderBy("split").collect()}}
+    write_text(splits.sparkSession, f"{path}/split_meta.json", json.dumps(summary, indent=2, ensure_ascii=False))
+    return summary
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(split, users, items, records) of a folder's summary."""
+    schema = "splits map<string, struct<users: long, items: long, records: long>>"
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{path}/split_meta.json")
+    return rows.select(F.explode("splits").alias("split", "x")).select("split", "x.users", "x.items", "x.records")
+
+
 def write_json_lines(rows: DataFrame, path: str, *order: str) -> None:
     """Rows as JSON lines; the names of files and the lines in them follow an order of rows."""
     (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).write.json(path)

@@ -50,3 +50,11 @@ def move_or_delete(spark: SparkSession, path: str, to: str | None = None) -> Non
         fs.delete(place(path), True)
     elif fs.exists(place(to)) or not fs.rename(place(path), place(to)):
         raise FileExistsError(to)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file of a few lines, in place of one that is there."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(text.encode()))
+    out.close()
