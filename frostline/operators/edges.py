@@ -209,3 +209,39 @@ def rrf_lists(old: DataFrame, new: DataFrame, k: dict[str, int], c: float = 60.0
     summed = part(old, 1.0).union(part(fresh, weight)).groupBy(*keys, "item_id").agg(F.round(F.sum("s"), 9).alias("score"))
     placed = summed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "item_id")))
     return probability_of_lists(first_of(placed, k))
+
+
+def fused_variants(old: DataFrame, new: DataFrame, variants: dict[str, tuple], k: dict[str, int], pool: int, c: float = 60.0) -> DataFrame:
+    """(variant, user_id, item_id, entity_type, rank, probability): many ways to fuse two lists, ranked together.
+
+    A variant is ("mix", strict list, warm-up list, gamma) as in ``source_mix``, ("tail", core, warm-up old only, gamma)
+    as in ``core_tail_lists`` of the lists' first k, or ("rrf", whole pool, warm-up old only) as in ``rrf_lists``.  Each
+    item's places in both lists are brought together once, and every variant gives it its own order and score.
+    """
+    keys = ["entity_type", "user_id", "item_id"]
+    side = lambda df, x: df.select(*keys, *[(F.col(n) if a == x else F.lit(None)).cast(t).alias(f"{n}_{a}") for a in ("old", "new") for n, t in (("rank", "int"), ("score", "double"))])
+    both = side(old, "old").union(side(new, "new")).groupBy(*keys).agg(*[F.max(f"{n}_{a}").alias(f"{n}_{a}") for a in ("old", "new") for n in ("rank", "score")])
+    limit, none, warmup = budget(k, 20), F.lit(None).cast("double"), F.col("entity_type") == "warmup"
+    ro, rn = F.col("rank_old").cast("double"), F.col("rank_new").cast("double")
+
+    def shaped(name: str, how: str, *args) -> Column:
+        if how == "mix":
+            pick = lambda of: F.when(warmup, F.col(f"{of}_{args[1]}")).otherwise(F.when(F.col("entity_type") == "strict_cold", F.col(f"{of}_{args[0]}")))
+            first, second, score, gamma = F.when(pick("rank") <= limit, pick("rank").cast("double")), F.lit(0.0), pick("score"), args[2]
+        elif how == "tail":
+            fresh = (rn <= limit) & ~(warmup & F.lit(args[1]))
+            core = ro <= budget(args[0], 0)
+            first = F.when(core & (ro <= limit), 0.0).when(fresh, 1.0).when(ro <= limit, 2.0)
+            second, score, gamma = F.when(first == 1.0, rn).otherwise(ro), none, args[2]
+        else:
+            upto = F.lit(pool) if args[0] else limit
+            one, two = F.when(ro <= upto, 1 / (c + ro)), F.when((rn <= upto) & ~(warmup & F.lit(args[1])), 1 / (c + rn))
+            score = F.when(one.isNotNull() | two.isNotNull(), F.round(F.coalesce(one, F.lit(0.0)) + F.coalesce(two, F.lit(0.0)), 9))
+            first, second, gamma = -score, F.lit(0.0), 1.0
+        return F.struct(F.lit(name).alias("variant"), first.alias("first"), second.alias("second"), score.alias("score"), F.lit(float(gamma)).alias("gamma"))
+
+    each = both.select(*keys, F.explode(F.array(*[shaped(n, *v) for n, v in variants.items()])).alias("v")).select(*keys, "v.*").where("first is not null")
+    w = Window.partitionBy("variant", "entity_type", "user_id")
+    kept = each.withColumn("rank", F.row_number().over(w.orderBy("first", "second", "item_id"))).where(F.col("rank") <= limit)
+    scaled = F.when(F.col("score").isNull(), rank_linear(F.col("rank"), F.count("*").over(w))).otherwise(group_minmax(F.col("score"), w, 1.0))
+    return kept.select("variant", "user_id", "item_id", "entity_type", "rank", F.pow(scaled, F.col("gamma")).alias("probability"))

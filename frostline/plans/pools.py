@@ -318,20 +318,9 @@ def _pools(spark, d):
 
 @query(f"WITH {SP}, {_OLDNEW} " + " UNION ALL ".join(f"SELECT * FROM ({ {'mix': _mix_sql, 'tail': _tail_sql, 'rrf': _rrf_sql}[v[0]](name, *v[1:]) })" for name, v in VARIANTS.items()))
 def fusion_variants(spark, d):
-    """Eleven ways to fuse two lists."""
+    """Eleven ways to fuse two lists, ranked together."""
     old, new = _pools(spark, d)
-    few_old, few_new = E.first_of(old, _KS), E.first_of(new, _KS)
-    out = None
-    for name, (how, *args) in VARIANTS.items():
-        if how == "mix":
-            rows = E.source_mix(old, new, args[0], args[1], _KS, args[2])
-        elif how == "tail":
-            rows = E.core_tail_lists(few_old, few_new, args[0], _KS, ("warmup",) if args[1] else (), args[2])
-        else:
-            rows = E.rrf_lists(old if args[0] else few_old, new if args[0] else few_new, _KS, old_only=("warmup",) if args[1] else ())
-        one = rows.select(F.lit(name).alias("variant"), "user_id", "item_id", "entity_type", "rank", F.round("probability", 6).alias("probability"))
-        out = one if out is None else out.union(one)
-    return out
+    return E.fused_variants(old, new, VARIANTS, _KS, _POOL).withColumn("probability", F.round("probability", 6))
 
 
 @query(f"WITH {SP}, {_OLDNEW}, rp AS ({_rrf_sql('x', True, False)}) SELECT 'budget' AS warmup_from, user_id, item_id, entity_type, probability FROM rp WHERE entity_type = 'strict_cold' AND rank <= 8 UNION ALL SELECT 'budget', user_id, item_id, entity_type, round({_SCALED}, 6) FROM ol WHERE entity_type = 'warmup' AND rank <= 20 WINDOW w AS (PARTITION BY entity_type, user_id) UNION ALL SELECT 'text', user_id, item_id, entity_type, probability FROM rp WHERE entity_type = 'strict_cold' AND rank <= 8 UNION ALL SELECT 'text', user_id, item_id, entity_type, 1.0::DOUBLE FROM nw WHERE entity_type = 'warmup' AND rank <= 10")
