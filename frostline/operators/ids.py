@@ -46,3 +46,52 @@ def dense_remap(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add ``name``: 0..n-1 by ascending distinct value of ``column``."""
     ids = numbered(df.select(column).distinct(), column, name=name).withColumn(name, F.col(name) - 1)
     return df.join(ids, column)
+
+
+class HashOrder:
+    """Rows in the order of a hash below 2^32, then of ``ties``: how many there are, and conditions for the first n.
+
+    A count of rows by the hash's upper half, and one by its lower half inside the halves that are asked for, tell
+    the n-th row's hash, so nothing is sorted or numbered; either is at most 65,536 rows, however many there are.
+    The rows are read a few times and should be stored.
+    """
+
+    def __init__(self, df: DataFrame, order: Column, *ties: str):
+        self.df, self.order, self.ties = df, order, ties
+        self.upper = dict(map(tuple, df.groupBy(F.shiftright(order, 16).alias("b")).agg(F.count("*")).collect()))
+        self.n = sum(self.upper.values())
+
+    @staticmethod
+    def _holds(counts: dict[int, int], n: int) -> tuple[int, int]:
+        """(key that holds the n-th row in order of keys, rows before that key)."""
+        before = 0
+        for key in sorted(counts):
+            if before + counts[key] >= n:
+                return key, before
+            before += counts[key]
+        raise ValueError(n)
+
+    def first(self, *ns: int) -> list[Column]:
+        """For each n a condition that the first n rows meet and no others."""
+        inside = {n: self._holds(self.upper, n) for n in ns if 0 < n < self.n}
+        lower: dict[int, dict[int, int]] = {}
+        if inside:
+            halves = sorted({b for b, _ in inside.values()})
+            for x, c in self.df.select(self.order.alias("x")).where(F.shiftright("x", 16).isin(halves)).groupBy("x").agg(F.count("*")).collect():
+                lower.setdefault(x >> 16, {})[x] = c
+        out = []
+        for n in ns:
+            if n not in inside:
+                out.append(F.lit(n > 0))
+                continue
+            half, before = inside[n]
+            x, more = self._holds(lower[half], n - before)
+            left = n - before - more
+            if left == lower[half][x]:
+                out.append(self.order <= x)
+                continue
+            # Some of the rows of one hash: the last of them by the ties.
+            last = self.df.where(self.order == x).select(*self.ties).orderBy(*self.ties).limit(left).collect()[-1]
+            tie = F.struct(*self.ties) <= F.struct(*[F.lit(last[t]).cast(self.df.schema[t].dataType).alias(t) for t in self.ties])
+            out.append((self.order < x) | ((self.order == x) & tie))
+        return out

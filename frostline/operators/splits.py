@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostline.operators.ids import hash_order, numbered
+from frostline.operators.ids import HashOrder, hash_order, numbered
 from frostline.sources.storage import discard, stored
 
 
@@ -14,23 +14,22 @@ def entity_groups(pairs: DataFrame, entity: str, k0: int = 5, warm: float = 0.8,
     k0 interactions, up to n - floor(warm n) - floor(cold n), are warmup; the others are strict_cold."""
     if k0 <= 1 or not 0 < warm + cold < 1:
         raise ValueError("k0 > 1, and warm and cold leave room for warmup")
-    degrees = pairs.groupBy(entity).agg(F.count("*").alias("degree"))
-    n = degrees.count()
-    n_warm = int(warm * n)
-    target = n - n_warm - int(cold * n)
-    ranked = numbered(degrees, hash_order(F.col(entity), seed), entity, name="r")
-    rest = ranked.where((F.col("r") > n_warm) & (F.col("degree") >= k0 + 1))
-    chosen = numbered(rest, "r", name="e").where(F.col("e") <= target).select(entity, F.lit(True).alias("chosen"))
-    grp = F.when(F.col("r") <= n_warm, "warm").when(F.col("chosen"), "warmup").otherwise("strict_cold")
-    return ranked.join(chosen, entity, "left").select(entity, "degree", grp.alias("grp"))
+    degrees = stored(pairs.groupBy(entity).agg(F.count("*").alias("degree")))
+    order = hash_order(F.col(entity), seed)
+    every = HashOrder(degrees, order, entity)
+    n_warm = int(warm * every.n)
+    (is_warm,) = every.first(n_warm)
+    rest = ~is_warm & (F.col("degree") >= k0 + 1)
+    (chosen,) = HashOrder(degrees.where(rest), order, entity).first(every.n - n_warm - int(cold * every.n))
+    return degrees.select(entity, "degree", F.when(is_warm, "warm").when(rest & chosen, "warmup").otherwise("strict_cold").alias("grp"))
 
 
 def warm_rows(pairs: DataFrame, seed: int = 42) -> DataFrame:
     """Rows with ``part``: by hash, a tenth val, a tenth test, the rest train."""
-    n = pairs.count()
-    ranked = numbered(pairs, hash_order(F.concat_ws("-", "user_id", "item_id"), seed), "user_id", "item_id", name="r")
-    part = F.when(F.col("r") <= n // 10, "val").when(F.col("r") <= 2 * (n // 10), "test").otherwise("train")
-    return ranked.select(*pairs.columns, part.alias("part"))
+    pairs = stored(pairs)
+    ranked = HashOrder(pairs, hash_order(F.concat_ws("-", "user_id", "item_id"), seed), "user_id", "item_id")
+    val, test = ranked.first(ranked.n // 10, 2 * (ranked.n // 10))
+    return pairs.select(*pairs.columns, F.when(val, "val").when(test, "test").otherwise("train").alias("part"))
 
 
 def repair_visibility(parts: DataFrame) -> DataFrame:
@@ -61,11 +60,11 @@ def warmup_support(rows: DataFrame, entity: str, k0: int = 5, seed: int = 42) ->
 def strict_split(rows: DataFrame, entity: str, seed: int = 42) -> DataFrame:
     """Rows with ``part``: whole entities by hash, half val (one at least, not all) and the rest test; a
     single entity goes to test."""
-    entities = rows.select(entity).distinct()
-    n = entities.count()
-    n_val = 0 if n < 2 else min(max(n // 2, 1), n - 1)
-    ranked = numbered(entities, hash_order(F.col(entity), f"{seed}c"), entity, name="r")
-    return rows.join(ranked, entity).select(*rows.columns, F.when(F.col("r") <= n_val, "val").otherwise("test").alias("part"))
+    rows = stored(rows)
+    order = hash_order(F.col(entity), f"{seed}c")
+    ranked = HashOrder(rows.select(entity).distinct(), order, entity)
+    (val,) = ranked.first(0 if ranked.n < 2 else min(max(ranked.n // 2, 1), ranked.n - 1))
+    return rows.select("*", F.when(val, "val").otherwise("test").alias("part"))
 
 
 def split_tables(pairs: DataFrame, entity: str = "item_id", k0: int = 5, seed: int = 42) -> DataFrame:
