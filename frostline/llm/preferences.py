@@ -106,6 +106,14 @@ def _line(role: str | None) -> str:
     return f"<|{role or ''}|>\n"
 
 
+def _encoded(enc, parts: list[str]) -> list[bytes]:
+    """Ids of parts that end with a line break.  It is an id of its own behind anything but white space, so that the text
+    before it is encoded by pieces that are met again."""
+    (end,) = enc.encode(["\n"])
+    apart = [len(p) > 1 and not p[-2].isspace() for p in parts]
+    return [raw + end if a else raw for raw, a in zip(enc.encode([p[:-1] if a else p for p, a in zip(parts, apart)]), apart)]
+
+
 class Rendered:
     """A conversation's turns as one text and one list of ids, from which pairs are cut; each turn is encoded once."""
 
@@ -169,7 +177,7 @@ def turn_preferences(conversations: DataFrame, vocabulary: str, rows_a_group: in
 
         def formatted(talks):
             lists = [Rendered.parts(turns) for _, turns in talks]
-            ids, at, out, held = enc.encode([x for p in lists for x in p]), 0, [], 0
+            ids, at, out, held = _encoded(enc, [x for p in lists for x in p]), 0, [], 0
             for (conv, turns), p in zip(talks, lists):
                 for pair in Rendered(turns, ids[at : at + len(p)]).pairs():
                     out.append((conv, *pair))
@@ -225,7 +233,7 @@ def format_preferences(pairs: DataFrame, vocabulary: str) -> DataFrame:
             for side in ("chosen", "rejected"):
                 ids, masks = [], []
                 for row in batch.column(f"{side}_segments").to_pylist():
-                    parts = enc.encode([x for s in row for x in (s["head"], s["body"])])
+                    parts = _encoded(enc, [x for s in row for x in (s["head"], s["body"])])
                     ids.append(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))
                     masks.append(np.concatenate([np.full(len(p) // 4, int(s["learn"] and k), np.int8) for s, pair in zip(row, zip(parts[::2], parts[1::2])) for k, p in enumerate(pair)] or [np.zeros(0, np.int8)]))
                 cols += [batch.column(side), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))]
