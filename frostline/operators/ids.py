@@ -48,6 +48,17 @@ def dense_remap(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ids, column)
 
 
+def segments(rows: DataFrame, value: str, *by: str, size: int = 1_024, name: str = "items") -> DataFrame:
+    """(by, segment, degree, name): each group's distinct values in order, ``size`` of them a row, segments from 0.
+
+    Values are numbered over all groups at once, so neither a task nor a row holds a whole group.
+    """
+    placed = stored(numbered(rows.select(*by, value).distinct(), *by, value, name="_n"))
+    first = placed.groupBy(*by).agg(F.min("_n").alias("_n0"), F.count("*").alias("degree"))
+    cut = placed.join(first, list(by)).withColumn("segment", F.expr(f"(_n - _n0) div {size}"))
+    return cut.groupBy(*by, "segment", "degree").agg(F.sort_array(F.collect_list(value)).alias(name)).select(*by, "segment", "degree", name)
+
+
 class HashOrder:
     """Rows in the order of a hash below 2^32, then of ``ties``: how many there are, and conditions for the first n.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frostline.functions import text
 from frostline.operators import complement, filters, splits
-from frostline.operators.ids import dense_remap, hash_order, numbered
+from frostline.operators.ids import dense_remap, hash_order, numbered, segments
 from frostline.plans.base import GROUPS, IX, groups_sql, h, interactions, item_groups, pairs, query
 from frostline.sources.storage import stored
 from frostline.sources.tables import table
@@ -189,9 +189,15 @@ def split_counts(spark, d):
     return splits.split_tables(pairs(spark, d), "item_id", 30).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"))
 
 
-@query(f"WITH {IX} SELECT user_id, list_sort(list(item_id)) AS items, count(*) AS degree FROM ix GROUP BY 1", "neighbor_lists")
+def segments_sql(source: str, by: str, value: str, name: str = "items", size: int = 16) -> str:
+    """SQL of ``ids.segments`` over distinct (by, value)."""
+    return f"SELECT {by}, r // {size} AS segment, any_value(n) AS degree, list_sort(list({value})) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {value}) - 1 AS r, count(*) OVER (PARTITION BY {by}) AS n FROM {source}) GROUP BY ALL"
+
+
+@query(f"WITH {IX} {segments_sql('(SELECT user_id, item_id FROM ix)', 'user_id', 'item_id')}")
 def neighbor_lists(spark, d):
-    return pairs(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.count("*").alias("degree"))
+    """Items of each user in order, in segments of 16, and how many there are."""
+    return segments(pairs(spark, d), "item_id", "user_id", size=16)
 
 
 @query(f"WITH {IX} SELECT range AS item_id FROM range((SELECT max(item_id) + 1 FROM ix)) WHERE range NOT IN (SELECT item_id FROM ix)")

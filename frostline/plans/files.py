@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from frostline.functions.vectors import dot
 from frostline.operators import splits, stats
-from frostline.operators.ids import numbered
+from frostline.operators.ids import numbered, segments
 from frostline.plans.base import COLD, GROUPS, IX, cold_setting, grouped_pairs, interactions, pairs, query
-from frostline.plans.data import _FT, _PR, _predictions
+from frostline.plans.data import _FT, _PR, _predictions, segments_sql
 from frostline.plans.measures import _MET, _met
 from frostline.sources import matrix_sink, sinks, tables
 from frostline.sources.storage import new_path, stored
@@ -148,10 +148,10 @@ def shard_merge(spark, d):
     return sinks.merge_shards(spark, f"{path}/parts", manifest, f"{path}/merged")
 
 
-@query(f"WITH {IX}, l AS (SELECT user_id, list_sort(list(item_id)) AS items, count(*) AS n FROM ix GROUP BY 1) SELECT user_id, CAST(coalesce(sum(n) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, items FROM l")
+@query(f"WITH {IX}, l AS ({segments_sql('(SELECT user_id, item_id FROM ix)', 'user_id', 'item_id')}) SELECT user_id, CAST(coalesce(sum(len(items)) OVER (ORDER BY user_id, segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, items FROM l")
 def score_export(spark, d):
-    """Truth as offsets and items, as a score export holds it."""
-    return sinks.ragged(pairs(spark, d)).select("user_id", "start", "items")
+    """Truth as offsets and items, as a score export holds it, 16 items a row at most."""
+    return sinks.ragged(pairs(spark, d), size=16)
 
 
 _HELD = f"{COLD}, u0 AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM uv)"
@@ -205,9 +205,9 @@ def predictions_zip(spark, d):
     return tables.zipped(candidates, found).select("row_idx", "user_id", "item_id", "predict")
 
 
-@query(f"WITH {IX} SELECT 'user' AS side, user_id AS id, list_sort(list(item_id)) AS others FROM ix GROUP BY 2 UNION ALL SELECT 'item', item_id, list_sort(list(user_id)) FROM ix GROUP BY 2")
+@query(f"WITH {IX}, u AS (SELECT 'user' AS side, user_id AS id, item_id AS other FROM ix UNION ALL SELECT 'item', item_id, user_id FROM ix) {segments_sql('u', 'side, id', 'other', 'others')}")
 def converted_roundtrip(spark, d):
-    """Neighbour maps of users and items, stored as a table and read again."""
+    """Neighbour maps of users and items in segments of 16, stored as a table and read again."""
     p = pairs(spark, d)
-    side = lambda name, a, b: p.groupBy(F.col(a).alias("id")).agg(F.sort_array(F.collect_list(b)).alias("others")).select(F.lit(name).alias("side"), "id", "others")
-    return stored(side("user", "user_id", "item_id").union(side("item", "item_id", "user_id")))
+    side = lambda name, a, b: p.select(F.lit(name).alias("side"), F.col(a).alias("id"), F.col(b).alias("other"))
+    return stored(segments(side("user", "user_id", "item_id").union(side("item", "item_id", "user_id")), "other", "side", "id", size=16, name="others"))

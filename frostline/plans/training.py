@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from frostline.functions import text
 from frostline.operators import complement, evaluate, factors, filters, graph, models, splits, towers
-from frostline.operators.ids import dense_remap, hash_order, hash_uniform, numbered
+from frostline.operators.ids import dense_remap, hash_order, hash_uniform, numbered, segments
 from frostline.plans.base import GROUPS, IX, SP, h, interactions, item_groups, item_vectors, pairs, part_terms, query, scored_pairs, vectors
-from frostline.plans.data import _CORE_ROUNDS, _FT, _WARM, drawn_negatives
+from frostline.plans.data import _CORE_ROUNDS, _FT, _WARM, drawn_negatives, segments_sql
 from frostline.plans.measures import _NORM, _edges
 from frostline.sources.storage import stored
 from frostline.sources.tables import table
@@ -119,12 +119,12 @@ def entity_lists(spark, d):
     return out
 
 
-@query(f"WITH {_FT}, t AS (SELECT split, user_id, item_id FROM sa WHERE split LIKE 'warm_train%') SELECT split, 'user' AS side, user_id AS id, list_sort(list(item_id)) AS others FROM t GROUP BY 1, 3 UNION ALL SELECT split, 'item', item_id, list_sort(list(user_id)) FROM t GROUP BY 1, 3")
+@query(f"WITH {_FT}, t AS (SELECT split, user_id, item_id FROM sa WHERE split LIKE 'warm_train%'), u AS (SELECT split, 'user' AS side, user_id AS id, item_id AS other FROM t UNION ALL SELECT split, 'item', item_id, user_id FROM t) {segments_sql('u', 'split, side, id', 'other', 'others')}")
 def neighbor_maps(spark, d):
-    """Neighbours of users and items in the graphs with and without support."""
+    """Neighbours of users and items in the graphs with and without support, in segments of 16."""
     t = stored(splits.split_tables(pairs(spark, d), "item_id", 30).where(F.col("split").startswith("warm_train")))
-    side = lambda name, a, b: t.groupBy("split", F.col(a).alias("id")).agg(F.sort_array(F.collect_list(b)).alias("others")).select("split", F.lit(name).alias("side"), "id", "others")
-    return side("user", "user_id", "item_id").union(side("item", "item_id", "user_id"))
+    side = lambda name, a, b: t.select("split", F.lit(name).alias("side"), F.col(a).alias("id"), F.col(b).alias("other"))
+    return segments(side("user", "user_id", "item_id").union(side("item", "item_id", "user_id")), "other", "split", "side", "id", size=16, name="others")
 
 
 # Examples for tuning.

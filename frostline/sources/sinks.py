@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.operators.ids import numbered, running_total
+from frostline.operators.ids import numbered, running_total, segments
 from frostline.operators.stats import shard_sizes
 from frostline.sources.storage import move_or_delete, stored, write_text
 
@@ -70,11 +70,11 @@ def merge_shards(spark: SparkSession, path: str, manifest: DataFrame, to: str) -
     return spark.read.parquet(to)
 
 
-def ragged(truth: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
-    """(user, start, items): each user's items in order, and where they start in all users' items one after another."""
-    lists = truth.groupBy(user).agg(F.sort_array(F.collect_set(item)).alias("items"))
-    starts = running_total(lists.select(user, F.size("items").alias("n")), "n", user, name="start")
-    return lists.join(starts.select(user, "start"), user)
+def ragged(truth: DataFrame, user: str = "user_id", item: str = "item_id", size: int = 1_024) -> DataFrame:
+    """(user, start, items): users' items in order, ``size`` a row, and where each row's start in all users' items one after another."""
+    lists = stored(segments(truth, item, user, size=size))
+    starts = running_total(lists.select(user, "segment", F.size("items").alias("n")), "n", user, "segment", name="start")
+    return lists.join(starts.select(user, "segment", "start"), [user, "segment"]).select(user, "start", "items")
 
 
 def exclude_coordinates(positives: DataFrame, truth: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
