@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,18 +34,13 @@ def _matrix(t, column: str) -> np.ndarray:
     return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
 
-def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: int = BLOCK, most_bytes: int = 2**26) -> DataFrame:
-    """(target, entity, score): each target's best pool entities by inner product.
+def _against_pool(wanted: DataFrame, pool: DataFrame, of: Callable, schema: str, block: int, most_bytes: int) -> DataFrame:
+    """``of``(matrix of targets, their rows, matrix of the pool, its ids) of targets (id, v, ...) and a pool (id, v).
 
-    ``targets`` and ``pool``: (id, v array<double>) with vectors of one length; ``most``: (target, k), how
-    many to keep of each.  A pool of at most ``most_bytes`` is broadcast and the targets stay where they are;
-    else both sides are cut into blocks by hash, and a task multiplies one block with another.  Only what each
-    target may need of a block is sent on.  Scores are rounded to 9 decimals, so that their order doesn't hang
-    on the order of summation; ties go to the smaller id.
+    A pool of at most ``most_bytes`` is broadcast and the targets stay where they are; else both sides are cut into
+    blocks by hash, and a task gets one block of each.
     """
-    schema = "target long, entity long, score double"
     pool = stored(pool.select("id", "v"))
-    wanted = targets.join(most.withColumnRenamed("target", "id"), "id").select("id", "v", "k")
     size = pool.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
     if size["n"] * (8 * size["d"] + 8) <= most_bytes:
         t = pool.toArrow()
@@ -53,22 +50,36 @@ def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: in
             b, entities = held.value
             for batch in batches:
                 if batch.num_rows and len(b):
-                    yield from _best(_matrix(batch, "v"), batch.column("id").to_numpy(), batch.column("k").to_numpy(), b, entities).to_batches()
+                    yield from of(_matrix(batch, "v"), batch, b, entities).to_batches()
 
         return wanted.mapInArrow(of_batch, schema)
     wanted = stored(wanted)
     n_t, n_p = max(1, -(-wanted.count() // block)), max(1, -(-size["n"] // block))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = wanted.select("id", "v", "k", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
+    left = wanted.select("*", dealt(n_t).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
     right = pool.select(F.col("id").alias("pool_id"), F.col("v").alias("pool_v"), dealt(n_p).alias("pool_b"), F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("target_b"))
 
     def of_blocks(t: pa.Table, p: pa.Table) -> pa.Table:
         a, b = (_matrix(t, "v"), _matrix(p, "pool_v")) if len(t) and len(p) else (np.zeros((0, 1)), np.zeros((0, 1)))
-        return _best(a, t.column("id").to_numpy(), t.column("k").to_numpy(), b, p.column("pool_id").to_numpy())
+        return of(a, t, b, p.column("pool_id").to_numpy())
 
     return left.groupBy("tb", "pb").cogroup(right.groupBy("target_b", "pool_b")).applyInArrow(of_blocks, schema)
 
 
+def similarities(targets: DataFrame, pool: DataFrame, most: DataFrame, block: int = BLOCK, most_bytes: int = 2**26) -> DataFrame:
+    """(target, entity, score): each target's best pool entities by inner product.
+
+    ``targets`` and ``pool``: (id, v array<double>) with vectors of one length; ``most``: (target, k), how
+    many to keep of each.  A pool of at most ``most_bytes`` is broadcast and the targets stay where they are;
+    else both sides are cut into blocks by hash, and a task multiplies one block with another.  Only what each
+    target may need of a block is sent on.  Scores are rounded to 9 decimals, so that their order doesn't hang
+    on the order of summation; ties go to the smaller id.
+    """
+    wanted = targets.join(most.withColumnRenamed("target", "id"), "id").select("id", "v", "k")
+    best = lambda a, t, b, entities: _best(a, t.column("id").to_numpy(), t.column("k").to_numpy(), b, entities)
+    return _against_pool(wanted, pool, best, "target long, entity long, score double", block, most_bytes)
+
+
 def ranked(scored: DataFrame, m: int, *by: str, order: tuple[Column, ...] = ()) -> DataFrame:
     """The first m rows of each group with candidate_rank; by default by score, ties to the smaller entity."""
     place = Window.partitionBy(*by).orderBy(*(order or (F.col("score").desc(), F.col("entity"))))
@@ -186,6 +197,22 @@ def score_moments(targets: DataFrame, pool: DataFrame) -> DataFrame:
     return targets.select("id", "v").mapInArrow(moments, "target long, mean double, sd double")
 
 
+def rounded_moments(targets: DataFrame, pool: DataFrame, block: int = BLOCK, most_bytes: int = 2**26) -> DataFrame:
+    """``score_moments`` of scores rounded to nine decimals: a task makes those of its rows, and sends three sums of each target on."""
+
+    def sums(a: np.ndarray, t, b: np.ndarray, _) -> pa.Table:
+        out = np.zeros((len(a), 2))
+        for i in range(0, len(a), 256):
+            x = np.round(a[i : i + 256] @ b.T, 9)
+            out[i : i + 256] = np.stack([x.sum(axis=1), (x * x).sum(axis=1)], axis=1)
+        return pa.table({"target": t.column("id").to_numpy()[: len(a)], "n": np.full(len(a), len(b)), "s": out[:, 0], "q": out[:, 1]})
+
+    parts = _against_pool(targets.select("id", "v"), pool, sums, "target long, n long, s double, q double", block, most_bytes)
+    total = parts.groupBy("target").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    return total.select("target", mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - F.col("s") * mean) / F.greatest(F.col("n") - 1, F.lit(1)), F.lit(0.0))).alias("sd"))
+
+
 def standardised_candidates(targets: DataFrame, pool: DataFrame, observed: DataFrame | None, m: int, digits: int = 6, more: int = 8) -> DataFrame:
     """(target, entity, score, candidate_rank): the m best by scores standardised over the whole pool and rounded, ties to the smaller entity.
 
@@ -193,7 +220,7 @@ def standardised_candidates(targets: DataFrame, pool: DataFrame, observed: DataF
     last row lies below its m-th; targets where it doesn't are searched again, four times as deep, until all their ties
     are there or the pool ends.
     """
-    moments = stored(score_moments(targets, pool))
+    moments = stored(rounded_moments(targets, pool))
     left, deep, out = stored(targets.select("id", "v")), m + more, None
     while True:
         top = standardised(top_candidates(left, pool, observed, deep).drop("candidate_rank"), moments).withColumn("score", F.round("score", digits))

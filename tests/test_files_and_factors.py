@@ -86,6 +86,9 @@ def test_bounded_and_blocked_pools_agree(spark):
     best = lambda **p: sorted(map(tuple, candidates.ranked(candidates.similarities(targets, pool, most, **p), 6, "target").collect()))
     assert best() == best(block=16, most_bytes=0)
     one = {r["target"]: (r["mean"], r["sd"]) for r in candidates.score_moments(targets, pool).collect()}
+    for parameters in ({}, {"block": 16, "most_bytes": 0}):
+        for t, m, s in candidates.rounded_moments(targets, pool, **parameters).collect():
+            assert one[t] == pytest.approx((m, s), abs=1e-7)
     x, y = (np.array([r["v"] for r in f.orderBy("id").collect()]) for f in (targets, pool))
     assert [one[t] for t in sorted(one)] == [pytest.approx((m, s)) for m, s in zip((x @ y.T).mean(axis=1), (x @ y.T).std(axis=1, ddof=1))]
 
@@ -138,40 +141,40 @@ def test_text_factors_are_the_first_singular_vectors(spark):
     assert np.allclose(found @ found.T, want @ want.T, atol=1e-2)
 
 
-def test_training_by_a_single_process(spark):
-    """Adam on pairwise log loss over the same draws, vector by vector."""
-    pairs = spark.createDataFrame([(u, i) for u in range(12) for i in range(15) if (u * 7 + i * 3) % 4 == 0], "user_id long, item_id long")
+@pytest.mark.parametrize("layers", [0, 1])
+def test_training_by_a_single_process(spark, layers):
+    """Adam on pairwise log loss over the same draws, vector by vector; with a layer over the graph, gradients go back over it."""
+    met = [(u, i) for u in range(12) for i in range(15) if (u * 7 + i * 3) % 4 == 0]
+    pairs = spark.createDataFrame(met, "user_id long, item_id long")
     items = spark.range(15).withColumnRenamed("id", "item_id")
     seed, per, steps, rate, ridge = 7, 200, 2, 0.05, 1e-4
-    got = {(r["side"], r["id"]): np.array(r["v"]) for r in factors.trained(pairs, items, dim=3, epochs=2, per_epoch=per, rate=rate, ridge=ridge, seed=seed, steps=steps).collect()}
+    got = {(r["side"], r["id"]): np.array(r["v"]) for r in factors.trained(pairs, items, dim=3, epochs=2, per_epoch=per, layers=layers, rate=rate, ridge=ridge, seed=seed, steps=steps).collect()}
     key = lambda side, i: 2 * i + (side == "i")
     h = lambda k, c: int(hashlib.md5(f"{seed}:{k}-{c}".encode()).hexdigest()[:8], 16) / 2**32
-    v = {n: np.array([0.2 * (h(key(*n), c) - 0.5) for c in (1, 2, 3)]) for n in got}
-    m, s, t = {n: np.zeros(3) for n in v}, {n: np.zeros(3) for n in v}, 0
+    nodes = sorted(got)
+    at = {n: k for k, n in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for u, i in met:
+        w = 1 / np.sqrt(sum(x == u for x, _ in met) * sum(y == i for _, y in met))
+        a[at["u", u], at["i", i]] = a[at["i", i], at["u", u]] = w
+    mixed = lambda x: (x + a @ x) / 2 if layers else x
+    v = np.array([[0.2 * (h(key(*n), c) - 0.5) for c in (1, 2, 3)] for n in nodes])
+    m, s, t = np.zeros_like(v), np.zeros_like(v), 0
     for epoch in range(2):
         drawn = complement.negative_triples(pairs, items, per, seed * 1000 + epoch).collect()
         for part in range(steps):
-            t, g = t + 1, {}
+            t, g, met_ = t + 1, np.zeros_like(v), np.zeros(len(nodes))
+            shown = mixed(v)
             for r in (r for r in drawn if r["j"] % steps == part):
-                names = ("u", r["user_id"]), ("i", r["positive"]), ("i", r["negative"])
-                a, b, c = (v[n] for n in names)
-                w = -1 / (1 + np.exp((b - c) @ a))
-                for n, x in zip(names, (w * (b - c) + ridge * a, w * a + ridge * b, -w * a + ridge * c)):
-                    g[n] = g.get(n, 0) + x / (per // steps)
-            for n, x in g.items():
-                m[n], s[n] = 0.9 * m[n] + 0.1 * x, 0.999 * s[n] + 0.001 * x * x
-                v[n] = v[n] - rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.999**t)) + 1e-8)
-    assert all(np.allclose(got[n], v[n], atol=1e-9) for n in v)
-
-
-def test_pairwise_training_ranks_met_items_higher(spark):
-    pairs = spark.createDataFrame([(u, i) for u in range(30) for i in range(20) if (u % 2) == (i % 2) and (u + i) % 3], "user_id long, item_id long")
-    items = spark.range(20).withColumnRenamed("id", "item_id")
-    out = factors.trained(pairs, items, dim=4, epochs=2, per_epoch=2000, rate=0.1, only=spark.range(30).select(F.lit("u").alias("side"), "id"))
-    start = factors.trained(pairs, items, dim=4, epochs=0)
-    vec = lambda df: {(r["side"], r["id"]): np.array(r["v"]) for r in df.collect()}
-    v, v0 = vec(out), vec(start)
-    assert all(np.array_equal(v["i", k], v0["i", k]) for k in range(20)) and any(not np.array_equal(v["u", k], v0["u", k]) for k in range(30))
-    met = {tuple(r) for r in pairs.collect()}
-    mean = lambda of, on: np.mean([of["u", u] @ of["i", i] for u in range(30) for i in range(20) if ((u, i) in met) == on])
-    assert mean(v, True) - mean(v, False) > mean(v0, True) - mean(v0, False) + 0.05
+                p, q, n = at["u", r["user_id"]], at["i", r["positive"]], at["i", r["negative"]]
+                x, y, z = shown[p], shown[q], shown[n]
+                w = -1 / (1 + np.exp((y - z) @ x))
+                for k, d in ((p, w * (y - z) + ridge * x), (q, w * x + ridge * y), (n, -w * x + ridge * z)):
+                    g[k] += d / (per // steps)
+                    met_[k] = 1
+            on = (met_ + (a > 0) @ met_ * layers) > 0
+            g = mixed(g)
+            m[on], s[on] = 0.9 * m[on] + 0.1 * g[on], 0.999 * s[on] + 0.001 * g[on] ** 2
+            v[on] -= rate * (m[on] / (1 - 0.9**t)) / (np.sqrt(s[on] / (1 - 0.999**t)) + 1e-8)
+    want = mixed(v)
+    assert all(np.allclose(got[n], want[at[n]], atol=1e-9) for n in nodes)
