@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm.common import materialize, one_thread, table
+from frostline.llm.common import kept, materialize, one_thread, table
 from frostline.llm.encoding import _ENDS, _ODD, _RUNS, slices
 
 
@@ -148,14 +148,9 @@ class PairAligner:
         return good, numbers, a[u] * n_b_ids + b[v], [joined[x:y] for x, y in zip([0, *chars], chars)]
 
 
-_ALIGNERS: dict[tuple[str, str], PairAligner] = {}
-
-
 def aligner(a_path: str, b_path: str) -> PairAligner:
     """The worker process's own aligner, kept from task to task."""
-    if (a_path, b_path) not in _ALIGNERS:
-        _ALIGNERS[a_path, b_path] = PairAligner(a_path, b_path)
-    return _ALIGNERS[a_path, b_path]
+    return kept("alignment", (a_path, b_path), lambda: PairAligner(a_path, b_path))
 
 
 class Unit:

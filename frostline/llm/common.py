@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -122,3 +125,28 @@ def by_smallest_hash(rows: DataFrame, n: int, most: int, doc_id: str = "doc_id")
 def one_thread() -> None:
     """A task has one core: libraries start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+_KEPT: dict = {}
+
+
+def kept(owner: str, key=None, make=None):
+    """What a worker process keeps from task to task; it keeps things of one operator at a time.
+
+    When another operator's task asks, what is there goes and its memory is given back, so that the stages of a
+    pipeline, which share worker processes, don't add up.  Without ``make`` that is all that is done.
+    """
+    if _KEPT.get("owner") != owner:
+        had = len(_KEPT) > 1
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+        if had:
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+    if make is None:
+        return None
+    if ("made", key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT.update({"owner": owner, ("made", key): make()})
+    return _KEPT["made", key]

@@ -11,7 +11,7 @@ import string
 
 import numpy as np
 
-from frostline.llm.common import one_thread
+from frostline.llm.common import kept, one_thread
 
 #: Where a space or line break stands beside other white space, the run decides how it is split.
 _RUNS = ("  ", "\n\n", " \n", "\n ")
@@ -146,9 +146,6 @@ class PieceEncoder:
         return failed
 
 
-_ENCODERS: dict[tuple[str, bool, bool], PieceEncoder] = {}
-
-
 def vocabulary_size(path: str) -> int:
     """Number of ids of a vocabulary, special tokens included."""
     from tokenizers import Tokenizer
@@ -159,10 +156,7 @@ def vocabulary_size(path: str) -> int:
 def encoder(path: str, drops_space: bool, specials: bool = False) -> PieceEncoder:
     """The worker process's own encoder for a vocabulary; kept from task to task."""
     key = (path, drops_space, specials)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()  # one vocabulary's pieces at a time
-        _ENCODERS[key] = PieceEncoder(*key)
-    return _ENCODERS[key]
+    return kept("encoding", key, lambda: PieceEncoder(*key))  # one vocabulary's pieces at a time
 
 
 def slices(values: list, most_chars: int = 4_000_000):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.common import discard, lower_words, materialize, table
+from frostline.llm.common import discard, kept, lower_words, materialize, table
 from frostline.llm.components import connected_components
 
 #: Bits of a seed sequence; multipliers are derived from it, not listed.
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, width: int, n_hashes: int) -> DataFrame:
     """doc_id, n_shingles, fp1 and fp2 (of the whole set), text_key (128 bits of the text) and sig (minima, 32 bits each) of documents."""
 
     def sign(batches):
+        kept("near_dedup")
         a, b = hash_family(n_hashes)
         known = WordHashes()
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frostline.llm.common import discard, materialize, named, table
+from frostline.llm.common import discard, kept, materialize, named, table
 
 KEY_SETTING = "spark.frostline.secretKey"
 
@@ -273,6 +273,7 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
     """(kind, value) of all entities, values normal."""
 
     def detect(batches) -> Iterator[pa.RecordBatch]:
+        kept("surrogates")
         for batch in batches:
             rows = {(k, normal(k, t[a:b])) for t in batch.column("text").to_pylist() if t for a, b, k in entities(t)}
             if rows:

@@ -16,7 +16,6 @@ import zlib
 from dataclasses import replace
 from collections import Counter
 from contextlib import contextmanager
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import trees
-from frostline.llm.common import by_smallest_hash, fold, materialize, table
+from frostline.llm.common import by_smallest_hash, fold, kept, materialize, table
 
 #: Marks around words, marks of quotation, words that report speech and that address someone.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„‚‹›¿¡…–—"
@@ -435,10 +434,9 @@ def _uncollected():
             gc.enable()
 
 
-@lru_cache(maxsize=1)
 def _trie(terms: tuple[tuple[str, float], ...]) -> FuzzyTrie:
     """The trie of a lexicon, kept with the states it has made from task to task of a Python process."""
-    return FuzzyTrie(dict(terms))
+    return kept("toxicity", tuple(terms), lambda: FuzzyTrie(dict(terms)))
 
 
 def _with_sums(labelled: DataFrame, lexicon) -> DataFrame:

@@ -58,3 +58,16 @@ def test_more_kinds():
     made = [f["surrogate"] for f in found]
     assert "12:30:45 and a::b stay" in new and not any(v in new for _, v in kinds) and made[5].isupper() and made[5].lower() == made[7].lower() and made[6].lower() == made[8].lower()
     assert [len(m) for m in made[:5]] == [len(v) for _, v in kinds[:5]] and ":" in made[2]
+
+
+def test_a_process_keeps_things_of_one_operator():
+    from frostline.llm import common
+
+    before = dict(common._KEPT)
+    try:
+        one = common.kept("x", 1, lambda: [1])
+        assert common.kept("x", 1, lambda: [2]) is one and common.kept("x", 2, lambda: [3]) == [3] and common.kept("x", 1, lambda: [4]) == [4]
+        assert common.kept("y") is None and common.kept("x", 1, lambda: [5]) == [5]
+    finally:
+        common._KEPT.clear()
+        common._KEPT.update(before)
