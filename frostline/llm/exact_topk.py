@@ -11,23 +11,27 @@ scores are resolved in whole numbers.  A query's k-th score so far holds for the
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.common import materialize, table
+from frostline.llm.common import materialize, new_folder, table
 
 
 class Lists:
     """Sorted lists of a block of vectors: per component, each vector's place from either end."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, ascending: np.ndarray | None = None, from_low: np.ndarray | None = None):
         self.x, self.columns, self.squares, n = x, np.ascontiguousarray(x.T), np.einsum("ij,ij->i", x, x), len(x)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.ascending = np.take_along_axis(x, order, axis=0)
-        self.from_low = np.empty_like(order)
-        np.put_along_axis(self.from_low, order, np.arange(n)[:, None], axis=0)
+        if ascending is None:
+            order = np.argsort(x, axis=0, kind="stable")
+            ascending, from_low = np.take_along_axis(x, order, axis=0), np.empty(order.shape, np.int32)
+            np.put_along_axis(from_low, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        self.ascending, self.from_low = ascending, from_low
 
     def bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all scores after reading ``depth`` entries of every list."""
@@ -39,10 +43,43 @@ class Lists:
         return lower, upper
 
 
-def turned(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates and queries in the candidates' principal axes, those of most weight first."""
-    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
-    return x @ axes, q @ axes
+def principal_axes(x: np.ndarray) -> np.ndarray:
+    """The candidates' principal axes, those of most weight first."""
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1]
+
+
+class Block:
+    """A block of candidates: whole numbers, ids, and, made when first asked for or read from a store, axes and lists."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, axes: np.ndarray | None = None, lists: Lists | None = None):
+        self.x, self.ids, self.axes, self.lists = x, ids, axes, lists
+
+    def ready(self) -> Block:
+        if self.lists is None:
+            self.axes = principal_axes(self.x)
+            self.lists = Lists(self.x @ self.axes)
+        return self
+
+    def write(self, folder: str, name: str) -> None:
+        from pyarrow import fs
+
+        there, root = fs.FileSystem.from_uri(folder)
+        raw = io.BytesIO()
+        made = self.ready().lists if len(self.x) and self.x.shape[1] else None
+        more = {} if made is None else {"axes": self.axes, "y": made.x, "ascending": made.ascending, "from_low": made.from_low}
+        np.savez(raw, x=self.x.astype(np.int64), ids=self.ids, **more)
+        with there.open_output_stream(f"{root}/{name}.npz") as f:
+            f.write(raw.getbuffer())
+
+    @staticmethod
+    def read(folder: str, name: str) -> Block:
+        from pyarrow import fs
+
+        there, root = fs.FileSystem.from_uri(folder)
+        with there.open_input_file(f"{root}/{name}.npz") as f:
+            held = np.load(io.BytesIO(f.read()))
+        lists = Lists(held["y"], held["ascending"], held["from_low"]) if "y" in held else None
+        return Block(held["x"].astype(float), held["ids"], held["axes"] if lists else None, lists)
 
 
 def read_on(z: np.ndarray, lists: Lists, lower: np.ndarray, upper: np.ndarray, depth: int, k: int, least: float, slack: float, few: int) -> tuple[np.ndarray, int]:
@@ -82,18 +119,20 @@ def read_on(z: np.ndarray, lists: Lists, lower: np.ndarray, upper: np.ndarray, d
     return alive, entries
 
 
-def block_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None, first_depth: int = 16) -> tuple[list[tuple[int, int, int]], int]:
+def block_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray | Block, ids: np.ndarray | None, k: int, least: np.ndarray | None = None, first_depth: int = 16) -> tuple[list[tuple[int, int, int]], int]:
     """(query's place, candidate's id, score) of each query's k best in the block, ties to the smaller id; entries read.
 
     ``least``: a score for each query that its candidates of other blocks are known to reach k times; what lies
     below may be left out.  Integers come as float64 and stay exact below 2**53.
     """
+    block = x if isinstance(x, Block) else Block(x, ids)
+    x, ids = block.x, block.ids
     n, out, entries = len(x), [], 0
     least = np.full(len(q), -np.inf) if least is None else least
     few = max(8 * k, n // 32)
     if n > few:
-        y, z = turned(x, q)
-        lists, depth = Lists(y), max(1, n // first_depth)
+        lists, depth = block.ready().lists, max(1, n // first_depth)
+        z = q @ block.axes
         lower, upper = lists.bounds(z, depth)
         lower[q_ids[:, None] == ids[None, :]] = -np.inf
         slack = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max())
@@ -109,32 +148,56 @@ def block_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray,
     return out, entries
 
 
-def search(asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, block: int):
-    """The function of one group of candidates: blocks one after another, each query's k-th score carried on.
+def stored_blocks(vectors: DataFrame, folder: str, block: int) -> DataFrame:
+    """(name, d, n, g) of blocks of at most ``block`` candidates of one length, stored with their axes and sorted lists.
+
+    Candidates are shuffled once, for this; the files that a failed try leaves are named by no row.  ``g`` numbers blocks.
+    """
+    parts = max(1, -(-vectors.count() // max(1, block - block // 8)))
+
+    def write(t: pa.Table) -> pa.Table:
+        d, names, sizes = t.column("d")[0].as_py(), [], []
+        x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), d).astype(float)
+        ids = t.column("vec_id").to_numpy()
+        for s in range(0, len(x), block):
+            names.append(uuid.uuid4().hex)
+            sizes.append(len(x[s : s + block]))
+            Block(x[s : s + block], ids[s : s + block]).write(folder, names[-1])
+        return pa.table({"name": pa.array(names, pa.string()), "d": pa.array([d] * len(names), pa.int32()), "n": pa.array(sizes, pa.int64())})
+
+    dealt = vectors.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).alias("b"))
+    found = materialize(dealt.groupBy("b", "d").applyInArrow(write, "name string, d int, n long"), "blocks")
+    return materialize(found.withColumn("g", F.row_number().over(Window.orderBy("d", F.col("n").desc(), "name")) - 1), "numbered-blocks")  # one row a block
+
+
+def search(asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, folder: str):
+    """The function of a task's blocks: one after another, each query's k-th score carried on.
 
     ``asked``: by length of vectors, the queries' ids and vectors, and a score that each has k times elsewhere.
     """
 
-    def run(candidates: pa.Table) -> pa.Table:
-        best: dict[int, list[tuple[int, int]]] = {}
-        d = candidates.column("d")[0].as_py()
-        if d in asked:
-            q_ids, q, known = asked[d]
-            x = candidates.column("v").combine_chunks().flatten().to_numpy().reshape(len(candidates), d)
-            ids = candidates.column("vec_id").to_numpy()
-            if d and float(np.abs(x).max()) * float(np.abs(q).max()) * d >= 2**53:
-                raise OverflowError("scores beyond 2**53 aren't exact")
-            x, q, least = x.astype(float), q.astype(float), known.copy()
-            for s in range(0, len(x), block):
-                for row, c, score in block_topk(q, q_ids, x[s : s + block], ids[s : s + block], k, least)[0]:
-                    best.setdefault(row, []).append((-score, c))
-                for row, found in best.items():
-                    best[row] = found = sorted(found)[:k]
-                    if len(found) == k:
-                        least[row] = max(known[row], -found[-1][0])
-        rows = [(int(q_ids[row]), c, -s) for row, found in best.items() for s, c in found if -s >= known[row]]
-        cols = list(zip(*rows)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+    def run(batches):
+        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        least = {d: known.copy() for d, (_, _, known) in asked.items()}
+        for batch in batches:
+            for name, d in zip(batch.column("name").to_pylist(), batch.column("d").to_pylist()):
+                if d not in asked:
+                    continue
+                q_ids, q, known = asked[d]
+                held = Block.read(folder, name)
+                if d and float(np.abs(held.x).max()) * float(np.abs(q).max()) * d >= 2**53:
+                    raise OverflowError("scores beyond 2**53 aren't exact")
+                for row, c, score in block_topk(q.astype(float), q_ids, held, None, k, least[d])[0]:
+                    best.setdefault((d, row), []).append((-score, c))
+                for (e, row), found in best.items():
+                    if e == d:
+                        best[d, row] = found = sorted(found)[:k]
+                        if len(found) == k:
+                            least[d][row] = max(known[row], -found[-1][0])
+        rows = [(int(asked[d][0][row]), c, -s) for (d, row), found in best.items() for s, c in found if -s >= asked[d][2][row]]
+        for i in range(0, len(rows), 100_000):
+            cols = list(zip(*rows[i : i + 100_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -144,35 +207,40 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
 
     Both tables: (vec_id long, v array<long>).  A candidate with the query's vec_id is the query itself.
     Only vectors as long as the query are candidates; repeated queries count once; a null vec_id takes no
-    part.  Fewer than k candidates are all returned; an empty table gives no rows.  Candidates are shuffled
-    once for each block of queries; a block of queries is broadcast, ``query_block`` of them and
-    ``most_bytes`` at most.  One block of candidates goes first: its k-th scores bound the search in all.
+    part.  Fewer than k candidates are all returned; an empty table gives no rows.  Candidates are shuffled once,
+    into blocks that are stored with their axes and sorted lists; for each block of queries (broadcast,
+    ``query_block`` of them and ``most_bytes`` at most) tasks read ``blocks_a_group`` stored blocks each.  The first
+    block of each length goes ahead: its k-th scores bound the search in all.
     """
     spark = vectors.sparkSession
     left, asked = vectors.where("vec_id is not null"), queries.where("vec_id is not null").dropDuplicates(["vec_id", "v"])
-    n, d = left.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    rows_a_block = max(1, min(query_block, most_bytes // (8 * max(d, 1))))
+    longest = asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    rows_a_block = max(1, min(query_block, most_bytes // (8 * max(longest, 1))))
     parts = max(1, -(-asked.count() // rows_a_block))
-    dealt = lambda parts: F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-    groups = max(1, -(-n // (blocks_a_group * block)))
-    left = left.select("vec_id", "v", F.size("v").alias("d"), dealt(groups * blocks_a_group).alias("cb"))
+    dealt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
+    folder = new_folder(spark, "lists")
+    blocks = stored_blocks(left, folder, block)
+    n_blocks = blocks.count()
+    tasks = max(1, -(-n_blocks // blocks_a_group))
     schema, stored = "query_id long, vec_id long, score long", []
     for part in range(parts):
         held: dict[int, list] = {}
-        for r in asked.where(dealt(parts) == part).select("vec_id", "v").collect():  # one block of the queries
+        for r in asked.where(dealt == part).select("vec_id", "v").collect():  # one block of the queries
             held.setdefault(len(r["v"]), []).append(r)
         for s in range(0, max(map(len, held.values()), default=0), rows_a_block):
             some = {}
             for d, rows in held.items():
                 if rows := rows[s : s + rows_a_block]:
                     some[d] = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64).reshape(len(rows), d), np.full(len(rows), -np.inf)
-            if groups > 1:
+            if tasks > 1:
+                ahead = blocks.groupBy("d").agg(F.min("g").alias("g")).select("g")
                 first: dict[int, list[int]] = {}
-                for r in left.where("cb = 0").groupBy("d").applyInArrow(search(some, k, block), schema).collect():
+                for r in blocks.join(ahead, "g").select("name", "d").mapInArrow(search(some, k, folder), schema).collect():
                     first.setdefault(r["query_id"], []).append(r["score"])
                 for q_ids, _, known in some.values():
                     known[:] = [min(found) if len(found := first.get(i, [])) == k else -np.inf for i in q_ids.tolist()]
-            found = left.groupBy((F.col("cb") % groups).alias("g"), "d").applyInArrow(search(some, k, block), schema)
+            spread = blocks.withColumn("t", F.pmod("g", F.lit(tasks))).repartition(tasks, "t").sortWithinPartitions("t", "g")
+            found = spread.select("name", "d").mapInArrow(search(some, k, folder), schema)
             stored.append(found if parts == 1 else materialize(found, "found"))
     if not stored:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
