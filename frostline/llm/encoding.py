@@ -36,7 +36,7 @@ class PieceEncoder:
     Null and empty texts have no ids.
     """
 
-    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int = 400_000):
+    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int = 600_000):
         one_thread()
         from tokenizers import Tokenizer
 
