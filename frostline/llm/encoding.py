@@ -32,18 +32,18 @@ class PieceEncoder:
     word after it, and only texts whose white space is single spaces and line breaks are cut.  ``specials``:
     the strings of special tokens in a text become those tokens, as in a plain call of the library, and a
     text that holds one stays whole; else they are ordinary text.
-    ``max_pieces`` bounds the pieces held in memory between calls: beyond, all go.
+    ``max_pieces`` bounds the pieces held in memory between calls: beyond, all go; where space is kept, there are more pieces.
     Null and empty texts have no ids.
     """
 
-    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, specials: bool = False, max_pieces: int | None = None):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if specials else ()
-        self.drops_space, self.max_pieces = drops_space, max_pieces
+        self.drops_space, self.max_pieces = drops_space, max_pieces or (600_000 if drops_space else 800_000)
         self.known: dict[str | bytes, bytes] = {"": b""}
         self.between = " \x01 " if drops_space else "\n"
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
