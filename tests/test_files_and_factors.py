@@ -178,3 +178,34 @@ def test_training_by_a_single_process(spark, layers):
             v[on] -= rate * (m[on] / (1 - 0.9**t)) / (np.sqrt(s[on] / (1 - 0.999**t)) + 1e-8)
     want = mixed(v)
     assert all(np.allclose(got[n], want[at[n]], atol=1e-9) for n in nodes)
+
+
+def test_search_holds_tiles_and_copies_once(spark):
+    """Copies on both sides, ties by rounding, targets of different depth: as brute force; a block of a small side is sent once."""
+    rng = np.random.default_rng(6)
+    rows = lambda n, a, kinds: [(a + k, [float(x) for x in np.random.default_rng(k % kinds).integers(-2, 3, 3) / 7]) for k in rng.permutation(n).tolist()]
+    pool, seen = rows(5_000, 10_000, 40), [(t, 10_000 + int(e)) for t in range(60) for e in rng.choice(5_000, t % 7, replace=False)] + [(3, 77)]
+    df = lambda x: spark.createDataFrame(x, "id long, v array<double>")
+    for kinds in (9, 60):
+        targets = rows(60, 0, kinds)
+        got = candidates.top_candidates(df(targets), df(pool), spark.createDataFrame(seen, "target long, entity long"), 5).collect()
+        for t, v in targets:
+            scores = sorted((-round(float(np.dot(v, w)), 9), e) for e, w in pool if (t, e) not in set(seen))[:5]
+            assert [(r.entity, r.candidate_rank) for r in sorted(got, key=lambda r: r.candidate_rank) if r.target == t] == [(e, k + 1) for k, (_, e) in enumerate(scores)]
+    a, b = rng.normal(size=(300, 4)), rng.normal(size=(9_000, 4))
+    k = rng.integers(1, 30, 300)
+    got = candidates._best(a, np.arange(300), k, b, rng.permutation(9_000))
+    assert np.array_equal(np.bincount(got.column("target").to_numpy()), k)
+
+
+def test_search_holds_little(spark):
+    """A task's scores of a pool of 200,000 rows aren't held at once: 256 targets' would take 400 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(256, 8)), rng.normal(size=(200_000, 8))
+    tracemalloc.start()
+    got = candidates._best(a, np.arange(256), np.full(256, 20), b, np.arange(200_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 256 * 20 and peak < 60 * 2**20
