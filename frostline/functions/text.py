@@ -125,16 +125,20 @@ def nested_text(json: Column, most: int = 8, rest: int = 4, depth: int = 4) -> C
         number = raw.try_cast("double").cast("string")
         return F.when(kind == "BOOLEAN", F.initcap(raw)).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.coalesce(number, raw)).when(kind == "VOID", F.lit("")).otherwise(F.coalesce(raw, F.lit("")))
 
+    def with_kind(variant: Column, then) -> Column:
+        """``then`` of a variant's kind, which is found once, however often it is used."""
+        return F.get(F.transform(F.array(F.schema_of_variant(variant)), then), F.lit(0))
+
     def walk(raw: Column, kind: Column, n: int, left: int) -> Column:
         if not left:
             return scalar(raw, kind)
-        fields, typed = F.from_json(raw, "map<string,string>"), F.from_json(raw, "map<string,variant>")
-        object_ = F.transform(F.slice(F.map_keys(fields), 1, n), lambda k: F.concat(k, F.lit(": "), walk(F.try_element_at(fields, k), F.schema_of_variant(F.try_element_at(typed, k)), rest, left - 1)))
+        # A level is parsed once for its texts and once for its kinds; its parts don't parse it again.
+        fields, typed = F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>"))
+        object_ = F.transform(F.slice(F.arrays_zip(fields.alias("a"), typed.alias("b")), 1, n), lambda x: F.concat(x["a"]["key"], F.lit(": "), with_kind(x["b"], lambda kind: walk(x["a"]["value"], kind, rest, left - 1))))
         items, kinds = F.from_json(raw, "array<string>"), F.from_json(raw, "array<variant>")
-        list_ = F.transform(F.slice(F.arrays_zip(items.alias("a"), kinds.alias("b")), 1, n), lambda x: walk(x["a"], F.schema_of_variant(x["b"]), rest, left - 1))
+        list_ = F.transform(F.slice(F.arrays_zip(items.alias("a"), kinds.alias("b")), 1, n), lambda x: with_kind(x["b"], lambda kind: walk(x["a"], kind, rest, left - 1)))
         return F.when(kind.startswith("OBJECT"), F.array_join(object_, "; ")).when(kind.startswith("ARRAY"), F.array_join(list_, "; ")).otherwise(scalar(raw, kind))
 
     value = F.try_parse_json(json)
-    kind = F.schema_of_variant(value)
-    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(json)
-    return F.when(value.isNull(), F.lit("")).otherwise(F.coalesce(walk(text, kind, most, depth), F.lit("")))
+    text = lambda kind: F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(json)
+    return F.when(value.isNull(), F.lit("")).otherwise(F.coalesce(with_kind(value, lambda kind: walk(text(kind), kind, most, depth)), F.lit("")))

@@ -129,7 +129,8 @@ def nested_details(spark, d):
     rows = F.struct(F.col("p_brand").alias("brand"), dims.alias("dims"))
     lists = F.concat(F.lit('["'), "p_type", F.lit('",'), F.to_json(F.struct(quoted.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(quoted.alias("x")))) - 6), F.lit(",7]"))
     whole = F.concat(F.expr("substr(x, 1, length(x) - 1)"), F.lit(',"lists":'), F.col("l"), F.lit("}"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.to_json(rows).alias("x"), lists.alias("l")).select("item_id", text.nested_text(whole).alias("details"))
+    parts = table(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism)  # a file of few bytes is one task, and parsing is dear
+    return parts.select(F.col("p_partkey").alias("item_id"), F.to_json(rows).alias("x"), lists.alias("l")).select("item_id", text.nested_text(whole).alias("details"))
 
 
 @query("SELECT conv_id, turn, role, CASE WHEN length(t) > 80 THEN substr(t, 1, 77) || '...' ELSE t END AS short FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")

@@ -151,3 +151,9 @@ def test_exclude_coordinates(spark):
     positives = spark.createDataFrame([(1, 1), (1, 2), (3, 1), (3, 5), (9, 9), (3, 5)], "user_id long, item_id long")
     truth = spark.createDataFrame([(3, 1), (1, 2), (7, 7)], "user_id long, item_id long")
     assert sorted(map(tuple, sinks.exclude_coordinates(positives, truth).collect())) == [(0, 1), (1, 5)]
+
+
+def test_nested_text_parses_a_level_once(spark):
+    """Four parses a level (an object's texts and kinds, a list's), of which each has two kinds of parts: 60 for four levels."""
+    frame = spark.createDataFrame([("{}",)], "x string").select(text.nested_text(F.col("x")).alias("t"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("from_json") <= 60
