@@ -26,16 +26,17 @@ def training_rows(rows: DataFrame, multiplier: int = 30, least: int = 50_000, se
     """``rows`` (entity_type, label 0 or 1, ...) that a fit learns from, with balanced ``weight``s, stored.
 
     All positives of a type and, of its negatives, ``multiplier`` times as many but at least ``least``: those of
-    smallest hash.  A type's weights give both classes the same sum.
+    smallest hash.  A type's weights give both classes the same sum.  What a type is compared with is a row a type, which is sent
+    to the rows: types are few, and a type's rows may be half of all.
     """
     key = F.when(F.col("label") == 1, F.lit(-1)).otherwise(hash_order(F.concat_ws("-", "user_id", "item_id"), seed))
     placed = numbered(rows.withColumn("_key", key), "entity_type", "_key", "user_id", "item_id", name="_n")
     counts = placed.groupBy("entity_type").agg(F.min("_n").alias("_n0"), F.count_if(F.col("label") == 1).alias("_pos"))
     most = F.greatest(F.lit(least), F.col("_pos") * multiplier)
-    kept = stored(placed.join(counts, "entity_type").where(F.col("_n") - F.col("_n0") < F.col("_pos") + most).drop("_key", "_n", "_n0", "_pos"))
+    kept = stored(placed.join(F.broadcast(counts), "entity_type").where(F.col("_n") - F.col("_n0") < F.col("_pos") + most).drop("_key", "_n", "_n0", "_pos"))
     sizes = kept.groupBy("entity_type").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_m"))
     half = (F.col("_p") + F.col("_m")) / 2
-    return stored(kept.join(sizes, "entity_type").withColumn("weight", F.when(F.col("label") == 1, half / F.col("_p")).otherwise(half / F.col("_m"))).drop("_p", "_m"))
+    return stored(kept.join(F.broadcast(sizes), "entity_type").withColumn("weight", F.when(F.col("label") == 1, half / F.col("_p")).otherwise(half / F.col("_m"))).drop("_p", "_m"))
 
 
 @dataclass
