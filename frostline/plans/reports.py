@@ -131,10 +131,18 @@ def _four(spark, d, groups, by):
     return train, truth.union(truth.withColumn("entity_type", F.lit("overall")))
 
 
-def _ranked(users, items, train, part):
+def _searched(users, items, train):
     seen = train.select(F.col("user_id").alias("target"), F.col("item_id").alias("entity"))
-    top = C.top_candidates(users, items, seen, 20)
-    return top.select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), F.lit(part).alias("entity_type"), F.col("candidate_rank").alias("rank"))
+    return C.top_candidates(users, items, seen, 20)
+
+
+def _listed(top, part):
+    return top.select(F.col("target").alias("user_id"), F.col("entity").alias("item_id"), part.alias("entity_type"), F.col("candidate_rank").alias("rank"))
+
+
+def _overall(tops):
+    """Users' best of all items from their best of parts that hold each item once."""
+    return _listed(C.ranked(tops.select("target", "entity", "score"), 20, "target"), F.lit("overall"))
 
 
 @query("WITH " + _report_sql(f"{GROUPS}, {_FW.format(by='item_id')}, rk AS (SELECT u.id AS user_id, i.id AS item_id, part AS entity_type, row_number() OVER (PARTITION BY part, u.id ORDER BY {_DOT} DESC, i.id) AS rank FROM pt, uv u, (SELECT iv.*, grp FROM iv JOIN grps ON id = item_id) i WHERE (part = 'overall' OR grp = part) AND NOT EXISTS (SELECT 1 FROM tn WHERE tn.user_id = u.id AND tn.item_id = i.id) QUALIFY rank <= 20), tt AS (SELECT user_id, item_id, part AS entity_type FROM te, pt WHERE part = 'overall' OR grp = part)", 20))
@@ -144,10 +152,11 @@ def eval_four_way(spark, d):
     train, truth = _four(spark, d, groups, "item_id")
     items, users = stored(item_vectors(spark, d).join(groups.select(F.col("item_id").alias("id"), "grp"), "id")), stored(user_vectors(spark, d))
     out = None
-    for part in ("warm", "warmup", "strict_cold", "overall"):
-        one = _ranked(users, (items if part == "overall" else items.where(F.col("grp") == part)).select("id", "v"), train, part)
+    for part in ("warm", "warmup", "strict_cold"):
+        one = _searched(users, items.where(F.col("grp") == part).select("id", "v"), train).withColumn("part", F.lit(part))
         out = one if out is None else out.union(one)
-    return evaluate.report_by_group(out, truth, 20)
+    out = stored(out)
+    return evaluate.report_by_group(_listed(out, F.col("part")).union(_overall(out)), truth, 20)
 
 
 @query("WITH " + _report_sql(f"{IX}, {groups_sql('user_id', 40)}, {_FW.format(by='user_id')}, rk AS (SELECT u.id AS user_id, i.id AS item_id, part AS entity_type, row_number() OVER (PARTITION BY part, u.id ORDER BY {_DOT} DESC, i.id) AS rank FROM pt, (SELECT uv.*, grp FROM uv JOIN grps ON id = user_id) u, iv i WHERE (part = 'overall' OR (grp = part AND i.id IN (SELECT item_id FROM tn))) AND NOT EXISTS (SELECT 1 FROM tn WHERE tn.user_id = u.id AND tn.item_id = i.id) QUALIFY rank <= 20), tt AS (SELECT user_id, item_id, part AS entity_type FROM te, pt WHERE part = 'overall' OR grp = part)", 20))
@@ -156,11 +165,11 @@ def topk_eval_user_cold(spark, d):
     groups = stored(splits.entity_groups(pairs(spark, d), "user_id", k0=40))
     train, truth = _four(spark, d, groups, "user_id")
     users, items = stored(user_vectors(spark, d).join(groups.select(F.col("user_id").alias("id"), "grp"), "id")), stored(item_vectors(spark, d))
-    seen = stored(items.join(train.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi"))
-    out = _ranked(users.select("id", "v"), items, train, "overall")
-    for part in ("warm", "warmup", "strict_cold"):
-        out = out.union(_ranked(users.where(F.col("grp") == part).select("id", "v"), seen, train, part))
-    return evaluate.report_by_group(out, truth, 20)
+    met = train.select(F.col("item_id").alias("id")).distinct()
+    seen, other = stored(items.join(met, "id", "left_semi")), stored(items.join(met, "id", "left_anti"))
+    top = stored(_searched(users.select("id", "v"), seen, train))
+    parts = _listed(top.join(users.select(F.col("id").alias("target"), "grp"), "target"), F.col("grp"))
+    return evaluate.report_by_group(parts.union(_overall(top.union(_searched(users.select("id", "v"), other, train)))), truth, 20)
 
 
 # Runs: return flags as methods, line numbers as seeds, odd and even parts as splits.
