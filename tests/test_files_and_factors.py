@@ -209,3 +209,21 @@ def test_search_holds_little(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 256 * 20 and peak < 60 * 2**20
+
+
+def test_search_of_a_pool_of_copies(spark, monkeypatch):
+    """A pool too large to send in which each vector has many rows: as brute force, by a third of the products; vectors tie, a third of all rows is one."""
+    rng = np.random.default_rng(8)
+    kinds = rng.integers(-2, 3, (60, 3)) / 7
+    pool = [(1_000 + int(e), kinds[0 if k % 3 == 0 else k % 60].tolist()) for k, e in enumerate(rng.permutation(900))]
+    targets = [(t, rng.integers(-2, 3, 3).astype(float).tolist()) for t in range(25)]
+    df = lambda x: spark.createDataFrame(x, "id long, v array<double>")
+    most = spark.createDataFrame([(t, 1 + t * 3) for t in range(25)], "target long, k long")
+    met, against = [], candidates._against_pool
+    monkeypatch.setattr(candidates, "_against_pool", lambda wanted, pool, *p: (met.append(wanted.count() * pool.count()), against(wanted, pool, *p))[1])
+    got = candidates.similarities(df(targets), df(pool), most, most_bytes=0).collect()
+    assert sum(met) <= 25 * 900 // 3
+    for t, v in targets:
+        rows = sorted((-r.score, r.entity) for r in got if r.target == t)
+        assert len(set(rows)) == len(rows)
+        assert rows[: 1 + t * 3] == sorted((-round(float(np.dot(v, w)), 9), e) for e, w in pool)[: 1 + t * 3]
