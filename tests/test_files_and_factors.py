@@ -227,3 +227,29 @@ def test_search_of_a_pool_of_copies(spark, monkeypatch):
         rows = sorted((-r.score, r.entity) for r in got if r.target == t)
         assert len(set(rows)) == len(rows)
         assert rows[: 1 + t * 3] == sorted((-round(float(np.dot(v, w)), 9), e) for e, w in pool)[: 1 + t * 3]
+
+
+def test_training_carries_drawn_nodes_only(spark, monkeypatch):
+    """Steps store the nodes that triples have, not all; others keep their first vectors."""
+    sizes, keep = [], factors.stored
+
+    def counted(df):
+        out = keep(df)
+        if out.columns == ["key", "v", "m", "s", "moves"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(factors, "stored", counted)
+    pairs = spark.range(3_000).selectExpr("id as user_id", "(id * 7) % 500 as item_id")
+    got = factors.trained(pairs, spark.range(500).withColumnRenamed("id", "item_id"), dim=2, epochs=1, per_epoch=20, steps=2)
+    assert got.count() == got.select("side", "id").distinct().count() == 3_500 and max(sizes[1:]) <= 60
+
+
+def test_triples_order_drawn_users_only(spark, monkeypatch):
+    """Twenty triples put twenty users' pairs in order, not all users'."""
+    sizes, number = [], complement.numbered
+    monkeypatch.setattr(complement, "numbered", lambda df, *o, **k: (sizes.append((k["name"], df.count())), number(df, *o, **k))[1])
+    pairs = spark.range(9_000).selectExpr("id % 900 as user_id", "(id div 900) as item_id")
+    got = complement.negative_triples(pairs, spark.range(50).withColumnRenamed("id", "item_id"), 20, 5).collect()
+    assert len(got) == 20 and all(r.positive < 10 <= r.negative for r in got)
+    assert max(n for name, n in sizes if name == "g") <= 200
