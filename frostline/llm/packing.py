@@ -3,8 +3,8 @@
 The histogram of piece lengths has at most ``capacity`` entries, whatever the corpus.  A covering
 linear program over configurations (multisets of lengths that fit one sequence) is solved on it by
 multiplicative weights: lengths that lag behind gain weight, and a knapsack dynamic program prices
-the best configuration for those weights.  The solution is rounded down to whole sequences and what
-is left of the histogram is packed best-fit, longest first, length class by length class.  Pieces then
+each length's best configuration for those weights.  The solution has whole sequences, and what it
+leaves of the histogram is packed best-fit, longest first, length class by length class.  Pieces then
 find their sequence from their rank within their length, by Spark.
 """
 
@@ -51,54 +51,75 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECE)
 
 
-def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how often each size is used in the most valuable sequence."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def fills(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming, for every room up to ``capacity``: the size to take last, and the most room (-1: none) where one is taken."""
+    best, pick, at = np.zeros(capacity + 1), np.full(capacity + 1, -1), np.full(capacity + 1, -1)
     for c in range(int(sizes[0]), capacity + 1):
         n = np.searchsorted(sizes, c, "right")
         gain = value[:n] + best[c - sizes[:n]]
         k = int(gain.argmax())
         if gain[k] > best[c - 1]:
-            best[c], pick[c] = gain[k], k
-        else:
-            best[c], pick[c] = best[c - 1], -2
-    used, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0 and pick[c] != -1:
-        if pick[c] == -2:
-            c -= 1
+            best[c], pick[c], at[c] = gain[k], k, c
         else:
-            used[pick[c]] += 1
-            c -= sizes[pick[c]]
+            best[c], at[c] = best[c - 1], at[c - 1]
+    return pick, at
+
+
+def filled(sizes: list[int], pick: list[int], at: list[int], room: int) -> dict[int, int]:
+    """How often each size is used in the most valuable filling of a room."""
+    used: dict[int, int] = {}
+    while room > 0 and at[room] > 0:
+        k = pick[at[room]]
+        used[k] = used.get(k, 0) + 1
+        room = at[room] - sizes[k]
+    return used
+
+
+def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is used in the most valuable sequence."""
+    pick, at = fills(sizes, value, capacity)
+    used = np.zeros(len(sizes), np.int64)
+    for k, n in filled(sizes.tolist(), pick.tolist(), at.tolist(), capacity).items():
+        used[k] = n
     return used
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 240, step: float = 0.02, bias: float = 0.3) -> list[tuple[np.ndarray, float]]:
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 240, step: float = 0.02, bias: float = 0.3) -> list[tuple[dict[int, int], int]]:
     """Multiplicative weights for: cover every length's demand with as few configurations as can be.
 
-    A round prices one configuration and uses it until the scarcest of its lengths is ``step`` further
-    covered; covered lengths lose weight exponentially.  Returned amounts never exceed a demand.
+    A round prices fillings of all rooms at once, and every length that still has pieces, the longest first, uses its best
+    configuration for ``step`` of its demand, one sequence at least; covered lengths lose weight exponentially.  A
+    configuration that pieces left can't make, or that leaves room, waits for another round's weights.  Amounts are
+    whole sequences and never exceed a demand.
     """
     eta = np.log(len(sizes) + 1.0) / (4 * step)
-    covered, found = np.zeros(len(sizes)), []
+    left, plain = demand.astype(np.int64).tolist(), sizes.tolist()
+    share = np.maximum(1, (step * demand).astype(np.int64)).tolist()
+    found: dict[tuple, int] = {}
     for _ in range(rounds):
         # A length's worth: its share of a sequence, more where its demand lags behind.  Long pieces
         # start dearer by ``bias``, as few configurations can take them, and short ones fill what is left.
-        weight = sizes * (1 + bias * sizes / capacity) * np.exp(-eta * step * (covered - covered.min()))
-        weight[covered >= 1] = 0
-        if not weight.any():
+        open_ = np.array(left)
+        if not open_.any():
             break
-        used = np.minimum(price(sizes, weight, capacity), demand)
-        on = used > 0
-        left = ((1 - covered[on]) * demand[on] / used[on]).min()
-        scarcest = (demand[on] / used[on]).min()
-        # Whole sequences where the scarcest length has pieces for a few, else a fraction of one.
-        amount = min(left, max(step * scarcest, 1.0 if scarcest >= 3 else 0.0))
-        if left < 1 <= scarcest:
-            covered[on] = np.where((1 - covered[on]) * demand[on] < used[on], 1, covered[on])
-            continue
-        found.append((used, amount))
-        covered[on] += used[on] * amount / demand[on]
-    return found
+        covered = 1 - open_ / demand
+        weight = sizes * (1 + bias * sizes / capacity) * np.exp(-eta * step * (covered - covered.min()))
+        weight[open_ == 0] = 0
+        pick, at = (x.tolist() for x in fills(sizes, weight, capacity))
+        for k in range(len(plain) - 1, -1, -1):
+            if not left[k]:
+                continue
+            used = filled(plain, pick, at, capacity - plain[k])
+            used[k] = used.get(k, 0) + 1
+            if sum(plain[j] * n for j, n in used.items()) < capacity:
+                continue
+            amount = min(max(1, share[k] // used[k]), *(left[j] // n for j, n in used.items()))
+            if amount:
+                config = tuple(sorted(used.items()))
+                found[config] = found.get(config, 0) + amount
+                for j, n in used.items():
+                    left[j] -= n * amount
+    return [(dict(config), amount) for config, amount in found.items()]
 
 
 def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -136,17 +157,15 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     if histogram:
         sizes = np.array(sorted(histogram))
         demand = np.array([histogram[s] for s in sizes.tolist()])
-        left = demand.copy()
-        amounts: dict[bytes, float] = {}
-        for used, amount in solve(sizes, demand, capacity):
-            amounts[used.tobytes()] = amounts.get(used.tobytes(), 0.0) + amount
-        for raw, amount in amounts.items():
-            used, n = np.frombuffer(raw, np.int64), int(amount + 1e-9)
-            n = min([n, *(left[used > 0] // used[used > 0]).tolist()])
-            if n:
-                left -= n * used
-                configs.append((tuple((int(sizes[k]), int(used[k])) for k in np.flatnonzero(used)[::-1]), n))
-        configs += best_fit(sizes[left > 0], left[left > 0], capacity)
+        left, made = demand.copy(), []
+        for used, n in solve(sizes, demand, capacity):
+            for k, each in used.items():
+                left[k] -= n * each
+            made.append((tuple((int(sizes[k]), each) for k, each in sorted(used.items(), reverse=True)), n))
+        made += best_fit(sizes[left > 0], left[left > 0], capacity)
+        # Where most pieces are long, a program that leaves no room may need more sequences than best fit alone.
+        alone = best_fit(sizes, demand, capacity)
+        configs += min(made, alone, key=lambda found: sum(n for _, n in found))
     rank: dict[int, int] = {}
     rows, first = [], 0
     for config, n in configs:
