@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frostline.operators import scoring
+from frostline.operators import candidates, scoring
 from frostline.sources.storage import new_path
 
 def prompt():
@@ -95,3 +95,20 @@ def test_modes_and_hard_numbers(spark):
         scoring.probabilities(Odd(), "other", p)
     none = scoring.scored(spark.createDataFrame([(None, uuid.uuid4().hex), (None, "x")], "k long, text string"), F.lit(None).cast("string"), scoring.HashScorer(), mode="generate")
     assert none.count() == 2 and scoring.scored(none.limit(0).drop("prompt", "predict", "generation"), prompt(), scoring.HashScorer()).count() == 0
+
+
+def test_score_rows_by_ranges_of_ids(spark):
+    """Rows of a score matrix: sums in the order of components, columns by position, tasks by ranges of ids; no columns, no rows."""
+    rng = np.random.default_rng(3)
+    u, c = rng.normal(size=(700, 5)), rng.normal(size=(300, 5))
+    users = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(u)], "id long, v array<double>")
+    columns = spark.createDataFrame([(int(k), c[k].tolist()) for k in rng.permutation(len(c))], "pos long, v array<double>")
+    found = candidates.score_rows(users.orderBy(F.rand(1)), columns, cells=30_000).withColumn("part", F.spark_partition_id())
+    rows = found.collect()
+    assert [r.id for r in rows] == [3 * i for i in range(700)] and len({r.part for r in rows}) >= 7
+    for r in rows:
+        want = np.zeros(len(c))
+        for k in range(5):
+            want = want + u[r.id // 3, k] * c[:, k]
+        assert r.v == want.tolist()
+    assert candidates.score_rows(users, columns.limit(0)).count() == 0
