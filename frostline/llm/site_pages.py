@@ -5,9 +5,9 @@ parent's style, and a style is the sequence of tags and classes of an element's
 pages have and that always looks and reads alike is unimportant; one whose styles or contents are spread
 evenly is important.  Both are entropies to the base of the number of pages that have the node.
 
-Branches that the markup itself names (a menu, an advert, the article) are settled by their names; the
-tree decides on what is unnamed: entropies alone fail where a host has few pages, or where its pages repeat
-one article.  See ``main_text`` for the rules.
+The tree has every branch of every page and judges all of their texts.  A check by names follows: what the
+markup itself calls a menu, an advert or the article goes or stays by that name, as entropies fail where a
+host has few pages, or where its pages repeat one article.  See ``main_text`` for the rules.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
-import uuid
 from collections import Counter
 from urllib.parse import urlsplit
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm.common import materialize, table
+from frostline.llm.common import discard, materialize, new_folder, table
 from frostline.llm.encoding import slices
 
 # Element names of the HTML standard.
@@ -57,6 +56,9 @@ BOILERPLATE = frozenset(
 )
 _NEGATIONS = ("has-", "no-", "with-", "without-")
 
+#: Fixed value: by their own low bits a node's counts are dealt over so many tasks, so no site's root or menu is one task's work.
+PARTS = 4
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+)>""")
 _ATTR = re.compile(r"""(class|id|role|itemprop|style|href|src|hidden|aria-hidden)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?(?=[\s/>]|$)""", re.I)
 _SEGMENT = re.compile(r"[.!?;:|·•©]+\s+|\n")
@@ -199,8 +201,10 @@ class Page:
             opened[tag] += 1
 
     def _name(self, tag: str, attrs: dict[str, str]) -> int:
-        """2: never text, whatever is in it; -1: boilerplate unless it holds the article; 1: the article; 3: a page's header."""
-        if tag in UNSEEN or (self.by_name and tag in NEVER):
+        """4: never text; 2: boilerplate, whatever is in it; -1: boilerplate unless it holds the article; 1: the article; 3: a page's header."""
+        if tag in UNSEEN:
+            return 4
+        if self.by_name and tag in NEVER:
             return 2
         if tag in ("html", "body") or not self.by_name:
             return 0
@@ -212,14 +216,20 @@ class Page:
         return 1 if named or tag in ("article", "main") else 0
 
     def _settle(self) -> None:
-        """``states`` by node: -1 boilerplate, 1 article, 0 left to the tree; a page's unnamed rest beside a named article, but its first-level headings, is boilerplate."""
+        """``states`` by node: -1 boilerplate, 1 article, 0 left to the tree; a page's unnamed rest beside a named article, but its first-level headings, is boilerplate.
+
+        ``seen``: nodes that the tree has, which are all but elements that are never text and what is in them.
+        """
         parents, names = self.parents, self.names
+        self.seen = seen = [True] * len(names)
+        for i in range(1, len(names)):
+            seen[i] = names[i] != 4 and seen[parents[i]]
         holds = [False] * len(names)
         for i, n in enumerate(names):
             if n == 1:
                 above = parents[i]
                 path = []
-                while above >= 0 and names[above] != 2:
+                while above >= 0 and names[above] not in (2, 4):
                     path.append(above)
                     above = parents[above]
                 if above < 0:
@@ -228,7 +238,7 @@ class Page:
         self.states = states = [0] * len(names)
         for i in range(1, len(names)):
             n, up = names[i], states[parents[i]]
-            if up < 0 or n == 2 or (n == -1 and not holds[i]) or (n == 3 and up == 0 and not holds[i]):
+            if up < 0 or n in (2, 4) or (n == -1 and not holds[i]) or (n == 3 and up == 0 and not holds[i]):
                 states[i] = -1
             elif up == 1 or n == 1:
                 states[i] = 1
@@ -236,28 +246,28 @@ class Page:
             self.rest = [s == 0 and t != "h1" for s, t in zip(states, self.tags)]
         else:
             self.rest = [False] * len(states)
-        #: Nodes whose text the tree has to judge.
+        #: Nodes whose text no name settles.
         self.open = sorted({n for _, n, t in self.texts if states[n] == 0 and not self.rest[n] and not t.isspace()})
 
     def tree(self, host: str) -> None:
-        """``ids`` of the unnamed nodes in the host's tree and of their ``styles``, both 64-bit hashes down from the host."""
+        """``ids`` of the nodes in the host's tree and of their ``styles``, both 64-bit hashes down from the host."""
         children: list[list[int]] = [[] for _ in self.tags]
         for i in range(1, len(self.tags)):
             children[self.parents[i]].append(i)
         self.children, self.ids, self.styles = children, [0] * len(self.tags), [0] * len(self.tags)
         place, hashed = [0] * len(self.tags), xxhash.xxh3_64_intdigest
         for i in range(len(self.tags)):
-            if self.states[i] == 0:
+            if self.seen[i]:
                 self.ids[i] = _signed(hashed(f"{host}\0" if i == 0 else str(place[i]), seed=self.styles[self.parents[i]] % 2**64 if i else 0))
                 self.styles[i] = _signed(hashed("\0".join([self.looks[c] for c in children[i]]), seed=self.ids[i] % 2**64))
                 for k, c in enumerate(children[i]):
                     place[c] = k
 
     def features(self) -> dict[int, set[int]]:
-        """By unnamed node the hashes of what it says: its text's sentences and its links' targets."""
+        """By node of the tree the hashes of what it says: its text's sentences and its links' targets."""
         said: dict[int, list[str]] = {}
         for _, node, t in self.texts:
-            if self.states[node] == 0:
+            if self.seen[node]:
                 said.setdefault(node, []).append(t)
         out: dict[int, set[int]] = {}
         for node, parts in said.items():
@@ -265,15 +275,19 @@ class Page:
                 if s := " ".join(s.split()):
                     out.setdefault(node, set()).add(_signed(xxhash.xxh3_64_intdigest(s)))
         for node, target in self.links:
-            if self.states[node] == 0:
+            if self.seen[node]:
                 out.setdefault(node, set()).add(_signed(xxhash.xxh3_64_intdigest(f"\0{target}")))
         return out
 
-    def text(self, judged: dict[int, bool]) -> str:
-        """Blocks of the article's text and of what ``judged`` keeps, in page order."""
+    def text(self, judged: dict[int, bool], checked: bool = True) -> str:
+        """Blocks of what ``judged`` keeps, in page order, checked by names: the named article stays, named boilerplate goes."""
+        if checked:
+            keep = [s == 1 or (s == 0 and not rest and judged.get(n, False)) for n, (s, rest) in enumerate(zip(self.states, self.rest))]
+        else:
+            keep = [judged.get(n, False) for n in range(len(self.tags))]
         blocks = []
         for _, run in itertools.groupby(self.texts, key=lambda x: x[0]):
-            kept = [t for _, n, t in run if self.states[n] == 1 or (self.states[n] == 0 and judged.get(n, False))]
+            kept = [t for _, n, t in run if keep[n]]
             if kept and (b := " ".join(entities.unescape("".join(kept)).split())):
                 blocks.append(b)
         return "\n".join(blocks)
@@ -291,21 +305,18 @@ def host_of(url: str | None) -> str | None:
 
 
 def judge(page: Page, importance: dict[int, tuple[float, float, int]], least: float, damping: float) -> dict[int, bool]:
-    """By node whether its own text stays.
+    """By node of the tree whether its own text stays, named or not.
 
     ``importance`` has (presentation, content, styles) by tree node; what it lacks is fully important.  A
     branch's importance is its node's presentation importance, of weight 1 - damping^styles, and the mean of
     its parts' importance below it.  A branch goes if it and all its parts lie below ``least``; elsewhere a
     text goes if its own content does.
     """
-    own = {n for _, n, t in page.texts if page.states[n] == 0 and not t.isspace()}
+    own = {n for _, n, t in page.texts if page.seen[n] and not t.isspace()}
     score, noisy = [0.0] * len(page.tags), [True] * len(page.tags)
     told = [False] * len(page.tags)  # whether a branch has any text
     for i in range(len(page.tags) - 1, -1, -1):
-        if page.states[i] < 0:
-            continue
-        if page.states[i] > 0:
-            score[i], noisy[i], told[i] = 1.0, False, True
+        if not page.seen[i]:
             continue
         look, content, styles = importance.get(page.ids[i], (1.0, 1.0, 1))
         below = [c for c in page.children[i] if told[c]]
@@ -320,65 +331,55 @@ def judge(page: Page, importance: dict[int, tuple[float, float, int]], least: fl
     gone = [False] * len(page.tags)
     out = {}
     for i in range(len(page.tags)):
-        if page.states[i] == 0:
+        if page.seen[i]:
             gone[i] = noisy[i] or (i > 0 and gone[page.parents[i]])
-            out[i] = not gone[i] and not page.rest[i] and importance.get(page.ids[i], (1.0, 1.0, 1))[1] >= least
+            out[i] = not gone[i] and importance.get(page.ids[i], (1.0, 1.0, 1))[1] >= least
     return out
 
 
-def _parsed(pages: DataFrame, chars: int, by_name: bool) -> DataFrame:
-    """Stored rows of two kinds by unit (what one task reads up to ``chars`` characters): pages, with their
-    html where the tree has to judge, and the unit's counts of styles and features by node."""
-    none = lambda c: F.expr(f"nullif({c}, {c})").alias(c)
-    long = [F.lit(None).cast("long").alias(c) for c in ("node", "value", "n")]
-    schema = pages.select(F.lit("").alias("unit"), none("page_id"), none("url"), F.lit(None).cast("string").alias("text"), none("html"), F.lit(None).cast("boolean").alias("look"), *long).schema
-    names = schema.names
+def _counted(pages: DataFrame, chars: int, by_name: bool) -> DataFrame:
+    """Stored rows (unit, node, look, part, values, counts): what the unit's pages have of a node's styles (``look``) or features, by ``part``."""
+    names = ["unit", "node", "look", "part", "values", "counts"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
-    def parse(batches):
-        ids, urls = None, None
-        unit, read, counts = uuid.uuid4().hex, 0, Counter()
-
-        def tree():
-            rows = list(counts.items())
-            for i in range(0, len(rows), 10_000):
-                part = rows[i : i + 10_000]
-                m = len(part)
-                cols = [pa.array([k[0] for k, _ in part], pa.bool_()), *(pa.array([k[j] for k, _ in part], pa.int64()) for j in (1, 2)), pa.array([c for _, c in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([unit] * m), pa.nulls(m, ids.type), pa.nulls(m, urls.type), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), *cols], names)
+    def packed(unit: int | None, counts: dict):
+        rows = []
+        for (node, look), of in counts.items():
+            parts: dict[int, list] = {}
+            for value in of:
+                parts.setdefault(value % PARTS, []).append(value)
+            rows += [(unit, node, look, k, values, [of[v] for v in values]) for k, values in parts.items()]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000]), types)], names)
 
+    def count(batches):
+        unit, read, counts = None, 0, {}
         for batch in batches:
-            ids, urls, htmls = batch.column("page_id"), batch.column("url"), batch.column("html").to_pylist()
-            hosts = [host_of(u) for u in urls.to_pylist()]
-            for a, b in slices(htmls, min(chars, 4_000_000)):
-                texts, rest = [], []
-                for source, host in zip(htmls[a:b], hosts[a:b]):
+            for name, url, source in zip(*(batch.column(c).to_pylist() for c in ("unit", "url", "html"))):
+                if name != unit or read >= chars:
+                    yield from packed(unit, counts)
+                    unit, read, counts = name, 0, {}
+                read += len(source or "")
+                if host := host_of(url):
                     page = Page(source or "", by_name)
-                    if host:
-                        page.tree(host)
-                        counts.update((True, page.ids[i], page.styles[i]) for i, s in enumerate(page.states) if s == 0)
-                        counts.update((False, page.ids[i], f) for i, fs in page.features().items() for f in fs)
-                    later = bool(page.open) and host is not None
-                    texts.append(None if later else page.text(dict.fromkeys(page.open, True)))
-                    rest.append(source if later else None)
-                    read += len(source or "")
-                m = b - a
-                yield pa.RecordBatch.from_arrays([pa.array([unit] * m), ids[a:b], urls[a:b], pa.array(texts, pa.string()), pa.array(rest, pa.string()), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 3], names)
-                if read >= chars:
-                    yield from tree()
-                    unit, read, counts = uuid.uuid4().hex, 0, Counter()
-        if ids is not None:
-            yield from tree()
-
-    return materialize(pages.select("page_id", "url", "html").mapInArrow(parse, schema), "parsed")
+                    page.tree(host)
+                    for i, on in enumerate(page.seen):
+                        if on:
+                            counts.setdefault((page.ids[i], True), Counter())[page.styles[i]] += 1
+                    for i, said in page.features().items():
+                        counts.setdefault((page.ids[i], False), Counter()).update(said)
+        yield from packed(unit, counts)
+
+    return materialize(pages.mapInArrow(count, "unit long, node long, look boolean, part int, values array<long>, counts array<int>"), "counted")
 
 
 def style_tree(counted: DataFrame) -> DataFrame:
-    """node, look, content, styles of the nodes that two pages or more have, of rows (node, look, value, n).
+    """node, look, content, styles of the nodes that two pages or more have, of rows (node, look, value, n); ``part`` may follow, which the value fixes.
 
     ``look`` is the entropy of the node's styles to the base of its pages, ``content`` one less the mean entropy of
     what is said there; n pages with a feature make its entropy log n.
     """
-    summed = counted.groupBy("node", "look", "value").agg(F.sum("n").alias("n"))
+    summed = counted.groupBy("node", *[c for c in ("part",) if c in counted.columns], "look", "value").agg(F.sum("n").alias("n"))
     when = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
     by_node = summed.groupBy("node").agg(
         F.sum(F.when(F.col("look"), F.col("n")).otherwise(0)).alias("pages"), F.count_if("look").alias("styles"), when(F.col("look"), F.col("n") * F.log("n")).alias("looks"),
@@ -389,54 +390,82 @@ def style_tree(counted: DataFrame) -> DataFrame:
     return by_node.where("pages > 1").select("node", F.round(1 - F.col("looks") / (F.col("pages") * base), 9).alias("look"), F.round(content, 9).alias("content"), "styles")
 
 
-def main_text(pages: DataFrame, least: float = 0.3, damping: float = 0.9, chars: int = 4_000_000, by_name: bool = True) -> DataFrame:
+def _importance(folder: str, unit: int) -> dict[int, tuple[float, float, int]]:
+    """(presentation, content, styles) by node of a unit's pages, of the nodes that other pages have too."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    there, path = fs.FileSystem.from_uri(folder)
+    if there.get_file_info(path).type != fs.FileType.Directory:
+        raise RuntimeError(f"the site style tree is gone: {folder}")
+    known = {}
+    for f in there.get_file_info(fs.FileSelector(f"{path}/unit={unit}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with there.open_input_file(f.path) as source:
+                t = pq.read_table(source)
+            known.update(zip(t.column("node").to_pylist(), zip(*(t.column(c).to_pylist() for c in ("look", "content", "styles")))))
+    return known
+
+
+def _give_back(counted: DataFrame, units: int) -> str:
+    """The folder where each unit has its own nodes' importance, each once."""
+    dealt = counted.repartition("node", "part").select("node", "part", "look", F.explode(F.arrays_zip("values", "counts")).alias("v"))
+    tree = style_tree(dealt.select("node", "part", "look", F.col("v.values").alias("value"), F.col("v.counts").alias("n")))
+    own = counted.where("look").select("unit", "node").repartition("node").distinct()
+    folder = new_folder(counted.sparkSession, "importance")
+    own.join(tree, "node").repartition(min(units, 10_000), "unit").write.partitionBy("unit").mode("overwrite").parquet(folder)
+    return folder
+
+
+def main_text(pages: DataFrame, least: float = 0.3, damping: float = 0.9, chars: int = 4_000_000, by_name: bool = True, stored: bool = False, tree_chars: bool = False) -> DataFrame:
     """page_id, url, text, n_chars of every row of (page_id, url, html).
 
-    Elements that are never text, and branches that their tag, role, class or id calls boilerplate, go; the
+    The site style tree of a page's host judges every text of the page (``judge``).  A check by names
+    follows: elements that are never text, and branches that their tag, role, class or id calls boilerplate, go; the
     article that a page names stays whole but for such branches in it, and beside it only first-level headings
-    may stay.  Everything else is judged by the site style tree of the page's host (``judge``); without
-    ``by_name`` the tree judges all but elements that are never text.  Character
+    may stay.  On everything else the tree's word is the last; without ``by_name`` it is on
+    all but elements that are never text.  ``tree_chars`` adds a column of that name: code points of what the tree keeps before
+    the check.  Character
     references are decoded, white space inside a block becomes one space, blocks follow in page order, one a
     line.  A branch that only one page has is important, so a host's only page loses nothing by the tree; nor does
     a page that it would leave without any text (a copy of another), nor one without a host.  Null and empty html give an empty text; repeated rows are kept and
     count as pages; broken markup is read by the standard's rules for elements that aren't ended; very long pages
     are read whole; other columns are ignored, whatever their names; an empty table gives an empty result.
+    ``stored``: the table is read from Parquet files; else it is written first.  Pages are read twice, in units
+    of rows by their place in a file, however files are cut for tasks.
     """
-    parsed = _parsed(pages, chars, by_name)
-    rows = parsed.where("node is null")
-    out = rows.where("html is null").select("page_id", "url", "text")
-    if not rows.where("html is not null").isEmpty():
-        counted = parsed.where("node is not null")
-        # Each unit gets back its own nodes, each once.
-        nodes = counted.where("look").select("unit", "node").distinct().join(style_tree(counted.select("node", "look", "value", "n")), "node")
-        values = [F.lit(None).cast(t).alias(c) for c, t in (("look", "double"), ("content", "double"), ("styles", "long"))]
-        there = rows.where("html is not null").select("unit", "page_id", "url", "html", "node", *values)
-        nodes = nodes.select("unit", *[F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("page_id", "url", "html")], "node", "look", "content", "styles")
-
-        def finish(batches):
-            unit, known = None, {}
-            for batch in batches:
-                start, valid = 0, batch.column("node").is_valid().to_pylist()
-                for (name, is_node), run in itertools.groupby(zip(batch.column("unit").to_pylist(), valid)):
-                    end = start + sum(1 for _ in run)
-                    part, start = batch.slice(start, end - start), end
-                    if name != unit:  # a unit's nodes come before its pages
-                        unit, known = name, {}
-                    if is_node:
-                        known.update(zip(part.column("node").to_pylist(), zip(*(part.column(c).to_pylist() for c in ("look", "content", "styles")))))
-                        continue
-                    texts = []
-                    for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
-                        page = Page(source, by_name)
-                        page.tree(host_of(url))
-                        kept = page.text(judge(page, known, least, damping))
-                        texts.append(kept or page.text(dict.fromkeys(page.open, True)))
-                    yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-        judged = there.unionByName(nodes).repartition("unit").sortWithinPartitions("unit", F.col("node").isNull())
-        out = out.unionByName(judged.mapInArrow(finish, out.schema))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    pages = pages if stored else materialize(pages.select("page_id", "url", "html"), "pages")
+    n, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    rows = max(1, n * chars // max(size, chars))  # a unit has about so many characters
+    unit = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("unit")
+    pages = pages.select("page_id", "url", "html", unit)
+    counted = _counted(pages, chars, by_name)
+    folder = _give_back(counted, -(-n // rows) or 1)
+    discard(counted)
+    schema = pages.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("tree_chars")).schema
+
+    def finish(batches):
+        unit, known = None, {}
+        for batch in batches:
+            units, urls, htmls = (batch.column(c).to_pylist() for c in ("unit", "url", "html"))
+            for a, b in slices(htmls, min(chars, 4_000_000)):
+                texts, alone = [], []
+                for name, url, source in zip(units[a:b], urls[a:b], htmls[a:b]):
+                    page, host = Page(source or "", by_name), host_of(url)
+                    if host:
+                        if name != unit:
+                            unit, known = name, _importance(folder, name)
+                        page.tree(host)
+                        judged = judge(page, known, least, damping)
+                    else:
+                        judged = {i: True for i, on in enumerate(page.seen) if on}
+                    texts.append(page.text(judged) or page.text(dict.fromkeys(page.open, True)))
+                    alone.append(len(page.text(judged, checked=False)) if tree_chars else 0)
+                yield pa.RecordBatch.from_arrays([batch.column("page_id")[a:b], batch.column("url")[a:b], pa.array(texts, pa.string()), pa.array(alone, pa.int64())], schema.names)
+
+    out = pages.mapInArrow(finish, schema)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), *["tree_chars"] * tree_chars)
 
 
 def op11_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(table(spark, sf_dir, "pages"), stored=True, tree_chars=True)

@@ -105,3 +105,61 @@ def test_hard_rows(spark):
     want = [(1, "http://h/", "", 0), (2, None, "", 0), (None, "http://[bad", "x", 1), (3, "http://h/", said, len(said)), (4, "http://h2/", "deep", 4), (4, "http://h2/", "deep", 4), (5, "http://h3/", "<", 1)]
     assert got == sorted(want, key=str)
     assert site_pages.main_text(frame(spark, rows[:0])).count() == 0
+
+
+def named_site(k, words):
+    """A page whose markup names its menu, article and footer; all articles of the site end alike."""
+    article = "".join(f"<p>{p}</p>" for p in words)
+    return f"<html><head><title>{k}</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><div class=ad>Buy it now</div><article><h1>{words[0][:20]} {k}</h1>{article}<p>Written in the capital.</p></article><footer>All rights kept.</footer><script>1</script></body></html>"
+
+
+def test_tree_has_named_branches():
+    """All elements but those that are never text have a place in the tree, and what they say counts."""
+    page = Page(named_site(1, [text(1, 12)]))
+    page.tree("h")
+    assert {t for t, i in zip(page.tags, page.ids) if not i} == {"head"}
+    assert {page.tags[i] for i, s in enumerate(page.states) if s} == {"head", "nav", "ul", "li", "div", "article", "h1", "p", "footer"}
+    assert {page.tags[i] for i in page.features()} == {"li", "div", "h1", "p", "footer"}
+
+
+@pytest.mark.parametrize(("n", "chars"), [(1, 4_000_000), (5, 3_000)])
+def test_names_check_what_the_tree_says(spark, tmp_path, n, chars):
+    """The tree judges named branches as well, by all pages of the host; names come after it."""
+    said = {k: [text(10 * k + j, 12) for j in range(1 + k % 5)] for k in range(40)}
+    rows = [(k, f"https://named.example/{k}", named_site(k, w)) for k, w in said.items()]
+    styles, features, pages = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int)), {}
+    for k, u, h in rows:
+        page = pages[k] = Page(h)
+        page.tree(site_pages.host_of(u))
+        for i in range(len(page.tags)):
+            if page.seen[i]:
+                styles[page.ids[i]][page.styles[i]] += 1
+        for i, fs in page.features().items():
+            for f in fs:
+                features[page.ids[i]][f] += 1
+    known = {}
+    for i, vs in styles.items():
+        if (m := sum(vs.values())) > 1:
+            content = 1 - sum(math.log(c, m) for c in features[i].values()) / len(features[i]) if features[i] else 0.0
+            known[i] = (-sum(c / m * math.log(c / m, m) for c in vs.values()), content, len(vs))
+    frame(spark, rows).repartition(n).write.parquet(str(tmp_path / "pages"))
+    got = {r.page_id: r for r in site_pages.main_text(spark.read.parquet(str(tmp_path / "pages")), chars=chars, stored=True, tree_chars=True).collect()}
+    for k, w in said.items():
+        whole = "\n".join([f"{w[0][:20]} {k}".replace("  ", " "), *w])
+        assert pages[k].text(site_pages.judge(pages[k], known, 0.3, 0.9), checked=False) == whole
+        assert got[k].tree_chars == len(whole) and got[k].text == f"{whole}\nWritten in the capital."
+
+
+def test_importance_reaches_pages_however_files_are_cut(spark, unnamed, tmp_path):
+    """Units go by rows' places in files: the second reading may be cut otherwise than the first."""
+    frame(spark, unnamed * 20).coalesce(1).write.option("parquet.block.size", 20_000).option("compression", "none").parquet(str(tmp_path / "pages"))
+    want = sorted(map(tuple, site_pages.main_text(frame(spark, unnamed * 20), chars=3_000).collect()))
+    pages, before = spark.read.parquet(str(tmp_path / "pages")), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    parts = pages.rdd.getNumPartitions()
+    out = site_pages.main_text(pages, chars=3_000, stored=True)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        assert out.rdd.getNumPartitions() > parts
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
