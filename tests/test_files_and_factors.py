@@ -253,3 +253,54 @@ def test_triples_order_drawn_users_only(spark, monkeypatch):
     got = complement.negative_triples(pairs, spark.range(50).withColumnRenamed("id", "item_id"), 20, 5).collect()
     assert len(got) == 20 and all(r.positive < 10 <= r.negative for r in got)
     assert max(n for name, n in sizes if name == "g") <= 200
+
+
+@pytest.mark.parametrize("layers", [0, 1])
+def test_training_takes_every_pair(spark, monkeypatch, layers):
+    """More pairs than any fixed number of draws a step: each is a positive once an epoch, its negatives are unmet; rows of the loss's gradient by a single process."""
+    met = [(u, i) for u in range(40) for i in range(25) if (u * 7 + i * 3) % 4 == 0] + [(99, i) for i in range(25)]
+    seen, make = [], factors.pair_triples
+
+    def counted(*p):
+        for drawn in make(*p):
+            seen.append([(r.user_id, r.positive, r.negative) for r in drawn.collect()])
+            yield drawn
+
+    monkeypatch.setattr(factors, "pair_triples", counted)
+    pairs, items = spark.createDataFrame(met + met[:5], "user_id long, item_id long"), spark.range(25).withColumnRenamed("id", "item_id")
+    first = {(r["side"], r["id"]): np.array(r["v"]) for r in factors.trained(pairs, items, dim=3, epochs=0, layers=0).collect()}
+    got = {(r["side"], r["id"]): np.array(r["v"]) for r in factors.trained(pairs, items, dim=3, epochs=2, layers=layers, steps=1).collect()}
+    open_ = [p for p in met if p[0] != 99]  # who has met everything has no triple
+    assert len(seen) == 2 and seen[0] != seen[1]
+    for triples in seen:
+        assert sorted(t[:2] for t in triples) == sorted(open_) and not {(u, n) for u, _, n in triples} & set(met)
+    if not layers:
+        v, m, s = first, {n: 0.0 for n in first}, {n: 0.0 for n in first}
+        for t, triples in enumerate(seen, 1):
+            g = {}
+            for u, p, n in triples:
+                a, b, c = v["u", u], v["i", p], v["i", n]
+                w = -1 / (1 + np.exp((b - c) @ a))
+                for k, d in ((("u", u), w * (b - c) + 1e-4 * a), (("i", p), w * a + 1e-4 * b), (("i", n), -w * a + 1e-4 * c)):
+                    g[k] = g.get(k, 0) + d / len(triples)
+            m |= {k: 0.9 * m[k] + 0.1 * x for k, x in g.items()}
+            s |= {k: 0.999 * s[k] + 0.001 * x * x for k, x in g.items()}
+            v = v | {k: v[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8) for k in g}
+        assert all(np.allclose(got[n], v[n], atol=1e-9) for n in first) and got.keys() == first.keys()
+
+
+def test_scores_are_learned_from_all_pairs(spark, monkeypatch):
+    """Both queries' training has as many triples an epoch as there are pairs of users who have unmet items."""
+    sizes, make = [], factors.pair_triples
+
+    def counted(pairs, *p):
+        for drawn in make(pairs, *p):
+            sizes.append((drawn.count(), pairs.count()))
+            yield drawn
+
+    monkeypatch.setattr(factors, "pair_triples", counted)
+    from frostline import plans
+
+    for name in ("mf_scores", "graph_scores"):
+        assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert len(sizes) == 3 and all(n == of > 0 for n, of in sizes)
