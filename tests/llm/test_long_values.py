@@ -52,3 +52,13 @@ def test_pieces_are_one_to_one(monkeypatch):
     assert sorted(new.values()) == sorted(new)
     # The first character hangs on the last one.
     assert sum(new[f"{x:02d}0"][0] != new[f"{x:02d}1"][0] for x in range(100)) > 60
+
+
+def test_the_stage_ends_on_long_values(spark, seconds, tmp_path):
+    """The pipeline's stage, with repeated rows and a value of 5,000 letters; n_chars is that of the new text."""
+    import corpus_pipeline
+
+    texts = [(k % 3, f"key {'ab' * 12}@mail5.example.com and api_key: {'xY3' * (1_700 if k == 4 else 14)}") for k in range(5)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.pii_stage(spark, docs, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r.n_chars == len(r.text) and "abab" not in r.text and "xY3xY3" not in r.text for r in got)
