@@ -157,3 +157,24 @@ def test_nested_text_parses_a_level_once(spark):
     """Four parses a level (an object's texts and kinds, a list's), of which each has two kinds of parts: 60 for four levels."""
     frame = spark.createDataFrame([("{}",)], "x string").select(text.nested_text(F.col("x")).alias("t"))
     assert frame._jdf.queryExecution().analyzed().toString().count("from_json") <= 60
+
+
+def test_a_matrix_of_so_many_digits_takes_four_bytes_a_cell(spark, tmp_path):
+    x, frame = matrix(spark, 100)
+    path, plain = str(tmp_path / "d"), str(tmp_path / "p")
+    matrix_sink.write_matrix(frame, plain)
+    matrix_sink.write_matrix(frame, path, digits=6)
+    size = lambda p: sum(os.path.getsize(f"{p}/{f}") - 128 for f in files(p) if not f.endswith(".ids.npy"))
+    assert size(path) * 2 == size(plain) == x.size * 8
+    want = {r.id: r.v for r in frame.select("id", F.transform("v", lambda a: F.round(a, 6)).alias("v")).collect()}
+    assert {r.id: r.v for r in matrix_sink.read_matrix_blocks(spark, path).collect()} == want
+
+
+def test_digits_round_as_spark_does_and_spare_what_four_bytes_do_not_hold(spark, tmp_path):
+    halves = spark.createDataFrame([(1, [0.0000005, -0.0000015, 1.0000025, -7.5e-7, 0.1234565, 2147.4836464])], "id long, v array<double>")
+    large = spark.createDataFrame([(2, [2147.4836475, 1e12, float("nan"), 0.25, -1e300, 3.0])], "id long, v array<double>")
+    for name, frame in (("halves", halves), ("large", large), ("both", halves.union(large).coalesce(1))):
+        path = str(tmp_path / name)
+        matrix_sink.write_matrix(frame, path, digits=6)
+        rounded = lambda df: {r.id: str(r.v) for r in df.select("id", F.transform("v", lambda a: F.round(a, 6)).alias("v")).collect()}
+        assert rounded(matrix_sink.read_matrix_blocks(spark, path)) == rounded(frame)
