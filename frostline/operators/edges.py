@@ -216,32 +216,43 @@ def fused_variants(old: DataFrame, new: DataFrame, variants: dict[str, tuple], k
 
     A variant is ("mix", strict list, warm-up list, gamma) as in ``source_mix``, ("tail", core, warm-up old only, gamma)
     as in ``core_tail_lists`` of the lists' first k, or ("rrf", whole pool, warm-up old only) as in ``rrf_lists``.  Each
-    item's places in both lists are brought together once, and every variant gives it its own order and score.
+    list's items come together once, in one array with their places in both lists (twice the longest list at most); every variant
+    orders and cuts that array where it lies, so no variant's rows are sent anywhere.
     """
-    keys = ["entity_type", "user_id", "item_id"]
-    side = lambda df, x: df.select(*keys, *[(F.col(n) if a == x else F.lit(None)).cast(t).alias(f"{n}_{a}") for a in ("old", "new") for n, t in (("rank", "int"), ("score", "double"))])
-    both = side(old, "old").union(side(new, "new")).groupBy(*keys).agg(*[F.max(f"{n}_{a}").alias(f"{n}_{a}") for a in ("old", "new") for n in ("rank", "score")])
+    by = ["entity_type", "user_id"]
+    keys = [*by, "item_id"]
     limit, none, warmup = budget(k, 20), F.lit(None).cast("double"), F.col("entity_type") == "warmup"
-    ro, rn = F.col("rank_old").cast("double"), F.col("rank_new").cast("double")
+    side = lambda df, x: df.where(F.col("rank") <= F.greatest(limit, F.lit(pool))).select(*keys, *[(F.col(n) if a == x else F.lit(None)).cast(t).alias(f"{n}_{a}") for a in ("old", "new") for n, t in (("rank", "int"), ("score", "double"))])
+    places = [f"{n}_{a}" for a in ("old", "new") for n in ("rank", "score")]
+    both = side(old, "old").union(side(new, "new")).repartition(*by).groupBy(*keys).agg(*[F.max(c).alias(c) for c in places])
+    lists = both.groupBy(*by).agg(F.collect_list(F.struct("item_id", *places)).alias("x"))
 
-    def shaped(name: str, how: str, *args) -> Column:
+    def placed(e: Column, how: str, *args) -> Column:
+        ro, rn = e["rank_old"].cast("double"), e["rank_new"].cast("double")
         if how == "mix":
-            pick = lambda of: F.when(warmup, F.col(f"{of}_{args[1]}")).otherwise(F.when(F.col("entity_type") == "strict_cold", F.col(f"{of}_{args[0]}")))
-            first, second, score, gamma = F.when(pick("rank") <= limit, pick("rank").cast("double")), F.lit(0.0), pick("score"), args[2]
+            pick = lambda of: F.when(warmup, e[f"{of}_{args[1]}"]).otherwise(F.when(F.col("entity_type") == "strict_cold", e[f"{of}_{args[0]}"]))
+            first, second, score = F.when(pick("rank") <= limit, pick("rank").cast("double")), F.lit(0.0), pick("score")
         elif how == "tail":
             fresh = (rn <= limit) & ~(warmup & F.lit(args[1]))
             core = ro <= budget(args[0], 0)
             first = F.when(core & (ro <= limit), 0.0).when(fresh, 1.0).when(ro <= limit, 2.0)
-            second, score, gamma = F.when(first == 1.0, rn).otherwise(ro), none, args[2]
+            second, score = F.when(first == 1.0, rn).otherwise(ro), none
         else:
             upto = F.lit(pool) if args[0] else limit
             one, two = F.when(ro <= upto, 1 / (c + ro)), F.when((rn <= upto) & ~(warmup & F.lit(args[1])), 1 / (c + rn))
             score = F.when(one.isNotNull() | two.isNotNull(), F.round(F.coalesce(one, F.lit(0.0)) + F.coalesce(two, F.lit(0.0)), 9))
-            first, second, gamma = -score, F.lit(0.0), 1.0
-        return F.struct(F.lit(name).alias("variant"), first.alias("first"), second.alias("second"), score.alias("score"), F.lit(float(gamma)).alias("gamma"))
-
-    each = both.select(*keys, F.explode(F.array(*[shaped(n, *v) for n, v in variants.items()])).alias("v")).select(*keys, "v.*").where("first is not null")
-    w = Window.partitionBy("variant", "entity_type", "user_id")
-    kept = each.withColumn("rank", F.row_number().over(w.orderBy("first", "second", "item_id"))).where(F.col("rank") <= limit)
-    scaled = F.when(F.col("score").isNull(), rank_linear(F.col("rank"), F.count("*").over(w))).otherwise(group_minmax(F.col("score"), w, 1.0))
-    return kept.select("variant", "user_id", "item_id", "entity_type", "rank", F.pow(scaled, F.col("gamma")).alias("probability"))
+            first, second = -score, F.lit(0.0)
+        return F.struct(first.alias("first"), second.alias("second"), e["item_id"].alias("item_id"), score.alias("score"))
+
+    def shaped(name: str, how: str, *args) -> Column:
+        rows = F.filter(F.transform("x", lambda e: placed(e, how, *args)), lambda e: e["first"].isNotNull())
+        gamma = 1.0 if how == "rrf" else float(args[2])
+        return F.struct(F.lit(name).alias("variant"), F.slice(F.sort_array(rows), F.lit(1), limit).alias("kept"), F.lit(gamma).alias("gamma"))
+
+    each = lists.select(*by, F.explode(F.array(*[shaped(n, *v) for n, v in variants.items()])).alias("v")).select(*by, "v.*")
+    scores = F.transform("kept", lambda e: e["score"])
+    sized = each.withColumn("n", F.size("kept")).withColumn("low", F.array_min(scores)).withColumn("high", F.array_max(scores))
+    kept = sized.select("variant", *by, "gamma", "n", "low", "high", F.posexplode("kept").alias("at", "e")).withColumn("rank", F.col("at") + 1)
+    flat = F.when(F.col("high") > F.col("low"), (F.col("e.score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0)
+    scaled = F.when(F.col("e.score").isNull(), rank_linear(F.col("rank"), F.col("n"))).otherwise(flat)
+    return kept.select("variant", "user_id", "e.item_id", "entity_type", "rank", F.pow(scaled, F.col("gamma")).alias("probability"))
