@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostline.operators.ids import hash_order, numbered
+from frostline.operators.ids import HashOrder, hash_order
 from frostline.sources.storage import stored
 
 KEYS = ["user_id", "item_id", "entity_type"]
@@ -23,20 +23,27 @@ MODES = ("logreg", "rerank", "scaled")
 
 
 def training_rows(rows: DataFrame, multiplier: int = 30, least: int = 50_000, seed: int | str = 42) -> DataFrame:
-    """``rows`` (entity_type, label 0 or 1, ...) that a fit learns from, with balanced ``weight``s, stored.
+    """``rows`` (entity_type, label 0 or 1, ...) that a fit learns from, with balanced ``weight``s.
 
     All positives of a type and, of its negatives, ``multiplier`` times as many but at least ``least``: those of
-    smallest hash.  A type's weights give both classes the same sum.  What a type is compared with is a row a type, which is sent
-    to the rows: types are few, and a type's rows may be half of all.
+    smallest hash.  A type's weights give both classes the same sum.  Counts by hash tell where a type's negatives are cut
+    (``HashOrder``), so no row is sent anywhere; where no type has too many, stored rows are not stored again.
     """
-    key = F.when(F.col("label") == 1, F.lit(-1)).otherwise(hash_order(F.concat_ws("-", "user_id", "item_id"), seed))
-    placed = numbered(rows.withColumn("_key", key), "entity_type", "_key", "user_id", "item_id", name="_n")
-    counts = placed.groupBy("entity_type").agg(F.min("_n").alias("_n0"), F.count_if(F.col("label") == 1).alias("_pos"))
-    most = F.greatest(F.lit(least), F.col("_pos") * multiplier)
-    kept = stored(placed.join(F.broadcast(counts), "entity_type").where(F.col("_n") - F.col("_n0") < F.col("_pos") + most).drop("_key", "_n", "_n0", "_pos"))
-    sizes = kept.groupBy("entity_type").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_m"))
-    half = (F.col("_p") + F.col("_m")) / 2
-    return stored(kept.join(F.broadcast(sizes), "entity_type").withColumn("weight", F.when(F.col("label") == 1, half / F.col("_p")).otherwise(half / F.col("_m"))).drop("_p", "_m"))
+    rows = rows if getattr(rows, "_stored_at", None) else stored(rows)
+    key, positive = hash_order(F.concat_ws("-", "user_id", "item_id"), seed), F.col("label") == 1
+    kept, weight, cut = F.lit(False), F.lit(None).cast("double"), False
+    sizes = rows.where("entity_type is not null").groupBy("entity_type").agg(F.count_if(positive).alias("p"), F.count("*").alias("n")).collect()
+    for kind, p, n in sorted(map(tuple, sizes)):
+        most, mine, of = max(least, p * multiplier), F.col("entity_type") == kind, positive
+        if n - p > most:
+            cut = True
+            (first,) = HashOrder(rows.where(mine & ~positive), key, "user_id", "item_id").first(most)
+            of = positive | first
+        m = min(n - p, most)
+        kept = kept | (mine & of if n - p > most else mine)
+        weight = F.when(mine, F.when(positive, (p + m) / 2 / max(p, 1)).otherwise((p + m) / 2 / max(m, 1))).otherwise(weight)
+    train = rows.where(kept).withColumn("weight", weight)
+    return stored(train) if cut else train
 
 
 @dataclass
@@ -130,10 +137,11 @@ def probability(fits: dict[str, Fit], columns: list[str]) -> Column:
     return out
 
 
-def reranked(features: DataFrame, labels: DataFrame, columns: list[str] | None = None, budgets: dict[str, int] | None = None, default: int | None = None, share: float = 0.5, mode: str = "logreg", **training) -> DataFrame:
+def reranked(features: DataFrame, labels: DataFrame | None, columns: list[str] | None = None, budgets: dict[str, int] | None = None, default: int | None = None, share: float = 0.5, mode: str = "logreg", **training) -> DataFrame:
     """(user_id, item_id, entity_type, probability, rerank, logreg, scaled): each user's best by calibrated scores.
 
-    ``features``: keys, ``scaled`` and the other columns; ``labels``: keys of the positives of validation.  ``rerank``
+    ``features``: keys, ``scaled`` and the other columns; ``labels``: keys of the positives of validation, or None
+    where the features' rows have a ``label`` already.  ``rerank``
     is (1 - share) * scaled + share * logreg, clipped; by it, then by scaled and item, a user keeps as many as the type's
     budget (all without one).  ``probability`` is what ``mode`` names.  A type without both classes keeps ``scaled``
     as its logreg.
@@ -141,8 +149,10 @@ def reranked(features: DataFrame, labels: DataFrame, columns: list[str] | None =
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     columns = columns or FEATURES
-    known = labels.select(*KEYS).distinct().withColumn("label", F.lit(1))
-    rows = stored(features.select(*KEYS, *dict.fromkeys(["scaled", *columns])).join(known, KEYS, "left").withColumn("label", F.coalesce("label", F.lit(0))))
+    rows = features.select(*KEYS, *dict.fromkeys(["scaled", *columns]), *(["label"] if labels is None else []))
+    if labels is not None:
+        rows = rows.join(labels.select(*KEYS).distinct().withColumn("label", F.lit(1)), KEYS, "left")
+    rows = stored(rows.withColumn("label", F.coalesce("label", F.lit(0))))
     fits = fit_all(training_rows(rows, **training), columns)
     scores = rows.withColumn("logreg", F.coalesce(probability(fits, columns), F.col("scaled")))
     scores = scores.withColumn("rerank", F.least(F.greatest((1 - share) * F.col("scaled") + share * F.col("logreg"), F.lit(0.0)), F.lit(1.0)))

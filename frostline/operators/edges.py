@@ -144,8 +144,8 @@ def by_source(strict: DataFrame, warmup: DataFrame, gamma: float = 1.0) -> DataF
     return rows.withColumn("probability", F.least(F.greatest(F.pow("probability", F.lit(gamma)), F.lit(0.0)), F.lit(1.0)))
 
 
-def nine_features(rows: DataFrame, popularity: DataFrame, pool: int = 50) -> DataFrame:
-    """Rows (user_id, item_id, entity_type, score) with nine features of a score's place in its user's list.
+def nine_features(rows: DataFrame, popularity: DataFrame, pool: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (user_id, item_id, entity_type, score, and what ``keep`` names) with nine features of a score's place in its user's list.
 
     Scaled score (by rank over ``pool`` where all are equal), rank share, 1 / rank, score over the best,
     z-score, gaps to the rows before, after and the best, and the item's popularity (``popularity``: item_id, pop).
@@ -155,17 +155,17 @@ def nine_features(rows: DataFrame, popularity: DataFrame, pool: int = 50) -> Dat
     low, high = F.min(s).over(w), F.max(s).over(w)
     span, sd = F.nullif(high - low, F.lit(0.0)), F.nullif(F.coalesce(F.stddev_samp(s).over(w), F.lit(0.0)), F.lit(0.0))
     within = lambda x, a, b: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(a)), F.lit(b))
-    placed = rows.withColumn("r", F.row_number().over(o))
+    # An item's popularity comes to its rows before they have features: nine numbers a row are made where lists lie and sent nowhere.
     most = popularity.agg(F.max("pop").alias("_most"))
-    popular = rows.select("item_id").distinct().join(popularity, "item_id", "left").join(F.broadcast(most), F.lit(True))
-    norm = popular.select("item_id", within(F.log1p(F.coalesce("pop", F.lit(0)).cast("double")) / F.log1p(F.col("_most").cast("double")), 0.0, 1.0).alias("popular"))
+    known = rows.join(popularity.select("item_id", "pop"), "item_id", "left").withColumn("r", F.row_number().over(o))
+    popular = within(F.log1p(F.coalesce("pop", F.lit(0)).cast("double")) / F.log1p(F.col("_most").cast("double")), 0.0, 1.0)
     by_rank = 1 - (F.col("r") - 1) / F.lit(float(pool - 1))
-    made = placed.select(
-        "user_id", "item_id", "entity_type", within(F.coalesce((s - low) / span, by_rank), 0.0, 1.0).alias("scaled"), (1 - by_rank).alias("rank_share"), (1 / F.col("r")).alias("inverse_rank"),
+    made = known.select(
+        "user_id", "item_id", "entity_type", *keep, "pop", within(F.coalesce((s - low) / span, by_rank), 0.0, 1.0).alias("scaled"), (1 - by_rank).alias("rank_share"), (1 / F.col("r")).alias("inverse_rank"),
         F.coalesce(s / F.nullif(high, F.lit(0.0)), F.lit(0.0)).alias("to_best"), within((s - F.avg(s).over(w)) / sd, -10.0, 10.0).alias("z"), within((F.lag(s).over(o) - s) / span, 0.0, 10.0).alias("gap_before"),
         within((s - F.lead(s).over(o)) / span, 0.0, 10.0).alias("gap_after"), within((high - s) / span, 0.0, 10.0).alias("gap_best"),
     )
-    return made.join(norm, "item_id")
+    return made.where("item_id is not null").join(F.broadcast(most), F.lit(True)).withColumn("popular", popular).drop("pop", "_most")
 
 
 def first_of(rows: DataFrame, k: dict[str, int], default: int = 20) -> DataFrame:
