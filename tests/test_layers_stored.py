@@ -40,3 +40,10 @@ def test_sums_without_a_first_round(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (1, [10.0, 20.0]), (3, None)], "key long, v array<double>").repartition(3)
     got = {r.key: (r.n, r.v) for r in models.summed_vectors(rows, "key", partial=False).collect()}
     assert got == {1: (2, [11.0, 22.0]), 2: (1, [3.0, 4.0])}
+
+
+def test_blocks_of_factorisation_grow_with_the_ratings(spark, monkeypatch):
+    assert [models.als_blocks(n) for n in (0, 40_000_000, 40_000_001, 216_000_000)] == [10, 10, 11, 54]
+    monkeypatch.setattr(models, "RATINGS", 20)
+    found = models.factorised(_edges(spark).withColumn("item_id", F.col("item_id") + F.col("user_id") % 2).distinct().union(_edges(spark)), rank=2, rounds=1)
+    assert found.userFactors.count() == 7
